@@ -153,7 +153,7 @@ def run_report(corpus: DataFrame, findings: DataFrame, agreed: DataFrame,
     """The run report as one long table of section, key and value."""
     raw = findings.agg(F.count("*").alias("raw"))
     kept = agreed.agg(F.count("*").alias("kept"))
-    both = raw.crossJoin(kept)  # one row each
+    both = raw.unionByName(kept, allowMissingColumns=True).agg(F.max("raw").alias("raw"), F.max("kept").alias("kept"))
     removed, percent = reduction(F.col("raw"), F.col("kept"))
     parts = [
         _section("run", corpus.agg(F.count("*").alias("n")), F.lit("files_scanned"), F.col("n")),
@@ -170,7 +170,8 @@ def run_report(corpus: DataFrame, findings: DataFrame, agreed: DataFrame,
     if log_statistics is not None:
         parts += [_section("log", log_statistics, F.lit(name), F.col(name)) for name in ("findings_count", "checkpoint_count")]
     if recovery is not None:
-        parts += [_section("resume", recovery, F.lit(name), F.col(name)) for name in ("recovered_from", "method")]
+        parts += [_section("resume", recovery, F.lit(name), F.col(name))
+                  for name in ("recovery_method", "checkpoint_timestamp")]
     report = parts[0]
     for part in parts[1:]:
         report = report.unionByName(part)

@@ -51,6 +51,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether anything was written there yet."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under the shared checkpoint folder the cluster names.
 

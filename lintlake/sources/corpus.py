@@ -6,7 +6,7 @@ is relative to the folder that holds the repositories.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,20 +65,34 @@ def prune(corpus: DataFrame) -> DataFrame:
     )
 
 
-def _relative(root: str) -> Column:
+def relative_path(root: str, path: Column) -> Column:
     """Path below the root, whatever scheme the reader put in front of it."""
     bare = root.rstrip("/").split(":", 1)[-1].lstrip("/")
-    return F.substring_index(F.col("path"), f"/{bare}/", -1)
+    return F.substring_index(path, f"/{bare}/", -1)
 
 
-def read_files(spark: SparkSession, root: str, *, recursive: bool = True) -> DataFrame:
-    """Raw files below a folder.  Size filters reach the file listing."""
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", str(recursive).lower())
-        .load(root)
-        .select(_relative(root).alias("path"), "length", "content")
-    )
+def read_files(
+    spark: SparkSession,
+    root: str,
+    *,
+    recursive: bool = True,
+    keep: Callable[[Column], Column] | None = None,
+    max_bytes: int | None = None,
+) -> DataFrame:
+    """Raw files below a folder.
+
+    The conditions are put on the file metadata, so they prune the listing and
+    the content of other files is never read.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    listed = relative_path(root, F.col("_metadata.file_path"))
+    if keep is not None:
+        files = files.where(keep(listed))
+    if not recursive:
+        files = files.where(~F.contains(listed, F.lit("/")))
+    if max_bytes is not None:
+        files = files.where(F.col("_metadata.file_size") <= max_bytes)
+    return files.select(relative_path(root, F.col("path")).alias("path"), "length", "content")
 
 
 def with_repo(files: DataFrame) -> DataFrame:
@@ -90,7 +104,7 @@ def with_repo(files: DataFrame) -> DataFrame:
 
 def repository_corpus(spark: SparkSession, root: str) -> DataFrame:
     """Every scannable file of every repository below ``root``."""
-    files = prune(with_repo(read_files(spark, root)))
+    files = prune(with_repo(read_files(spark, root, keep=is_scannable, max_bytes=MAX_FILE_BYTES)))
     return files.select("repo", "path", "length", text.decode_lenient(F.col("content")).alias("content"))
 
 
@@ -98,8 +112,9 @@ def reviewer_corpus(
     spark: SparkSession, directory: str, agent: str, *, recursive: bool = True
 ) -> DataFrame:
     """One reviewer's files of one directory.  Files that are not UTF-8 drop out."""
-    files = read_files(spark, directory, recursive=recursive).where(
-        text.path_suffix(F.col("path")).isin(REVIEWER_EXTENSIONS[agent])
+    files = read_files(
+        spark, directory, recursive=recursive,
+        keep=lambda path: text.path_suffix(path).isin(REVIEWER_EXTENSIONS[agent]),
     )
     return files.where(F.is_valid_utf8(F.col("content").cast("string"))).select(
         F.lit(directory.rstrip("/").rsplit("/", 1)[-1]).alias("repo"),

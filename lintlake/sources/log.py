@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lintlake.operators.review import finding_id
+from lintlake.session import path_exists
 
 # Fixed value: how much text of a finding the log keeps.
 LOG_TEXT_CAP = 200
@@ -65,7 +66,10 @@ def append_checkpoint(spark: SparkSession, log_dir: str, timestamp: str, data: d
 
 def read_log(spark: SparkSession, log_dir: str) -> DataFrame:
     """Every line, parsed; a damaged one keeps its text in ``_corrupt_record``."""
-    lines = spark.read.text(log_dir).where(F.trim("value") != "")
+    if path_exists(spark, log_dir):
+        lines = spark.read.text(log_dir).where(F.trim("value") != "")
+    else:
+        lines = spark.createDataFrame([], "value string")
     parsed = F.from_json(
         F.col("value"), ENTRY_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
     return lines.select(parsed.alias("e")).select("e.*")
