@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -36,3 +36,12 @@ def rows_literal(rows: Sequence[Mapping[str, object]]) -> Column:
 def bound(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once and named inside."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a wide struct column that the planner will not copy into its users.
+
+    Field accesses on a plain column are pushed into its expression, which
+    would evaluate it once per field; a one-element explode keeps it whole.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))

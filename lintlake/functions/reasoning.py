@@ -32,6 +32,15 @@ MAX_AGENTS = 3
 STRINGS = T.ArrayType(T.StringType())
 
 
+def typed(kind: T.StructType, *parts: Column) -> Column:
+    """A struct of exactly this type."""
+    leaf = (T.StructType, T.ArrayType)
+    return F.struct(*[
+        (part if isinstance(f.dataType, leaf) else part.cast(f.dataType)).alias(f.name)
+        for f, part in zip(kind, parts, strict=True)
+    ]).cast(kind)
+
+
 def _struct(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
 
@@ -154,8 +163,8 @@ def _template_row(t: Template) -> dict[str, object]:
     }
 
 
-def template_of(index: Column) -> Column:
-    return F.get(rows_literal([_template_row(t) for t in TEMPLATES]), index)
+def templates_literal() -> Column:
+    return rows_literal([_template_row(t) for t in TEMPLATES])
 
 
 def evidence_signals(item: Column) -> Column:
@@ -196,7 +205,7 @@ def record(item: Column) -> Column:
     confidence, line_number, evidence, description, recommendation,
     ref_primary, template_ix and generated_at.
     """
-    return bound(template_of(item["template_ix"]), lambda t: _record(item, t))
+    return bound(F.get(templates_literal(), item["template_ix"]), lambda t: _record(item, t))
 
 
 def _record(item: Column, t: Column) -> Column:
@@ -225,26 +234,34 @@ def _record(item: Column, t: Column) -> Column:
     def own_or(template_value: Column, rule_value: Column) -> Column:
         return F.when(generic, rule_value).otherwise(template_value)
 
-    built = F.struct(
-        F.struct(
+    return typed(
+        RECORD_TYPE,
+        typed(
+            RECORD_TYPE["detection"].dataType,
             own_or(t["pattern"], item["description"]), summary, t["method"], signals(item, t), t["agent"], t["check"]),
-        F.struct(
+        typed(
+            RECORD_TYPE["risk"].dataType,
             own_or(t["reason"], F.concat(item["severity"], F.lit(" severity: "), item["description"])),
             t["impact"], t["assets"], t["surface"], t["sensitivity"], compliance),
-        F.struct(t["vector"], t["steps"], t["access"], t["rating"], F.when(~generic, t["cves"]), no_text),
-        F.struct(
+        typed(
+            RECORD_TYPE["attack"].dataType,
+            t["vector"], t["steps"], t["access"], t["rating"], F.when(~generic, t["cves"]), no_text),
+        typed(
+            RECORD_TYPE["confidence"].dataType,
             level, own_or(t["factors"], F.array(item["description"])), t["strong"], weak, F.lit(1), no_text),
-        F.struct(
+        typed(
+            RECORD_TYPE["remediation"].dataType,
             own_or(t["fix"], item["recommendation"]), t["rationale"], t["fixes"], no_text, t["complexity"],
             t["breaking"], t["testing"]),
-        F.when(t["purpose"].isNotNull(),
-               F.struct(t["purpose"], t["flow"], t["present"], t["missing"], t["file_purpose"], t["framework"])),
+        F.when(
+            t["purpose"].isNotNull(),
+            typed(RECORD_TYPE["context"].dataType,
+                  t["purpose"], t["flow"], t["present"], t["missing"], t["file_purpose"], t["framework"])),
         F.lit(None),
         F.lit(None),
         t["agent"],
         item["generated_at"],
     )
-    return built.cast(RECORD_TYPE)
 
 
 def summary_text(record: Column) -> Column:

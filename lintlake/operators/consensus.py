@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lintlake.functions import merge, reasoning
+from lintlake.functions.constants import computed_once
 from lintlake.functions.severity import AGENTS, SEVERITIES, check_severity
 
 LOCATION = ["repo", "path", "line_number"]
@@ -126,9 +127,8 @@ def with_templates(findings: DataFrame, generated_at: str) -> DataFrame:
 def enrich(findings: DataFrame, generated_at: str) -> DataFrame:
     """Each finding with its reasoning record (null below HIGH)."""
     marked = with_templates(findings, generated_at).withColumn("_item", F.struct(*ITEM_COLUMNS))
-    return marked.withColumn(
-        "cot", F.when(F.col("template_ix").isNotNull(), reasoning.record(F.col("_item")))
-    ).drop("_item", "template_ix", "generated_at")
+    cot = F.when(F.col("template_ix").isNotNull(), reasoning.record(F.col("_item")))
+    return computed_once(marked, "cot", cot).drop("_item", "template_ix", "generated_at")
 
 
 def consensus_with_reasoning(findings: DataFrame, generated_at: str) -> DataFrame:
@@ -162,15 +162,16 @@ def consensus_with_reasoning(findings: DataFrame, generated_at: str) -> DataFram
         )).alias("_items"),
     )
     unpacked = _unpack(grouped, [*columns, *extra], "_items").drop("findings_merged")
-    recorded = unpacked.withColumn(
+    with_records = computed_once(
+        unpacked,
         "_records",
         F.transform(
             "_items",
-            lambda x: F.struct(x["item"]["agent"].alias("agent"), reasoning.record(x["item"]).alias("record"))),
-    ).withColumn("_own", F.struct(*ITEM_COLUMNS))
-    own = F.when(F.col("template_ix").isNotNull(), reasoning.record(F.col("_own")))
+            lambda x: F.struct(
+                x["item"]["agent"].alias("agent"), x["o"].alias("o"), reasoning.record(x["item"]).alias("record"))),
+    )
+    mine = F.struct(*MERGE_ORDER)
+    own = F.get(F.filter("_records", lambda r: r["o"] == mine), F.lit(0))["record"]
     merged = merge.merged_record(F.col("_records"), F.col("consensus_level"), F.col("agreeing_agents"))
-    return recorded.withColumn(
-        "cot",
-        F.when((F.col("consensus_level") >= 2) & (F.size("_records") >= 2), merged).otherwise(own),
-    ).drop("_items", "_records", "_own", "template_ix", "generated_at")
+    cot = F.when((F.col("consensus_level") >= 2) & (F.size("_records") >= 2), merged).otherwise(own)
+    return computed_once(with_records, "cot", cot).drop("_items", "_records", "template_ix", "generated_at")

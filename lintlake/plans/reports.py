@@ -92,13 +92,13 @@ def repo_summary(corpus: DataFrame, findings: DataFrame, agreed: DataFrame) -> D
     by_severity = (
         agreed.groupBy("repo")
         .pivot("severity", SEVERITIES)
-        .agg(F.count("*"))
+        .agg(F.count(F.lit(1)))
         .select("repo", *[F.coalesce(s, F.lit(0)).alias(s.lower()) for s in SEVERITIES])
     )
     by_agent = (
         findings.groupBy("repo")
         .pivot("agent", AGENTS)
-        .agg(F.count("*"))
+        .agg(F.count(F.lit(1)))
         .select("repo", *[F.coalesce(a, F.lit(0)).alias(f"{a}_findings") for a in AGENTS])
     )
     joined = files.join(by_severity, "repo", "left").join(by_agent, "repo", "left")

@@ -65,10 +65,11 @@ class RunState:
         return self.spark.read.schema(schema).parquet(path).where(F.col("run_id") == self.run_id)
 
     def _append(self, name: str, df: DataFrame, schema: T.StructType) -> None:
+        rows = df.withColumn("run_id", F.lit(self.run_id))
         columns = [
-            (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema
+            (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema
         ]
-        df.withColumn("run_id", F.lit(self.run_id)).select(*columns).write.mode("append").parquet(f"{self.folder}/{name}")
+        rows.select(*columns).write.mode("append").parquet(f"{self.folder}/{name}")
 
     def runs(self) -> DataFrame:
         return self._table("runs", RUN_SCHEMA)

@@ -145,9 +145,9 @@ decided AS (
   FROM located),
 matched AS (
   SELECT * EXCLUDE (match_ordinal),
-    row_number() OVER (PARTITION BY repo, path, rule_id ORDER BY match_ordinal) - 1 AS match_ordinal,
-    rule_id = 'S03' AND ({" OR ".join(f"regexp_matches(match, {q(p)})" for p in S03_SUPPRESS)}) AS suppressed
-  FROM decided WHERE match IS NOT NULL),
+    row_number() OVER (PARTITION BY repo, path, rule_id, suppressed ORDER BY match_ordinal) - 1 AS match_ordinal
+  FROM (SELECT *, rule_id = 'S03' AND ({" OR ".join(f"regexp_matches(match, {q(p)})" for p in S03_SUPPRESS)}) AS suppressed
+    FROM decided WHERE match IS NOT NULL)),
 regex_found AS (
   SELECT repo, path, agent, agent_rank, 'regex' AS detector, rule_id, rule_ordinal,
     match_ordinal::INT AS match_ordinal,

@@ -26,7 +26,7 @@ CONTEXT = """
 SELECT repo, path, rule_id, match_ordinal::INT AS match_ordinal, line_number::INT AS line_number,
   array_to_string(list_transform(
     range(greatest(1, line_number - 2), least(len(lines), line_number + 2) + 1),
-    lambda k: lpad(k::VARCHAR, greatest(4, len(k::VARCHAR)), ' ') || ': ' || lines[k]), chr(10)) AS context
+    lambda k: lpad(k::VARCHAR, greatest(4, len(k::VARCHAR))::INT, ' ') || ': ' || lines[k]), chr(10)) AS context
 FROM (SELECT *, string_split(content, chr(10)) AS lines FROM matched WHERE NOT suppressed)"""
 
 TOLERANCE = """,
