@@ -6,13 +6,15 @@ an array access; no table has to be joined or broadcast.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _sql(value) -> str:
+def sql_literal(value) -> str:
+    """The value as Spark SQL text."""
     if value is None:
         return "cast(null as string)"
     if isinstance(value, bool):
@@ -21,18 +23,33 @@ def _sql(value) -> str:
         return str(value)
     if isinstance(value, str):
         return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    return f"cast(array({', '.join(_sql(v) for v in value)}) as array<string>)"
+    return f"cast(array({', '.join(sql_literal(v) for v in value)}) as array<string>)"
 
 
 def rows_literal(rows: Sequence[Mapping[str, object]]) -> Column:
     """An array of structs; every row must have the same fields."""
     structs = [
-        "named_struct(" + ", ".join(f"'{name}', {_sql(value)}" for name, value in row.items()) + ")"
+        "named_struct(" + ", ".join(f"'{name}', {sql_literal(value)}" for name, value in row.items()) + ")"
         for row in rows
     ]
     return F.expr(f"array({', '.join(structs)})")
 
 
+def texts_literal(values: Sequence[str]) -> Column:
+    """An array of strings."""
+    return F.expr(f"array({', '.join(sql_literal(v) for v in values)})")
+
+
+def index_literal(keys: Mapping[str, int]) -> Column:
+    """A map from text to number."""
+    return F.expr("map(" + ", ".join(f"{sql_literal(k)}, {v}" for k, v in keys.items()) + ")")
+
+
+def contains_any(text: Column, words: Sequence[str]) -> Column:
+    """True when any of the words occurs in the text."""
+    return F.rlike(text, F.lit("|".join(re.escape(w) for w in words)))
+
+
 def bound(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once and named inside."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -7,13 +7,11 @@ the very end.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lintlake.functions.constants import bound, rows_literal
+from lintlake.functions.constants import bound, contains_any, index_literal, rows_literal
 from lintlake.functions.templates import CONFIDENCE_MODES, TEMPLATE_INDEX, TEMPLATES, Template
 
 # Word lists that pick a template's variant or a signal.
@@ -68,10 +66,6 @@ RECORD_TYPE = _struct(
 )
 
 
-def has_any(text: Column, words: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
-
-
 def _has(text: Column, word: str) -> Column:
     return F.contains(text, F.lit(word))
 
@@ -87,31 +81,31 @@ def _choose(*cases: tuple[Column | None, str]) -> Column:
 def _variants(evidence: Column) -> dict[tuple[str, str], Column]:
     """The variant of every category that has more than one."""
     low, up = F.lower(evidence), F.upper(evidence)
-    change = has_any(up, ["UPDATE", "DELETE"])
+    change = contains_any(up, ["UPDATE", "DELETE"])
     where, select = _has(up, "WHERE"), _has(up, "SELECT")
-    endpoint = _has(evidence, "@") & has_any(evidence, ENDPOINT_METHODS)
-    subject = _choose((has_any(low, PAYMENT_WORDS), "payment"), (has_any(low, HEALTH_WORDS), "health"), (None, "other"))
+    endpoint = _has(evidence, "@") & contains_any(evidence, ENDPOINT_METHODS)
+    subject = _choose((contains_any(low, PAYMENT_WORDS), "payment"), (contains_any(low, HEALTH_WORDS), "health"), (None, "other"))
     filtered = _has(low, "tenant_id") | where
     return {
         ("security", "Hardcoded Credentials"): _choose(
-            (_has(low, "api"), "api"), (_has(low, "aws"), "aws"), (has_any(low, ["jwt", "bearer"]), "jwt"),
+            (_has(low, "api"), "api"), (_has(low, "aws"), "aws"), (contains_any(low, ["jwt", "bearer"]), "jwt"),
             (_has(evidence, "PRIVATE KEY"), "key"), (None, "password")),
         ("security", "Command Injection"): _choose(
             (_has(evidence, "eval"), "eval"), (_has(evidence, "os.system"), "system"), (_has(low, "shell"), "shell"),
             (_has(evidence, "exec"), "exec"), (None, "process")),
         ("security", "Insecure Cryptography"): _choose(
-            (_has(low, "md5"), "md5"), (_has(low, "sha1"), "sha1"), (has_any(evidence, OLD_CIPHERS), "cipher"),
+            (_has(low, "md5"), "md5"), (_has(low, "sha1"), "sha1"), (contains_any(evidence, OLD_CIPHERS), "cipher"),
             (None, "other")),
-        ("security", "Network Security"): _choose((has_any(low, ["verify", "cert_none"]), "tls"), (None, "bind")),
+        ("security", "Network Security"): _choose((contains_any(low, ["verify", "cert_none"]), "tls"), (None, "bind")),
         ("security", "Excessive Privileges"): _choose((_has(low, "accountadmin"), "admin"), (None, "star")),
         ("privacy", "PII Exposure"): _choose(
             (_has(evidence, "@") | _has(low, "email"), "email"), (F.rlike(evidence, F.lit(SSN_SHAPE)), "ssn"),
             (F.rlike(evidence, F.lit(PHONE_SHAPE)), "phone"), (None, "field")),
         ("privacy", "Missing Encryption"): F.concat(
             subject, F.when(_has(low, "http://"), F.lit("_http")).otherwise(F.lit(""))),
-        ("privacy", "HIPAA Violation"): _choose((has_any(low, OUTPUT_WORDS), "logs"), (None, "stored")),
-        ("privacy", "PCI DSS Violation"): _choose((has_any(low, VERIFICATION_WORDS), "cvv"), (None, "number")),
-        ("permission", "Missing Row-Level Security"): _choose((has_any(low, TENANT_WORDS), "tenant"), (None, "plain")),
+        ("privacy", "HIPAA Violation"): _choose((contains_any(low, OUTPUT_WORDS), "logs"), (None, "stored")),
+        ("privacy", "PCI DSS Violation"): _choose((contains_any(low, VERIFICATION_WORDS), "cvv"), (None, "number")),
+        ("permission", "Missing Row-Level Security"): _choose((contains_any(low, TENANT_WORDS), "tenant"), (None, "plain")),
         ("permission", "Over-broad GRANT Permissions"): _choose((_has(up, "GRANT ALL"), "all"), (None, "some")),
         ("permission", "Insecure View"): F.concat(
             F.when(_has(up, "SECURE"), F.lit("secure")).otherwise(F.lit("open")),
@@ -126,26 +120,14 @@ def _variants(evidence: Column) -> dict[tuple[str, str], Column]:
 
 def template_index(agent: Column, category: Column, evidence: Column) -> Column:
     """Position of the finding's template; unlisted categories get the generic one."""
-    variants = _variants(evidence)
-    by_category: dict[tuple[str, str], dict[str, int]] = {}
-    for (owner, name, variant), i in TEMPLATE_INDEX.items():
-        by_category.setdefault((owner, name), {})[variant] = i
-    result = F.lit(None).cast("int")
-    for (owner, name), members in by_category.items():
-        if not name:
-            continue
-        if (owner, name) in variants:
-            variant = variants[(owner, name)]
-            picked = F.lit(None).cast("int")
-            for label, i in members.items():
-                picked = F.when(variant == label, F.lit(i)).otherwise(picked)
-        else:
-            picked = F.lit(members[""])
-        result = F.when((agent == owner) & (category == name), picked).otherwise(result)
-    generic = F.lit(None).cast("int")
-    for owner in ("security", "privacy", "permission"):
-        generic = F.when(agent == owner, F.lit(TEMPLATE_INDEX[(owner, "", "generic")])).otherwise(generic)
-    return F.coalesce(result, generic)
+    variant = F.lit("")
+    for (owner, name), choice in _variants(evidence).items():
+        variant = F.when((agent == owner) & (category == name), choice).otherwise(variant)
+    positions = index_literal({"/".join(key): i for key, i in TEMPLATE_INDEX.items()})
+    return F.coalesce(
+        F.try_element_at(positions, F.concat_ws("/", agent, category, variant)),
+        F.try_element_at(positions, F.concat(agent, F.lit("//generic"))),
+    )
 
 
 def _template_row(t: Template) -> dict[str, object]:
@@ -180,7 +162,7 @@ def evidence_signals(item: Column) -> Column:
         shown(_has(evidence, "format") | _has(evidence, "%"), "Formatted text"),
         shown(_has(evidence, "f'") | _has(evidence, 'f"'), "Interpolated text"),
         shown(_has(low, "execute"), "Execution call"),
-        shown(~has_any(evidence, BOUND_VALUE_MARKS), "No bound values"),
+        shown(~contains_any(evidence, BOUND_VALUE_MARKS), "No bound values"),
     )
     command = F.array(shown(_has(low, "shell") & _has(low, "true"), "Shell switched on"))
     grant = F.array(

@@ -11,7 +11,6 @@ import ast
 import sys
 import warnings
 from collections.abc import Iterator
-from functools import reduce
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -20,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lintlake.functions import text
+from lintlake.functions.constants import contains_any, texts_literal
 from lintlake.functions.severity import AGENTS, SEVERITIES
 
 # Workers get the parsing functions by value, so they need no installed copy.
@@ -199,28 +199,20 @@ ADVICE = {
 AST_ORDINAL_BASE = 1000
 
 
-def _contains_any(value: Column, words: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [F.contains(value, F.lit(w)) for w in words])
-
-
 def is_placeholder(value: Column) -> Column:
-    return _contains_any(F.lower(value), PLACEHOLDERS)
+    return contains_any(F.lower(value), PLACEHOLDERS)
 
 
 def is_execute_call(func_name: Column) -> Column:
-    return _contains_any(func_name, EXECUTE_WORDS)
+    return contains_any(func_name, EXECUTE_WORDS)
 
 
 def is_logging_call(func_name: Column) -> Column:
-    return _contains_any(F.lower(func_name), LOGGING_WORDS)
+    return contains_any(F.lower(func_name), LOGGING_WORDS)
 
 
 def mentions_encryption(statement: Column) -> Column:
-    return _contains_any(F.lower(statement), ENCRYPTION_WORDS)
-
-
-def _text_array(words: list[str]) -> Column:
-    return F.array(*[F.lit(w) for w in words])
+    return contains_any(F.lower(statement), ENCRYPTION_WORDS)
 
 
 def _context(line: Column, nearby: Column) -> Column:
@@ -234,7 +226,7 @@ def _context(line: Column, nearby: Column) -> Column:
 def _finding(check: int, agent: str, *, category: Column, severity: Column, confidence: str, evidence: Column,
              advice: Column, ref_primary: str, ref_secondary: str | None, description: Column,
              context: bool = True) -> Column:
-    labels = _text_array(SEVERITIES)
+    labels = texts_literal(SEVERITIES)
     return F.struct(
         F.lit(f"E{check}").alias("rule_id"),
         F.lit(agent).alias("agent"),
@@ -259,7 +251,7 @@ def _checks() -> dict[str, list[Column]]:
     name = F.lower(f("name"))
     assign, call = f("kind") == "assign", f("kind") == "call"
     secret = F.when(
-        assign & _contains_any(name, SECRET_NAMES) & (f("value_str") != "") & ~is_placeholder(f("value_str")),
+        assign & contains_any(name, SECRET_NAMES) & (f("value_str") != "") & ~is_placeholder(f("value_str")),
         _finding(
             1, "security", category=F.lit("Hardcoded Credentials"), severity=F.lit("CRITICAL"), confidence="MEDIUM",
             evidence=F.concat(f("name"), F.lit(" = '"), F.substring(f("value_str"), 1, 50), F.lit("...'")),
@@ -294,18 +286,18 @@ def _checks() -> dict[str, list[Column]]:
                 ADVICE["Weak Random Number Generation"]),
             ref_primary=INTEGRITY_REF, ref_secondary=None, description=F.concat(F.lit("Use of "), f("func_name")),
             context=False))
-    personal = F.filter(f("args"), lambda a: F.arrays_overlap(a, _text_array(PII_NAMES)))
+    personal = F.filter(f("args"), lambda a: F.arrays_overlap(a, texts_literal(PII_NAMES)))
     logged = F.when(
         call & is_logging_call(f("func_name")) & (F.size(personal) > 0),
         _finding(
             5, "privacy", category=F.lit("PII Exposure"),
-            severity=F.when(F.arrays_overlap(F.get(personal, F.lit(0)), _text_array(GRAVE_PII_NAMES)), "CRITICAL").otherwise("HIGH"),
+            severity=F.when(F.arrays_overlap(F.get(personal, F.lit(0)), texts_literal(GRAVE_PII_NAMES)), "CRITICAL").otherwise("HIGH"),
             confidence="HIGH",
             evidence=F.concat(F.lit("Logging PII field in statement at line "), f("line").cast("string")),
             advice=F.lit(ADVICE["E5"]), ref_primary="GDPR Article 5(1)(f)", ref_secondary="SOC 2 CC6.1",
             description=F.lit("Personal field in a logging call")))
     stored = F.when(
-        assign & _contains_any(name, SENSITIVE_NAMES) & ~mentions_encryption(f("statement")),
+        assign & contains_any(name, SENSITIVE_NAMES) & ~mentions_encryption(f("statement")),
         _finding(
             6, "privacy", category=F.lit("Missing Encryption"), severity=F.lit("CRITICAL"), confidence="HIGH",
             evidence=F.concat(F.lit("Sensitive field '"), f("name"), F.lit("' without encryption")),
@@ -320,7 +312,8 @@ def ast_findings(
     """Findings of the syntax checks, in the layout of the regex findings."""
     from lintlake.operators.scan import FINDING_COLUMNS
 
-    checks = [c for agent in (agents or AGENTS) for c in _checks()[agent]]
+    available = _checks()
+    checks = [c for agent in (agents or AGENTS) for c in available[agent]]
     found = facts.select(
         "repo", "path", "fact_ordinal", "line", "nearby", F.explode(F.array_compact(F.array(*checks))).alias("_f"))
     own = {

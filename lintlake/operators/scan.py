@@ -8,13 +8,12 @@ that hit.  Then only those rules extract their matches with line numbers.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lintlake.functions import text
-from lintlake.functions.constants import rows_literal
+from lintlake.functions.constants import rows_literal, sql_literal, texts_literal
 from lintlake.functions.rules import BUILTIN_RULES, Rule
 from lintlake.functions.severity import AGENTS, SEVERITIES
 
@@ -44,29 +43,23 @@ def rules_literal(rules: Sequence[Rule]) -> Column:
     return rows_literal(rows)
 
 
-def _may_match(rule: Rule, content: Column, lowered: Column) -> Column:
+def _may_match(rule: Rule) -> str:
+    """SQL condition on ``content`` and ``_lowered``: cheap tests come first."""
     tests = [
-        reduce(lambda a, b: a | b, [F.contains(lowered, F.lit(word)) for word in group])
+        "(" + " OR ".join(f"contains(_lowered, {sql_literal(word)})" for word in group) + ")"
         for group in rule.needs
     ]
     if rule.gate:
-        tests.append(F.rlike(content, F.lit(f"(?di){rule.gate}")))
-    tests.append(F.rlike(content, F.lit(rule.java_regex)))
-    return reduce(lambda a, b: a & b, tests)
+        tests.append(f"rlike(content, {sql_literal(f'(?di){rule.gate}')})")
+    tests.append(f"rlike(content, {sql_literal(rule.java_regex)})")
+    return " AND ".join(tests)
 
 
 def rule_hits(corpus: DataFrame, rules: Sequence[Rule], *keep: str) -> DataFrame:
     """One row per (file, rule that matches somewhere in it)."""
-    hits = F.array_compact(
-        F.array(
-            *[
-                F.when(_may_match(rule, F.col("content"), F.col("_lowered")), F.lit(i))
-                for i, rule in enumerate(rules)
-            ]
-        )
-    )
+    cases = ", ".join(f"CASE WHEN {_may_match(rule)} THEN {i} END" for i, rule in enumerate(rules))
     return corpus.withColumn("_lowered", F.lower("content")).select(
-        *keep, F.explode(hits).alias("rule_ix")
+        *keep, F.explode(F.array_compact(F.expr(f"array({cases})"))).alias("rule_ix")
     )
 
 
@@ -94,8 +87,7 @@ def regex_matches(
         keep.append("_lines")
     hits = rule_hits(corpus, rules, *keep)
 
-    patterns = F.array(*[F.lit(rule.java_regex) for rule in rules])
-    regex = F.get(patterns, F.col("rule_ix"))
+    regex = F.get(texts_literal([rule.java_regex for rule in rules]), F.col("rule_ix"))
 
     def entry(match: Column, line: Column) -> Column:
         fields = [line.alias("line_number"), match.alias("match")]

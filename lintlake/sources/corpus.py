@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintlake.functions import text
+from lintlake.functions.constants import texts_literal
 
 # Which files a scan reads.
 SCANNABLE_EXTENSIONS = [
@@ -48,7 +49,7 @@ def table_corpus(df: DataFrame, repo: str, path: str, content: str) -> DataFrame
 
 
 def in_directory(path: Column, names: Iterable[str]) -> Column:
-    return F.arrays_overlap(text.parent_names(path), F.array(*[F.lit(n) for n in names]))
+    return F.arrays_overlap(text.parent_names(path), texts_literal(list(names)))
 
 
 def is_scannable(path: Column) -> Column:

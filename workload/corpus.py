@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lintlake.functions.constants import rows_literal, texts_literal
 from lintlake.session import spread
 from lintlake.sources.corpus import prune, table_corpus
 from workload.snippets import DIRECTORIES, SNIPPETS
@@ -17,12 +18,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def as_files(documents: DataFrame) -> DataFrame:
     """Each document as a source file: its text as comments, then a fragment."""
     fragment = F.get(
-        F.array(*[F.struct(F.lit(ext).alias("ext"), F.lit(code).alias("code")) for ext, code in SNIPPETS]),
+        rows_literal([{"ext": ext, "code": code} for ext, code in SNIPPETS]),
         (F.col("doc_id") % len(SNIPPETS)).cast("int"),
     )
-    directory = F.get(
-        F.array(*[F.lit(d) for d in DIRECTORIES]), (F.col("doc_id") % len(DIRECTORIES)).cast("int")
-    )
+    directory = F.get(texts_literal(DIRECTORIES), (F.col("doc_id") % len(DIRECTORIES)).cast("int"))
     return documents.select(
         F.col("source").alias("repo"),
         F.concat(F.col("source"), F.lit("/"), directory, F.lit("/doc_"),
