@@ -72,20 +72,22 @@ def relative_path(root: str, path: Column) -> Column:
     return F.substring_index(path, f"/{bare}/", -1)
 
 
-def read_files(
-    spark: SparkSession,
+BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
+
+
+def keep_files(
+    files: DataFrame,
     root: str,
     *,
-    recursive: bool = True,
     keep: Callable[[Column], Column] | None = None,
     max_bytes: int | None = None,
+    recursive: bool = True,
 ) -> DataFrame:
-    """Raw files below a folder.
+    """``path, length, content`` of the wanted raw files.
 
     The conditions are put on the file metadata, so they prune the listing and
     the content of other files is never read.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     listed = relative_path(root, F.col("_metadata.file_path"))
     if keep is not None:
         files = files.where(keep(listed))
@@ -96,6 +98,12 @@ def read_files(
     return files.select(relative_path(root, F.col("path")).alias("path"), "length", "content")
 
 
+def read_files(spark: SparkSession, root: str, **wanted) -> DataFrame:
+    """Raw files below a folder; ``wanted`` as in ``keep_files``."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return keep_files(files, root, **wanted)
+
+
 def with_repo(files: DataFrame) -> DataFrame:
     """The first folder of the path names the repository; loose files drop out."""
     return files.where(F.contains("path", F.lit("/"))).withColumn(

@@ -18,7 +18,9 @@ from pyspark.sql.streaming import StreamingQuery
 from lintlake.functions import text
 from lintlake.operators.scan import regex_findings
 from lintlake.plans.audit import audit
-from lintlake.sources.corpus import prune, relative_path, with_repo
+from lintlake.sources.corpus import (
+    BINARY_FILE_SCHEMA, MAX_FILE_BYTES, is_scannable, keep_files, prune, with_repo,
+)
 
 # Fixed value: files per micro-batch, which is how often progress is saved.
 FILES_PER_BATCH = 100
@@ -28,12 +30,12 @@ def file_stream(spark: SparkSession, root: str, files_per_batch: int = FILES_PER
     """Repository files as they arrive below ``root``."""
     raw = (
         spark.readStream.format("binaryFile")
+        .schema(BINARY_FILE_SCHEMA)
         .option("recursiveFileLookup", "true")
         .option("maxFilesPerTrigger", files_per_batch)
         .load(root)
-        .select(relative_path(root, F.col("path")).alias("path"), "length", "content")
     )
-    files = prune(with_repo(raw))
+    files = prune(with_repo(keep_files(raw, root, keep=is_scannable, max_bytes=MAX_FILE_BYTES)))
     return files.select("repo", "path", "length", text.decode_lenient(F.col("content")).alias("content"))
 
 
