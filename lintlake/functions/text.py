@@ -57,14 +57,16 @@ def match_start_lines(content: Column, regex: Column) -> Column:
     A mark is put in front of every match; cutting the marked text into lines
     then tells how many matches begin on each line.
     """
-    marked = F.regexp_replace(
-        F.translate(content, MARK, MARK_STAND_IN), regex, F.lit(MARK + "$0")
-    )
+    mark = F.lit(MARK)
+    clean = F.when(F.contains(content, mark), F.translate(content, MARK, MARK_STAND_IN)).otherwise(content)
+    marked = F.regexp_replace(clean, regex, F.lit(MARK + "$0"))
+    none = F.expr("cast(array() as array<int>)")
     per_line = F.transform(
         F.split(marked, "\n"),
-        lambda line, i: F.array_repeat(
-            i + 1, F.length(line) - F.length(F.replace(line, F.lit(MARK), F.lit("")))
-        ),
+        lambda line, i: F.when(
+            F.contains(line, mark),
+            F.array_repeat(i + 1, F.length(line) - F.length(F.replace(line, mark, F.lit("")))),
+        ).otherwise(none),
     )
     return F.flatten(per_line)
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lintlake.functions import text
 from lintlake.functions.constants import rows_literal, sql_literal, texts_literal
-from lintlake.functions.rules import BUILTIN_RULES, Rule
+from lintlake.functions.rules import BUILTIN_RULES, Rule, anchor_of
 from lintlake.functions.severity import AGENTS, SEVERITIES
 
 DETECTORS = ["regex", "ast"]
@@ -43,11 +43,19 @@ def rules_literal(rules: Sequence[Rule]) -> Column:
     return rows_literal(rows)
 
 
-def _may_match(rule: Rule) -> str:
-    """SQL condition on ``content`` and ``_lowered``: cheap tests come first."""
-    tests = [
+def _anchors(rule: Rule) -> list[str]:
+    """Anchors of the rule's first group of needed substrings."""
+    return list(dict.fromkeys(anchor_of(word) for word in rule.needs[0])) if rule.needs else []
+
+
+def _may_match(rule: Rule, anchors: Sequence[str]) -> str:
+    """SQL condition on ``content``, ``_lowered`` and the anchors found in it;
+    cheap tests come first."""
+    own = _anchors(rule)
+    tests = ["(" + " OR ".join(f"_a[{anchors.index(a)}]" for a in own) + ")"] if own else []
+    tests += [
         "(" + " OR ".join(f"contains(_lowered, {sql_literal(word)})" for word in group) + ")"
-        for group in rule.needs
+        for i, group in enumerate(rule.needs) if i > 0 or set(group) != set(own)
     ]
     if rule.gate:
         tests.append(f"rlike(content, {sql_literal(f'(?di){rule.gate}')})")
@@ -57,9 +65,13 @@ def _may_match(rule: Rule) -> str:
 
 def rule_hits(corpus: DataFrame, rules: Sequence[Rule], *keep: str) -> DataFrame:
     """One row per (file, rule that matches somewhere in it)."""
-    cases = ", ".join(f"CASE WHEN {_may_match(rule)} THEN {i} END" for i, rule in enumerate(rules))
-    return corpus.withColumn("_lowered", F.lower("content")).select(
-        *keep, F.explode(F.array_compact(F.expr(f"array({cases})"))).alias("rule_ix")
+    anchors = sorted({anchor for rule in rules for anchor in _anchors(rule)})
+    tests = ", ".join(f"contains(_lowered, {sql_literal(a)})" for a in anchors)
+    cases = ", ".join(f"CASE WHEN {_may_match(rule, anchors)} THEN {i} END" for i, rule in enumerate(rules))
+    return (
+        corpus.withColumn("_lowered", F.lower("content"))
+        .withColumn("_a", F.expr(f"array({tests})").cast("array<boolean>"))
+        .select(*keep, F.explode(F.array_compact(F.expr(f"array({cases})"))).alias("rule_ix"))
     )
 
 
