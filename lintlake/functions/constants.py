@@ -22,7 +22,10 @@ def sql_literal(value) -> str:
     if isinstance(value, int):
         return str(value)
     if isinstance(value, str):
-        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        # A dollar sign is written as an escape, or the parser would take
+        # ``${...}`` for a configuration variable.
+        escaped = value.replace("\\", "\\\\").replace("'", "\\'").replace("$", "\\u0024")
+        return f"'{escaped}'"
     return f"cast(array({', '.join(sql_literal(v) for v in value)}) as array<string>)"
 
 
