@@ -72,11 +72,12 @@ def consensus_within(findings: DataFrame, tolerance: int = TOLERANCE) -> DataFra
     """Variant: findings whose lines lie within ``tolerance`` of their
     neighbours form one island.  ``line_number`` is the representative's line.
 
-    Lines are collapsed first, so the window sees each line of a file once and
-    a file is the largest group it ever holds.
+    Everything here happens inside a file, so one shuffle by file serves both
+    groupings and the window.  Lines are collapsed first; a file, whose size is
+    limited, is the largest group there is.
     """
     columns = [c for c in findings.columns if c not in LOCATION]
-    lines = findings.groupBy(*LOCATION).agg(
+    lines = findings.repartition("repo", "path").groupBy(*LOCATION).agg(
         _representative(["line_number", *columns]).alias("_rep"),
         F.min(F.struct(*PRECEDENCE)).alias("_best"),
         F.bit_or(_agent_bit()).alias("_mask"),

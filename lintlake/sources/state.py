@@ -80,34 +80,48 @@ class RunState:
     def completed(self) -> DataFrame:
         return self._table("completed", COMPLETED_SCHEMA).select("repo")
 
-    def _counts(self) -> DataFrame:
-        """Totals so far, one row, from the tables themselves."""
+    def _counts(self, findings_count: int | None = None) -> DataFrame:
+        """Totals so far, one row, from the tables themselves.
+
+        Counting findings reads the log; a caller that knows their number can
+        pass it instead.
+        """
         parts = (
             self.processed().agg(F.count("*").alias("n")).select(F.lit("files_scanned").alias("k"), "n")
             .unionByName(self.completed().agg(F.count_distinct("repo").alias("n")).select(F.lit("repos_completed").alias("k"), "n"))
-            .unionByName(log.replay(self.spark, self.log_dir).agg(F.count("*").alias("n"))
-                         .select(F.lit("findings_count").alias("k"), "n"))
         )
+        if findings_count is None:
+            logged = log.replay(self.spark, self.log_dir).agg(F.count("*").alias("n"))
+        else:
+            logged = self.spark.range(1).select(F.lit(findings_count).cast("long").alias("n"))
+        parts = parts.unionByName(logged.select(F.lit("findings_count").alias("k"), "n"))
         names = ["files_scanned", "repos_completed", "findings_count"]
         return parts.agg(*[F.max(F.when(F.col("k") == name, F.col("n"))).alias(name) for name in names])
 
-    def save_files(self, files: DataFrame, timestamp: str, repo_name: str | None = None) -> None:
+    def save_files(
+        self, files: DataFrame, timestamp: str, repo_name: str | None = None, findings_count: int | None = None
+    ) -> None:
         """File-level checkpoint: these files are done."""
         self._append("processed", files.select("repo", "path"), PROCESSED_SCHEMA)
-        self._append("runs", self._counts().select(
+        self._append("runs", self._counts(findings_count).select(
             "*", F.lit(FILE).alias("checkpoint_type"), F.lit(timestamp).alias("timestamp"),
             F.lit(repo_name).alias("repo_name")), RUN_SCHEMA)
 
-    def save_repos(self, repos: DataFrame, timestamp: str, duration_seconds: float | None = None) -> None:
+    def save_repos(
+        self, repos: DataFrame, timestamp: str, duration_seconds: float | None = None,
+        findings_count: int | None = None,
+    ) -> None:
         """Repository-level checkpoint: these repositories are done."""
         self._append("completed", repos.select("repo").distinct(), COMPLETED_SCHEMA)
-        self._append("runs", self._counts().select(
+        self._append("runs", self._counts(findings_count).select(
             "*", F.lit(REPO).alias("checkpoint_type"), F.lit(timestamp).alias("timestamp"),
             F.lit(duration_seconds).alias("duration_seconds")), RUN_SCHEMA)
 
-    def save_summary(self, timestamp: str, duration_seconds: float | None = None) -> None:
+    def save_summary(
+        self, timestamp: str, duration_seconds: float | None = None, findings_count: int | None = None
+    ) -> None:
         """The run is finished."""
-        self._append("runs", self._counts().select(
+        self._append("runs", self._counts(findings_count).select(
             "*", F.lit(SUMMARY).alias("checkpoint_type"), F.lit(timestamp).alias("timestamp"),
             F.lit(duration_seconds).alias("duration_seconds")), RUN_SCHEMA)
 
