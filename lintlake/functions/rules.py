@@ -240,7 +240,7 @@ PRIVACY_RULES = [
          "E-mail address in an output statement",
          "Mask or hash addresses before they are written anywhere.",
          needs=(("@",), LOGGISH + ("write",)),
-         gate=r"""["'].*@"""),
+         gate=r"[A-Za-z0-9._%+-]@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"),
     Rule("V02", "privacy", "PII Exposure", "CRITICAL", "HIGH", "i",
          r"""(log|print|console|echo).*["\'].*\b\d{3}-\d{2}-\d{4}\b""",
          "GDPR Article 5(1)(f), HIPAA §164.514",

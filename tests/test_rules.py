@@ -86,6 +86,12 @@ def test_one_line_with_many_matches(spark, files):
     assert {r["line_number"]: r["count"] for r in rows.collect()} == {1: 50_000, 2: 1}
 
 
+def test_a_hard_line_without_an_address_is_quick(spark, files):
+    """Backtracking over this line would never end; the gate rules it out."""
+    rows = regex_findings(files(("r/a.txt", 'log "foo" user@host ' * 5000)), RULES_BY_AGENT["privacy"])
+    assert rows.where("rule_id = 'V01'").count() == 0
+
+
 def test_user_rules(spark, files):
     table = spark.createDataFrame(
         [("U1", "security", "Mark", "LOW", r"mark(\d+)", [["mark"]]), ("U2", "privacy", "Other", "HIGH", r"zz", None)],
