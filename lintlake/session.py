@@ -60,10 +60,13 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under the shared checkpoint folder the cluster names.
 
-    Only where none is named, as in tests, is a temporary folder chosen.
+    Only a local session, as in tests, may do without; it gets a temporary
+    folder.  On a cluster such a folder would not be shared, so it is refused.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="lintlake-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/lintlake/{purpose}-{uuid.uuid4().hex}"
