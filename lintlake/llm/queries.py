@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from lintlake.llm import token_counts
+from lintlake.llm import licenses, simhash, token_counts
 
 QUERIES = {
+    "op7_license_scan": licenses.op7_license_scan,
+    "op8_simhash": simhash.op8_simhash,
     "op2_token_counts": token_counts.op2_token_counts,
 }
 ORACLE: dict[str, str] = {}
