@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from lintlake.llm import licenses, simhash, token_counts
+from lintlake.llm import licenses, line_rules, simhash, token_counts
 
 QUERIES = {
     "op7_license_scan": licenses.op7_license_scan,
     "op8_simhash": simhash.op8_simhash,
+    "op10_line_quality": line_rules.op10_line_quality,
     "op2_token_counts": token_counts.op2_token_counts,
 }
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op10_line_quality": line_rules.OP10_SQL,
+}
