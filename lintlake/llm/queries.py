@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from lintlake.llm import licenses, line_rules, simhash, token_counts
+from lintlake.llm import licenses, line_rules, personal, quality, simhash, token_counts
 
 QUERIES = {
+    "op6_quality": quality.op6_quality,
+    "op9_personal_data": personal.op9_personal_data,
     "op7_license_scan": licenses.op7_license_scan,
     "op8_simhash": simhash.op8_simhash,
     "op10_line_quality": line_rules.op10_line_quality,
