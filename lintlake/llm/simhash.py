@@ -25,7 +25,7 @@ from lintlake.llm.components import components
 THRESHOLD = 3
 SHINGLE_WORDS = 3
 SEED = 42
-# Fingerprints of an anchor that one task compares at once; larger anchors are split into pairs of blocks.
+# Fingerprints at home at an anchor that one task holds; more are split into blocks.
 BLOCK = 4096
 _HASHES_AT_ONCE = 1 << 16
 
@@ -135,51 +135,56 @@ def _close(homes: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links within each run of equal (anchor, i, j); a run may span batches."""
-    def links(keys, fp, home):
+    """Links within each run of equal (anchor, block), whose homes come first.
+
+    Only the homes of one run are held; the rest streams by.
+    """
+    last, homes = None, []
+    for batch in batches:
+        keys = np.stack([batch.column(c).to_numpy() for c in ("anchor", "block")], axis=1)
+        fps = batch.column("fp").to_numpy().view(np.uint64)
+        own = batch.column("home").to_numpy(zero_copy_only=False)
         edges = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
         starts, ends = np.concatenate([[0], edges]), np.concatenate([edges, [len(keys)]])
-        worth = np.add.reduceat(home.astype(np.int64), starts) < ends - starts
-        worth &= (ends - starts > 2) & np.logical_or.reduceat(home, starts)
-        out = [_close(np.unique(fp[a:b][home[a:b]]), np.unique(fp[a:b])) for a, b in zip(starts[worth], ends[worth])]
+        firsts = np.add.reduceat(own.astype(np.int64), starts) if len(keys) else []
+        out = []
+        for a, b, n in zip(starts.tolist(), ends.tolist(), firsts):
+            if a or last != tuple(keys[a].tolist()):
+                homes = []
+            if n:
+                homes.append(fps[a:a + n])
+            if homes and b - a > n:
+                out.append(_close(np.unique(np.concatenate(homes)), np.unique(fps[a + n:b])))
+        last = tuple(keys[-1].tolist()) if len(keys) else last
         if out:
             a, b = (np.concatenate(x) for x in zip(*out))
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
-    held = None
-    for batch in batches:
-        keys = np.stack([batch.column(c).to_numpy() for c in ("anchor", "i", "j")], axis=1)
-        now = (keys, batch.column("fp").to_numpy().view(np.uint64), batch.column("home").to_numpy(zero_copy_only=False))
-        now = tuple(np.concatenate(x) for x in zip(held, now)) if held else now
-        if not len(now[0]):
-            continue
-        cut = int(np.argmax((now[0] == now[0][-1]).all(axis=1)))
-        held = tuple(x[cut:] for x in now)
-        if cut:
-            yield from links(*(x[:cut] for x in now))
-    if held:
-        yield from links(*held)
-
 
 def fingerprint_links(prints: DataFrame, block: int = BLOCK) -> DataFrame:
     """``(a, b)``: links of at most three bits that span the same components as all such links.
 
-    ``prints`` has distinct longs in ``fp``.  Anchors that attract more than
-    ``block`` fingerprints are split into pairs of blocks, so no task holds or
-    compares more than that at once, and what leaves a task has at most one
-    row for each of its fingerprints.
+    ``prints`` has distinct longs in ``fp``.  The homes of an anchor that is
+    home to more than ``block`` fingerprints are split into blocks, and its
+    replicas go to each of them.  A task holds the homes of one block at a time
+    and streams the replicas, so neither its memory nor its output grows with
+    the pairs.
     """
     met = prints.select("fp").mapInArrow(_replicas, "anchor long, fp long, home boolean")
-    crowded = (
-        met.where("not home").groupBy("anchor").count().where(F.col("count") > block)
-        .select("anchor", F.ceil(F.col("count") / block).alias("blocks")))
-    met = met.join(crowded, "anchor", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks"))
-    met = (
-        met.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("anchor", F.when(F.col("home"), F.col("own")).otherwise(F.col("other")).alias("i"),
-                F.when(F.col("home"), F.col("other")).otherwise(F.col("own")).alias("j"), "fp", "home"))
-    dealt = met.repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j")
+    crowded = stored(
+        met.where("home").groupBy("anchor").count().where(F.col("count") > block)
+        .select("anchor", F.ceil(F.col("count") / block).alias("blocks")), "crowded")
+    count = crowded.count()
+    if count:
+        # At most 2 / block rows for each fingerprint; beyond a million they are joined by a shuffle.
+        met = met.join(F.broadcast(crowded) if count <= 1_000_000 else crowded, "anchor", "left")
+        own = F.pmod(F.xxhash64("fp"), F.col("blocks"))
+        met = met.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn(
+            "block", F.explode(F.when(F.col("home"), F.array(own)).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
+    else:
+        met = met.withColumn("block", F.lit(0).cast("long"))
+    dealt = met.select("anchor", "block", "fp", "home").repartition("anchor", "block").sortWithinPartitions(
+        "anchor", "block", F.desc("home"))
     return dealt.mapInArrow(_compare, "a long, b long")
 
 
