@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lintlake.llm import licenses, line_rules, packing, personal, quality, sharding, simhash, token_counts
+from lintlake.llm import decontamination, licenses, line_rules, packing, personal, quality, sharding, simhash, token_counts
 
 QUERIES = {
     "op3_sharding": sharding.op3_sharding,
     "op4_packing": packing.op4_packing,
+    "op5_decontamination": decontamination.op5_decontamination,
     "op6_quality": quality.op6_quality,
     "op9_personal_data": personal.op9_personal_data,
     "op7_license_scan": licenses.op7_license_scan,
