@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lintlake.llm import decontamination, licenses, line_rules, packing, personal, quality, sharding, simhash, token_counts
+from lintlake.llm import decontamination, licenses, line_rules, lm_scoring, packing, personal, quality, sharding, simhash, token_counts
 
 QUERIES = {
+    "op1_lm_scoring": lm_scoring.op1_lm_scoring,
     "op3_sharding": sharding.op3_sharding,
     "op4_packing": packing.op4_packing,
     "op5_decontamination": decontamination.op5_decontamination,
