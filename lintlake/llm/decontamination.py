@@ -15,6 +15,7 @@ and by how much of the segment's end, its answer, is among them.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -55,31 +56,40 @@ def segments_of(item: int, text: str | None) -> list[tuple[int, list[bytes]]]:
     return [(item, words[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
-def common_length(segment: list[bytes], region: list[bytes]) -> int:
-    """Length of the longest common subsequence, the segment's words as bits of one number."""
+def places_of(segment: list[bytes]) -> dict[bytes, int]:
+    """Where each word stands in a segment, as bits of a number."""
     places: dict[bytes, int] = {}
     for i, w in enumerate(segment):
         places[w] = places.get(w, 0) | 1 << i
-    full = (1 << len(segment)) - 1
+    return places
+
+
+def common_length(places: dict[bytes, int], length: int, region: list[bytes], least: int = 0) -> int:
+    """Length of the longest common subsequence with a region; 0 if fewer than ``least`` words are shared at all."""
+    here = list(filter(None, map(places.get, region)))
+    if len(here) < least:
+        return 0
+    full = (1 << length) - 1
     open_ = full
-    for w in region:
-        here = open_ & places.get(w, 0)
-        if here:
-            open_ = ((open_ + here) | (open_ - here)) & full
-    return len(segment) - open_.bit_count()
+    for bits in here:
+        bits &= open_
+        if bits:
+            open_ = ((open_ + bits) | (open_ - bits)) & full
+    return length - open_.bit_count()
 
 
-def verified(segment: list[bytes], region: list[bytes]) -> float:
+def verified(segment: list[bytes], places: dict[bytes, int], answer: dict[bytes, int], region: list[bytes]) -> float:
     """Share of the segment found in the region if that makes it a copy or a paraphrase, else 0."""
-    if len(segment) < SHORT:
+    size = len(segment)
+    if size < SHORT:
         whole = b" " + b" ".join(region) + b" "
         return 1.0 if b" " + b" ".join(segment) + b" " in whole else 0.0
-    share = common_length(segment, region) / len(segment)
+    share = common_length(places, size, region, int(LCS_WITH_ANSWER * size)) / size
     if share >= LCS_ALONE:
         return share
     if share >= LCS_WITH_ANSWER:
-        answer = segment[-ANSWER_WORDS:]
-        if common_length(answer, region) >= ANSWER_SHARE * len(answer):
+        length = len(segment[-ANSWER_WORDS:])
+        if common_length(answer, length, region) >= ANSWER_SHARE * length:
             return share
     return 0.0
 
@@ -89,6 +99,7 @@ class Block:
 
     def __init__(self, segments: list[tuple[int, list[bytes]]]):
         self.segments = segments
+        self.places = [(places_of(words), places_of(words[-ANSWER_WORDS:])) for _, words in segments]
         self.terms = {w: i for i, w in enumerate(sorted({w for _, words in segments for w in words}))}
 
     def weigh(self, frequency: np.ndarray, total: int) -> None:
@@ -129,14 +140,7 @@ class Block:
         self.random = None
 
 
-class TermIds(dict):
-    """Terms to numbers, -1 for any other word."""
-
-    def __missing__(self, word: bytes) -> int:
-        return -1
-
-
-def _laid_out(texts: list, terms: TermIds, gap: int, step: int) -> Iterator[tuple[int, list, np.ndarray, np.ndarray, list[int]]]:
+def _laid_out(texts: list, terms: dict[bytes, int], gap: int, step: int) -> Iterator[tuple[int, list, np.ndarray, np.ndarray, list[int]]]:
     """Texts a few at a time: (first, word lists, positions and numbers of known terms, where each text begins).
 
     Texts lie on one axis, with a gap between them that no passage spans.
@@ -144,7 +148,7 @@ def _laid_out(texts: list, terms: TermIds, gap: int, step: int) -> Iterator[tupl
     first, lists, positions, numbers, starts, at = 0, [], [], [], [], 0
     for n, text in enumerate(texts):
         words = words_of(text)
-        ids = np.fromiter(map(terms.__getitem__, words), np.int32, len(words))
+        ids = np.fromiter(map(terms.get, words, repeat(-1)), np.int32, len(words))
         known = np.flatnonzero(ids >= 0)
         lists.append(words)
         positions.append(known + at)
@@ -161,7 +165,7 @@ def _laid_out(texts: list, terms: TermIds, gap: int, step: int) -> Iterator[tupl
 def term_frequencies(texts: DataFrame, blocks: list[Block]) -> tuple[list[np.ndarray], int]:
     """In how many documents each term of each block stands, and the number of documents."""
     all_terms = sorted({w for b in blocks for w in b.terms})
-    ids = TermIds({w: i for i, w in enumerate(all_terms)})
+    ids = {w: i for i, w in enumerate(all_terms)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, rows = np.zeros(len(ids), np.int64), 0
@@ -169,7 +173,7 @@ def term_frequencies(texts: DataFrame, blocks: list[Block]) -> tuple[list[np.nda
             for text in batch.column("t"):
                 words = set(words_of(text.as_py()))
                 rows += 1
-                here = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
+                here = np.fromiter(map(ids.get, words, repeat(-1)), np.int64, len(words))
                 counts[here[here >= 0]] += 1
         kept = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays(
@@ -187,7 +191,7 @@ def term_frequencies(texts: DataFrame, blocks: list[Block]) -> tuple[list[np.nda
 
 def sketched(texts: DataFrame, block: Block) -> tuple[np.ndarray, float]:
     """The corpus passages' matrix, times its transpose, times the block's random matrix; and its energy."""
-    terms, idf, random = TermIds(block.terms), block.idf, block.random
+    terms, idf, random = block.terms, block.idf, block.random
     width = random.shape[1]
     weighted = (idf[:, None] * random).astype(np.float32)
 
@@ -236,10 +240,10 @@ def fit_blocks(texts: DataFrame, segments: list[tuple[int, list[bytes]]]) -> lis
     return [blocks[i:i + BLOCKS_AT_ONCE] for i in range(0, len(blocks), BLOCKS_AT_ONCE)]
 
 
-def _found(block: Block, terms: TermIds, texts: list, cosine: float) -> list[dict[int, tuple[float, float]]]:
+def _found(block: Block, terms: dict[bytes, int], texts: list, cosine: float) -> list[dict[int, tuple[float, float]]]:
     """Of each text: item to (share in common, cosine) of verified candidates."""
     out: list[dict[int, tuple[float, float]]] = [{} for _ in texts]
-    for first, lists, positions, numbers, starts in _laid_out(texts, terms, PASSAGE, STRIDE):
+    for first, lists, positions, numbers, starts in _laid_out(texts, block.terms, PASSAGE, STRIDE):
         pairs = []
         if len(numbers):
             # Passages that hold a known term; the first one is followed by those that overlap it.
@@ -259,7 +263,7 @@ def _found(block: Block, terms: TermIds, texts: list, cosine: float) -> list[dic
             if item in out[first + d]:
                 continue
             at -= starts[d]
-            share = verified(words, lists[d][max(0, at - STRIDE):at + PASSAGE + STRIDE])
+            share = verified(words, *block.places[s], lists[d][max(0, at - STRIDE):at + PASSAGE + STRIDE])
             if share:
                 out[first + d][item] = (share, -cos)
         # Segments of common words only have no place in the space; they are looked up as they stand.
@@ -279,12 +283,11 @@ def _searched(rows: DataFrame, blocks: list[Block], cosine: float) -> DataFrame:
     schema = to_arrow_schema(rows.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = [(b, TermIds(b.terms)) for b in shared.value]
         for batch in batches:
             texts = batch.column("t").to_pylist()
             columns = [batch.column(c).to_pylist() for c in ("items", "share", "cosine")]
-            for block, terms in models:
-                for n, hits in enumerate(_found(block, terms, texts, cosine)):
+            for block in shared.value:
+                for n, hits in enumerate(_found(block, texts, cosine)):
                     for item, (share, cos) in sorted(hits.items()):
                         if item not in columns[0][n]:
                             columns[0][n].append(item)
