@@ -240,7 +240,7 @@ def fit_blocks(texts: DataFrame, segments: list[tuple[int, list[bytes]]]) -> lis
     return [blocks[i:i + BLOCKS_AT_ONCE] for i in range(0, len(blocks), BLOCKS_AT_ONCE)]
 
 
-def _found(block: Block, terms: dict[bytes, int], texts: list, cosine: float) -> list[dict[int, tuple[float, float]]]:
+def _found(block: Block, texts: list, cosine: float) -> list[dict[int, tuple[float, float]]]:
     """Of each text: item to (share in common, cosine) of verified candidates."""
     out: list[dict[int, tuple[float, float]]] = [{} for _ in texts]
     for first, lists, positions, numbers, starts in _laid_out(texts, block.terms, PASSAGE, STRIDE):
