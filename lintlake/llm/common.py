@@ -11,6 +11,8 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def worker_cache(name: str, build: Callable[[], Any]) -> Any:
@@ -21,7 +23,7 @@ def worker_cache(name: str, build: Callable[[], Any]) -> Any:
     return getattr(home, name)
 
 
-def map_rows(df: DataFrame, row: Callable[..., tuple], schema: str, setup: Callable[[], Any] | None = None) -> DataFrame:
+def map_rows(df: DataFrame, row: Callable[..., tuple], schema: str | StructType, setup: Callable[[], Any] | None = None) -> DataFrame:
     """``row(state, *columns) -> tuple`` for each row of ``df``, in Arrow batches.
 
     ``state`` is what ``setup`` returns, once per task.  One batch is in memory
@@ -31,8 +33,6 @@ def map_rows(df: DataFrame, row: Callable[..., tuple], schema: str, setup: Calla
     names = df.columns
     empty = spark.createDataFrame([], schema)
     out_names = empty.columns
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     out_schema = to_arrow_schema(empty.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -276,28 +276,44 @@ def _found(block: Block, texts: list, cosine: float) -> list[dict[int, tuple[flo
     return out
 
 
-def _searched(rows: DataFrame, blocks: list[Block], cosine: float) -> DataFrame:
-    """Adds the finds of some blocks to rows (id, t, items, share, cosine)."""
-    spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast(blocks)
+def unsearched(rows: DataFrame) -> DataFrame:
+    """``rows`` with the columns of a search that has found nothing."""
+    return rows.withColumns({"items": F.array().cast("array<long>"), "share": F.lit(0.0), "cosine": F.lit(0.0)})
+
+
+def searched(rows: DataFrame, blocks: list[Block], cosine: float = COSINE) -> DataFrame:
+    """``rows``, of which ``t`` is searched, with ``items``, ``share`` and ``cosine`` of what some blocks find.
+
+    What earlier blocks have found is kept.
+    """
+    new = ["items", "share", "cosine"]
+    rows = rows if "items" in rows.columns else unsearched(rows)
+    shared = rows.sparkSession.sparkContext.broadcast(blocks)
     schema = to_arrow_schema(rows.schema)
+    others = [c for c in rows.columns if c not in new]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("t").to_pylist()
-            columns = [batch.column(c).to_pylist() for c in ("items", "share", "cosine")]
-            for block in shared.value:
-                for n, hits in enumerate(_found(block, texts, cosine)):
-                    for item, (share, cos) in sorted(hits.items()):
-                        if item not in columns[0][n]:
-                            columns[0][n].append(item)
-                        columns[1][n] = max(columns[1][n], share)
-                        columns[2][n] = max(columns[2][n], cos)
-            columns[0] = [sorted(x) for x in columns[0]]
-            made = [pa.array(x, schema.field(f).type) for f, x in zip(("items", "share", "cosine"), columns)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("t"), *made], schema=schema)
-
-    return rows.mapInArrow(run, rows.schema)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                texts = batch.column("t").to_pylist()
+                items, shares, cosines = (batch.column(c).to_pylist() for c in new)
+                for block in shared.value:
+                    for n, hits in enumerate(_found(block, texts, cosine)):
+                        if hits:
+                            items[n] = sorted({*items[n], *hits})
+                            shares[n] = max(shares[n], *(s for s, _ in hits.values()))
+                            cosines[n] = max(cosines[n], *(c for _, c in hits.values()))
+                made = [pa.array(x, schema.field(f).type) for f, x in zip(new, (items, shares, cosines))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), *made], names=[*others, *new])
+
+    return rows.select(*others, *new).mapInArrow(run, rows.select(*others, *new).schema)
+
+
+def segments_of_table(benchmark: DataFrame) -> list[tuple[int, list[bytes]]]:
+    """All segments of a stated query set (item_id, text), in a fixed order."""
+    rows = benchmark.where(F.col("item_id").isNotNull()).select("item_id", "text").distinct().orderBy("item_id", "text")
+    return [s for r in rows.collect() for s in segments_of(r["item_id"], r["text"])]
 
 
 def contaminated(
@@ -310,15 +326,10 @@ def contaminated(
     null or empty items are found nowhere; repeated rows and null ids are kept;
     an empty table gives an empty result.  Other columns are not read.
     """
-    segments = [
-        s for r in benchmark.where(F.col("item_id").isNotNull()).select("item_id", "text").distinct()
-        .orderBy("item_id", "text").collect() for s in segments_of(r["item_id"], r["text"])]
-    texts = docs.select(F.col(text_col).alias("t"))
-    rows = docs.select(
-        F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.array().cast("array<long>").alias("items"),
-        F.lit(0.0).alias("share"), F.lit(0.0).alias("cosine"))
-    for group in fit_blocks(texts, segments):
-        rows = _searched(rows, group, cosine)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    for group in fit_blocks(rows.select("t"), segments_of_table(benchmark)):
+        rows = searched(rows, group, cosine)
+    rows = rows if "items" in rows.columns else unsearched(rows)
     return rows.select(
         F.col("id").alias(id_col), (F.size("items") > 0).alias("contaminated"), "items",
         F.col("share").alias("lcs_share"), "cosine")
