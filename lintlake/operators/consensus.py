@@ -135,34 +135,35 @@ def enrich(findings: DataFrame, generated_at: str) -> DataFrame:
 def consensus_with_reasoning(findings: DataFrame, generated_at: str) -> DataFrame:
     """Consensus whose rows carry a reasoning record, merged where reviewers agree.
 
+    Every column that ``consensus`` returns is computed from all rows, as there.
     What travels through the one shuffle is the finding with a template index,
-    not the record's text.  Repeats of one kind of finding on one line beyond
-    those a merge can read are left out of the collected list, so its size has
-    a bound that does not depend on the file.
+    not the record's text.  Only the list that feeds the merge is short: findings
+    of one kind (rule, severity, template, signals) repeat one record, and no
+    merge reads past the first ``REPEATS_READ`` of a list, so later repeats of a
+    kind are not put into it.
     """
     marked = with_templates(findings, generated_at).repartition(*LOCATION)
-    kind = [*LOCATION, "agent", "rule_id", "template_ix", "_signals"]
+    kind = [*LOCATION, "agent", "rule_id", "sev_rank", "template_ix", "_signals"]
     slim = marked.withColumn("_item", F.struct(*ITEM_COLUMNS)).withColumn(
         "_signals",
         F.when(F.col("template_ix").isNotNull(), F.array_join(reasoning.evidence_signals(F.col("_item")), "|"))
         .otherwise(F.lit("")),
     )
+    # Window and grouping share the partitioning.
     nth = F.row_number().over(Window.partitionBy(*kind).orderBy("match_ordinal"))
-    # The first finding of a kind decides who agrees and who speaks; no merge
-    # reads past the first repeats.  Window and grouping share the partitioning.
-    kept = slim.withColumn("_nth", nth).where(F.col("_nth") <= REPEATS_READ)
+    read = F.col("template_ix").isNotNull() & (F.col("_nth") <= REPEATS_READ)
     columns = [c for c in findings.columns if c not in LOCATION]
     extra = ["template_ix", "generated_at"]
     order = F.struct(*MERGE_ORDER)
-    grouped = kept.groupBy(*LOCATION).agg(
+    grouped = slim.withColumn("_nth", nth).groupBy(*LOCATION).agg(
         _representative([*columns, *extra]).alias("_rep"),
         F.bit_or(_agent_bit()).alias("_mask"),
         F.count("*").alias("findings_merged"),
         F.array_sort(F.collect_list(
-            F.when(F.col("template_ix").isNotNull(), F.struct(order.alias("o"), F.col("_item").alias("item")))
+            F.when(read, F.struct(order.alias("o"), F.col("_item").alias("item")))
         )).alias("_items"),
     )
-    unpacked = _unpack(grouped, [*columns, *extra], "_items").drop("findings_merged")
+    unpacked = _unpack(grouped, [*columns, *extra], "_items")
     with_records = computed_once(
         unpacked,
         "_records",

@@ -158,22 +158,18 @@ def regex_findings(
     return labelled.select(*columns)
 
 
-# A rule table is configuration; more rows than this is a mistake, not a table.
-MAX_USER_RULES = 1000
-
-
 def rules_from_table(table: DataFrame) -> list[Rule]:
     """User-defined rules from a table with the fields of ``Rule``.
 
     The rules become part of the scan's expression, exactly like the built-in
     ones, so the corpus is never joined with them.  Missing optional fields
-    take their defaults; ``needs`` is ``array<array<string>>``.
+    take their defaults.  Rules apply in the order of ``ordinal`` if the table
+    has that column, else of their ids.  ``needs`` is ignored, since a wrong one
+    would hide matches.
     """
-    rows = table.limit(MAX_USER_RULES + 1).collect()
-    if len(rows) > MAX_USER_RULES:
-        raise ValueError(f"more than {MAX_USER_RULES} rules")
+    rows = [r.asDict() for r in table.collect()]
     rules = []
-    for row in sorted((r.asDict() for r in rows), key=lambda r: r["rule_id"]):
+    for row in sorted(rows, key=lambda r: (r.get("ordinal") is None, r.get("ordinal") or 0, r["rule_id"])):
         if row["agent"] not in AGENTS or row["severity"] not in SEVERITIES:
             raise ValueError(f"rule {row['rule_id']}: unknown agent or severity")
         rules.append(Rule(
@@ -188,7 +184,6 @@ def rules_from_table(table: DataFrame) -> list[Rule]:
             ref_secondary=row.get("ref_secondary"),
             description=row.get("description") or row["rule_id"],
             advice=row.get("advice") or "",
-            needs=tuple(tuple(group) for group in row.get("needs") or ()),
             suppress=tuple(row.get("suppress") or ()),
         ))
     return rules

@@ -57,19 +57,47 @@ def is_scannable(path: Column) -> Column:
     return text.path_suffix(path).isin(SCANNABLE_EXTENSIONS) & ~in_directory(path, SKIP_DIRECTORIES)
 
 
-def prune(corpus: DataFrame) -> DataFrame:
-    """Keep the files a scan reads: by extension, directory and size."""
-    return corpus.where(
-        (F.col("length") <= MAX_FILE_BYTES)
-        & is_scannable(F.col("path"))
-        & ~F.startswith(F.col("repo"), F.lit("."))
-    )
+def skip_reason(max_bytes: int | None = MAX_FILE_BYTES) -> Column:
+    """Why a scan leaves a file of a corpus out; null if it reads it."""
+    return (
+        F.when(F.startswith(F.col("repo"), F.lit(".")), "hidden repository")
+        .when(in_directory(F.col("path"), SKIP_DIRECTORIES), "directory")
+        .when(~text.path_suffix(F.col("path")).isin(SCANNABLE_EXTENSIONS), "extension")
+        .when(F.lit(False) if max_bytes is None else F.col("length") > max_bytes, "size"))
+
+
+def prune(corpus: DataFrame, max_bytes: int | None = MAX_FILE_BYTES) -> DataFrame:
+    """Keep the files a scan reads: by extension, directory and size (``None``: any size)."""
+    size = F.lit(True) if max_bytes is None else F.col("length") <= max_bytes
+    return corpus.where(size & is_scannable(F.col("path")) & ~F.startswith(F.col("repo"), F.lit(".")))
+
+
+def skipped_files(corpus: DataFrame, max_bytes: int | None = MAX_FILE_BYTES) -> DataFrame:
+    """``repo, path, length, reason`` of the files that ``prune`` leaves out."""
+    return corpus.withColumn("reason", skip_reason(max_bytes)).where("reason IS NOT NULL").select(
+        "repo", "path", "length", "reason")
+
+
+def qualified(spark: SparkSession, root: str) -> str:
+    """The root as the reader writes it: absolute, with its scheme, without dots, not encoded."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    absolute = files.makeQualified(path)
+    inside = spark._jvm.java.net.URI(None, None, absolute.toUri().getPath(), None).normalize().getPath()
+    return spark._jvm.org.apache.hadoop.fs.Path(absolute.toUri().getScheme(), absolute.toUri().getAuthority(), inside).toString()
 
 
 def relative_path(root: str, path: Column) -> Column:
-    """Path below the root, whatever scheme the reader put in front of it."""
-    bare = root.rstrip("/").split(":", 1)[-1].lstrip("/")
-    return F.substring_index(path, f"/{bare}/", -1)
+    """Path below the qualified root; null for what does not lie below it."""
+    base = F.lit(root.rstrip("/") + "/")
+    return F.when(F.startswith(path, base), F.substring(path, F.length(base) + 1, F.length(path)))
+
+
+def listed_path() -> Column:
+    """The file's path as the listing has it, which is URI-encoded, in plain text."""
+    # A plus sign is itself in a path, while form decoding takes it for a blank.
+    plain = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(plain, "^file:/+", "file:/")
 
 
 BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
@@ -88,14 +116,15 @@ def keep_files(
     The conditions are put on the file metadata, so they prune the listing and
     the content of other files is never read.
     """
-    listed = relative_path(root, F.col("_metadata.file_path"))
+    root = qualified(files.sparkSession, root)
+    listed = relative_path(root, listed_path())
     if keep is not None:
         files = files.where(keep(listed))
     if not recursive:
         files = files.where(~F.contains(listed, F.lit("/")))
     if max_bytes is not None:
         files = files.where(F.col("_metadata.file_size") <= max_bytes)
-    return files.select(relative_path(root, F.col("path")).alias("path"), "length", "content")
+    return files.select(listed.alias("path"), "length", "content")
 
 
 def read_files(spark: SparkSession, root: str, **wanted) -> DataFrame:
@@ -111,9 +140,9 @@ def with_repo(files: DataFrame) -> DataFrame:
     )
 
 
-def repository_corpus(spark: SparkSession, root: str) -> DataFrame:
-    """Every scannable file of every repository below ``root``."""
-    files = prune(with_repo(read_files(spark, root, keep=is_scannable, max_bytes=MAX_FILE_BYTES)))
+def repository_corpus(spark: SparkSession, root: str, max_bytes: int | None = MAX_FILE_BYTES) -> DataFrame:
+    """Every scannable file of every repository below ``root``, up to a size (``None``: any size)."""
+    files = prune(with_repo(read_files(spark, root, keep=is_scannable, max_bytes=max_bytes)), max_bytes)
     return files.select("repo", "path", "length", text.decode_lenient(F.col("content")).alias("content"))
 
 

@@ -157,6 +157,18 @@ def test_repeats_on_a_hot_line_do_not_change_the_merge(spark, files):
     assert strip(merged[0][0]) == strip(merged[1][0])
 
 
+def test_reasoning_keeps_a_severe_finding_among_many_repeats(spark, files):
+    """One check yields HIGH and CRITICAL under one rule and one template; the CRITICAL one comes ninth."""
+    line = "; ".join(["print(email)"] * 8 + ["print(ssn)"])
+    corpus = files(("r/a.py", line), ("r/b.py", "print(email); " * 20))
+    found = review(corpus)
+    shared = consensus(found).columns
+    plain = {tuple(r) for r in consensus(found).select(*[c for c in shared if c != "agreeing_agents"]).collect()}
+    rich = {tuple(r) for r in consensus_with_reasoning(found, "T").select(*[c for c in shared if c != "agreeing_agents"]).collect()}
+    assert plain == rich
+    assert audit(corpus, min_severity="CRITICAL").count() == audit(corpus, min_severity="CRITICAL", reasoning=True, generated_at="T").count() == 1
+
+
 def test_severity_filter_runs_after_consensus(spark, files):
     corpus = files(("r/a.sql", "USE ROLE ACCOUNTADMIN;"))
     rows = audit(corpus, min_severity="CRITICAL").collect()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from lintlake.operators import resume
@@ -12,7 +13,7 @@ from lintlake.operators.review import review
 from lintlake.plans import audit as plans
 from lintlake.plans import reports
 from lintlake.sources import log
-from lintlake.sources.corpus import prune, repository_corpus, reviewer_corpus
+from lintlake.sources.corpus import prune, repository_corpus, reviewer_corpus, skipped_files
 from lintlake.sources.state import FILE, REPO, SUMMARY, RunState
 from lintlake.streaming import scan as streaming
 
@@ -198,3 +199,27 @@ def test_prune_by_table_size(spark, files):
     corpus = files(("r/a.py", "x"), ("r/vendor/b.py", "x"), ("r/c.txt", "x")).withColumn("length", F.lit(1_000_000))
     assert [r.path for r in prune(corpus).collect()] == ["r/a.py"]
     assert prune(corpus.withColumn("length", F.lit(1_000_001))).count() == 0
+
+
+@pytest.mark.parametrize("root", ["code", "my repos/a%20b+c", "build/x", "up/../down"])
+def test_paths_below_any_root(spark, tmp_path, root):
+    """A root that repeats below itself, blanks and signs, a pruned name above the root, dots."""
+    name = root.rsplit("/", 1)[-1]
+    wanted = {f"app/{name}/main.py", "app/a b%41+.sql"}
+    (tmp_path / "up").mkdir()
+    for path in wanted:
+        target = tmp_path / root / path
+        target.parent.mkdir(parents=True, exist_ok=True)
+        target.write_text("x = 1\n")
+    found = {r.path for r in repository_corpus(spark, f"{tmp_path}/{root}").collect()}
+    assert found == wanted
+    assert {r.path for r in repository_corpus(spark, f"file://{tmp_path}/{root}/").collect()} == wanted
+
+
+def test_skipped_files_and_size_limit(spark):
+    rows = [("r", "r/a.py", 5, "x"), ("r", "r/big.py", 2_000_000, "x"), ("r", "r/a.bin", 5, "x"), ("r", "r/build/a.py", 5, "x"), (".h", ".h/a.py", 5, "x")]
+    corpus = spark.createDataFrame(rows, "repo string, path string, length long, content string")
+    assert {(r.path, r.reason) for r in skipped_files(corpus).collect()} == {
+        ("r/big.py", "size"), ("r/a.bin", "extension"), ("r/build/a.py", "directory"), (".h/a.py", "hidden repository")}
+    assert {r.path for r in prune(corpus).collect()} == {"r/a.py"}
+    assert {r.path for r in prune(corpus, None).collect()} == {"r/a.py", "r/big.py"}
