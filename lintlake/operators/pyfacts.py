@@ -11,12 +11,14 @@ import ast
 import sys
 import warnings
 from collections.abc import Iterator
+from itertools import islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lintlake.functions import text
 from lintlake.functions.constants import contains_any, texts_literal
@@ -26,8 +28,6 @@ from lintlake.functions.severity import AGENTS, SEVERITIES
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 FACT_SCHEMA = T.StructType([
-    T.StructField("repo", T.StringType()),
-    T.StructField("path", T.StringType()),
     T.StructField("fact_ordinal", T.IntegerType()),
     T.StructField("kind", T.StringType()),
     T.StructField("line", T.IntegerType()),
@@ -38,10 +38,12 @@ FACT_SCHEMA = T.StructType([
     T.StructField("arg0_kind", T.StringType()),
     T.StructField("shell_true", T.BooleanType()),
     T.StructField("args", T.ArrayType(T.ArrayType(T.StringType()))),
-    T.StructField("statement", T.StringType()),
-    T.StructField("nearby", T.ArrayType(T.StringType())),
+    T.StructField("encrypted", T.BooleanType()),
 ])
-CONTEXT_REACH = text.CONTEXT_LINES
+# Facts that leave the parser at once.
+FACTS_AT_ONCE = 5_000
+# Words that tell of protection.
+ENCRYPTION_WORDS = ["encrypt", "cipher", "aes", "crypto", "secure"]
 
 
 def _dotted(func: ast.expr) -> str:
@@ -84,6 +86,15 @@ def file_facts(content: str) -> Iterator[dict]:
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return
     lines = content.split("\n")
+    told: dict[tuple[int, int], bool] = {}
+
+    def encrypted(first: int, last: int) -> bool:
+        """Whether the lines of a statement mention protection; each run of lines is read once."""
+        if (first, last) not in told:
+            statement = "\n".join(lines[first - 1:last]).lower()
+            told[first, last] = any(word in statement for word in ENCRYPTION_WORDS)
+        return told[first, last]
+
     count = 0
     for node in nodes:
         if isinstance(node, ast.Assign):
@@ -93,7 +104,7 @@ def file_facts(content: str) -> Iterator[dict]:
                     "kind": "assign",
                     "name": target.id,
                     "value_str": literal if isinstance(literal, str) else None,
-                    "statement": "\n".join(lines[node.lineno - 1:node.end_lineno]),
+                    "encrypted": encrypted(node.lineno, node.end_lineno),
                 }
                 for target in node.targets
                 if isinstance(target, ast.Name)
@@ -109,11 +120,8 @@ def file_facts(content: str) -> Iterator[dict]:
             }]
         else:
             continue
-        start = max(0, node.lineno - 1 - CONTEXT_REACH)
         for row in rows:
-            row.update(
-                fact_ordinal=count, line=node.lineno, end_line=node.end_lineno,
-                nearby=lines[start:node.lineno + CONTEXT_REACH])
+            row.update(fact_ordinal=count, line=node.lineno, end_line=node.end_lineno)
             count += 1
             yield row
 
@@ -123,26 +131,34 @@ def _printable(value):
     return value.encode("utf-8", "replace").decode("utf-8") if isinstance(value, str) else value
 
 
-def _batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = FACT_SCHEMA.fieldNames()
-    for frame in frames:
-        rows = []
-        for repo, path, content in zip(frame["repo"], frame["path"], frame["content"]):
-            for fact in file_facts(content):
-                fact["value_str"] = _printable(fact.get("value_str"))
-                rows.append({"repo": repo, "path": path, **fact})
-        yield pd.DataFrame(rows, columns=columns).astype(object).where(lambda d: d.notna(), None) if rows else (
-            pd.DataFrame(columns=columns, dtype=object))
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The columns of each file, and its facts in rows of some thousand."""
+    kind = to_arrow_schema(T.StructType([T.StructField("facts", T.ArrayType(FACT_SCHEMA))])).field(0).type
+    for batch in batches:
+        for i, content in enumerate(batch.column("content")):
+            facts = iter(file_facts(content.as_py() or ""))
+            while part := list(islice(facts, FACTS_AT_ONCE)):
+                for fact in part:
+                    fact["value_str"] = _printable(fact.get("value_str"))
+                yield pa.RecordBatch.from_arrays(
+                    [*(c.slice(i, 1) for c in batch.columns), pa.array([part], kind)], names=[*batch.schema.names, "facts"])
 
 
 def is_python(path: Column) -> Column:
     return F.endswith(path, F.lit(".py"))
 
 
-def py_facts(corpus: DataFrame) -> DataFrame:
-    """Assignments and calls of every Python file of the corpus."""
+def py_facts(corpus: DataFrame, *, with_content: bool = False) -> DataFrame:
+    """Assignments and calls of every Python file of the corpus.
+
+    A fact tells where it stands, not what stands around it, so the output is
+    linear in the input however long the lines are.  ``with_content`` adds the
+    file's text, once for some thousand facts.
+    """
     files = corpus.where(is_python(F.col("path"))).select("repo", "path", "content")
-    return files.mapInPandas(_batches, FACT_SCHEMA)
+    schema = T.StructType([*files.schema.fields, T.StructField("facts", T.ArrayType(FACT_SCHEMA))])
+    keep = ["repo", "path", "content"] if with_content else ["repo", "path"]
+    return files.mapInArrow(_batches, schema).select(*keep, F.inline("facts"))
 
 
 # --------------------------------------------------------------------------
@@ -178,7 +194,6 @@ SENSITIVE_NAMES = [
     "ssn", "social_security", "credit_card", "card_number", "cvv", "cvc",
     "password", "medical_record", "diagnosis", "health_data", "phi",
 ]
-ENCRYPTION_WORDS = ["encrypt", "cipher", "aes", "crypto", "secure"]
 
 INJECTION_REF = "A03:2021 - Injection"
 CREDENTIAL_REF = "A07:2021 - Identification and Authentication Failures"
@@ -211,18 +226,6 @@ def is_logging_call(func_name: Column) -> Column:
     return contains_any(F.lower(func_name), LOGGING_WORDS)
 
 
-def mentions_encryption(statement: Column) -> Column:
-    return contains_any(F.lower(statement), ENCRYPTION_WORDS)
-
-
-def _context(line: Column, nearby: Column) -> Column:
-    first = F.greatest(F.lit(1), line - CONTEXT_REACH)
-    return F.array_join(
-        F.transform(nearby, lambda t, i: F.concat(
-            F.lpad((first + i).cast("string"), F.greatest(F.lit(4), F.length((first + i).cast("string"))), F.lit(" ")),
-            F.lit(": "), t)), "\n")
-
-
 def _finding(check: int, agent: str, *, category: Column, severity: Column, confidence: str, evidence: Column,
              advice: Column, ref_primary: str, ref_secondary: str | None, description: Column,
              context: bool = True) -> Column:
@@ -297,7 +300,7 @@ def _checks() -> dict[str, list[Column]]:
             advice=F.lit(ADVICE["E5"]), ref_primary="GDPR Article 5(1)(f)", ref_secondary="SOC 2 CC6.1",
             description=F.lit("Personal field in a logging call")))
     stored = F.when(
-        assign & contains_any(name, SENSITIVE_NAMES) & ~mentions_encryption(f("statement")),
+        assign & contains_any(name, SENSITIVE_NAMES) & ~f("encrypted"),
         _finding(
             6, "privacy", category=F.lit("Missing Encryption"), severity=F.lit("CRITICAL"), confidence="HIGH",
             evidence=F.concat(F.lit("Sensitive field '"), f("name"), F.lit("' without encryption")),
@@ -309,13 +312,18 @@ def _checks() -> dict[str, list[Column]]:
 def ast_findings(
     facts: DataFrame, agents: list[str] | None = None, *, with_context: bool = False
 ) -> DataFrame:
-    """Findings of the syntax checks, in the layout of the regex findings."""
+    """Findings of the syntax checks, in the layout of the regex findings.
+
+    Contexts need facts with their file's content; they are cut from it for the
+    findings only.
+    """
     from lintlake.operators.scan import FINDING_COLUMNS
 
     available = _checks()
     checks = [c for agent in (agents or AGENTS) for c in available[agent]]
+    kept = ["content"] if with_context else []
     found = facts.select(
-        "repo", "path", "fact_ordinal", "line", "nearby", F.explode(F.array_compact(F.array(*checks))).alias("_f"))
+        "repo", "path", "fact_ordinal", "line", *kept, F.explode(F.array_compact(F.array(*checks))).alias("_f"))
     own = {
         "repo": F.col("repo"),
         "path": F.col("path"),
@@ -325,6 +333,6 @@ def ast_findings(
     }
     columns = [own.get(name, F.col(f"_f.{name}")).alias(name) for name in FINDING_COLUMNS]
     if with_context:
-        columns.append(
-            F.when(F.col("_f.with_context"), _context(F.col("line"), F.col("nearby"))).alias("context"))
+        lines = F.split("content", "\n")
+        columns.append(F.when(F.col("_f.with_context"), text.context_window(lines, F.col("line"))).alias("context"))
     return found.select(*columns)

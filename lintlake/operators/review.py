@@ -31,7 +31,7 @@ def review(
     parsed = [a for a in agents if a != "permission"]
     if syntax and parsed:
         findings = findings.unionByName(
-            ast_findings(py_facts(corpus), parsed, with_context=with_context))
+            ast_findings(py_facts(corpus, with_content=with_context), parsed, with_context=with_context))
     return findings
 
 

@@ -45,7 +45,7 @@ def test_syntax_checks(spark, files):
         "diagnosis = aes(x)",
         "s = 'lone \\ud800 surrogate'",
     ])
-    rows = ast_findings(py_facts(files(("r/a.py", code), ("r/a.sql", code))), with_context=True).collect()
+    rows = ast_findings(py_facts(files(("r/a.py", code), ("r/a.sql", code)), with_content=True), with_context=True).collect()
     got = sorted((r.rule_id, r.line_number, r.severity, r.evidence) for r in rows)
     assert got == [
         ("E1", 1, "CRITICAL", "password = 'hunter2hunter...'"),
@@ -133,6 +133,13 @@ def test_tolerance_by_brute_force(spark):
     assert got == want
 
 
+def test_facts_of_a_one_line_file_are_linear(spark, files):
+    few, many = (files(("r/a.py", "password = 1; print(email); " * n)) for n in (1_000, 20_000))
+    size = lambda c: py_facts(c).select(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0]
+    assert size(many) < 25 * size(few)
+    assert ast_findings(py_facts(many, with_content=True), with_context=True).count() == 40_000
+
+
 def test_reasoning_does_not_change_the_consensus(spark, files):
     corpus = files(*[(f"r/f{i}{ext}", code) for i, (ext, code) in enumerate(SNIPPETS)])
     found = review(corpus)
