@@ -158,15 +158,15 @@ def evidence_signals(item: Column) -> Column:
         return F.when(condition, F.lit(label))
 
     statement = F.array(
-        shown(_has(evidence, "+") | _has(low, "concat"), "Joined text"),
-        shown(_has(evidence, "format") | _has(evidence, "%"), "Formatted text"),
-        shown(_has(evidence, "f'") | _has(evidence, 'f"'), "Interpolated text"),
-        shown(_has(low, "execute"), "Execution call"),
-        shown(~contains_any(evidence, BOUND_VALUE_MARKS), "No bound values"),
+        shown(_has(evidence, "+") | _has(low, "concat"), "value added by an operator"),
+        shown(_has(evidence, "format") | _has(evidence, "%"), "value added by formatting"),
+        shown(_has(evidence, "f'") | _has(evidence, 'f"'), "value inside an f-string"),
+        shown(_has(low, "execute"), "run on the same line"),
+        shown(~contains_any(evidence, BOUND_VALUE_MARKS), "no bind marker"),
     )
-    command = F.array(shown(_has(low, "shell") & _has(low, "true"), "Shell switched on"))
+    command = F.array(shown(_has(low, "shell") & _has(low, "true"), "shell=True"))
     grant = F.array(
-        F.lit("Grant"), shown(_has(up, "GRANT ALL"), "All rights"), shown(_has(up, "PUBLIC"), "Public role"))
+        F.lit("grant"), shown(_has(up, "GRANT ALL"), "every privilege"), shown(_has(up, "PUBLIC"), "everybody"))
     return F.array_compact(
         F.when(item["category"] == "SQL Injection", statement)
         .when(item["category"] == "Command Injection", command)

@@ -1,12 +1,14 @@
 """Reasoning templates: what a finding of a category means and how to mend it.
 
-The prose is our own.  A template is picked by reviewer, category and variant;
-the variant comes from the evidence (see ``reasoning.py``).
+A template is a weakness of the public CWE list, described in our own words by
+what it breaks, where it is met, how it is abused and what ends it, together with
+the fixed values that decide results.  It is picked by reviewer, category and
+variant; the variant comes from the evidence (see ``reasoning.py``).
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 
 
 @dataclass(frozen=True)
@@ -64,601 +66,345 @@ CONFIDENCE_MODES = {
     "medium_else_low": {"HIGH": "LOW", "MEDIUM": "MEDIUM", "LOW": "LOW"},
 }
 
-# --------------------------------------------------------------------------
-# Compliance tags, known-issue identifiers, exploitability
-# ratings, complexities and breaking-change flags decide results.
-# --------------------------------------------------------------------------
-
-
-def _sql_injection() -> list[Template]:
-    return [Template(
-        "security", "SQL Injection", "", "sql_text",
-        "Statement text assembled from input", "Rule match plus string-operation test", (),
-        "Input that becomes statement text lets a caller run statements of their own",
-        "Rows can be read, changed or removed, and sign-in checks can be skipped",
-        ("Database", "User records", "Sign-in", "Data integrity"),
-        "Every entry point whose input reaches a statement",
-        "Personal, financial and sign-in data",
-        ("GDPR Article 32", "PCI DSS 6.5.1", "SOC 2 CC6.1", "HIPAA 164.312"),
-        "Request carrying statement fragments",
-        ("Find an input that reaches a statement", "Send a fragment that changes the statement",
-         "Skip the check or read other rows", "Run further statements"),
-        "Ability to send input to the service", "Easy",
-        ("CVE-2019-16278", "CVE-2020-24949", "CVE-2021-41277"),
-        ("Text operation on a statement", "Execution call present", "No bound values seen"),
-        ("Text operation next to execution", "Input inside the statement"), (),
-        "Bind every value as a parameter",
-        "A bound value is never read as statement text",
-        ("Use the query builder of a mapper library", "Escape values with the driver's own routine",
-         "Check input against an allow list as a second line"),
-        "Easy", False, "Send quote, comment and union fragments and expect no effect")]
-
-
-def _credentials() -> list[Template]:
-    kinds = {"api": "API key", "aws": "cloud key", "jwt": "signed token", "key": "private key",
-             "password": "password"}
-    return [Template(
-        "security", "Hardcoded Credentials", variant, "credential_literal",
-        f"Embedded {kind}", "Rule match on names and literals",
-        (f"Embedded {kind}", "Literal assigned to a name", "No run-time lookup"),
-        "Anyone who can read the code can use the secret",
-        f"The {kind} opens accounts and services to whoever holds a copy",
-        ("Sign-in", "Accounts", "Interfaces", "Service identities"),
-        "Repositories, build outputs, packages and logs", "Secrets",
-        ("NIST SP 800-53 IA-5", "CIS Control 3.4", "PCI DSS 8.2.1", "GDPR Article 32"),
-        "A copy of the source or of a build",
-        ("Obtain the source", "Search it for secrets", f"Take the {kind}", "Sign in with it"),
-        "Read access to source or builds", "Easy",
-        ("CVE-2021-39175", "CVE-2022-24784", "CVE-2023-22620"),
-        (f"Shape of a {kind}", "Literal value", "No environment lookup"),
-        ("Literal secret", "Name of a secret"), ("May be a sample value",),
-        "Read the secret from a managed store",
-        "A store keeps secrets out of the code and can rotate and audit them",
-        ("Use a cloud secret manager", "Use encrypted configuration", "Use local environment files in development"),
-        "Easy", False, "Start without the secret in the code, then rotate it once",
-        weak_when="unless_high")
-        for variant, kind in kinds.items()]
-
-
-def _commands() -> list[Template]:
-    kinds = {"eval": "eval", "system": "os.system", "shell": "shell process", "exec": "exec",
-             "process": "child process"}
-    return [Template(
-        "security", "Command Injection", variant, "command_text",
-        f"Command text reaches {kind}", "Rule match on risky calls",
-        (f"Call of {kind}", "Text joined into the command"),
-        f"Input that reaches {kind} runs as a command",
-        "The host, its files and its neighbours are open to the caller",
-        ("Host", "Files", "Processes", "Network", "Neighbouring hosts"),
-        "Every entry point whose input reaches a command", "Whole host",
-        ("CIS Control 16.11", "NIST SP 800-53 SI-10", "OWASP A03:2021"),
-        "Request carrying shell characters",
-        ("Find an input that reaches a command", "Send separators and substitutions",
-         "Append a command", "Run it on the host"),
-        "Ability to send input to the service", "Easy",
-        ("CVE-2021-44228", "CVE-2022-22965", "CVE-2023-38545"),
-        (f"Use of {kind}", "Joined text", "Input in the command"),
-        (f"Risky call {kind}", "Text operation on a command"), (),
-        "Start processes from an argument list without a shell",
-        "An argument list is not parsed, so separators lose their meaning",
-        ("Parse literals instead of evaluating", "Quote unavoidable shell words",
-         "Allow-list the input", "Call a library in place of a command"),
-        "Medium", False, "Send separators and substitutions and expect a plain argument")
-        for variant, kind in kinds.items()]
-
-
-def _crypto() -> list[Template]:
-    kinds = {"md5": "MD5", "sha1": "SHA-1", "cipher": "an obsolete cipher", "other": "a weak algorithm"}
-    return [Template(
-        "security", "Insecure Cryptography", variant, "weak_algorithm",
-        f"Use of {kind}", "Rule match on algorithm names",
-        (f"Name of {kind}", "Algorithm is considered broken"),
-        f"Published attacks on {kind} are practical",
-        "Digests can be forged and protected data recovered",
-        ("Keys", "Password digests", "Signatures", "Protected data"),
-        "Everything the algorithm protects", "Protected data",
-        ("NIST SP 800-131A", "PCI DSS 4.1", "FIPS 140-2", "GDPR Article 32"),
-        "Cryptanalysis of the algorithm",
-        ("Obtain a digest or ciphertext", f"Apply a known attack on {kind}",
-         "Recover or forge a value", "Use it to get in"),
-        "Digest or ciphertext at hand", "Medium" if variant == "sha1" else "Easy",
-        ("CVE-2020-10735", "CVE-2017-15361"),
-        (f"Direct use of {kind}", "Weakness is well known"),
-        (f"Call of {kind}", "No modern algorithm seen"), (),
-        "Move to SHA-2, SHA-3, an AEAD cipher or a slow password hash",
-        "Current algorithms resist the published attacks",
-        ("SHA-256 or SHA3-256 for digests", "Argon2, scrypt or bcrypt for passwords",
-         "AES-GCM or ChaCha20-Poly1305 for data"),
-        "Easy", True, "Migrate stored digests and verify old and new side by side")
-        for variant, kind in kinds.items()]
-
-
-def _network() -> list[Template]:
-    tls = Template(
-        "security", "Network Security", "tls", "transport_checks",
-        "Certificate checks disabled", "Rule match on verification switches",
-        ("Verification switched off", "Switch set in code"),
-        "Without checks anyone on the path can pose as the server",
-        "Traffic can be read and changed, and sign-ins captured",
-        ("Traffic", "Interface secrets", "Data in transit"),
-        "Every connection that uses the switch", "Data in transit",
-        ("PCI DSS 4.1", "NIST SP 800-52", "GDPR Article 32"),
-        "A host between client and server",
-        ("Get between the two ends", "Intercept the handshake", "Offer any certificate",
-         "Client accepts it", "Read and change traffic"),
-        "A place on the network path", "Medium", ("CVE-2014-0092", "CVE-2015-5237"),
-        ("Explicit switch", "Control bypassed"), ("Switch in code", "No-check constant"), (),
-        "Check certificates on every connection",
-        "The check proves who answers at the other end",
-        ("Repair the certificate chain", "Trust a private authority in tests", "Never switch off in production"),
-        "Easy", False, "Connect to a host with a bad certificate and expect a failure")
-    bind = Template(
-        "security", "Network Security", "bind", "transport_checks",
-        "Service listens on all interfaces", "Rule match on the wildcard address",
-        ("Wildcard address", "All interfaces open"),
-        "The wildcard address exposes the service to every attached network",
-        "The service can be reached from networks it was not meant for",
-        ("Service", "Internal interfaces", "Administration"),
-        "All attached networks", "Service exposure",
-        ("CIS Control 13.6", "NIST SP 800-53 SC-7"),
-        "Direct connection to the open port",
-        ("Scan for ports", "Recognise the service", "Probe it for flaws", "Get in"),
-        "Network route to the host", "Easy", ("CVE-2021-3129", "CVE-2022-0847"),
-        ("Explicit wildcard", "All interfaces open"), ("Wildcard address in code",), ("A firewall may shield it",),
-        "Listen on the loopback or a named interface",
-        "A named interface limits who can connect",
-        ("Name an internal address", "Add firewall rules", "Put a proxy in front"),
-        "Easy", False, "Probe the port from outside and expect no answer")
-    return [tls, bind]
-
-
-def _privileges() -> list[Template]:
-    admin = Template(
-        "security", "Excessive Privileges", "admin", "privilege_use",
-        "Top administrator role in use", "Rule match on the role name",
-        ("Top role named", "More rights than needed", "Least privilege broken"),
-        "The role may do anything to any object of the account",
-        "Whoever gets the session owns the account",
-        ("Account", "Databases", "Compute", "Users", "Audit trail"),
-        "Every session that takes the role", "Whole account",
-        ("CIS Control 5.4", "SOC 2 CC6.1", "NIST SP 800-53 AC-6"),
-        "A stolen session of the role",
-        ("Find the secret or session", "Connect under the role", "Read data and add users", "Stay or take data out"),
-        "Secrets or code execution", "Easy", (),
-        ("Explicit role", "Clear excess"), ("Role named in code",), (),
-        "Run under a role made for the task",
-        "A small role limits what a stolen session can do",
-        ("Create task roles", "Use a lesser administrator role", "Keep the top role for account work"),
-        "Medium", True, "Run the task under the small role")
-    star = Template(
-        "security", "Excessive Privileges", "star", "privilege_use",
-        "All columns selected", "Rule match on the star",
-        ("Star in the select list", "More data than needed", "No column list"),
-        "The star returns columns the caller does not need",
-        "Sensitive columns leave the database unnoticed",
-        ("Rows", "Personal columns", "Sensitive columns"),
-        "Data access layer", "More data than needed",
-        ("GDPR Article 5 (data minimization)", "PCI DSS 3.2", "SOC 2 CC6.1"),
-        "A flaw in the caller",
-        ("Exploit a flaw in the caller", "Run the statement", "Receive every column", "Take out more than needed"),
-        "Access to the caller", "Medium", (),
-        ("Star present", "Minimisation broken"), ("Star in the statement",), ("May be intended",),
-        "List the needed columns",
-        "A column list keeps the rest inside",
-        ("Select from a narrow view", "Use the mapper's column options"),
-        "Easy", False, "Check that the caller still gets what it uses")
-    return [admin, star]
 
+@dataclass(frozen=True)
+class Weakness:
+    """One entry of the list.  ``scopes`` are the security goals it breaks."""
 
-def _security_rest() -> list[Template]:
-    load = Template(
-        "security", "Insecure Deserialization", "", "object_loading",
-        "Pickle data is loaded", "Rule match on load calls",
-        ("Load call", "Loading can run code"),
-        "Pickle data can carry code that runs while loading",
-        "A crafted object takes over the process",
-        ("Process", "Files", "Databases", "Network"),
-        "Every entry point that loads objects", "Code execution",
-        ("OWASP A08:2021", "CIS Control 16.11"),
-        "A crafted object sent to the loader",
-        ("Craft an object", "Send it", "Process loads it", "Code runs"),
-        "Ability to send data", "Medium", ("CVE-2019-16729", "CVE-2021-3177"),
-        ("Load call present", "Known way to run code"), ("Load call",), ("Data may be trusted",),
-        "Exchange plain data formats", "Plain formats cannot carry code",
-        ("Sign objects and verify first", "Restrict what may be loaded", "Validate before loading"),
-        "Medium", True, "Round-trip data in the new format", confidence="medium_else_high")
-    files = Template(
-        "security", "Unsafe File Operations", "", "path_text",
-        "File path assembled from input", "Rule match on file calls with joined text",
-        ("File call", "Joined text", "Path may leave its folder"),
-        "Parent steps in the input lead out of the folder",
-        "Files elsewhere on the host can be read or replaced",
-        ("Files", "Application files", "System files", "Settings"),
-        "Upload, download and file routes", "Files",
-        ("OWASP A01:2021", "CIS Control 3.3"),
-        "A path with parent steps",
-        ("Find a path input", "Send parent steps", "Leave the folder", "Read or write a file"),
-        "Access to the route", "Easy", ("CVE-2021-41773", "CVE-2022-24990"),
-        ("File call with joined text", "Input in the path"), ("Text operation on a path",), ("May be checked elsewhere",),
-        "Resolve the path and test that it stays inside", "A resolved path shows where it really leads",
-        ("Allow-list the names", "Use generated names", "Isolate the folder"),
-        "Medium", False, "Send parent steps and expect a refusal", confidence="medium_else_high")
-    debug = Template(
-        "security", "Sensitive Data Exposure", "", "debug_switch",
-        "Debug mode switched on", "Rule match on the switch",
-        ("Switch set", "Switch is a constant", "Detailed errors"),
-        "Debug output shows internals to whoever causes an error",
-        "Paths, settings and values leak through error pages",
-        ("Internals", "Source paths", "Values", "Traces"),
-        "Error pages and debug output", "Internals",
-        ("OWASP A05:2021", "CIS Control 16.11"),
-        "A request that fails on purpose",
-        ("Send a bad request", "Read the error page", "Collect paths and settings", "Prepare the next step"),
-        "Access to the service", "Easy", ("CVE-2021-44228",),
-        ("Explicit switch", "Misconfiguration"), ("Switch in code",), (),
-        "Switch debug off in production", "Plain error pages keep internals inside",
-        ("Take the switch from the environment", "Write errors to a log", "Show a plain page"),
-        "Easy", False, "Cause an error and expect a plain page")
-    auth = Template(
-        "security", "Missing Authentication", "", "route_guard",
-        "Route with no guard", "Rule match on routes and functions",
-        ("Route with nothing in between", "No guard seen"),
-        "A route without a guard answers anyone",
-        "Functions and data may be open",
-        ("Route", "Its data"), "The route", "Depends on the route", ("OWASP A07:2021",),
-        "A direct request",
-        ("Find the route", "Call it without signing in", "Use what it offers"),
-        "Network route to the service", "Easy", (),
-        ("No guard seen", "May be public"), (), ("Guard may sit elsewhere", "May be meant to be public", "Framework may add one"),
-        "Guard the route unless it is public", "A guard decides who may call",
-        ("Confirm that it is public", "Guard in middleware", "Use a sign-in provider"),
-        "Easy", False, "Call without signing in and expect a refusal", confidence="low")
-    return [load, files, debug, auth]
+    cwe: int
+    title: str
+    scopes: str
+    reason: str
+    harm: str
+    entry: str
+    abuse: str
+    fix: str
+    because: str
+    test: str
+    data: str
+
+
+# Our own wording.
+SQL = Weakness(
+    89, "SQL command built from outside values", "confidentiality, integrity, access control",
+    "The server cannot tell the author's SQL from SQL that arrives inside a value",
+    "Queries return or alter rows the author never meant, and WHERE clauses that guard a login stop guarding",
+    "a value that is concatenated or formatted into SQL", "a value closes the literal it sits in and continues as SQL",
+    "Pass values as bind variables", "The statement is parsed before the value arrives, so the value stays a value",
+    "Send a lone quote through each value; the result must equal that of any other unknown value", "every table the login may use")
+SECRET = Weakness(
+    798, "Secret literal in source", "authentication, confidentiality",
+    "A literal is the same in every copy and cannot be withdrawn from the copies",
+    "Whoever has had the source once can authenticate until somebody rotates the value",
+    "any clone, package, container layer or backup of the source", "the literal is replayed from somewhere else",
+    "Rotate the value and load it from a vault when the program starts",
+    "What is not in the source does not travel with it", "Search the history with a secret scanner after the rotation", "what the secret unlocks")
+COMMAND = Weakness(
+    78, "Outside values reach an interpreter", "integrity, confidentiality, availability",
+    "An interpreter gives meaning to metacharacters wherever they come from",
+    "Instructions chosen by a stranger run with the rights of the service account",
+    "a value that becomes part of the interpreted text", "metacharacters end the intended instruction and start another",
+    "Call the program directly with a list of arguments, or use a library function",
+    "Without an interpreter in between a metacharacter is an ordinary character",
+    "Use arguments with semicolons, backticks and newlines and look for side effects", "files and networks the account reaches")
+CIPHER = Weakness(
+    327, "Algorithm below today's strength", "confidentiality, integrity",
+    "Collisions or key recovery for it are within reach of rented hardware",
+    "Integrity and secrecy claims that rest on it can be contested",
+    "stored or transmitted values made with it", "two inputs with one digest, or a recovered key, replace the genuine value",
+    "Re-create the values with an algorithm on a current approval list",
+    "Approved lists drop an algorithm once its margin is gone", "Verify that old values are refused once migration ends", "values whose integrity or secrecy it keeps")
+TLS = Weakness(
+    295, "Peer certificate is not validated", "confidentiality, integrity",
+    "An encrypted channel to an unknown peer protects against listeners but not against impostors",
+    "A proxy nobody asked for may log and rewrite the session",
+    "any hop or resolver that can redirect the connection", "the impostor presents a self-made certificate that is never examined",
+    "Validate the chain and the host name, adding a private root where one is needed",
+    "Validation ties the key to a name", "Point the client at an expired and at a foreign certificate; both must abort", "payload and session secrets")
+BIND = Weakness(
+    1327, "Socket bound to every address", "access control, availability",
+    "The wildcard follows whatever networks the machine joins later",
+    "An endpoint meant for neighbours answers callers from elsewhere",
+    "each network the machine is attached to", "the endpoint is found by a sweep and used without its intended front door",
+    "Bind to one configured address", "A named address keeps its meaning when networks change",
+    "List listening sockets on the target and compare with the plan", "whatever the endpoint serves")
+ROLE = Weakness(
+    250, "Work done under an all-powerful role", "access control, accountability",
+    "Rights that the task never uses are still there for whoever takes the session over",
+    "One taken session changes users, keys and logs alike",
+    "the connection that names the role", "a harmless-looking path is followed to the role's other rights",
+    "Create a role from the list of operations the task performs", "Unused rights cannot be abused when they are absent",
+    "Run the task under the new role and read the denials in the audit log", "the account as a whole")
+WIDE = Weakness(
+    359, "Query returns columns nobody asked for", "confidentiality",
+    "Columns added to the table later appear in the result without review",
+    "Fields cross a boundary that was drawn for other fields",
+    "code that hands the row on", "a caller keeps fields it has no use for",
+    "Name the columns", "A named list changes only when somebody edits it",
+    "Add a marker column to the table; it must not show up downstream", "all columns of the table")
+PICKLE = Weakness(
+    502, "Objects rebuilt from a byte stream", "integrity, availability",
+    "The format may name any callable to be invoked while it is read",
+    "Reading a foreign stream equals running a foreign program",
+    "streams that cross a trust boundary", "a stream names a callable of the attacker's liking",
+    "Read records in JSON or a schema-bound binary format", "Those formats hold values but no callables",
+    "Feed a stream with a harmless callable; it must be rejected unread", "the reading process")
+PATH = Weakness(
+    22, "File name taken from outside", "confidentiality, integrity",
+    "Dot segments and absolute names are resolved after the folder was chosen",
+    "The process opens files that belong to something else",
+    "the name of the file to open", "dot segments climb above the folder",
+    "Look names up in a table, or compare the real path with the folder's real path",
+    "Only the resolved path shows which file is meant", "Ask for names with dot segments, links and absolute paths", "files the process may open")
+DEBUG = Weakness(
+    489, "Diagnostics left on", "confidentiality",
+    "Diagnostics are written for the author and include state",
+    "Stack frames, settings and fragments of requests are shown to callers",
+    "responses to failing requests", "failures are provoked to read what they print",
+    "Take the mode from deployment settings that default to off", "A default of off fails on the quiet side",
+    "Deploy without settings and force an exception", "program state")
+ROUTE = Weakness(
+    306, "Entry point without a visible check", "access control",
+    "Checks that are not next to the entry point are easily forgotten when it moves",
+    "Unknown callers may reach the function behind it",
+    "the address of the entry point", "it is called directly, past the pages that lead to it",
+    "State next to it who may call, or that everybody may", "A stated rule can be reviewed and tested",
+    "Call it with no identity and with a foreign one", "what the function returns or changes")
+OUTPUT = Weakness(
+    532, "Personal value written to a log", "confidentiality",
+    "Logs are copied, indexed and kept under rules made for events, not for people",
+    "The value outlives the purpose it was collected for",
+    "every reader and every copy of the log", "log search is used as a directory of people",
+    "Write a keyed hash or nothing", "A keyed hash links events without naming anybody",
+    "Scan a day of logs with the pattern of this rule", "PII")
+PLAIN = Weakness(
+    311, "Sensitive value without encryption", "confidentiality",
+    "Whoever holds the medium holds the value",
+    "A lost disk, dump or capture discloses the value as it is",
+    "disks, dumps and captures", "a copy is read with ordinary tools",
+    "Encrypt before the value leaves the program, with keys kept elsewhere", "Without the key a copy is noise",
+    "Dump the medium and search it for a planted value", "PII")
+PLAIN_LINE = Weakness(
+    319, "Sensitive value on an open line", "confidentiality, integrity",
+    "Every hop of the line can read and alter what passes",
+    "The value is disclosed on the way, unnoticed by both ends",
+    "hops between the two ends", "traffic is mirrored and read",
+    "Address the peer by https only", "The session key is known to the ends alone",
+    "Capture a session and search it for a planted value", "PII")
+CONSENT = Weakness(
+    359, "Collection without a recorded basis", "privacy",
+    "Lawfulness has to be shown, not assumed", "Processing may have to stop and collected rows be erased",
+    "the code that collects", "somebody asks for the basis of a row and none is on file",
+    "Store basis, purpose and time with the row", "A stored basis can be shown and withdrawn",
+    "Pick rows at random and look for their basis", "PII")
+SHARING = Weakness(
+    359, "Transfer without a way to object", "privacy",
+    "A right that cannot be exercised counts as denied", "Transfers may have to be undone with every recipient",
+    "the code that transfers", "an objection arrives and the next transfer runs all the same",
+    "Look up objections before each transfer", "The lookup makes an objection effective at once",
+    "Record an objection and run the transfer", "PII")
+HEALTH = Weakness(
+    359, "Health information outside its safeguards", "confidentiality, privacy",
+    "It cannot be changed once it is known", "Disclosure is reportable and harms people for good",
+    "places where it is written", "records are joined with names from elsewhere",
+    "Keep it in the safeguarded store and pass keys around instead", "A key says nothing to an outsider",
+    "Search the outputs for terms of a test record", "PHI (Protected Health Information)")
+CARD = Weakness(
+    312, "Payment card element kept readable", "confidentiality",
+    "Card rules ask for unreadable numbers and forbid keeping verification codes",
+    "The merchant may lose the right to accept cards",
+    "tables, files and memory dumps of the payment path", "elements are gathered until a payment succeeds elsewhere",
+    "Hand the element to a token service and keep the token", "A token is worthless to anybody else",
+    "Scan the stores for numbers that pass the check digit", "Financial + PII")
+CONNECTION = Weakness(
+    260, "Password inside a connection address", "authentication, confidentiality",
+    "Addresses are logged, shown in errors and passed on as if they were public",
+    "The database accepts whoever has seen the address",
+    "logs, errors and settings that show the address", "the address is used as it stands",
+    "Keep the address free of secrets and add them from a vault", "An address without a secret may be shown",
+    "Print the effective address; it must hold no password", "Secrets and database")
+KEEPING = Weakness(
+    459, "Rows without an end of life", "privacy",
+    "Data without a purpose is a liability without a use", "Each incident reaches further back than it should",
+    "old partitions and backups", "years of rows are taken where months were needed",
+    "Give every table a period and a job that enforces it", "An enforced period bounds what can be lost",
+    "Insert a row dated before the period and run the job", "PII")
+ROWS = Weakness(
+    1220, "Rows of one table under one rule", "access control",
+    "A grant on a table is a grant on every row of it", "One customer's session can list another's rows",
+    "any query on the table", "the filter is left out of a query",
+    "Attach a row access policy", "The engine applies a policy to queries that forget the filter",
+    "Count rows under two customers' roles and compare with the table", "Multi-tenant data")
+GRANT = Weakness(
+    732, "Grant beyond the task", "access control",
+    "Inherited and future objects come under a wide grant unseen", "The holder reaches objects created for others",
+    "whoever may use the role", "the role is switched on and its list of objects is walked",
+    "Grant single privileges on single objects", "Each privilege then has a reason on record",
+    "Compare granted with used privileges over a month", "Depends on the objects")
+VIEW = Weakness(
+    497, "View that explains itself", "confidentiality, access control",
+    "Its text and its optimiser behaviour tell about rows it filters out", "Names and values of base tables can be inferred",
+    "the view's definition and its errors", "predicates with side effects are pushed below the filter",
+    "Declare it secure and filter inside it", "A secure view is evaluated before outside predicates",
+    "Ask for its definition under a reader role", "Depends on the tables")
+OWNER = Weakness(
+    639, "Object chosen by a key from the request", "access control",
+    "Knowing a key is no permission", "Objects of other users are shown, changed or removed",
+    "the key in the request", "keys are counted up or copied from elsewhere",
+    "Select by key and by the caller's identity together", "A foreign key then selects nothing",
+    "Replay a request with the key of another test user", "Depends on the objects")
+PUBLIC = Weakness(
+    276, "Privilege held by everybody", "access control",
+    "The public role cannot be taken away from anybody", "Each new user and service receives the privilege at once",
+    "any session of the account", "a forgotten service account is enough",
+    "Move the privilege to a role with members", "Members can be listed and removed",
+    "List what a user without roles can read", "Depends on the objects")
+TENANT = Weakness(
+    653, "Tenants kept apart by convention", "access control, confidentiality",
+    "A convention holds until the first query that ignores it", "Answers mix rows of several customers",
+    "shared tables, caches and queues", "a request is made without a tenant or with a foreign one",
+    "Bind the tenant to the session and let the engine filter", "What the session carries cannot be left out",
+    "Run every report under an empty tenant; it must stay empty", "Multi-tenant data")
+
+DOUBT = ("The surrounding code may already prevent this",)
+
+
+def _template(agent: str, category: str, variant: str, w: Weakness, compliance: tuple[str, ...], cves: tuple[str, ...] = (),
+              *, about: str = "", rating: str = "Easy", complexity: str = "Easy", breaking: bool = False,
+              doubt: bool = False, **more) -> Template:
+    title = f"{w.title} ({about})" if about else w.title
+    return Template(
+        agent, category, variant, f"cwe_{w.cwe}", title, f"Rule for CWE-{w.cwe} on the source text", (f"CWE-{w.cwe}", *((about,) if about else ())),
+        w.reason, w.harm, tuple(w.scopes.split(", ")), w.entry, more.pop("data", w.data), compliance,
+        f"Through {w.entry}", (f"Reach {w.entry}", w.abuse[0].upper() + w.abuse[1:]), f"Control over {w.entry}", rating, cves,
+        (f"The text has the form that CWE-{w.cwe} describes",), (title,), DOUBT if doubt else (), w.fix, w.because,
+        (f"Mitigations listed for CWE-{w.cwe}",), complexity, breaking, w.test, **more)
 
 
-def _generic(agent: str, check: str, impact: str, assets: tuple[str, ...], sensitivity: str,
-             compliance: tuple[str, ...] = (), purpose: str | None = None) -> Template:
+def _generic(agent: str, data: str, compliance: tuple[str, ...] = ()) -> Template:
     """Pattern, signals, reason, factors and fix come from the rule's own text."""
     return Template(
-        agent, "", "generic", check, "", "Rule match", (), "", impact, assets, "The matched code",
-        sensitivity, compliance, "Use of the matched weakness",
-        ("Find the weakness", "Prepare its use", "Use it"), "Depends on the place", "Medium", (),
-        (), ("Rule match",), (), "", "Follow the advice of the rule", (), "Medium", False, None,
-        purpose=purpose, generic=True)
-
-
-def _pii() -> list[Template]:
-    kinds = {"email": "e-mail address", "ssn": "social security number", "phone": "telephone number",
-             "field": "personal field"}
-    return [Template(
-        "privacy", "PII Exposure", variant, "personal_output",
-        f"Output of a {kind}", "Rule match on output statements",
-        (f"Output of a {kind}", "Nothing masks it", "Value written directly"),
-        "Outputs are read by more people than the data is meant for",
-        "Personal data spreads to logs and whoever reads them",
-        (f"The {kind}", "Logs", "Monitoring", "Log search"),
-        "Logs, monitoring and log search", "PII",
-        ("GDPR Article 5(1)(f)", "CCPA 1798.100(a)", "SOC 2 CC6.1", "HIPAA §164.514(b)"),
-        "Reading the logs",
-        ("Get access to logs", f"Search for a {kind}", "Collect the values", "Use them to deceive"),
-        "Read access to logs", "Easy", ("CVE-2019-11043", "CVE-2021-22096"),
-        (f"Shape of a {kind}", "Output statement", "No masking seen"),
-        (f"Match of a {kind}", "Output call", "Direct value"), (),
-        "Mask personal values before output", "Masking keeps the message and drops the person",
-        ("Hash the value", "Drop the statement", "Keep a guarded log for it", "Mask in the logging layer"),
-        "Easy", False, "Read the output and expect masked values", summary_chars=80)
-        for variant, kind in kinds.items()]
-
-
-def _encryption() -> list[Template]:
-    rows = []
-    for subject in ("payment", "health", "other"):
-        for http in (False, True):
-            label = {"payment": "card data", "health": "health data",
-                     "other": "data in transit" if http else "personal data"}[subject]
-            tag = {"payment": "PCI DSS 3.4", "health": "HIPAA §164.312(a)(2)(iv)",
-                   "other": "GDPR Article 32"}[subject]
-            rows.append(Template(
-                "privacy", "Missing Encryption", subject + ("_http" if http else ""), "plain_storage",
-                f"Unprotected {label}", "Rule match on names without protection",
-                ("Sensitive name", "No protection seen", "Plain storage or transfer"),
-                f"{tag} asks for protection of {label}",
-                f"A breach shows {label} in the clear",
-                (label.capitalize(), "Rows", "Privacy", "Compliance"),
-                "Database and network",
-                {"payment": "Financial + PII", "health": "PHI", "other": "PII"}[subject],
-                {"payment": ("PCI DSS 3.4", "PCI DSS Requirement 4.1", "GDPR Article 32"),
-                 "health": ("HIPAA §164.312(a)(2)(iv)", "HIPAA §164.312(e)(1)", "GDPR Article 32"),
-                 "other": ("GDPR Article 32", "SOC 2 CC6.1", "NIST SP 800-53 SC-13")}[subject],
-                "A breach of the store or the line",
-                ("Get to the store or line", f"Find the {label}", "Read it in the clear", "Misuse or sell it"),
-                "Read access to the store", "Easy" if http else "Medium",
-                ("CVE-2019-11043", "CVE-2021-3177"),
-                ("Sensitive name", "No protection seen", f"{tag} applies"),
-                ("Sensitive name", "Plain declaration"),
-                () if http else ("The store may encrypt by itself",),
-                "Use https for the endpoint" if http else "Encrypt the field before it is stored",
-                f"Protected data stays unreadable after a breach, as {tag} asks",
-                (("Require a current TLS version" if http else "Encrypt the whole store"),
-                 ("End TLS at a gateway" if http else "Encrypt in the application"),
-                 ("Keep tokens in place of cards" if subject == "payment" else "Use a private line")),
-                "Easy" if http else "Medium", not http,
-                "Call over https and check the certificate" if http else "Read the store directly and expect ciphertext"))
-    return rows
+        agent, "", "generic", "rule_text", "", "Rule on the source text", (), "", "Depends on where the code runs", ("code",),
+        "the matched code", data, compliance, "Through the matched code", ("Reach the matched code",),
+        "Depends on where the code runs", "Medium", (), (), ("Rule matched",), (), "", "The rule names the remedy", (), "Medium",
+        False, None, generic=True)
 
 
-def _privacy_rest() -> list[Template]:
-    consent = Template(
-        "privacy", "GDPR Violation", "", "consent",
-        "Personal data gathered without consent", "Rule match on gathering verbs",
-        ("Gathering call", "No consent check seen", "Personal data"),
-        "Personal data needs a lawful basis before it is used",
-        "Regulators may fine and stop the processing",
-        ("Personal data", "Processing", "Consent records"),
-        "Gathering and processing code", "PII",
-        ("GDPR Article 6 (Lawfulness)", "GDPR Article 7 (Consent)",
-         "GDPR Article 5(1)(a) (Lawfulness, fairness, transparency)"),
-        "A complaint or an audit",
-        ("A person complains", "The authority asks", "Consent is missing", "A penalty follows"),
-        "None; enforcement", "N/A", (),
-        ("Gathering seen", "No consent nearby"), ("Gathering of personal data",),
-        ("Consent may sit elsewhere", "Another basis may apply", "Context is unclear"),
-        "Ask for and record consent first", "Recorded consent shows the lawful basis",
-        ("Write down another lawful basis", "Rely on a contract where true", "Ask with a clear choice",
-         "Keep consent records"),
-        "Medium", True, "Gather only after consent, and stop after withdrawal", confidence="low")
-    optout = replace(
-        consent, category="CCPA Violation", check="opt_out",
-        pattern="Personal data shared without an opt-out", method="Rule match on sharing functions",
-        signals=("Sharing function", "No opt-out seen"),
-        reason="People may refuse the sale of their data",
-        impact="Enforcement and claims may follow",
-        assets=("Personal data", "Sharing contracts", "Consumer rights"),
-        surface="Sale and sharing code",
-        compliance=("CCPA 1798.120 (Right to Opt-Out)", "CCPA 1798.100 (Consumer Rights)",
-                    "CCPA 1798.115 (Disclosure Requirements)"),
-        vector="A complaint by a consumer",
-        steps=("A person cannot opt out", "They complain", "The authority asks", "A penalty follows"),
-        factors=("Sharing seen", "No opt-out nearby"), strong=("Name suggests sharing",),
-        weak=("Opt-out may sit elsewhere", "May not be a sale", "Context is unclear"),
-        fix="Offer and honour an opt-out", rationale="An honoured opt-out satisfies the right",
-        alternatives=("Link the choice on every page", "Honour browser signals", "Store the choices", "Stop sharing"),
-        testing="Opt out and expect no sharing")
-    health = []
-    for variant in ("logs", "stored"):
-        logs = variant == "logs"
-        health.append(Template(
-            "privacy", "HIPAA Violation", variant, "health_data",
-            "Health data in output" if logs else "Health data stored in the clear",
-            "Rule match on health words",
-            ("Health word", "Output statement" if logs else "No protection", "Regulated data"),
-            "Health data needs protection and narrow access",
-            "A breach must be reported and may be fined",
-            ("Health data", "Patient records", "Diagnoses", "Treatments"),
-            "Logs and monitoring" if logs else "Databases and files",
-            "PHI (Protected Health Information)",
-            ("HIPAA §164.312(a)(2)(iv) (Encryption)",
-             "HIPAA §164.308(a)(1)(ii)(D) (Information System Activity Review)",
-             "HIPAA §164.514(b) (De-identification)"),
-            "Reading the logs" if logs else "A breach of the store",
-            ("Get to the logs" if logs else "Get to the store", "Search for health words", "Collect the values",
-             "Cause a reportable breach"),
-            "Read access to logs" if logs else "Read access to the store", "Easy",
-            ("CVE-2015-0235", "CVE-2019-11043"),
-            ("Health word", "Regulated context", "No protection seen"),
-            ("Medical word", "Health field", "Patient marker"), (),
-            "Keep health data out of output" if logs else "Encrypt health data at rest",
-            "Protection and minimal use are required for health data",
-            (("De-identify first", "Use a guarded audit log", "Hash patient keys") if logs
-             else ("Encrypt the store", "Keep tokens", "Restrict and audit access")) + ("Train the team",),
-            "Medium", not logs,
-            "Read the output and expect no health data" if logs else "Read the store directly and expect ciphertext",
-            confidence="medium_else_high"))
-    card = []
-    for variant in ("cvv", "number"):
-        cvv = variant == "cvv"
-        card.append(Template(
-            "privacy", "PCI DSS Violation", variant, "card_data",
-            "Verification value kept" if cvv else "Card data kept in the clear",
-            "Rule match on card names",
-            ("Verification value" if cvv else "Card number", "Storing code", "No protection"),
-            "Keeping the verification value is forbidden" if cvv else "Card data must be unreadable at rest",
-            "Compliance is lost and the brands may fine",
-            ("Card data", "Verification values" if cvv else "Card numbers", "Customer payments"),
-            "Stores and payment code", "Financial + PII",
-            ("PCI DSS Requirement 3.2" if cvv else "PCI DSS 3.4", "PCI DSS Requirement 3.5", "GDPR Article 32"),
-            "A breach of the store or an insider",
-            ("Get to the payment store", "Find card tables",
-             "Take verification values" if cvv else "Take card numbers",
-             "Pay without the card" if cvv else "Sell or use them"),
-            "Access to the store", "Easy", ("CVE-2019-11043", "CVE-2021-3177"),
-            ("Card name", "Explicit requirement", "Storing code"),
-            ("Verification name" if cvv else "Card name", "Model declaration"), (),
-            "Stop keeping the verification value" if cvv else "Encrypt card data with a strong cipher",
-            "Nothing else satisfies the requirement" if cvv else "Ciphertext limits the harm of a breach",
-            ("Delete kept values", "Never capture them", "Search for other places", "Review the questionnaire") if cvv
-            else ("Keep tokens", "Encrypt end to end", "Manage keys", "Use a payment gateway"),
-            "Easy" if cvv else "Hard", True,
-            "Search the store and expect no value" if cvv else "Read the store directly and expect ciphertext",
-            confidence="high"))
-    connection = Template(
-        "privacy", "SOC 2 Violation", "", "connection_text",
-        "Password inside a connection string", "Rule match on connection strings",
-        ("Password in the string", "No managed secret", "Secret in code"),
-        "Access control fails when the secret is readable",
-        "The database opens to every reader of the code",
-        ("Database secret", "Database", "Customer data", "Audit result"),
-        "Repositories, settings and history", "Secrets and database",
-        ("SOC 2 CC6.1 (Logical and Physical Access)", "SOC 2 CC6.2 (Authentication)", "NIST SP 800-53 IA-5"),
-        "A copy of source or settings",
-        ("Obtain the source", "Search for connection strings", "Take the password", "Connect"),
-        "Read access to source or settings", "Easy", ("CVE-2021-39175", "CVE-2022-24784"),
-        ("Password in the string", "No lookup", "Control broken"), ("Plain password", "Connection string"), (),
-        "Compose the string from managed secrets", "Managed secrets can be rotated and audited",
-        ("Use a secret manager", "Encrypt settings", "Use identity-based sign-in", "Use local files in development"),
-        "Easy", False, "Start with the secret removed, then rotate it", confidence="high_else_medium")
-    retention = Template(
-        "privacy", "Data Retention Issue", "", "retention",
-        "Personal data stored without an end", "Rule match on storing functions",
-        ("Storing function", "No expiry seen", "No deletion seen"),
-        "Personal data may be kept only as long as needed",
-        "Old data adds to every breach",
-        ("Personal data", "Old records", "Stores"), "Long-term stores", "PII",
-        ("GDPR Article 5(1)(e) (Storage Limitation)", "GDPR Article 17 (Right to Erasure)",
-         "CCPA 1798.105 (Right to Delete)"),
-        "A breach of old records",
-        ("Get to the store", "Take old records", "Misuse them", "Cause notifications"),
-        "Access to the store", "Medium", (),
-        ("Storing seen", "No expiry nearby"), ("Storing function",),
-        ("Expiry may sit elsewhere", "Deletion may be manual", "Context is unclear"),
-        "Delete on schedule", "A schedule limits what a breach can reach",
-        ("Use expiry of the store", "Run deletion jobs", "Archive behind access control", "Document periods"),
-        "Medium", False, "Age a record and expect it gone", confidence="low")
-    return [consent, optout, *health, *card, connection, retention]
-
+# --------------------------------------------------------------------------
+# Compliance tags, known-issue identifiers, exploitability
+# ratings, complexities, breaking-change flags and confidence modes decide
+# results.
+# --------------------------------------------------------------------------
+SECURITY = [
+    _template("security", "SQL Injection", "", SQL,
+              ("GDPR Article 32", "PCI DSS 6.5.1", "SOC 2 CC6.1", "HIPAA 164.312"),
+              ("CVE-2019-16278", "CVE-2020-24949", "CVE-2021-41277")),
+    *(_template("security", "Hardcoded Credentials", variant, SECRET,
+                ("NIST SP 800-53 IA-5", "CIS Control 3.4", "PCI DSS 8.2.1", "GDPR Article 32"),
+                ("CVE-2021-39175", "CVE-2022-24784", "CVE-2023-22620"), about=about, doubt=True, weak_when="unless_high")
+      for variant, about in (("api", "interface key"), ("aws", "cloud key"), ("jwt", "bearer token"),
+                             ("key", "private key"), ("password", "password"))),
+    *(_template("security", "Command Injection", variant, COMMAND,
+                ("CIS Control 16.11", "NIST SP 800-53 SI-10", "OWASP A03:2021"),
+                ("CVE-2021-44228", "CVE-2022-22965", "CVE-2023-38545"), about=about, complexity="Medium")
+      for variant, about in (("eval", "eval"), ("system", "os.system"), ("shell", "shell"), ("exec", "exec"),
+                             ("process", "process"))),
+    *(_template("security", "Insecure Cryptography", variant, CIPHER,
+                ("NIST SP 800-131A", "PCI DSS 4.1", "FIPS 140-2", "GDPR Article 32"), ("CVE-2020-10735", "CVE-2017-15361"),
+                about=about, rating="Medium" if variant == "sha1" else "Easy", breaking=True)
+      for variant, about in (("md5", "MD5"), ("sha1", "SHA-1"), ("cipher", "old cipher"), ("other", "listed name"))),
+    _template("security", "Network Security", "tls", TLS, ("PCI DSS 4.1", "NIST SP 800-52", "GDPR Article 32"),
+              ("CVE-2014-0092", "CVE-2015-5237"), rating="Medium"),
+    _template("security", "Network Security", "bind", BIND, ("CIS Control 13.6", "NIST SP 800-53 SC-7"),
+              ("CVE-2021-3129", "CVE-2022-0847"), doubt=True),
+    _template("security", "Excessive Privileges", "admin", ROLE, ("CIS Control 5.4", "SOC 2 CC6.1", "NIST SP 800-53 AC-6"),
+              complexity="Medium", breaking=True),
+    _template("security", "Excessive Privileges", "star", WIDE,
+              ("GDPR Article 5 (data minimization)", "PCI DSS 3.2", "SOC 2 CC6.1"), rating="Medium", doubt=True),
+    _template("security", "Insecure Deserialization", "", PICKLE, ("OWASP A08:2021", "CIS Control 16.11"),
+              ("CVE-2019-16729", "CVE-2021-3177"), rating="Medium", complexity="Medium", breaking=True, doubt=True,
+              confidence="medium_else_high"),
+    _template("security", "Unsafe File Operations", "", PATH, ("OWASP A01:2021", "CIS Control 3.3"),
+              ("CVE-2021-41773", "CVE-2022-24990"), complexity="Medium", doubt=True, confidence="medium_else_high"),
+    _template("security", "Sensitive Data Exposure", "", DEBUG, ("OWASP A05:2021", "CIS Control 16.11"), ("CVE-2021-44228",)),
+    _template("security", "Missing Authentication", "", ROUTE, ("OWASP A07:2021",), doubt=True, confidence="low"),
+    _generic("security", "Unknown"),
+]
 
-def _permissions() -> list[Template]:
-    rows = []
-    for variant in ("tenant", "plain"):
-        tenant = variant == "tenant"
-        rows.append(Template(
-            "permission", "Missing Row-Level Security", variant, "row_policy",
-            "Table without a row policy", "Rule match on table definitions",
-            ("Table definition", "No row policy seen", "Tenant column present" if tenant else "No policy follows"),
-            "Without a policy a user can read rows of other tenants",
-            "Data crosses tenant borders",
-            ("Table", "Tenant separation", "Trust", "Tenant privacy"),
-            "Every session that may read the table", "Multi-tenant data",
-            ("OWASP API1:2023 BOLA", "SOC 2 CC6.1", "CIS Snowflake Benchmark 2.1.1", "GDPR Article 32"),
-            "A plain query without a tenant filter",
-            ("Sign in", "Query the table", "Receive rows of others", "Take them out"),
-            "Any signed-in user", "Easy", ("CVE-2020-15133", "CVE-2021-32740"),
-            ("No row policy", "Tenant table" if tenant else "Table without policy", "Nothing enforces a filter"),
-            ("Definition without policy",) + (("Tenant column",) if tenant else ()),
-            () if tenant else ("Table may serve one tenant",),
-            "Attach a row policy by tenant", "The database then filters every query",
-            ("Filter through secure views", "Separate schemas", "Separate databases", "Filter in the application"),
-            "Medium", False, "Query as one tenant and expect only its rows",
-            confidence="high" if tenant else "medium", summary_chars=80,
-            purpose="Defines a table", flow="Rows reach every reader", missing=("Row policy", "Tenant separation")))
-    for variant in ("all", "some"):
-        every = variant == "all"
-        rows.append(Template(
-            "permission", "Over-broad GRANT Permissions", variant, "grant_width",
-            "Grant wider than needed", "Rule match on grants", (),
-            "Wide grants break least privilege", "A stolen role can do more than its task",
-            ("Objects", "Rows", "Settings"), "Every holder of the role", "Depends on the objects",
-            ("CIS Snowflake 1.4.2", "SOC 2 CC6.3", "Principle of Least Privilege", "NIST SP 800-53 AC-6"),
-            "A stolen session of the role",
-            ("Get the role", "List its rights", "Change or read objects", "Widen the rights further"),
-            "Any holder of the role", "Easy", (),
-            ("All rights or everyone" if every else "Wide grant", "Least privilege broken"),
-            ("All rights" if every else "Grant", "No limit"), (),
-            "Grant named rights to named roles", "Named rights limit a stolen role",
-            ("Split into task roles", "Grant on views", "Review rights on schedule"),
-            "Medium", True, "Run the task with the narrow grant",
-            purpose="Assigns rights", missing=("Least privilege", "Task roles")))
-    rows.append(Template(
-        "permission", "ACCOUNTADMIN Misuse", "", "admin_in_code",
-        "Top administrator role in application code", "Rule match on role names",
-        ("Top role named", "Application code", "Highest rights"),
-        "Application code needs no account rights", "A flaw in the code owns the account",
-        ("Account", "Databases", "Users", "Audit trail"), "The application", "Whole account",
-        ("CIS Snowflake 1.1.1", "SOC 2 CC6.1", "Separation of Duties", "NIST SP 800-53 AC-6"),
-        "A flaw in the application",
-        ("Exploit a flaw", "Use the session's role", "Read or change anything", "Add a way back"),
-        "Control of the application", "Easy", (),
-        ("Top role named", "Application context"), ("Role in code", "No administration script"), (),
-        "Give the application its own role", "A small role limits a flaw",
-        ("Split loading and reading roles", "Use a lesser administrator", "Keep the top role for people"),
-        "Medium", True, "Run the application under its own role", confidence="high",
-        purpose="Opens a session", missing=("Least privilege", "Separation of duties")))
-    for secure in (True, False):
-        for filtered in (True, False):
-            rows.append(Template(
-                "permission", "Insecure View", ("secure" if secure else "open") + ("_filtered" if filtered else ""),
-                "view_guard", "View without guard", "Rule match on view definitions",
-                ("View definition",) + (() if secure else ("Not a secure view",)) + (() if filtered else ("No tenant filter",)),
-                "A plain view shows its definition and may show too much",
-                "Definitions and foreign rows may leak",
-                ("View definition", "Base tables", "Tenant rows"), "Every reader of the view", "Depends on the tables",
-                ("CIS Snowflake 2.2.1", "SOC 2 CC6.1"),
-                "Reading the definition or the view",
-                ("Read the definition", "Learn the base tables", "Query without a filter", "Receive foreign rows"),
-                "Read access to the view", "Medium", (),
-                ("Filter may be missing",) if secure else ("Not a secure view",),
-                () if secure else ("Definition not secure",),
-                ("Table may serve one tenant", "Base table may filter"),
-                "Create a secure view that filters by tenant", "A secure view hides its text and filters rows",
-                ("Attach a row policy to the base table", "Limit who may read the view"),
-                "Easy", False, "Read the definition as a plain user and expect none",
-                confidence="low_else_medium", purpose="Defines a view",
-                missing=("" if secure else "Secure view", "" if filtered else "Tenant filter")))
-    for variant in ("change", "change_select", "change_where", "change_where_select", "select", "api", "other"):
-        change = variant.startswith("change")
-        select = variant.endswith("select")
-        bare = change and "where" not in variant
-        signals = (("Data change",) + (("No filter",) if bare else ())) if change else {
-            "select": ("Row lookup", "No owner condition"), "api": ("Object endpoint", "No guard seen"), "other": ()}[variant]
-        rows.append(Template(
-            "permission", "Missing Ownership Check (BOLA/IDOR)", variant, "owner_condition",
-            "Access without an owner check", "Rule match on lookups and changes", signals,
-            "Without an owner check a user reaches objects of others",
-            "Objects of others can be read, changed or removed",
-            ("Objects", "Personal data", "Data integrity"), "Every route with an object key", "Depends on the objects",
-            ("OWASP API1:2023 BOLA", "OWASP API5:2023 BFLA", "GDPR Article 32", "SOC 2 CC6.1"),
-            "A request with another object's key",
-            ("Sign in", "Change the key", "Receive the object", "Repeat for other keys"),
-            "Any signed-in user", "Easy", ("CVE-2019-15107", "CVE-2020-5885", "CVE-2021-24145"),
-            ("Change without a filter",) if change else ("No owner check seen", "Direct key access"),
-            ("No owner column in the filter",) if select else (("No filter",) if change else ("No owner guard",)),
-            ("Caller may check", "May be an administration task"),
-            "Compare the owner with the caller", "The comparison stops access to objects of others",
-            ("Guard the route", "Use a row policy", "Use unguessable keys as a second line"),
-            "Easy", False, "Ask for another user's object and expect a refusal",
-            confidence="high" if bare else "medium_else_low", weak_when="if_low",
-            purpose="Reads or changes objects", flow="Key leads straight to the object",
-            missing=("Owner check", "Authorisation check")))
-    rows.append(Template(
-        "permission", "PUBLIC Role Exposure", "", "public_grant",
-        "Grant to everyone", "Rule match on grants",
-        ("Grant", "Public role", "No limit"),
-        "Everyone inherits rights of the public role", "Every account user gets the object",
-        ("Objects", "Rows", "Settings"), "Every user of the account", "Depends on the objects",
-        ("CIS Snowflake 1.4.3", "SOC 2 CC6.3", "Principle of Least Privilege"),
-        "Any account", ("Sign in with any account", "Use the public right", "Read the object", "Take data out"),
-        "Any account user", "Easy", (),
-        ("Grant names the public role", "Everyone is included"), ("Public role in a grant",), (),
-        "Revoke and grant to a task role", "A task role names who is meant",
-        ("Create a reader role", "Share through a secure view", "Review public rights"),
-        "Medium", True, "Sign in as a plain user and expect a refusal", confidence="high",
-        purpose="Assigns rights", missing=("Task roles", "Least privilege")))
-    rows.append(Template(
-        "permission", "Tenant Isolation Issue", "", "tenant_border",
-        "Tenants are not separated", "Rule match on tenant code",
-        ("Tenant context", "No separation"),
-        "Shared objects need a tenant condition everywhere", "Data crosses tenant borders",
-        ("Tenant rows", "Trust", "Contracts"), "Shared tables and services", "Multi-tenant data",
-        ("SOC 2 CC6.1", "ISO 27001", "GDPR Article 32"),
-        "A request without a tenant condition",
-        ("Sign in as one tenant", "Ask for shared data", "Receive rows of others", "Take them out"),
-        "Any signed-in user", "Easy", ("CVE-2020-15133", "CVE-2021-32740"),
-        ("Tenant context", "No condition seen"), ("No tenant filter",), (),
-        "Add a row policy by tenant", "The database then keeps tenants apart",
-        ("Filter through secure views", "Separate schemas"),
-        "Medium", False, "Query as one tenant and expect only its rows",
-        purpose="Serves several tenants", missing=("Tenant separation", "Row policy")))
-    return rows
 
+def _plain(subject: str, http: bool) -> Template:
+    tags = {"payment": ("PCI DSS 3.4", "PCI DSS Requirement 4.1", "GDPR Article 32"),
+            "health": ("HIPAA §164.312(a)(2)(iv)", "HIPAA §164.312(e)(1)", "GDPR Article 32"),
+            "other": ("GDPR Article 32", "SOC 2 CC6.1", "NIST SP 800-53 SC-13")}
+    data = {"payment": "Financial + PII", "health": "PHI", "other": "PII"}
+    return _template(
+        "privacy", "Missing Encryption", subject + ("_http" if http else ""), PLAIN_LINE if http else PLAIN, tags[subject],
+        ("CVE-2019-11043", "CVE-2021-3177"), about=subject, rating="Easy" if http else "Medium",
+        complexity="Easy" if http else "Medium", breaking=not http, doubt=not http, data=data[subject])
+
+
+PRIVACY = [
+    *(_template("privacy", "PII Exposure", variant, OUTPUT,
+                ("GDPR Article 5(1)(f)", "CCPA 1798.100(a)", "SOC 2 CC6.1", "HIPAA §164.514(b)"),
+                ("CVE-2019-11043", "CVE-2021-22096"), about=about, summary_chars=80)
+      for variant, about in (("email", "address"), ("ssn", "social security number"), ("phone", "phone number"), ("field", "named field"))),
+    *(_plain(subject, http) for subject in ("payment", "health", "other") for http in (False, True)),
+    _template("privacy", "GDPR Violation", "", CONSENT,
+              ("GDPR Article 6 (Lawfulness)", "GDPR Article 7 (Consent)", "GDPR Article 5(1)(a) (Lawfulness, fairness, transparency)"),
+              rating="N/A", complexity="Medium", breaking=True, doubt=True, confidence="low"),
+    _template("privacy", "CCPA Violation", "", SHARING,
+              ("CCPA 1798.120 (Right to Opt-Out)", "CCPA 1798.100 (Consumer Rights)", "CCPA 1798.115 (Disclosure Requirements)"),
+              rating="N/A", complexity="Medium", breaking=True, doubt=True, confidence="low"),
+    *(_template("privacy", "HIPAA Violation", variant, HEALTH,
+                ("HIPAA §164.312(a)(2)(iv) (Encryption)", "HIPAA §164.308(a)(1)(ii)(D) (Information System Activity Review)",
+                 "HIPAA §164.514(b) (De-identification)"),
+                ("CVE-2015-0235", "CVE-2019-11043"), about=about, complexity="Medium", breaking=variant == "stored",
+                confidence="medium_else_high")
+      for variant, about in (("logs", "in output"), ("stored", "at rest"))),
+    _template("privacy", "PCI DSS Violation", "cvv", CARD, ("PCI DSS Requirement 3.2", "PCI DSS Requirement 3.5", "GDPR Article 32"),
+              ("CVE-2019-11043", "CVE-2021-3177"), about="verification code", breaking=True, confidence="high"),
+    _template("privacy", "PCI DSS Violation", "number", CARD, ("PCI DSS 3.4", "PCI DSS Requirement 3.5", "GDPR Article 32"),
+              ("CVE-2019-11043", "CVE-2021-3177"), about="card number", complexity="Hard", breaking=True, confidence="high"),
+    _template("privacy", "SOC 2 Violation", "", CONNECTION,
+              ("SOC 2 CC6.1 (Logical and Physical Access)", "SOC 2 CC6.2 (Authentication)", "NIST SP 800-53 IA-5"),
+              ("CVE-2021-39175", "CVE-2022-24784"), confidence="high_else_medium"),
+    _template("privacy", "Data Retention Issue", "", KEEPING,
+              ("GDPR Article 5(1)(e) (Storage Limitation)", "GDPR Article 17 (Right to Erasure)", "CCPA 1798.105 (Right to Delete)"),
+              rating="Medium", complexity="Medium", doubt=True, confidence="low"),
+    _generic("privacy", "PII", ("{ref_primary}",)),
+]
 
-TEMPLATES: list[Template] = [
-    *_sql_injection(), *_credentials(), *_commands(), *_crypto(), *_network(), *_privileges(), *_security_rest(),
-    _generic("security", "rule_text", "The service may be weaker than intended", ("Service",), "Unknown"),
-    *_pii(), *_encryption(), *_privacy_rest(),
-    _generic("privacy", "rule_text", "Personal data may be at risk", ("Personal data", "Service"), "PII",
-             compliance=("{ref_primary}",)),
-    *_permissions(),
-    _generic("permission", "rule_text", "Access may be wider than intended", ("Service", "Rows"), "Unknown"),
+PERMISSION = [
+    *(_template("permission", "Missing Row-Level Security", variant, ROWS,
+                ("OWASP API1:2023 BOLA", "SOC 2 CC6.1", "CIS Snowflake Benchmark 2.1.1", "GDPR Article 32"),
+                ("CVE-2020-15133", "CVE-2021-32740"), about=about, complexity="Medium", doubt=variant == "plain",
+                confidence=level, summary_chars=80, purpose="table", flow="query to rows", missing=("row access policy",))
+      for variant, about, level in (("tenant", "tenant column", "high"), ("plain", "", "medium"))),
+    *(_template("permission", "Over-broad GRANT Permissions", variant, GRANT,
+                ("CIS Snowflake 1.4.2", "SOC 2 CC6.3", "Principle of Least Privilege", "NIST SP 800-53 AC-6"), about=about,
+                complexity="Medium", breaking=True, purpose="privileges", missing=("least privilege",))
+      for variant, about in (("all", "every privilege"), ("some", ""))),
+    _template("permission", "ACCOUNTADMIN Misuse", "", ROLE,
+              ("CIS Snowflake 1.1.1", "SOC 2 CC6.1", "Separation of Duties", "NIST SP 800-53 AC-6"), about="application",
+              complexity="Medium", breaking=True, confidence="high", purpose="session", missing=("least privilege",)),
+    *(_template("permission", "Insecure View", ("secure" if secure else "open") + ("_filtered" if filtered else ""), VIEW,
+                ("CIS Snowflake 2.2.1", "SOC 2 CC6.1"), rating="Medium", doubt=True, confidence="low_else_medium", purpose="view",
+                missing=("" if secure else "secure view", "" if filtered else "tenant filter"))
+      for secure in (True, False) for filtered in (True, False)),
+    *(_template("permission", "Missing Ownership Check (BOLA/IDOR)", variant, OWNER,
+                ("OWASP API1:2023 BOLA", "OWASP API5:2023 BFLA", "GDPR Article 32", "SOC 2 CC6.1"),
+                ("CVE-2019-15107", "CVE-2020-5885", "CVE-2021-24145"), about=variant.split("_")[0] if variant != "other" else "",
+                doubt=True, confidence="high" if variant in ("change", "change_select") else "medium_else_low",
+                weak_when="if_low", purpose="object access", flow="key to object", missing=("owner comparison",))
+      for variant in ("change", "change_select", "change_where", "change_where_select", "select", "api", "other")),
+    _template("permission", "PUBLIC Role Exposure", "", PUBLIC,
+              ("CIS Snowflake 1.4.3", "SOC 2 CC6.3", "Principle of Least Privilege"), complexity="Medium", breaking=True,
+              confidence="high", purpose="privileges", missing=("role with members",)),
+    _template("permission", "Tenant Isolation Issue", "", TENANT, ("SOC 2 CC6.1", "ISO 27001", "GDPR Article 32"),
+              ("CVE-2020-15133", "CVE-2021-32740"), complexity="Medium", purpose="shared service", missing=("tenant binding",)),
+    _generic("permission", "Unknown"),
 ]
 
+TEMPLATES: list[Template] = [*SECURITY, *PRIVACY, *PERMISSION]
+
 TEMPLATE_INDEX = {(t.agent, t.category, t.variant): i for i, t in enumerate(TEMPLATES)}

@@ -97,12 +97,12 @@ def recovery_summary(resume: DataFrame) -> DataFrame:
     """A short text on what a resumed run takes over."""
     return resume.select(F.concat_ws(
         "\n",
-        F.concat(F.lit("Recovered from: "), "recovery_method"),
-        F.concat(F.lit("Checkpoint time: "), "checkpoint_timestamp"),
-        F.concat(F.lit("Files scanned: "), F.col("files_scanned").cast("string")),
+        F.concat(F.lit("Resumed by: "), "recovery_method"),
+        F.concat(F.lit("State saved at: "), "checkpoint_timestamp"),
+        F.concat(F.lit("Files done: "), F.col("files_scanned").cast("string")),
         F.concat(F.lit("Findings: "), F.col("findings_count").cast("string")),
-        F.concat(F.lit("Repositories completed: "), F.col("repos_completed").cast("string")),
-        F.concat(F.lit("Current repository: "), "current_repo"),
+        F.concat(F.lit("Repositories done: "), F.col("repos_completed").cast("string")),
+        F.concat(F.lit("Repository under way: "), "current_repo"),
     ).alias("summary"))
 
 

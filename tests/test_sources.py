@@ -129,7 +129,7 @@ def test_state_and_resume(spark, files, tmp_path):
     assert (row.recovery_method, row.checkpoint_type, row.files_scanned, row.current_repo) == ("checkpoint", FILE, 2, "one")
     assert row.is_valid and not row.counts_match and row.findings_count == found.count()
     text = resume.recovery_summary(resume.resume_state(state)).collect()[0].summary
-    assert "Recovered from: checkpoint" in text and "Files scanned: 2" in text
+    assert "Resumed by: checkpoint" in text and "Files done: 2" in text
 
     left = resume.pending_files(corpus, resume.files_to_skip(state))
     assert [r.path for r in left.collect()] == []

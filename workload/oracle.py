@@ -316,15 +316,15 @@ enriched AS (
     fixed_signals || CASE
       WHEN generic THEN [description]
       WHEN category = 'SQL Injection' THEN list_filter([
-        CASE WHEN evidence LIKE '%+%' OR low LIKE '%concat%' THEN 'Joined text' END,
-        CASE WHEN evidence LIKE '%format%' OR contains(evidence, '%') THEN 'Formatted text' END,
-        CASE WHEN evidence LIKE '%f''%' OR evidence LIKE '%f"%' THEN 'Interpolated text' END,
-        CASE WHEN low LIKE '%execute%' THEN 'Execution call' END,
-        CASE WHEN NOT (contains(evidence, '?') OR contains(evidence, '%s') OR contains(evidence, 'paramstyle')) THEN 'No bound values' END],
+        CASE WHEN evidence LIKE '%+%' OR low LIKE '%concat%' THEN 'value added by an operator' END,
+        CASE WHEN evidence LIKE '%format%' OR contains(evidence, '%') THEN 'value added by formatting' END,
+        CASE WHEN evidence LIKE '%f''%' OR evidence LIKE '%f"%' THEN 'value inside an f-string' END,
+        CASE WHEN low LIKE '%execute%' THEN 'run on the same line' END,
+        CASE WHEN NOT (contains(evidence, '?') OR contains(evidence, '%s') OR contains(evidence, 'paramstyle')) THEN 'no bind marker' END],
         lambda x: x IS NOT NULL)
-      WHEN category = 'Command Injection' THEN CASE WHEN low LIKE '%shell%' AND low LIKE '%true%' THEN ['Shell switched on'] ELSE [] END
-      WHEN category = 'Over-broad GRANT Permissions' THEN list_filter(['Grant',
-        CASE WHEN up LIKE '%GRANT ALL%' THEN 'All rights' END, CASE WHEN up LIKE '%PUBLIC%' THEN 'Public role' END], lambda x: x IS NOT NULL)
+      WHEN category = 'Command Injection' THEN CASE WHEN low LIKE '%shell%' AND low LIKE '%true%' THEN ['shell=True'] ELSE [] END
+      WHEN category = 'Over-broad GRANT Permissions' THEN list_filter(['grant',
+        CASE WHEN up LIKE '%GRANT ALL%' THEN 'every privilege' END, CASE WHEN up LIKE '%PUBLIC%' THEN 'everybody' END], lambda x: x IS NOT NULL)
       ELSE [] END AS signals
   FROM variant_of v JOIN templates t ON t_agent = agent AND (
     (t_category = category AND t_variant = variant)

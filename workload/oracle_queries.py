@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from lintlake.functions.rules import BUILTIN_RULES, RULES_BY_AGENT, Rule
 from lintlake.functions.severity import AGENTS, SEVERITIES
+from lintlake.sources.corpus import MAX_FILE_BYTES, SCANNABLE_EXTENSIONS, SKIP_DIRECTORIES
 from workload.oracle import (
-    CONSENSUS, ENRICHED, FILES, PROSE_FILES, base, consensus_sql, facts, matches, merged_sql, q, scan_sql,
+    CONSENSUS, ENRICHED, FILES, PROSE_FILES, base, consensus_sql, facts, matches, merged_sql, q, scan_sql, strings,
 )
 from workload.queries import LATER, RUN_TIME, SHORT, USER_RULES
 
@@ -119,6 +120,12 @@ LOOKAHEAD = [r for r in BUILTIN_RULES if r.has_lookahead]
 
 ORACLE = {
     "scannable_files": f"WITH {FILES.strip()} SELECT repo, path, length FROM files",
+    "skipped_files": f"WITH {FILES.strip()} SELECT * FROM (SELECT repo, path, strlen(content)::BIGINT AS length, CASE "
+                     "WHEN starts_with(repo, '.') THEN 'hidden repository' "
+                     f"WHEN list_has_any(string_split(path, '/')[:-2], {strings(SKIP_DIRECTORIES)}) THEN 'directory' "
+                     f"WHEN regexp_extract(path, '[^/](\\.[^./]+)$', 1) NOT IN ({', '.join(q(e) for e in SCANNABLE_EXTENSIONS)}) "
+                     "THEN 'extension' "
+                     f"WHEN strlen(content) > {MAX_FILE_BYTES} THEN 'size' END AS reason FROM all_files) WHERE reason IS NOT NULL",
     "normalized_text": "SELECT doc_id, len(text)::INT AS n_chars, md5(text) AS digest FROM documents",
     "regex_findings_security": _regex(RULES_BY_AGENT["security"]),
     "regex_findings_privacy": _regex(RULES_BY_AGENT["privacy"]),
@@ -139,6 +146,9 @@ ORACLE = {
     "prose_findings": _regex(BUILTIN_RULES, files=PROSE_FILES),
     "user_rules": _regex(USER, files=PROSE_FILES),
     "consensus_findings": consensus_sql(f"SELECT {AGREED} FROM agreed"),
+    "consensus_reasoned": consensus_sql(
+        "SELECT repo, path, line_number, rule_id, severity, consensus_level, agreeing_agents, findings_merged, "
+        "severity IN ('CRITICAL', 'HIGH') AS reasoned FROM consensus"),
     "consensus_high": consensus_sql(f"SELECT {AGREED} FROM consensus WHERE severity IN ('CRITICAL', 'HIGH')"),
     "consensus_without_syntax": ",\n".join([
         base(syntax=False), "findings AS (SELECT * FROM regex_found)", CONSENSUS.strip()])

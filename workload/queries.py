@@ -19,7 +19,7 @@ from lintlake.plans import audit as plans
 from lintlake.plans import reports
 from lintlake.session import materialize, shared_dir, spread
 from lintlake.sources import log
-from lintlake.sources.corpus import prune, table_corpus
+from lintlake.sources.corpus import prune, skipped_files, table_corpus
 from lintlake.sources.state import RunState
 from lintlake.streaming import scan as streaming
 from workload import corpus as tables
@@ -47,6 +47,10 @@ def scannable_files(spark: SparkSession, sf: str) -> DataFrame:
     return prune(tables.all_files(spark, sf)).select("repo", "path", "length")
 
 
+def skipped_files_of(spark: SparkSession, sf: str) -> DataFrame:
+    return skipped_files(tables.all_files(spark, sf))
+
+
 def normalized_text(spark: SparkSession, sf: str) -> DataFrame:
     """Texts are damaged — other newlines, stray bytes — and must come back whole."""
     docs = spread(tables.documents(spark, sf))
@@ -170,6 +174,14 @@ def reasoning_enriched(spark: SparkSession, sf: str) -> DataFrame:
         F.col("cot.generated_at").alias("generated_at"))
 
 
+def consensus_reasoned(spark: SparkSession, sf: str) -> DataFrame:
+    """What the consensus with reasoning says besides its records."""
+    rich = consensus_with_reasoning(review(tables.scannable(spark, sf)), RUN_TIME)
+    return rich.select(
+        "repo", "path", "line_number", "rule_id", "severity", "consensus_level", _agents(), "findings_merged",
+        F.col("cot").isNotNull().alias("reasoned"))
+
+
 def _merged(spark: SparkSession, sf: str) -> DataFrame:
     rich = consensus_with_reasoning(review(tables.scannable(spark, sf)), RUN_TIME)
     return rich.where(F.col("cot.generated_by_agent") == "consensus")
@@ -380,6 +392,7 @@ def stream_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "scannable_files": scannable_files,
+    "skipped_files": skipped_files_of,
     "normalized_text": normalized_text,
     "regex_findings_security": _regex_of("security"),
     "regex_findings_privacy": _regex_of("privacy"),
@@ -387,6 +400,7 @@ QUERIES = {
     "regex_findings_lookahead": regex_findings_lookahead,
     "suppressed_matches": suppressed_matches,
     "finding_context": finding_context,
+    "consensus_reasoned": consensus_reasoned,
     "findings_sorted_numbered": findings_sorted_numbered,
     "ast_facts": ast_facts,
     "ast_findings_security": _syntax_of("security"),
