@@ -33,8 +33,8 @@ class Rule:
 
     @property
     def java_regex(self) -> str:
-        """``d`` makes newline the only line terminator."""
-        return f"(?d{self.flags}){self.pattern}"
+        """``d`` makes newline the only line terminator, ``U`` the classes and letter case those of Unicode."""
+        return f"(?dU{self.flags}){self.pattern}"
 
     @property
     def has_lookahead(self) -> bool:

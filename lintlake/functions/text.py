@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 # What counts as blank at the ends of evidence, and the sizes at
 # which evidence is shortened.
-BLANKS = " \t\n\x0b\x0c\r"
+BLANKS = (
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000")
 EVIDENCE_CAP = 200
 FINDING_EVIDENCE_CAP = 500
 CONTEXT_LINES = 2

@@ -58,7 +58,7 @@ def _may_match(rule: Rule, anchors: Sequence[str]) -> str:
         for i, group in enumerate(rule.needs) if i > 0 or set(group) != set(own)
     ]
     if rule.gate:
-        tests.append(f"rlike(content, {sql_literal(f'(?di){rule.gate}')})")
+        tests.append(f"rlike(content, {sql_literal(f'(?dUi){rule.gate}')})")
     tests.append(f"rlike(content, {sql_literal(rule.java_regex)})")
     return " AND ".join(tests)
 
@@ -69,7 +69,8 @@ def rule_hits(corpus: DataFrame, rules: Sequence[Rule], *keep: str) -> DataFrame
     tests = ", ".join(f"contains(_lowered, {sql_literal(a)})" for a in anchors)
     cases = ", ".join(f"CASE WHEN {_may_match(rule, anchors)} THEN {i} END" for i, rule in enumerate(rules))
     return (
-        corpus.withColumn("_lowered", F.lower("content"))
+        # Two letters match an ASCII one in any case, yet are not its upper case.
+        corpus.withColumn("_lowered", F.replace(F.replace(F.lower("content"), F.lit("\u017f"), F.lit("s")), F.lit("\u212a"), F.lit("k")))
         .withColumn("_a", F.expr(f"array({tests})").cast("array<boolean>"))
         .select(*keep, F.explode(F.array_compact(F.expr(f"array({cases})"))).alias("rule_ix"))
     )
@@ -80,7 +81,7 @@ def _suppressed(rules: Sequence[Rule], rule_ix: Column, match: Column) -> Column
     condition = F.lit(False)
     for i, rule in enumerate(rules):
         for pattern in rule.suppress:
-            condition = condition | ((rule_ix == i) & F.rlike(match, F.lit(f"(?d){pattern}")))
+            condition = condition | ((rule_ix == i) & F.rlike(match, F.lit(f"(?dU){pattern}")))
     return condition
 
 

@@ -22,12 +22,17 @@ HARD_TEXTS = [
     "GRANT SELECT ON TABLE t;\nGRANT SELECT ON TABLE u\nwhere",
     "café password = 'naïve-secret' # ünïcode\n" * 3,
     "create view  \n secure x",
+    "update üser set a=1;",
+    "CREATE TABLE café (id int);",
+    "eval\u00a0(x)",
+    "paſſword = 'longenough1'",
+    "to\u212aen = 'prod-to\u212aen-value'; print(naïve_email)",
     "￿ password = '￿12345678￿'\n￿eval(￿",
 ]
 
 
 def flags_of(rule):
-    flags = re.ASCII
+    flags = re.UNICODE
     flags |= re.IGNORECASE if "i" in rule.flags else 0
     flags |= re.DOTALL if "s" in rule.flags else 0
     return flags
@@ -67,7 +72,7 @@ def test_needs_never_hide_a_match():
             for m in re.finditer(rule.pattern, code, flags_of(rule)):
                 low = code.lower()
                 assert all(any(w in low for w in group) for group in rule.needs), rule.rule_id
-                assert rule.gate is None or re.search(rule.gate, code, re.I | re.A), rule.rule_id
+                assert rule.gate is None or re.search(rule.gate, code, re.I), rule.rule_id
                 assert m.group(0) != ""
 
 

@@ -65,6 +65,31 @@ PLAIN = {
 }
 
 
+_BLANK = r"\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_UNICODE = {"w": r"\p{L}\p{N}_", "s": _BLANK, "d": r"\p{Nd}"}
+
+
+def unicode_classes(pattern: str) -> str:
+    """The pattern with its class letters spelt out, since here they stand for ASCII only."""
+    out, i, inside = [], 0, False
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\" and i + 1 < len(pattern):
+            letter = pattern[i + 1]
+            if letter in _UNICODE:
+                out.append(_UNICODE[letter] if inside else f"[{_UNICODE[letter]}]")
+            elif letter.lower() in _UNICODE and not inside:
+                out.append(f"[^{_UNICODE[letter.lower()]}]")
+            else:
+                out.append(pattern[i:i + 2])
+            i += 2
+            continue
+        inside = c == "[" or (inside and c != "]")
+        out.append(c)
+        i += 1
+    return "".join(out)
+
+
 def rule_values(rules) -> str:
     ordinals: dict[str, int] = {}
     rows = []
@@ -73,7 +98,7 @@ def rule_values(rules) -> str:
         flags = f"(?{r.flags})" if r.flags else ""
         rows.append((r.rule_id, r.agent, AGENTS.index(r.agent), ordinals[r.agent], r.category, r.severity,
                      SEVERITIES.index(r.severity), r.confidence, r.ref_primary, r.ref_secondary, r.description,
-                     r.advice, flags + PLAIN.get(r.rule_id, r.pattern)))
+                     r.advice, flags + unicode_classes(PLAIN.get(r.rule_id, r.pattern))))
     return values("rules", ["rule_id", "agent", "agent_rank", "rule_ordinal", "category", "severity", "sev_rank",
                             "confidence", "ref_primary", "ref_secondary", "description", "recommendation", "rx"], rows)
 
