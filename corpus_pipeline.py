@@ -46,10 +46,14 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
     segments = segments_of_table(spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    rows = docs.select(F.col("text").alias("t"), F.struct(*docs.columns).alias("row"))
+    rest = F.struct(*(c for c in docs.columns if c != "text"))
+    rows = docs.select(F.col("text").alias("t"), rest.alias("rest"))
     for group in fit_blocks(docs.select(F.col("text").alias("t")), segments):
         rows = searched(rows, group)
-    return rows.where(F.size("items") == 0).select("row.*") if "items" in rows.columns else docs
+    if "items" not in rows.columns:
+        return docs
+    return rows.where(F.size("items") == 0).select(
+        *(F.col("t").alias(c) if c == "text" else F.col(f"rest.{c}").alias(c) for c in docs.columns))
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
