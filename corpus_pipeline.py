@@ -29,18 +29,17 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: the one with the group's smallest id.
 
-    Rows that repeat that id are copies as well; the one whose text comes first
-    stays.  Rows without an id can't be told from each other, and a group of
-    them only keeps its first text.
+    Of rows that repeat that id the one whose text has the smallest hash stays.
+    Rows without an id are in no group; equal texts among them are one row.
     """
-    groups = near_duplicates(docs.where(F.col("doc_id").isNotNull()))
-    chosen = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(chosen, "doc_id", "left_semi")
+    named = docs.where(F.col("doc_id").isNotNull())
+    firsts = near_duplicates(named).where("doc_id = component_id").select("doc_id").distinct()
+    # Ids and hashes decide who stays, so the texts are shuffled once.
+    mark = F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull())
+    chosen = named.select("doc_id", mark.alias("_mark")).join(firsts, "doc_id").groupBy("doc_id").agg(F.min("_mark").alias("_mark"))
+    kept = named.withColumn("_mark", mark).join(chosen, ["doc_id", "_mark"], "left_semi").dropDuplicates(["doc_id", "_mark"])
     nameless = docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"])
-    repeated = kept.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("text").alias("least")).where("n > 1")
-    single = kept.join(repeated, "doc_id", "left_anti")
-    least = kept.join(repeated.select("doc_id", "least"), "doc_id").where(F.col("text").eqNullSafe(F.col("least")))
-    return single.unionByName(least.select(*docs.columns).dropDuplicates(["doc_id"])).unionByName(nameless).select(*docs.columns)
+    return kept.select(*docs.columns).unionByName(nameless)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
