@@ -25,8 +25,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from lintlake.llm.common import documents
 
-SEGMENT_WORDS = 48
-BLOCK_SEGMENTS = 192
+SEGMENT_WORDS = 64
+BLOCK_SEGMENTS = 512
 # Blocks that one pass over the corpus serves; their models are a few MB each.
 BLOCKS_AT_ONCE = 8
 PASSAGE, STRIDE = 64, 16
