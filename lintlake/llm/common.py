@@ -72,6 +72,17 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drawn(df: DataFrame, key: str, most: int) -> DataFrame:
+    """About ``most`` rows, never more than twice that: those whose key hashes low; all rows if there are fewer.
+
+    No task sees more than it draws, and the draw is the same in every run.
+    """
+    share = most / max(1, df.count())
+    if share >= 1:
+        return df
+    return df.where(F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * most)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
