@@ -1,11 +1,11 @@
 """Shards by balanced label propagation.
 
-Texts are nodes, weighted by how many documents hold them.  Two hubs link
-texts that share passages: the smallest hashes, under two seeds, of a text's
-lines.  In each round hubs count the shards of their texts, every text looks
-for the shard where most of its neighbours are, and texts move under quotas:
-what two shards want to exchange is exchanged, and beyond that only free room is
-given.  At last the documents are put in the order of shard, hub and text, and
+Texts are nodes, weighted by how many documents hold them.  Every passage, a
+line or a sentence, that stands in two texts or more is a hub which links them.
+In each round hubs count the shards of their texts, every text looks for the
+shard where most of its neighbours are, over all its hubs, and texts move under
+quotas: what two shards want to exchange is exchanged, and beyond that only free
+room is given.  At last the documents are put in the order of shard, hub and text, and
 that order is cut into eight runs whose sizes differ by one at most; so equal
 texts stay together but for the seven cuts.
 """
@@ -23,17 +23,41 @@ SHARDS = 8
 ROUNDS = 3
 # Room above an even share that a shard may fill while labels move.
 SLACK = 0.02
-# Lines shorter than this link nothing.
+# Lines and sentences shorter than this link nothing.
 LINK_CHARS = 40
+SENTENCES = r"\n|(?<=[.!?])[ \t]+|(?<=[。！？])"
+# Parts in which the texts of a hub are dealt out; bits of one number.
+PARTS = 64
 # Rows that one task orders at once, about; larger hubs and texts are split.
 ROWS_PER_BUCKET = 16_000
 MOST_BUCKETS = 8_192
 
 
-def _hub(lines: Column, seed: int, node: Column) -> Column:
-    """Smallest hash of the lines under a seed; the node itself without a long line."""
-    least = F.array_min(F.transform(lines, lambda line: F.xxhash64(F.lit(seed), line)))
-    return F.coalesce(least, node)
+def passages(text: Column) -> Column:
+    """Hashes of the distinct lines and sentences of a text, but for short ones."""
+    both = F.concat(F.split(text, "\n"), F.split(text, SENTENCES))
+    return F.array_distinct(F.transform(F.filter(both, lambda x: F.length(x) >= LINK_CHARS), lambda x: F.xxhash64(x)))
+
+
+def _parts() -> Column:
+    """The parts of a hub that hold texts, as bits; an aggregate over ``part``."""
+    return F.bit_or(F.expr("shiftleft(1L, part)"))
+
+
+def _each_part(mask: Column) -> Column:
+    return F.explode(F.filter(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda i: F.getbit(mask, i) == 1))
+
+
+def links(held: DataFrame) -> DataFrame:
+    """``(node, hub, part)`` of every passage that two or more nodes of ``held`` (node, hubs) hold.
+
+    A passage that very many texts hold is met in parts, each by a join of its own.
+    """
+    pairs = held.select("node", F.explode("hubs").alias("hub")).withColumn(
+        "part", F.pmod(F.xxhash64("node"), F.lit(PARTS)).cast("int"))
+    shared = pairs.groupBy("hub").agg(F.min("node").alias("a"), F.max("node").alias("b"), _parts().alias("mask")).where("a < b")
+    return pairs.join(shared.select("hub", _each_part(F.col("mask")).alias("part")), ["hub", "part"]).select(
+        "node", "hub", "part").distinct()
 
 
 def quotas(wants: dict[tuple[int, int], int], sizes: dict[int, int], shards: int, slack: float) -> dict[tuple[int, int], float]:
@@ -52,20 +76,24 @@ def quotas(wants: dict[tuple[int, int], int], sizes: dict[int, int], shards: int
     return {k: granted[k] / wants[k] for k in wants if wants[k]}
 
 
-def _propagated(nodes: DataFrame, shards: int, slack: float, round_: int) -> DataFrame:
-    """One round over ``nodes`` (node, weight, h1, h2, shard)."""
-    for hub in ("h1", "h2"):
-        counts = nodes.groupBy(hub).agg(*(
-            F.sum(F.when(F.col("shard") == s, F.col("weight")).otherwise(0)).alias(f"{hub}_{s}") for s in range(shards)))
-        nodes = nodes.join(counts, hub)
+def _propagated(nodes: DataFrame, edges: DataFrame, shards: int, slack: float, round_: int) -> DataFrame:
+    """One round over ``nodes`` (node, weight, h1, shard) and ``edges`` (node, hub, part)."""
+    counts = edges.join(nodes.select("node", "weight", "shard"), "node").groupBy("hub").agg(
+        *(F.sum(F.when(F.col("shard") == s, F.col("weight")).otherwise(0)).alias(f"n{s}") for s in range(shards)),
+        _parts().alias("mask"))
+    counts = counts.select("hub", _each_part(F.col("mask")).alias("part"), *(f"n{s}" for s in range(shards)))
+    near = edges.join(counts, ["hub", "part"]).groupBy("node").agg(
+        F.count("*").alias("hubs"), *(F.sum(f"n{s}").alias(f"n{s}") for s in range(shards)))
+    nodes = nodes.join(near, "node", "left").fillna(0, ["hubs", *(f"n{s}" for s in range(shards))])
+    # A text is no neighbour of itself.
     around = [
-        F.col(f"h1_{s}") + F.col(f"h2_{s}") - F.when(F.col("shard") == s, 2 * F.col("weight")).otherwise(0)
+        F.col(f"n{s}") - F.when(F.col("shard") == s, F.col("hubs") * F.col("weight")).otherwise(0)
         for s in range(shards)]
     most = F.greatest(*around)
     here = reduce(lambda a, s: F.when(F.col("shard") == s, around[s]).otherwise(a), range(shards), F.lit(0))
     best = F.coalesce(*(F.when(around[s] == most, s) for s in range(shards)))
     wished = stored(nodes.select(
-        "node", "weight", "h1", "h2", "shard", F.when(most > here, best).otherwise(F.col("shard")).alias("wish")), "wishes")
+        "node", "weight", "h1", "shard", F.when(most > here, best).otherwise(F.col("shard")).alias("wish")), "wishes")
     table = wished.groupBy("shard", "wish").agg(F.sum("weight").alias("n")).collect()
     sizes: dict[int, int] = {}
     for r in table:
@@ -75,7 +103,7 @@ def _propagated(nodes: DataFrame, shards: int, slack: float, round_: int) -> Dat
     share = reduce(
         lambda a, kv: F.when((F.col("shard") == kv[0][0]) & (F.col("wish") == kv[0][1]), kv[1]).otherwise(a),
         sorted(shares.items()), F.lit(0.0))
-    return wished.select("node", "weight", "h1", "h2", F.when(draw < share, F.col("wish")).otherwise(F.col("shard")).alias("shard"))
+    return wished.select("node", "weight", "h1", F.when(draw < share, F.col("wish")).otherwise(F.col("shard")).alias("shard"))
 
 
 def _positions(rows: DataFrame, total: int, rows_per_bucket: int) -> DataFrame:
@@ -118,22 +146,20 @@ def shards(
     an empty result.  Other columns are not read.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    long_lines = F.filter(F.split(text, "\n"), lambda line: F.length(line) >= LINK_CHARS)
-    base = docs.select(
+    base = stored(docs.select(
         F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("node"), long_lines.alias("lines"))
-    base = stored(base.select(
-        "id", "size", "text_crc32", "node", _hub(F.col("lines"), 1, F.col("node")).alias("h1"),
-        _hub(F.col("lines"), 2, F.col("node")).alias("h2")), "documents")
+        F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("node"), passages(text).alias("hubs")), "documents")
     total = base.count()
-    nodes = base.groupBy("node").agg(F.count("*").alias("weight"), F.min("h1").alias("h1"), F.min("h2").alias("h2"))
+    edges = stored(links(base.select("node", "hubs")), "links")
+    nodes = base.groupBy("node").agg(F.count("*").alias("weight")).join(
+        edges.groupBy("node").agg(F.min("hub").alias("h1")), "node", "left").withColumn("h1", F.coalesce("h1", "node"))
     nodes = nodes.withColumn("shard", F.pmod(F.xxhash64("h1"), F.lit(count)).cast("int"))
     for round_ in range(rounds):
-        nodes = _propagated(nodes, count, SLACK, round_)
+        nodes = _propagated(nodes, edges, count, SLACK, round_)
     nodes = stored(nodes, "labels")
     hubs = nodes.groupBy("h1").agg(F.sum("weight").alias("hub_rows"))
-    labels = nodes.join(hubs, "h1").select("node", "weight", "hub_rows", F.col("shard").alias("label"))
-    placed = _positions(base.drop("h2").join(labels, "node"), total, rows_per_bucket)
+    labels = nodes.join(hubs, "h1").select("node", "weight", "hub_rows", F.col("shard").alias("label"), "h1")
+    placed = _positions(base.drop("hubs").join(labels, "node"), total, rows_per_bucket)
     share, more = divmod(total, count)
     position, edge = F.col("position"), more * (share + 1)
     shard = F.when(position < edge, F.floor(position / (share + 1))).otherwise(

@@ -10,6 +10,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lintlake.llm import decontamination as deco
 from lintlake.llm import (
@@ -129,6 +130,25 @@ def test_quotas_exchange_and_fill():
     assert shares[(1, 0)] == 1 and 20 / 50 <= shares[(0, 1)] <= 30 / 50 and shares[(2, 1)] <= 1
 
 
+def test_every_shared_passage_links(spark):
+    def sentence(*key):
+        draw = random.Random(str(key))
+        return "".join(draw.choice("abcdefgh ") for _ in range(60)).strip().ljust(50, "x") + "."
+
+    # Groups of texts with one passage in common among many of their own; half of them without line breaks.
+    rows = []
+    for i in range(320):
+        own = [sentence(i, k) for k in range(40)]
+        own[i % 37] = sentence("group", i % 32)
+        rows.append((i, (" " if i % 32 < 16 else "\n").join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    shard = {r["doc_id"]: r["shard"] for r in sharding.shards(docs).collect()}
+    together = [sum(shard[i] == shard[j] for i in range(g, 320, 32) for j in range(g, i, 32)) / 45 for g in range(32)]
+    assert sum(together[:16]) / 16 > 0.7 and sum(together[16:]) / 16 > 0.7
+    held = docs.select(F.xxhash64("text").alias("node"), sharding.passages(F.col("text")).alias("hubs"))
+    assert sharding.links(held).count() == 320
+
+
 def test_a_third_of_all_rows_is_one_text(spark):
     docs = spark.createDataFrame([(i, "copy of one text " * 5 if i % 3 == 0 else f"text number {i} stands alone here " * 4, "s") for i in range(900)], "doc_id long, text string, source string")
     rows = sharding.shards(docs, rows_per_bucket=20).collect()
