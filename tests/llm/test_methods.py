@@ -78,6 +78,18 @@ def test_attention_learns():
     assert model.text(kinds) > before / 4
 
 
+def test_every_training_subword_is_a_target(spark, small, texts):
+    from sentencepiece import SentencePieceProcessor
+
+    path = token_counts.model_path()
+    library = SentencePieceProcessor(model_file=path)
+    size = library.get_piece_size()
+    windows = lm_scoring.training_windows(small.select(F.col("text").alias("t")), path, lm_scoring.Classes(np.ones(size), 1)).collect()
+    expected = sum(len(library.encode(" ".join(lowered(t).split()))) + 1 for t in texts.values())
+    assert sum(sum(k != lm_scoring.PAD for k in r["y"]) for r in windows) == pytest.approx(expected, rel=0.01)
+    assert all(len(r["x"]) == lm_scoring.WINDOW and len(r["y"]) == lm_scoring.BLOCK for r in windows)
+
+
 def test_class_shares_sum_to_one():
     classes = lm_scoring.Classes(np.arange(1000.0), 7)
     assert np.allclose(np.bincount(classes.kind, weights=np.exp(classes.share)), 1)
