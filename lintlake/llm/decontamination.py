@@ -8,8 +8,10 @@ the sums give the leading singular vectors (single-pass Nystroem form of the
 randomised SVD).  The block's own segments enter with equal weight, so the space
 keeps what tells them apart.  The last pass projects overlapping passages of
 every document and takes those whose cosine with a segment is high enough as
-candidates.  Candidates are decided by the longest common subsequence of words
-and by how much of the segment's end, its answer, is among them.
+candidates; so are the places where some consecutive words of a segment stand,
+however common these are.  Candidates are decided by the longest common
+subsequence of words and by how much of the segment's end, its answer, is among
+them.
 """
 
 from __future__ import annotations
@@ -30,13 +32,16 @@ BLOCK_SEGMENTS = 512
 # Blocks that one pass over the corpus serves; their models are a few MB each.
 BLOCKS_AT_ONCE = 8
 PASSAGE, STRIDE = 64, 16
-# Terms in more than this share of the documents tell nothing apart.
-COMMON = 0.05
+# Terms in more than this share of the documents tell nothing apart, but each
+# segment keeps the rarer half of its terms, however common they are.
+COMMON, LEAST_TERMS, LEAST_IDF = 0.05, 0.5, 0.05
 EXTRA_DIMENSIONS = 64
 COSINE = 0.5
 # Share of a segment's words in the common subsequence: enough alone, or with the answer.
 LCS_ALONE, LCS_WITH_ANSWER = 0.8, 0.6
 ANSWER_WORDS, ANSWER_SHARE = 8, 0.5
+# So many consecutive words of a segment make a place a candidate.
+SEED_WORDS = 3
 # Segments shorter than this must stand word by word.
 SHORT = 8
 _WORDS_AT_ONCE = 100_000
@@ -100,15 +105,53 @@ class Block:
     def __init__(self, segments: list[tuple[int, list[bytes]]]):
         self.segments = segments
         self.places = [(places_of(words), places_of(words[-ANSWER_WORDS:])) for _, words in segments]
-        self.terms = {w: i for i, w in enumerate(sorted({w for _, words in segments for w in words}))}
+        self.words = {w: i for i, w in enumerate(sorted({w for _, words in segments for w in words}))}
+        self.terms = self.words
+        self.seeds = [self._seeds(n) for n in range(1, SEED_WORDS + 1)]
+
+    def _key(self, numbers: np.ndarray, n: int) -> np.ndarray:
+        """One number for each ``n`` consecutive ones."""
+        key, size = np.zeros(max(0, len(numbers) - n + 1), np.int64), len(numbers)
+        for i in range(n):
+            key = key * len(self.words) + numbers[i:size - n + 1 + i]
+        return key
+
+    def _seeds(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted keys of runs of ``n`` words, and the segment and offset of each; fewer words only of segments as short."""
+        found = []
+        for s, (_, words) in enumerate(self.segments):
+            if n == min(SEED_WORDS, len(words)):
+                key = self._key(np.array([self.words[w] for w in words], np.int64), n)
+                found += [(k, s, i) for i, k in enumerate(key.tolist())]
+        table = np.array(sorted(found), np.int64).reshape(-1, 3)
+        return table[:, 0], table[:, 1], table[:, 2]
+
+    def seeded(self, positions: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(position, segment, offset in it) of all runs of words that stand in a segment."""
+        found = [(np.zeros(0, np.int64),) * 3]
+        for n, (keys, segment, offset) in enumerate(self.seeds, 1):
+            if len(keys) and len(numbers) >= n:
+                here = np.flatnonzero(positions[n - 1:] - positions[:len(positions) - n + 1] == n - 1)
+                key = self._key(numbers.astype(np.int64), n)[here]
+                low, high = np.searchsorted(keys, key), np.searchsorted(keys, key, side="right")
+                times = high - low
+                which = np.repeat(low - np.cumsum(times) + times, times) + np.arange(times.sum())
+                found.append((np.repeat(positions[here], times), segment[which], offset[which]))
+        return tuple(map(np.concatenate, zip(*found)))
 
     def weigh(self, frequency: np.ndarray, total: int) -> None:
-        """Inverse document frequencies; common terms leave the space."""
-        idf = np.log((total + 1) / (frequency + 1))
-        idf[frequency > COMMON * total] = 0
-        kept = np.flatnonzero(idf > 0)
+        """Inverse document frequencies; common terms leave the space unless too few of a segment's would stay."""
+        idf = np.maximum(np.log((total + 1) / (frequency + 1)), LEAST_IDF)
+        keep = frequency <= COMMON * total
+        for _, words in self.segments:
+            own = np.array(sorted({self.words[w] for w in words}), np.int64)
+            own = own[np.argsort(frequency[own], kind="stable")]
+            keep[own[:int(np.ceil(LEAST_TERMS * len(own)))]] = True
+        kept = np.flatnonzero(keep)
         names = sorted(self.terms)
         self.terms = {names[i]: n for n, i in enumerate(kept)}
+        self.inner = np.full(len(names), -1, np.int32)
+        self.inner[kept] = np.arange(len(kept))
         self.idf = idf[kept]
         width = min(len(kept), len(self.segments) + EXTRA_DIMENSIONS)
         self.random = np.random.default_rng(5).standard_normal((len(kept), width)).astype(np.float32)
@@ -135,7 +178,6 @@ class Block:
         self.space = (self.idf[:, None] * basis).astype(np.float32)
         latent = own @ basis
         size = np.linalg.norm(latent, axis=1)
-        self.alone = np.flatnonzero(size < 1e-9)
         self.latent = (latent / np.maximum(size, 1e-9)[:, None]).astype(np.float32)
         self.random = None
 
@@ -243,8 +285,11 @@ def fit_blocks(texts: DataFrame, segments: list[tuple[int, list[bytes]]]) -> lis
 def _found(block: Block, texts: list, cosine: float) -> list[dict[int, tuple[float, float]]]:
     """Of each text: item to (share in common, cosine) of verified candidates."""
     out: list[dict[int, tuple[float, float]]] = [{} for _ in texts]
-    for first, lists, positions, numbers, starts in _laid_out(texts, block.terms, PASSAGE, STRIDE):
+    for first, lists, positions, numbers, starts in _laid_out(texts, block.words, PASSAGE, STRIDE):
         pairs = []
+        place, segment, offset = block.seeded(positions, numbers)
+        inner = block.inner[numbers]
+        positions, numbers = positions[inner >= 0], inner[inner >= 0]
         if len(numbers):
             # Passages that hold a known term; the first one is followed by those that overlap it.
             last = positions // STRIDE
@@ -266,13 +311,18 @@ def _found(block: Block, texts: list, cosine: float) -> list[dict[int, tuple[flo
             share = verified(words, *block.places[s], lists[d][max(0, at - STRIDE):at + PASSAGE + STRIDE])
             if share:
                 out[first + d][item] = (share, -cos)
-        # Segments of common words only have no place in the space; they are looked up as they stand.
-        for s in block.alone.tolist():
+        # Seeds of one segment that are about equally shifted make one candidate.
+        doc = np.searchsorted(starts, place, side="right") - 1
+        shift = (place - np.array(starts, np.int64)[doc] - offset) // STRIDE
+        seeds = np.unique(np.stack([doc, segment, shift], axis=1), axis=0)
+        for d, s, at in seeds.tolist():
             item, words = block.segments[s]
-            plain = b" " + b" ".join(words) + b" "
-            for d, lst in enumerate(lists):
-                if item not in out[first + d] and plain in b" " + b" ".join(lst) + b" ":
-                    out[first + d][item] = (1.0, 1.0)
+            if item in out[first + d]:
+                continue
+            at *= STRIDE
+            share = verified(words, *block.places[s], lists[d][max(0, at - STRIDE):at + len(words) + 2 * STRIDE])
+            if share:
+                out[first + d][item] = (share, 0.0)
     return out
 
 

@@ -206,6 +206,19 @@ def test_benchmark_passages_are_found(spark, small, texts):
     assert there <= found and (10_001, 0) in found and len(found - there) <= 3
 
 
+def test_passage_that_many_documents_share_is_found_with_edits(spark, small):
+    benchmark = spark.read.parquet(f"{SF}/benchmark.parquet")
+    item = deco.words_of(benchmark.where("item_id = 0").first()["text"])
+    draw = random.Random(8)
+    edited = [b" ".join(b"other" if draw.random() < 0.25 else w for w in item).decode() for _ in range(20)]
+    planted = [(20_000 + i, "Before it. " * 30 + b" ".join(item).decode() + " and after." * 30) for i in range(40)]
+    planted += [(30_000 + i, "Before it. " * 30 + e + " and after." * 30) for i, e in enumerate(edited)]
+    docs = small.select("doc_id", "text").union(spark.createDataFrame(planted, "doc_id long, text string"))
+    found = {r["doc_id"] for r in deco.contaminated(docs, benchmark).collect() if 0 in r["items"]}
+    lcs = {30_000 + i for i, e in enumerate(edited) if deco.common_length(deco.places_of(item), len(item), e.encode().split()) >= 0.8 * len(item)}
+    assert lcs and {20_000 + i for i in range(40)} | lcs <= found
+
+
 def test_common_subsequence_is_brute_force():
     draw = random.Random(2)
     for _ in range(300):
