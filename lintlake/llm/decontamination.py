@@ -1,7 +1,7 @@
 """Benchmark passages in documents, by latent semantic retrieval.
 
-Benchmark items become segments of a few dozen words, and segments are taken in
-blocks.  A block's terms span a TF-IDF space.  One pass counts in how many
+Benchmark items become overlapping segments of a few dozen words, and segments
+are taken in blocks.  A block's terms span a TF-IDF space.  One pass counts in how many
 documents each term stands; a second one sketches the matrix of all corpus
 passages: every task multiplies its passages with a random matrix and back, and
 the sums give the leading singular vectors (single-pass Nystroem form of the
@@ -11,7 +11,7 @@ every document and takes those whose cosine with a segment is high enough as
 candidates; so are the places where some consecutive words of a segment stand,
 however common these are.  Candidates are decided by the longest common
 subsequence of words and by how much of the segment's end, its answer, is among
-them.
+them, or by a run of consecutive words in common.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from lintlake.llm.common import documents
 
-SEGMENT_WORDS = 64
+SEGMENT_WORDS, SEGMENT_STRIDE = 64, 32
 BLOCK_SEGMENTS = 512
 # Blocks that one pass over the corpus serves; their models are a few MB each.
 BLOCKS_AT_ONCE = 8
@@ -40,6 +40,8 @@ COSINE = 0.5
 # Share of a segment's words in the common subsequence: enough alone, or with the answer.
 LCS_ALONE, LCS_WITH_ANSWER = 0.8, 0.6
 ANSWER_WORDS, ANSWER_SHARE = 8, 0.5
+# So many consecutive words of a segment are enough, too.
+RUN_WORDS = 13
 # So many consecutive words of a segment make a place a candidate.
 SEED_WORDS = 3
 # Segments shorter than this must stand word by word.
@@ -54,11 +56,13 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def segments_of(item: int, text: str | None) -> list[tuple[int, list[bytes]]]:
-    """Parts of nearly equal length of an item's words."""
+    """An item's words, or windows of them of which each overlaps the next by half at least."""
     words = words_of(text)
-    count = -(-len(words) // SEGMENT_WORDS)
-    cuts = [len(words) * i // max(1, count) for i in range(count + 1)]
-    return [(item, words[a:b]) for a, b in zip(cuts, cuts[1:])]
+    more = len(words) - SEGMENT_WORDS
+    if more <= 0:
+        return [(item, words)] if words else []
+    count = -(-more // SEGMENT_STRIDE)
+    return [(item, words[a:a + SEGMENT_WORDS]) for a in (more * i // count for i in range(count + 1))]
 
 
 def places_of(segment: list[bytes]) -> dict[bytes, int]:
@@ -83,14 +87,21 @@ def common_length(places: dict[bytes, int], length: int, region: list[bytes], le
     return length - open_.bit_count()
 
 
+def has_run(segment: list[bytes], region: list[bytes]) -> bool:
+    """Whether ``RUN_WORDS`` consecutive words of the segment stand in the region."""
+    whole = b" " + b" ".join(region) + b" "
+    return any(
+        b" " + b" ".join(segment[i:i + RUN_WORDS]) + b" " in whole for i in range(len(segment) - RUN_WORDS + 1))
+
+
 def verified(segment: list[bytes], places: dict[bytes, int], answer: dict[bytes, int], region: list[bytes]) -> float:
     """Share of the segment found in the region if that makes it a copy or a paraphrase, else 0."""
     size = len(segment)
     if size < SHORT:
         whole = b" " + b" ".join(region) + b" "
         return 1.0 if b" " + b" ".join(segment) + b" " in whole else 0.0
-    share = common_length(places, size, region, int(LCS_WITH_ANSWER * size)) / size
-    if share >= LCS_ALONE:
+    share = common_length(places, size, region, min(RUN_WORDS, int(LCS_WITH_ANSWER * size))) / size
+    if share >= LCS_ALONE or share * size >= RUN_WORDS and has_run(segment, region):
         return share
     if share >= LCS_WITH_ANSWER:
         length = len(segment[-ANSWER_WORDS:])

@@ -219,6 +219,19 @@ def test_passage_that_many_documents_share_is_found_with_edits(spark, small):
     assert lcs and {20_000 + i for i in range(40)} | lcs <= found
 
 
+def test_excerpts_of_items_are_found(spark, small):
+    draw = random.Random(9)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(6))
+    long, short = [word() for _ in range(128)], [word() for _ in range(64)]
+    benchmark = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(short))], "item_id long, text string")
+    excerpts = [(1, long[26:115], 1), (2, short[5:43], 2), (3, short[:45], 2), (4, long[60:73], 1), (5, short[20:32], None)]
+    docs = spark.createDataFrame(
+        [(i, " ".join([*(word() for _ in range(100)), *e, *(word() for _ in range(100))])) for i, e, _ in excerpts]
+        + [(10 + i, " ".join(word() for _ in range(200))) for i in range(40)], "doc_id long, text string")
+    found = {r["doc_id"]: r["items"] for r in deco.contaminated(docs, benchmark).collect()}
+    assert all(found[i] == ([item] if item else []) for i, _, item in excerpts)
+
+
 def test_common_subsequence_is_brute_force():
     draw = random.Random(2)
     for _ in range(300):
