@@ -3,8 +3,9 @@
 Patterns with checks give the base spans.  High-recall generators propose
 further spans, which may overlap: anything like an address, a number or a
 credential.  Boosted trees judge each from its format and its surroundings.
-They learn from the corpus itself: proposals that a strict check confirms are
-positive, the rest are not.  The threshold is calibrated on proposals kept apart, for a stated precision.
+They learn from the corpus itself: proposals that a strict check or a weak rule
+of words before them confirms are positive, those of the same form without such
+words are left out, and the rest are not.  The threshold is calibrated on proposals kept apart, for a stated precision.
 """
 
 from __future__ import annotations
@@ -33,6 +34,12 @@ NUMBER = re.compile(r"[+(]{0,2}[0-9](?:[ ().:/-]{0,2}[0-9]){6,40}")
 SECRET = re.compile(r"[A-Za-z0-9+/_=-]{16,256}")
 # A credential by strict check: a named value in quotes.
 NAMED = re.compile(r"(?:token|secret|password|passwd|key|auth)\w{0,16} {0,2}[:=] {0,2}[\"']$", re.IGNORECASE)
+# Weak rules: the form of an address, and what stands before a contact, a number and a value without quotes.
+OBFUSCATED = re.compile(r"(?:\(at\)|\[at\]).*(?:\.|\(dot\)|\[dot\])")
+REACH = re.compile(r"(?:mail|contact|write|reach)\w{0,4}\W{1,3}(?:\w{1,8}\W{1,2}){0,3}$", re.IGNORECASE)
+CALL = re.compile(r"(?:tel|phone|call|fax|mobile|card|visa|account|iban)\w{0,6}\W{0,3}(?:[A-Za-z]{1,8}\W{1,2}){0,3}$", re.IGNORECASE)
+UNQUOTED = re.compile(r"(?:token|secret|password|passwd|key|auth)\w{0,16} {0,2}[:=] {0,2}$", re.IGNORECASE)
+_OWN_NAME = re.compile(r"\w{0,16}(?:token|secret|password|passwd|key|auth)\w{0,16}=[^=]", re.IGNORECASE)
 _WORDS_BEFORE = re.compile(r"mail|contact|write|tel|phone|call|fax|mobile|card|visa|account|iban|token|secret|password|key|ssn|passport|id\b", re.IGNORECASE)
 
 # The trees are fitted on the proposals of about so many documents, at most twice as many, drawn by the hash of their id.
@@ -107,15 +114,30 @@ def describe(text: str, span: Span) -> tuple[float, ...]:
         float(body[0] == "+"), body.count("@"), len(groups), max(groups, default=0), min(groups, default=0),
         sum(c in "0123456789abcdef" for c in body) / size, len(hint), float("=" in before or ":" in before),
         float(before[-1:] in ("'", '"')), float(after[:1] in ("'", '"')), float(before[-1:].isalnum()),
-        float(after[:1].isalnum()), float(before[-1:] == " "), float(12 <= len(number) <= 19 and _luhn(number)))
+        float(after[:1].isalnum()), float(before[-1:] == " "), float(12 <= len(number) <= 19 and _luhn(number)),
+        float(bool(OBFUSCATED.search(body))), float(bool(REACH.search(before))), float(bool(CALL.search(before))),
+        float(bool(UNQUOTED.search(before)) or bool(_OWN_NAME.match(body))), float(bool(NAMED.search(before))), len(number))
 
 
-def confirmed(text: str, span: Span, base: list[Span]) -> bool:
-    """Whether a strict check stands behind a proposal."""
+def confirmed(text: str, span: Span, base: list[Span]) -> bool | None:
+    """Whether a strict check or a weak rule stands behind a proposal; None if it has the form only."""
     if any(b.start < span.end and span.start < b.end for b in base):
         return True
-    body = text[span.start:span.end]
-    return span.kind == "secret" and len(body) >= 20 and bool(NAMED.search(text[max(0, span.start - 40):span.start]))
+    body, before = text[span.start:span.end], text[max(0, span.start - AROUND):span.start]
+    if span.kind == "contact" and OBFUSCATED.search(body):
+        return True if REACH.search(before) else None
+    if span.kind == "number":
+        digits = len(_digits(body))
+        if digits <= 19 and CALL.search(before):
+            return True
+        grouped = len(re.findall("[0-9]+", body)) >= 3 and 9 <= digits <= 19
+        return None if grouped or 12 <= digits <= 19 or body[0] in "+(" else False
+    if span.kind == "secret":
+        if UNQUOTED.search(before) or _OWN_NAME.match(body):
+            return True
+        if NAMED.search(before):
+            return True if len(body) >= 20 else None
+    return False
 
 
 class Judge:
@@ -159,8 +181,8 @@ def fit_judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
 
     def row(_, key, text, h):
         base = base_spans(text)
-        spans = proposals(text)
-        return h, [list(describe(text, s)) for s in spans], [float(confirmed(text, s, base)) for s in spans]
+        known = [(s, y) for s in proposals(text) if (y := confirmed(text, s, base)) is not None]
+        return h, [list(describe(text, s)) for s, _ in known], [float(y) for _, y in known]
 
     found = map_rows(chosen, row, "h long, x array<array<double>>, y array<double>").collect()
     found.sort(key=lambda r: r.h)

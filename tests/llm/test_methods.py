@@ -369,6 +369,31 @@ def test_personal_judge_finds_credentials(spark):
     assert all(not r["spans"] for r in rows if not plain.search(texts[r["doc_id"]]))
 
 
+def test_personal_judge_learns_every_added_kind(spark, small):
+    draw = random.Random(12)
+    pick = lambda chars, n: "".join(draw.choice(chars) for _ in range(n))
+    letters, digits = "abcdefghijklmnop", "23456789"
+    makers = [
+        ("contact", "write to ", lambda: f"{pick(letters, 6)} (at) {pick(letters, 7)} (dot) org"),
+        ("number", "call ", lambda: f"{pick(digits, 3)} {pick(digits, 3)} {pick(digits, 4)}"),
+        ("number", "account number ", lambda: pick(digits, 11)),
+        ("secret", "password: ", lambda: pick(letters + digits, 22) + "7q")]
+    rows, wanted = [], {}
+    for i in range(400):
+        kind, before, make = makers[i % 4]
+        value = make()
+        lead = f"Some text number {i} here, {before}"
+        rows.append((50_000 + i, f"{lead}{value} or not. Made on 2021-0{i % 9 + 1}-1{i % 7} as item 4{i:07d} of all."))
+        wanted[50_000 + i] = (i % 4, f"{kind}:{len(lead)}:{len(lead) + len(value)}")
+    planted = spark.createDataFrame(rows, "doc_id long, text string")
+    learnt, apart = planted.where("doc_id < 50300"), planted.where("doc_id >= 50300")
+    judge = personal.fit_judge(small.select("doc_id", "text").union(learnt))
+    found = {r["doc_id"]: r["spans"].split(",") for r in personal.personal_data(apart, judge).collect()}
+    for k in range(4):
+        assert np.mean([s in found[i] for i, (j, s) in wanted.items() if j == k and i in found]) > 0.8
+    assert np.mean([len(x) for x in found.values()]) < 1.2
+
+
 def test_line_rules_equal_sql(spark, small):
     con = duck(SF)
     for limit in (line_rules.LINE_LIMIT, 1):
