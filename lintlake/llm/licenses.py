@@ -88,8 +88,8 @@ def fuzzy_spans(joined: bytes, compiled: list) -> list[tuple[str, int, int, int]
         for start, end in _joined(windows):
             text = joined[start:end].decode("utf-8", "ignore")
             # A cut character at the window's start would shift offsets, so they are taken from its bytes.
-            for hit in pattern.finditer(text):
-                lead = len(joined[start:end]) - len(text.encode())
+            lead = len(joined[start:end]) - len(text.encode())
+            for hit in _hits(pattern, text):
                 first = start + lead + len(text[:hit.start()].encode())
                 last = start + lead + len(text[:hit.end()].encode())
                 spans.add((label, _word_at(joined, first), _word_at(joined, max(first, last - 1)) + 1,
@@ -97,6 +97,18 @@ def fuzzy_spans(joined: bytes, compiled: list) -> list[tuple[str, int, int, int]
     return sorted(spans)
 
 
+def _hits(pattern, text: str) -> list:
+    """Best matches that do not overlap: after each one the text on both sides is searched, too."""
+    hits, rest = [], [(0, len(text))]
+    while rest:
+        start, end = rest.pop()
+        hit = pattern.search(text, start, end)
+        if hit and hit.end() > hit.start():
+            hits.append(hit)
+            rest += [(start, hit.start()), (hit.end(), end)]
+    return hits
+
+
 def _joined(windows: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Overlapping windows as one."""
     out: list[tuple[int, int]] = []

@@ -286,6 +286,12 @@ def test_notices_with_errors():
     assert licenses.scan("nothing of the kind", compiled)[5:7] == ("", 0.0)
 
 
+def test_notices_that_stand_together():
+    text = "gnu genral public licens gnu general public license gnu genera public license"
+    spans = [s for s in licenses.scan(text, licenses.verifiers())[7] if s["label"] == "gpl"]
+    assert [s["first_word"] for s in spans] == [0, 4, 8]
+
+
 @pytest.mark.parametrize("words, errors", [("abcdefghij", 2), ("mozilla public license", 2)])
 def test_pieces_miss_no_place(words, errors):
     draw = random.Random(5)
