@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from lintlake.llm import decontamination, licenses, line_rules, lm_scoring, packing, personal, quality, sharding, simhash, token_counts
+from lintlake.llm import (
+    decontamination, licenses, line_rules, line_runs, lm_scoring, packing, personal, quality, sharding, simhash,
+    token_counts, variants, whitening)
 
 QUERIES = {
     "op1_lm_scoring": lm_scoring.op1_lm_scoring,
@@ -15,7 +17,11 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op10_line_quality": line_rules.op10_line_quality,
     "op2_token_counts": token_counts.op2_token_counts,
+    "op11_whitening": whitening.op11_whitening,
+    "op12_line_dedup": line_runs.op12_line_dedup,
+    "op13_spelling_variants": variants.op13_spelling_variants,
 }
 ORACLE = {
     "op10_line_quality": line_rules.OP10_SQL,
+    "op12_line_dedup": line_runs.OP12_SQL,
 }

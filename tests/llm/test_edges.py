@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lintlake.llm import (
-    decontamination, licenses, line_rules, lm_scoring, packing, personal, quality, sharding, simhash, token_counts)
+    decontamination, licenses, line_rules, line_runs, lm_scoring, packing, personal, quality, sharding, simhash, token_counts)
 from tests.llm.conftest import ODD, SCHEMA
 
 IDS = sorted((r[0] for r in ODD), key=lambda x: (x is None, x))
@@ -28,10 +28,11 @@ def operators(spark, labels):
         "simhash": simhash.near_duplicates,
         "personal": lambda d: personal.personal_data(d, personal.fit_judge(d)),
         "lines": line_rules.line_quality,
+        "runs": line_runs.without_frequent_lines,
     }
 
 
-NAMES = ["lm", "tokens", "shards", "pack", "decontaminate", "quality", "licenses", "simhash", "personal", "lines"]
+NAMES = ["lm", "tokens", "shards", "pack", "decontaminate", "quality", "licenses", "simhash", "personal", "lines", "runs"]
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -68,6 +69,8 @@ def test_odd_rows(spark, odd, labels, name):
     if name == "lines":
         assert by[1][0]["base_failed"] and not by[1][0]["kept"] and by[1][0]["n_words"] == 0
         assert by[5][0]["n_repeat_words"] == 90
+    if name == "runs":
+        assert (by[1][0]["n_lines"], by[1][0]["n_dropped"], by[1][0]["kept"]) == (1, 0, "") and by[3][0]["n_lines"] == 2
 
 
 @pytest.mark.parametrize("name", NAMES)
