@@ -13,7 +13,7 @@ from lintlake.functions.templates import CONFIDENCE_MODES, TEMPLATES
 from lintlake.operators import pyfacts as checks
 from lintlake.sources.corpus import MAX_FILE_BYTES, SCANNABLE_EXTENSIONS, SKIP_DIRECTORIES
 from workload.golden_facts import golden_rows
-from workload.snippets import DIRECTORIES, SNIPPETS
+from workload.snippets import DIRECTORIES, SNIPPETS, SOURCE_DIRECTORIES
 
 
 def q(value) -> str:
@@ -37,26 +37,39 @@ def values(name: str, columns: list[str], rows) -> str:
 
 BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
-FILES = f"""
-{values("snippets", ["snip_id", "ext", "code"], [(i, e, c) for i, (e, c) in enumerate(SNIPPETS)])},
-{values("dirs", ["dir_id", "dir"], list(enumerate(DIRECTORIES)))},
+
+def logged(text: str, prefix: str = "") -> str:
+    """Each line of the text as a statement that logs it."""
+    start = f"{prefix}log(\""
+    return f"{q(start)} || replace({text}, chr(10), '\")' || chr(10) || {q(start)}) || '\")'"
+
+
+def _files(extensions, folders, where: str) -> str:
+    return f"""
+{values("snippets", ["snip_id", "ext", "code"], [(i, e, c) for i, (e, (_, c)) in enumerate(zip(extensions, SNIPPETS))])},
+{values("dirs", ["dir_id", "dir"], list(enumerate(folders)))},
 all_files AS (
   SELECT source AS repo, doc_id, snip_id, source || '/' || dir || '/doc_' || doc_id || ext AS path,
-         '# ' || replace(text, chr(10), chr(10) || '# ') || chr(10) || code || chr(10) AS content,
+         {logged("text", "# ")} || chr(10) || code || chr(10) AS content,
          len(text) - len(replace(text, chr(10), '')) + 1 AS prose_lines
-  FROM documents JOIN snippets ON snip_id = doc_id % {len(SNIPPETS)} JOIN dirs ON dir_id = doc_id % {len(DIRECTORIES)}),
-files AS (
-  SELECT *, strlen(content)::BIGINT AS length FROM all_files
+  FROM documents JOIN snippets ON snip_id = doc_id % {len(SNIPPETS)} JOIN dirs ON dir_id = doc_id % {len(folders)}),
+files AS (SELECT *, strlen(content)::BIGINT AS length FROM all_files{where})"""
+
+
+# Every document is a file that a scan reads.
+FILES = _files([".sh" if e in (".md", ".txt") else e for e, _ in SNIPPETS], SOURCE_DIRECTORIES, "")
+# Files of all kinds, of which a scan reads some.
+MIXED_FILES = _files([e for e, _ in SNIPPETS], DIRECTORIES, f"""
   WHERE strlen(content) <= {MAX_FILE_BYTES}
     AND regexp_extract(path, '[^/](\\.[^./]+)$', 1) IN ({", ".join(q(e) for e in SCANNABLE_EXTENSIONS)})
     AND NOT list_has_any(string_split(path, '/')[:-2], {strings(SKIP_DIRECTORIES)})
-    AND NOT starts_with(repo, '.'))"""
+    AND NOT starts_with(repo, '.')""")
 
-PROSE_FILES = """
+PROSE_FILES = f"""
 files AS (
-  SELECT source AS repo, 'documents/' || doc_id AS path, text AS content, 0 AS snip_id, 0 AS prose_lines FROM documents
-  UNION ALL SELECT 'pages', 'pages/' || page_id, html, 0, 0 FROM pages
-  UNION ALL SELECT 'conversations', 'conversations/' || conv_id || '/' || turn, text, 0, 0 FROM conversations)"""
+  SELECT source AS repo, 'documents/' || doc_id AS path, {logged("text")} AS content, 0 AS snip_id, 0 AS prose_lines FROM documents
+  UNION ALL SELECT 'pages', 'pages/' || page_id, {logged("html")}, 0, 0 FROM pages
+  UNION ALL SELECT 'conversations', 'conversations/' || conv_id || '/' || turn, {logged("text")}, 0, 0 FROM conversations)"""
 
 # The expressions without their lookaheads; what those demand is tested below.
 PLAIN = {

@@ -6,7 +6,7 @@ from lintlake.functions.rules import BUILTIN_RULES, RULES_BY_AGENT, Rule
 from lintlake.functions.severity import AGENTS, SEVERITIES
 from lintlake.sources.corpus import MAX_FILE_BYTES, SCANNABLE_EXTENSIONS, SKIP_DIRECTORIES
 from workload.oracle import (
-    CONSENSUS, ENRICHED, FILES, PROSE_FILES, base, consensus_sql, facts, matches, merged_sql, q, scan_sql, strings,
+    CONSENSUS, ENRICHED, FILES, MIXED_FILES, PROSE_FILES, base, consensus_sql, facts, matches, merged_sql, q, scan_sql, strings,
 )
 from workload.queries import LATER, RUN_TIME, SHORT, USER_RULES
 
@@ -119,8 +119,8 @@ LOOKAHEAD = [r for r in BUILTIN_RULES if r.has_lookahead]
 # the numbers are not part of the output.
 
 ORACLE = {
-    "scannable_files": f"WITH {FILES.strip()} SELECT repo, path, length FROM files",
-    "skipped_files": f"WITH {FILES.strip()} SELECT * FROM (SELECT repo, path, strlen(content)::BIGINT AS length, CASE "
+    "scannable_files": f"WITH {MIXED_FILES.strip()} SELECT repo, path, length FROM files",
+    "skipped_files": f"WITH {MIXED_FILES.strip()} SELECT * FROM (SELECT repo, path, strlen(content)::BIGINT AS length, CASE "
                      "WHEN starts_with(repo, '.') THEN 'hidden repository' "
                      f"WHEN list_has_any(string_split(path, '/')[:-2], {strings(SKIP_DIRECTORIES)}) THEN 'directory' "
                      f"WHEN regexp_extract(path, '[^/](\\.[^./]+)$', 1) NOT IN ({', '.join(q(e) for e in SCANNABLE_EXTENSIONS)}) "

@@ -44,11 +44,11 @@ def _agreed_columns(df: DataFrame) -> DataFrame:
 # --- sources ---------------------------------------------------------------
 
 def scannable_files(spark: SparkSession, sf: str) -> DataFrame:
-    return prune(tables.all_files(spark, sf)).select("repo", "path", "length")
+    return prune(tables.mixed_files(spark, sf)).select("repo", "path", "length")
 
 
 def skipped_files_of(spark: SparkSession, sf: str) -> DataFrame:
-    return skipped_files(tables.all_files(spark, sf))
+    return skipped_files(tables.mixed_files(spark, sf))
 
 
 def normalized_text(spark: SparkSession, sf: str) -> DataFrame:
@@ -107,7 +107,7 @@ def all_findings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def prose_findings(spark: SparkSession, sf: str) -> DataFrame:
-    """The given texts without fragments: documents, pages, conversations."""
+    """Documents, pages and conversations without fragments."""
     return regex_findings(tables.prose(spark, sf)).select(*SHORT)
 
 
@@ -274,12 +274,12 @@ def _stored(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 def repo_summary(spark: SparkSession, sf: str) -> DataFrame:
     found, agreed = _stored(spark, sf)
-    return reports.repo_summary(prune(tables.all_files(spark, sf)), found, agreed)
+    return reports.repo_summary(tables.source_files(spark, sf), found, agreed)
 
 
 def repo_summary_markdown(spark: SparkSession, sf: str) -> DataFrame:
     found, agreed = _stored(spark, sf)
-    summary = reports.repo_summary(prune(tables.all_files(spark, sf)), found, agreed)
+    summary = reports.repo_summary(tables.source_files(spark, sf), found, agreed)
     return reports.repo_summary_markdown(summary, RUN_TIME)
 
 
@@ -289,7 +289,7 @@ def reviewer_report(spark: SparkSession, sf: str) -> DataFrame:
 
 def run_report(spark: SparkSession, sf: str) -> DataFrame:
     found, agreed = _stored(spark, sf)
-    return reports.run_report(prune(tables.all_files(spark, sf)), found, agreed)
+    return reports.run_report(tables.source_files(spark, sf), found, agreed)
 
 
 def findings_json(spark: SparkSession, sf: str) -> DataFrame:
@@ -342,14 +342,14 @@ def _interrupted(spark: SparkSession, sf: str) -> RunState:
 
 def resume_pending_files(spark: SparkSession, sf: str) -> DataFrame:
     state = _interrupted(spark, sf)
-    corpus = prune(tables.all_files(spark, sf))
+    corpus = tables.source_files(spark, sf)
     return resume.pending_files(corpus, resume.files_to_skip(state)).select("repo", "path")
 
 
 def resume_pending_repos(spark: SparkSession, sf: str) -> DataFrame:
     """Repositories with a three-way agreement count as completed."""
     done = materialize(_agreed(spark, sf).where("consensus_level = 3").select("repo").distinct(), "completed")
-    return resume.pending_repos(prune(tables.all_files(spark, sf)), done).select("repo", "path")
+    return resume.pending_repos(tables.source_files(spark, sf), done).select("repo", "path")
 
 
 def resume_state(spark: SparkSession, sf: str) -> DataFrame:
@@ -375,7 +375,7 @@ def _document_stream(spark: SparkSession, sf: str) -> DataFrame:
         rows = streaming.table_stream(spark, f"{sf}/documents.parquet", schema)
     else:
         rows = streaming.table_stream(spark, sf, schema, glob="documents.parquet")
-    return prune(table_corpus(tables.as_files(rows), "repo", "path", "content"))
+    return prune(table_corpus(tables.as_files(rows), "repo", "path", "content"), max_bytes=None)
 
 
 def stream_findings(spark: SparkSession, sf: str) -> DataFrame:
