@@ -65,3 +65,13 @@ def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
     would evaluate it once per field; a one-element explode keeps it whole.
     """
     return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def exploded(values: Column) -> Column:
+    """``explode`` of a column that is costly to compute and holds no nulls.
+
+    For a plain column the planner infers that only rows with a filled array
+    matter and pushes that condition, with the whole computation, below; an
+    expression around it keeps the computation single.
+    """
+    return F.explode(F.array_compact(values))

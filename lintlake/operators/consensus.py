@@ -1,7 +1,9 @@
 """Consensus: reviewers that report the same line of the same file agree.
 
-Grouping is by exact location, so one shuffle of slim findings is all it takes
-and partial aggregation runs before it.  Severity filtering comes afterwards,
+Where findings come straight from a corpus, a file is one row and its findings
+one array, so agreement is settled inside the row and nothing is shuffled.  A
+table of findings is grouped by location with hash aggregates over numbers;
+texts are fetched for the winners only.  Severity filtering comes afterwards,
 because filtering first would change who agrees.
 """
 
@@ -11,8 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lintlake.functions import merge, reasoning
-from lintlake.functions.constants import computed_once
+from lintlake.functions.constants import bound, computed_once, exploded
 from lintlake.functions.severity import AGENTS, SEVERITIES, check_severity
+from lintlake.operators.review import labelled
 
 LOCATION = ["repo", "path", "line_number"]
 # What decides which finding speaks for a location.
@@ -57,15 +60,91 @@ def _unpack(grouped: DataFrame, columns: list[str], *extra: str) -> DataFrame:
     )
 
 
+# Bits of the packed precedence below the sign: severity, reviewer, rule, match.
+RULE_BITS, MATCH_BITS, AGENT_BITS = 26, 32, 2
+
+
+def packed_precedence(sev_rank: Column, agent_rank: Column, rule_ordinal: Column, match_ordinal: Column) -> Column:
+    """Precedence as one long that sorts like its parts: 3, 2, 26 and 32 bits."""
+    packed = sev_rank.cast("long")
+    for part, bits in ((agent_rank, AGENT_BITS), (rule_ordinal, RULE_BITS), (match_ordinal, MATCH_BITS)):
+        packed = packed * (1 << bits) + part
+    return packed
+
+
 def consensus(findings: DataFrame) -> DataFrame:
-    """One row per location: the most severe finding and who agrees on it."""
+    """One row per location: the most severe finding and who agrees on it.
+
+    One shuffle by location.  What decides is packed in numbers, so grouping
+    is a hash aggregate; its winners are then looked up among the findings of
+    the same partition.  Of findings that tie, the one with the smallest hash
+    speaks; rows that repeat it whole count, and give one row.
+    """
     columns = [c for c in findings.columns if c not in LOCATION]
-    grouped = findings.groupBy(*LOCATION).agg(
-        _representative(columns).alias("_rep"),
-        F.bit_or(_agent_bit()).alias("_mask"),
+    at = ["_repo", "path", "line_number"]
+    # Numbers are made behind the shuffle, so that both sides need the same rows and share it.
+    keyed = findings.withColumn("_repo", F.coalesce("repo", F.lit(""))).repartition(*at).withColumns({
+        "_packed": packed_precedence(*map(F.col, PRECEDENCE)),
+        "_hash": F.xxhash64(*findings.columns),
+        "_bit": _agent_bit(),
+    })
+    best = keyed.groupBy(*at).agg(
+        F.min("_packed").alias("_best"),
+        F.min_by("_hash", F.col("_packed")).alias("_any"),
+        F.bit_or("_bit").alias("_mask"),
         F.count("*").alias("findings_merged"),
     )
-    return _unpack(grouped, columns)
+    # Differences, since further equal keys would ask for another shuffle.
+    won = (F.col("_packed") - F.col("_best") == 0) & (F.col("_hash").bitwiseXOR(F.col("_any")) == 0)
+    winners = keyed.join(best.hint("shuffle_hash"), at).where(won)
+    return winners.select(
+        "_repo", *LOCATION, *columns, F.bit_count("_mask").cast("int").alias("consensus_level"),
+        _agents_of(F.col("_mask")).alias("agreeing_agents"), "findings_merged").distinct().drop("_repo")
+
+
+def consensus_of_files(files: DataFrame, labels: list[dict[str, object]]) -> DataFrame:
+    """``consensus`` of slim findings that are still with their file; no shuffle.
+
+    ``files`` has one row per file, as ``file_findings`` leaves it.
+    """
+    ranks = [
+        ((row["sev_rank"] << AGENT_BITS | row["agent_rank"]) << RULE_BITS | row["rule_ordinal"]) << MATCH_BITS for row in labels]
+    rank = F.expr(f"array({', '.join(f'{r}L' for r in ranks)})")
+    bit = F.expr(f"array({', '.join(str(1 << row['agent_rank']) for row in labels)})")
+
+    def ordered(found: Column) -> Column:
+        return F.array_sort(F.transform(found, lambda f: F.struct(
+            f["line_number"].alias("line_number"),
+            (F.get(rank, f["label"]) + f["match_ordinal"]).alias("packed"),
+            F.get(bit, f["label"]).alias("bit"),
+            f.alias("finding"))))
+
+    def grouped(entries: Column) -> Column:
+        """Neighbours of one line become one; the first speaks."""
+        size = F.size(entries)
+
+        def starts_line(i: Column) -> Column:
+            return (i == 0) | (F.get(entries, i)["line_number"] != F.get(entries, i - 1)["line_number"])
+
+        def one(starts: Column):
+            def group(at: Column, nth: Column) -> Column:
+                merged = F.coalesce(F.get(starts, nth + 1), size) - at
+                mask = F.aggregate(F.slice(entries, at + 1, merged), F.lit(0), lambda m, e: m.bitwiseOR(e["bit"]))
+                return F.struct(
+                    F.get(entries, at)["finding"].alias("finding"), mask.alias("mask"), merged.cast("long").alias("merged"))
+
+            return F.transform(starts, group)
+
+        starts = F.filter(F.sequence(F.lit(0), size - 1), starts_line)
+        return F.when(size > 0, bound(starts, one))
+
+    spoken = files.select("repo", "path", exploded(bound(ordered(F.col("found")), grouped)).alias("_g")).select(
+        "repo", "path", F.col("_g.finding").alias("_f"), F.col("_g.mask").alias("_mask"), F.col("_g.merged").alias("findings_merged"))
+    rows = labelled(spoken, labels, "_f", "_mask", "findings_merged")
+    columns = [c for c in rows.columns if c not in [*LOCATION, "_mask", "findings_merged"]]
+    return rows.select(
+        *LOCATION, *columns, F.bit_count("_mask").cast("int").alias("consensus_level"),
+        _agents_of(F.col("_mask")).alias("agreeing_agents"), "findings_merged")
 
 
 def consensus_within(findings: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:

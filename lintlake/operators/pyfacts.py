@@ -10,7 +10,7 @@ from __future__ import annotations
 import ast
 import sys
 import warnings
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import islice
 
 import pyarrow as pa
@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from lintlake.functions import text
-from lintlake.functions.constants import contains_any, texts_literal
+from lintlake.functions.constants import contains_any, rows_literal, texts_literal
 from lintlake.functions.severity import AGENTS, SEVERITIES
 
 # Workers get the parsing functions by value, so they need no installed copy.
@@ -161,6 +161,27 @@ def py_facts(corpus: DataFrame, *, with_content: bool = False) -> DataFrame:
     return files.mapInArrow(_batches, schema).select(*keep, F.inline("facts"))
 
 
+def facts_of(path: Column, content: Column) -> Column:
+    """The facts of a file as one array, null where the file is not Python.
+
+    Only the text of Python files travels to the parser; everything else stays
+    where it is.
+    """
+    kind = to_arrow_schema(T.StructType([T.StructField("facts", T.ArrayType(FACT_SCHEMA))])).field(0).type
+
+    @F.arrow_udf(T.ArrayType(FACT_SCHEMA))
+    def parsed(texts: pa.Array) -> pa.Array:
+        def facts(content):
+            found = list(file_facts(content))
+            for fact in found:
+                fact["value_str"] = _printable(fact.get("value_str"))
+            return found
+
+        return pa.array([None if text is None else facts(text) for text in texts.to_pylist()], kind)
+
+    return parsed(F.when(is_python(path), content))
+
+
 # --------------------------------------------------------------------------
 # Names and words the checks look for, and the texts that later
 # steps read flags from.
@@ -226,87 +247,90 @@ def is_logging_call(func_name: Column) -> Column:
     return contains_any(F.lower(func_name), LOGGING_WORDS)
 
 
-def _finding(check: int, agent: str, *, category: Column, severity: Column, confidence: str, evidence: Column,
-             advice: Column, ref_primary: str, ref_secondary: str | None, description: Column,
-             context: bool = True) -> Column:
-    labels = texts_literal(SEVERITIES)
-    return F.struct(
-        F.lit(f"E{check}").alias("rule_id"),
-        F.lit(agent).alias("agent"),
-        F.lit(AGENTS.index(agent)).alias("agent_rank"),
-        F.lit(AST_ORDINAL_BASE + check).alias("rule_ordinal"),
-        category.alias("category"),
-        severity.alias("severity"),
-        (F.array_position(labels, severity) - 1).cast("int").alias("sev_rank"),
-        F.lit(confidence).alias("confidence"),
-        text.clip(evidence, text.FINDING_EVIDENCE_CAP).alias("evidence"),
-        advice.alias("recommendation"),
-        F.lit(ref_primary).alias("ref_primary"),
-        F.lit(ref_secondary).cast("string").alias("ref_secondary"),
-        description.alias("description"),
-        F.lit(context).alias("with_context"),
-    )
-
-
-def _checks() -> dict[str, list[Column]]:
-    """Per reviewer, one nullable finding per check."""
-    f = F.col
-    name = F.lower(f("name"))
+def _label(check: int, agent: str, *, category: str, severity: str, confidence: str, advice: str, ref_primary: str,
+           ref_secondary: str | None, description: str, context: bool = True) -> dict[str, object]:
+    return {
+        "rule_id": f"E{check}",
+        "agent": agent,
+        "agent_rank": AGENTS.index(agent),
+        "rule_ordinal": AST_ORDINAL_BASE + check,
+        "category": category,
+        "severity": severity,
+        "sev_rank": SEVERITIES.index(severity),
+        "confidence": confidence,
+        "recommendation": advice,
+        "ref_primary": ref_primary,
+        "ref_secondary": ref_secondary,
+        "description": description,
+        "with_context": context,
+    }
+
+
+# How a statement may be built from text, by the kind of its first argument.
+BUILT_BY = {"fstring": "f-string interpolation", "add": "string concatenation"}
+
+
+def syntax_labels() -> list[dict[str, object]]:
+    """Everything a syntax finding may be labelled with; a finding names its label by position."""
+    return [
+        _label(1, "security", category="Hardcoded Credentials", severity="CRITICAL", confidence="MEDIUM",
+               advice=ADVICE["E1"], ref_primary=CREDENTIAL_REF, ref_secondary=None, description="Secret assigned to a variable"),
+        *(_label(2, "security", category="SQL Injection", severity="CRITICAL", confidence="HIGH", advice=ADVICE["E2"],
+                 ref_primary=INJECTION_REF, ref_secondary=None, description=f"Statement built by {way}")
+          for way in BUILT_BY.values()),
+        *(_label(3, "security", category="Command Injection", severity="CRITICAL" if name == "eval" else "HIGH",
+                 confidence="HIGH", advice=ADVICE["E3"], ref_primary=INJECTION_REF, ref_secondary=None,
+                 description=f"Command run by {name}")
+          for name in SHELL_CALLS),
+        *(_label(4, "security", category=group, severity="MEDIUM", confidence="HIGH", advice=ADVICE[group],
+                 ref_primary=INTEGRITY_REF, ref_secondary=None, description=f"Use of {name}", context=False)
+          for name, group in INSECURE_FUNCTIONS.items()),
+        *(_label(5, "privacy", category="PII Exposure", severity=severity, confidence="HIGH", advice=ADVICE["E5"],
+                 ref_primary="GDPR Article 5(1)(f)", ref_secondary="SOC 2 CC6.1", description="Personal field in a logging call")
+          for severity in ("CRITICAL", "HIGH")),
+        _label(6, "privacy", category="Missing Encryption", severity="CRITICAL", confidence="HIGH", advice=ADVICE["E6"],
+               ref_primary="GDPR Article 32, PCI DSS 3.4", ref_secondary="PCI DSS, HIPAA",
+               description="Sensitive variable without protection"),
+    ]
+
+
+def syntax_hits(f: Callable[[str], Column], agents: list[str]) -> Column:
+    """What the checks of the reviewers find in one fact, ``f`` giving its fields: ``array<label, evidence>``."""
+    first = {}
+    for i, label in enumerate(syntax_labels()):
+        first.setdefault(label["rule_id"], i)
+
+    def hit(condition: Column, label: Column, evidence: Column) -> Column:
+        return F.when(condition, F.struct(label.cast("int").alias("label"), text.clip(evidence, text.FINDING_EVIDENCE_CAP).alias("evidence")))
+
+    def nth(check: str, values: Iterable[str], value: Column) -> Column:
+        return F.array_position(texts_literal(list(values)), value) - 1 + first[check]
+
+    name, func = F.lower(f("name")), f("func_name")
     assign, call = f("kind") == "assign", f("kind") == "call"
-    secret = F.when(
-        assign & contains_any(name, SECRET_NAMES) & (f("value_str") != "") & ~is_placeholder(f("value_str")),
-        _finding(
-            1, "security", category=F.lit("Hardcoded Credentials"), severity=F.lit("CRITICAL"), confidence="MEDIUM",
-            evidence=F.concat(f("name"), F.lit(" = '"), F.substring(f("value_str"), 1, 50), F.lit("...'")),
-            advice=F.lit(ADVICE["E1"]), ref_primary=CREDENTIAL_REF, ref_secondary=None,
-            description=F.lit("Secret assigned to a variable")))
-    built_by = F.when(f("arg0_kind") == "fstring", "f-string interpolation").when(
-        f("arg0_kind") == "add", "string concatenation")
-    statement = F.when(
-        call & is_execute_call(f("func_name")) & built_by.isNotNull(),
-        _finding(
-            2, "security", category=F.lit("SQL Injection"), severity=F.lit("CRITICAL"), confidence="HIGH",
-            evidence=F.concat(F.lit("SQL query uses "), built_by), advice=F.lit(ADVICE["E2"]),
-            ref_primary=INJECTION_REF, ref_secondary=None, description=F.concat(F.lit("Statement built by "), built_by)))
-    risky = f("func_name").isin(SHELL_CALLS) & (f("shell_true") | f("func_name").isin(ALWAYS_RISKY))
-    command = F.when(
-        call & risky,
-        _finding(
-            3, "security", category=F.lit("Command Injection"),
-            severity=F.when(f("func_name") == "eval", "CRITICAL").otherwise("HIGH"), confidence="HIGH",
-            evidence=F.concat(F.lit("Dangerous function call: "), f("func_name"),
-                              F.when(f("shell_true"), " with shell=True").otherwise("")),
-            advice=F.lit(ADVICE["E3"]), ref_primary=INJECTION_REF, ref_secondary=None,
-            description=F.concat(F.lit("Command run by "), f("func_name"))))
-    lookup = F.create_map(*[F.lit(x) for pair in INSECURE_FUNCTIONS.items() for x in pair])
-    group = F.try_element_at(lookup, f("func_name"))
-    insecure = F.when(
-        call & group.isNotNull(),
-        _finding(
-            4, "security", category=group, severity=F.lit("MEDIUM"), confidence="HIGH",
-            evidence=F.concat(F.lit("Insecure function: "), f("func_name")),
-            advice=F.when(group == "Insecure Deserialization", ADVICE["Insecure Deserialization"]).otherwise(
-                ADVICE["Weak Random Number Generation"]),
-            ref_primary=INTEGRITY_REF, ref_secondary=None, description=F.concat(F.lit("Use of "), f("func_name")),
-            context=False))
+    ways = F.create_map(*[F.lit(x) for pair in BUILT_BY.items() for x in pair])
     personal = F.filter(f("args"), lambda a: F.arrays_overlap(a, texts_literal(PII_NAMES)))
-    logged = F.when(
-        call & is_logging_call(f("func_name")) & (F.size(personal) > 0),
-        _finding(
-            5, "privacy", category=F.lit("PII Exposure"),
-            severity=F.when(F.arrays_overlap(F.get(personal, F.lit(0)), texts_literal(GRAVE_PII_NAMES)), "CRITICAL").otherwise("HIGH"),
-            confidence="HIGH",
-            evidence=F.concat(F.lit("Logging PII field in statement at line "), f("line").cast("string")),
-            advice=F.lit(ADVICE["E5"]), ref_primary="GDPR Article 5(1)(f)", ref_secondary="SOC 2 CC6.1",
-            description=F.lit("Personal field in a logging call")))
-    stored = F.when(
-        assign & contains_any(name, SENSITIVE_NAMES) & ~f("encrypted"),
-        _finding(
-            6, "privacy", category=F.lit("Missing Encryption"), severity=F.lit("CRITICAL"), confidence="HIGH",
-            evidence=F.concat(F.lit("Sensitive field '"), f("name"), F.lit("' without encryption")),
-            advice=F.lit(ADVICE["E6"]), ref_primary="GDPR Article 32, PCI DSS 3.4", ref_secondary="PCI DSS, HIPAA",
-            description=F.lit("Sensitive variable without protection")))
-    return {"security": [secret, statement, command, insecure], "privacy": [logged, stored], "permission": []}
+    grave = F.arrays_overlap(F.get(personal, F.lit(0)), texts_literal(GRAVE_PII_NAMES))
+    checks = {
+        "security": [
+            hit(assign & contains_any(name, SECRET_NAMES) & (f("value_str") != "") & ~is_placeholder(f("value_str")),
+                F.lit(first["E1"]), F.concat(f("name"), F.lit(" = '"), F.substring(f("value_str"), 1, 50), F.lit("...'"))),
+            hit(call & is_execute_call(func) & f("arg0_kind").isin(list(BUILT_BY)), nth("E2", BUILT_BY, f("arg0_kind")),
+                F.concat(F.lit("SQL query uses "), F.try_element_at(ways, f("arg0_kind")))),
+            hit(call & func.isin(SHELL_CALLS) & (f("shell_true") | func.isin(ALWAYS_RISKY)), nth("E3", SHELL_CALLS, func),
+                F.concat(F.lit("Dangerous function call: "), func, F.when(f("shell_true"), " with shell=True").otherwise(""))),
+            hit(call & func.isin(list(INSECURE_FUNCTIONS)), nth("E4", INSECURE_FUNCTIONS, func),
+                F.concat(F.lit("Insecure function: "), func)),
+        ],
+        "privacy": [
+            hit(call & is_logging_call(func) & (F.size(personal) > 0), F.when(grave, first["E5"]).otherwise(first["E5"] + 1),
+                F.concat(F.lit("Logging PII field in statement at line "), f("line").cast("string"))),
+            hit(assign & contains_any(name, SENSITIVE_NAMES) & ~f("encrypted"), F.lit(first["E6"]),
+                F.concat(F.lit("Sensitive field '"), f("name"), F.lit("' without encryption"))),
+        ],
+        "permission": [],
+    }
+    return F.array_compact(F.array(*[c for agent in agents for c in checks[agent]]))
 
 
 def ast_findings(
@@ -319,20 +343,20 @@ def ast_findings(
     """
     from lintlake.operators.scan import FINDING_COLUMNS
 
-    available = _checks()
-    checks = [c for agent in (agents or AGENTS) for c in available[agent]]
     kept = ["content"] if with_context else []
     found = facts.select(
-        "repo", "path", "fact_ordinal", "line", *kept, F.explode(F.array_compact(F.array(*checks))).alias("_f"))
+        "repo", "path", "fact_ordinal", "line", *kept, F.explode(syntax_hits(F.col, agents or AGENTS)).alias("_h"))
+    labelled = found.withColumn("_f", F.get(rows_literal(syntax_labels()), F.col("_h.label")))
     own = {
         "repo": F.col("repo"),
         "path": F.col("path"),
         "detector": F.lit("ast"),
         "match_ordinal": F.col("fact_ordinal"),
         "line_number": F.col("line"),
+        "evidence": F.col("_h.evidence"),
     }
     columns = [own.get(name, F.col(f"_f.{name}")).alias(name) for name in FINDING_COLUMNS]
     if with_context:
         lines = F.split("content", "\n")
         columns.append(F.when(F.col("_f.with_context"), text.context_window(lines, F.col("line"))).alias("context"))
-    return found.select(*columns)
+    return labelled.select(*columns)

@@ -13,15 +13,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lintlake.functions import text
-from lintlake.functions.constants import rows_literal, sql_literal, texts_literal
+from lintlake.functions.constants import exploded, rows_literal, sql_literal, texts_literal
 from lintlake.functions.rules import BUILTIN_RULES, Rule, anchor_of
 from lintlake.functions.severity import AGENTS, SEVERITIES
 
 DETECTORS = ["regex", "ast"]
 
 
-def rules_literal(rules: Sequence[Rule]) -> Column:
-    """The rule labels as one constant array, indexed by position."""
+def rule_labels(rules: Sequence[Rule]) -> list[dict[str, object]]:
+    """What the findings of each rule are labelled with, by the rule's position."""
     ordinals: dict[str, int] = {}
     rows = []
     for rule in rules:
@@ -40,7 +40,12 @@ def rules_literal(rules: Sequence[Rule]) -> Column:
             "ref_secondary": rule.ref_secondary,
             "description": rule.description,
         })
-    return rows_literal(rows)
+    return rows
+
+
+def rules_literal(rules: Sequence[Rule]) -> Column:
+    """The rule labels as one constant array, indexed by position."""
+    return rows_literal(rule_labels(rules))
 
 
 def _anchors(rule: Rule) -> list[str]:
@@ -63,8 +68,8 @@ def _may_match(rule: Rule, anchors: Sequence[str]) -> str:
     return " AND ".join(tests)
 
 
-def rule_hits(corpus: DataFrame, rules: Sequence[Rule], *keep: str) -> DataFrame:
-    """One row per (file, rule that matches somewhere in it)."""
+def _with_hits(corpus: DataFrame, rules: Sequence[Rule], name: str) -> DataFrame:
+    """Adds the positions of the rules that match somewhere in the file."""
     anchors = sorted({anchor for rule in rules for anchor in _anchors(rule)})
     tests = ", ".join(f"contains(_lowered, {sql_literal(a)})" for a in anchors)
     cases = ", ".join(f"CASE WHEN {_may_match(rule, anchors)} THEN {i} END" for i, rule in enumerate(rules))
@@ -72,10 +77,36 @@ def rule_hits(corpus: DataFrame, rules: Sequence[Rule], *keep: str) -> DataFrame
         # Two letters match an ASCII one in any case, yet are not its upper case.
         corpus.withColumn("_lowered", F.replace(F.replace(F.lower("content"), F.lit("\u017f"), F.lit("s")), F.lit("\u212a"), F.lit("k")))
         .withColumn("_a", F.expr(f"array({tests})").cast("array<boolean>"))
-        .select(*keep, F.explode(F.array_compact(F.expr(f"array({cases})"))).alias("rule_ix"))
+        .select(*corpus.columns, F.array_compact(F.expr(f"array({cases})")).alias(name))
     )
 
 
+def rule_hits(corpus: DataFrame, rules: Sequence[Rule], *keep: str) -> DataFrame:
+    """One row per (file, rule that matches somewhere in it)."""
+    return _with_hits(corpus.select(*keep), rules, "_hits").select(*keep, exploded(F.col("_hits")).alias("rule_ix"))
+
+
+def with_matches(corpus: DataFrame, rules: Sequence[Rule], name: str, body) -> DataFrame:
+    """Adds the matches of all rules in a file as one array of ``body(rule_ix, match_ordinal, line_number, match)``.
+
+    Suppressed matches are left out.  The file stays one row, so its text is
+    not copied for each rule that hits.
+    """
+    regexes = texts_literal([rule.java_regex for rule in rules])
+
+    def of_rule(ix: Column) -> Column:
+        regex = F.get(regexes, ix)
+        found = F.zip_with(
+            F.regexp_extract_all(F.col("content"), regex, F.lit(0)),
+            text.match_start_lines(F.col("content"), regex),
+            lambda match, line: F.struct(match.alias("match"), line.alias("line")))
+        kept = F.filter(found, lambda e: ~_suppressed(rules, ix, e["match"]))
+        return F.transform(kept, lambda e, nth: body(ix, nth, e["line"], e["match"]))
+
+    hits = _with_hits(corpus, rules, "_hits")
+    return hits.withColumn(name, F.flatten(F.transform("_hits", of_rule))).drop("_hits")
+
+
 def _suppressed(rules: Sequence[Rule], rule_ix: Column, match: Column) -> Column:
     """True when one of the rule's suppression patterns occurs in the match."""
     condition = F.lit(False)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintlake.operators.consensus import consensus, consensus_with_reasoning, filter_min_severity
-from lintlake.operators.review import review
+from lintlake.functions.severity import AGENTS
+from lintlake.operators.consensus import consensus_of_files, consensus_with_reasoning, filter_min_severity
+from lintlake.operators.review import file_findings, review, review_labels
 
 
 def audit(
@@ -17,9 +18,15 @@ def audit(
     generated_at: str = "",
     syntax: bool = True,
 ) -> DataFrame:
-    """Findings of all reviewers, grouped by location, then filtered by severity."""
-    findings = review(corpus, syntax=syntax)
-    agreed = consensus_with_reasoning(findings, generated_at) if reasoning else consensus(findings)
+    """Findings of all reviewers, grouped by location, then filtered by severity.
+
+    A corpus has one row per file, so without reasoning nothing is shuffled.
+    """
+    if reasoning:
+        agreed = consensus_with_reasoning(review(corpus, syntax=syntax), generated_at)
+    else:
+        files = file_findings(corpus.select("repo", "path", "content"), AGENTS, syntax=syntax)
+        agreed = consensus_of_files(files, review_labels(AGENTS))
     return filter_min_severity(agreed, min_severity)
 
 

@@ -114,6 +114,37 @@ def test_consensus_by_brute_force(spark):
     assert got == want
 
 
+def test_consensus_of_files_equals_that_of_findings(spark, files):
+    corpus = files(*((f"r{i % 3}/f{i}{ext}", f"{code}\n{code}\n") for i, (ext, code) in enumerate(SNIPPETS)))
+    inside = audit(corpus, min_severity="LOW")
+    table = consensus(review(corpus))
+    assert inside.columns == table.columns
+    assert sorted(map(str, inside.collect())) == sorted(map(str, table.collect())) != []
+    assert audit(corpus.limit(0)).collect() == [] and consensus(review(corpus.limit(0))).collect() == []
+
+
+def test_consensus_of_repeated_rows(spark):
+    frame, rows = made_findings(spark, 11, files=2, per_file=10, lines=4)
+    once, twice = (
+        {(r.path, r.line_number): r for r in consensus(f).collect()} for f in (frame, frame.unionByName(frame)))
+    assert {k: r.rule_id for k, r in once.items()} == {k: r.rule_id for k, r in twice.items()}
+    assert all(2 * r.findings_merged == twice[k].findings_merged for k, r in once.items())
+    nowhere = frame.withColumn("repo", F.lit(None).cast("string"))
+    assert consensus(nowhere).count() == len(once)
+
+
+def test_plans_of_review_and_consensus(spark, files):
+    """One scan and no shuffle for a corpus; no sort for a table of findings."""
+    corpus = files(("r/a.py", "eval(x)"))
+    plan = audit(corpus)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") == 1 and "artitioning" not in plan
+    frame, _ = made_findings(spark, 3)
+    grouped = consensus(frame)
+    grouped.collect()
+    plan = grouped._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "SortAggregate" not in plan and "Sort [" not in plan and "SortMergeJoin" not in plan and "ReusedExchange" in plan
+
+
 def test_tolerance_by_brute_force(spark):
     frame, rows = made_findings(spark, 8, per_file=12, lines=60)
     want = set()
