@@ -84,7 +84,7 @@ def consensus(findings: DataFrame) -> DataFrame:
     at = ["_repo", "path", "line_number"]
     # Numbers are made behind the shuffle, so that both sides need the same rows and share it.
     keyed = findings.withColumn("_repo", F.coalesce("repo", F.lit(""))).repartition(*at).withColumns({
-        "_packed": packed_precedence(*map(F.col, PRECEDENCE)),
+        "_packed": F.coalesce(packed_precedence(*map(F.col, PRECEDENCE)), F.lit((1 << 63) - 1)),
         "_hash": F.xxhash64(*findings.columns),
         "_bit": _agent_bit(),
     })
