@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lintlake.session import fits_broadcast, materialize
+from lintlake.session import fits_broadcast
 from lintlake.sources import log
 from lintlake.sources.state import REPO, SUMMARY, RunState
 
@@ -13,23 +13,60 @@ from lintlake.sources.state import REPO, SUMMARY, RunState
 FROM_STATE, FROM_LOG, FROM_NOTHING = "checkpoint", "transaction_log", "none"
 
 KEY = ["repo", "path"]
+# Bits of a key filter (2 MB) and how many of them a key sets.
+FILTER_BITS = 1 << 24
+FILTER_HASHES = 4
 
 
-def pending_files(corpus: DataFrame, processed: DataFrame) -> DataFrame:
+def key_filter(keys: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """One row with one array of longs: the Bloom filter of the keys, built by hash aggregates.
+
+    Its size depends on ``bits`` alone.  More keys make it let more strangers
+    pass, and never lose one of its own.
+    """
+    words = bits // 64
+    places = keys.select(F.explode(F.array(*_places(bits))).alias("at")).select(
+        F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, cast(at & 63 AS int))").alias("bit"))
+    every = keys.sparkSession.range(words).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bit"))
+    filled = places.unionByName(every).groupBy("word").agg(F.bit_or("bit").alias("bit"))
+    return filled.agg(F.transform(F.sort_array(F.collect_list(F.struct("word", "bit"))), lambda w: w["bit"]).alias("words"))
+
+
+def _places(bits: int) -> list[Column]:
+    """The bits of a key: multiples of one hash from another."""
+    first, step = F.xxhash64(*KEY), F.xxhash64(F.lit(1), *KEY)
+    return [F.pmod(first.bitwiseXOR(F.xxhash64(F.lit(i), step)), F.lit(bits).cast("long")) for i in range(FILTER_HASHES)]
+
+
+def passes(words: Column, bits: int) -> Column:
+    """Whether the filter lets a row's key pass."""
+    def holds(at: Column) -> Column:
+        word = F.get(words, F.shiftright(at, 6).cast("int"))
+        return F.getbit(word, at.bitwiseAND(F.lit(63).cast("long")).cast("int")) == 1
+
+    out = F.lit(True)
+    for at in _places(bits):
+        out = out & holds(at)
+    return out
+
+
+def pending_files(corpus: DataFrame, processed: DataFrame, filter_bits: int = FILTER_BITS) -> DataFrame:
     """Files of the corpus that are not processed yet.
 
-    File contents should not be shuffled for this.  While the processed keys
-    are small they are broadcast.  Beyond that only keys are shuffled, and the
-    pending keys are broadcast if they are the small side.  When neither is
-    small, a shuffled anti-join remains.
+    Contents are read once and tested where they are read.  A filter of the
+    processed keys tells most pending files at once.  A second one, of the
+    pending keys that pass the first, tells most processed files.  What passes
+    both and is processed after all is known by keys alone, and those few keys
+    are what the contents meet in an anti-join; they are the first filter's
+    errors and the second's at once, so the planner broadcasts them unless the
+    filters are overfull.  No job runs while the plan is built.
     """
     keys = processed.select(*KEY)
-    if fits_broadcast(keys):
-        return corpus.join(F.broadcast(keys), KEY, "left_anti")
-    left = materialize(corpus.select(*KEY).join(keys, KEY, "left_anti"), "pending-keys")
-    if fits_broadcast(left):
-        return corpus.join(F.broadcast(left), KEY, "left_semi")
-    return corpus.join(keys, KEY, "left_anti")
+    may_be_done = passes(key_filter(keys, filter_bits).scalar(), filter_bits)
+    suspects = corpus.select(*KEY).where(may_be_done).join(keys, KEY, "left_anti")
+    may_be_suspect = passes(key_filter(suspects, filter_bits).scalar(), filter_bits)
+    mistaken = keys.where(may_be_suspect)
+    return corpus.where(~may_be_done | may_be_suspect).join(mistaken, KEY, "left_anti")
 
 
 def pending_repos(corpus: DataFrame, completed: DataFrame) -> DataFrame:

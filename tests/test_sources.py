@@ -149,14 +149,22 @@ def test_state_and_resume(spark, files, tmp_path):
     assert other.latest().count() == 0 and other.processed().count() == 0
 
 
-def test_pending_files_without_broadcast(spark, files, monkeypatch):
-    corpus, _ = agreed(files)
-    done = corpus.where("path = 'one/a.py'").select("repo", "path")
-    want = {"one/b.py", "two/c.sql"}
-    for answers in ([False, True], [False, False]):
-        replies = iter(answers)
-        monkeypatch.setattr(resume, "fits_broadcast", lambda df: next(replies))
-        assert {r.path for r in resume.pending_files(corpus, done).collect()} == want
+@pytest.mark.parametrize("bits", [64, 1024, 1 << 20])
+def test_pending_files_are_exact_whatever_the_filter(spark, bits):
+    """Also when the filter is overfull and nothing may be broadcast; contents are read once."""
+    corpus = spark.range(3000).select(
+        F.concat(F.lit("r"), (F.col("id") % 7).cast("string")).alias("repo"),
+        F.concat(F.lit("p/"), F.col("id").cast("string")).alias("path"), F.lit("text").alias("content"), F.col("id"))
+    done = corpus.where("id % 3 = 0").select("repo", "path").unionByName(corpus.where("id = 5").select("repo", "path")).unionByName(
+        corpus.where("id = 5").select(F.lit("gone").alias("repo"), "path"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = sorted(r.id for r in resume.pending_files(corpus, done, bits).collect())
+        assert left == [i for i in range(3000) if i % 3 and i != 5]
+        assert resume.pending_files(corpus, done.limit(0), bits).count() == 3000
+        assert resume.pending_files(corpus.limit(0), done, bits).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_file_stream_equals_batch_and_resumes(spark, tmp_path):

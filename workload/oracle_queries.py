@@ -114,6 +114,19 @@ N_LOGGED = "(SELECT count(*) FROM agreed WHERE severity IN ('CRITICAL', 'HIGH'))
 USER = [Rule(rule_id, agent, category, severity, "MEDIUM", flags, pattern, None, None, rule_id, "")
         for rule_id, agent, category, severity, flags, pattern, _ in USER_RULES]
 
+INDEXED = r"""
+WITH w AS (SELECT regexp_extract_all(lower(text), '[a-z]{3,}') AS w FROM benchmark),
+p AS (SELECT DISTINCT a, b FROM (SELECT w[i] AS a, w[i + 1] AS b FROM (SELECT w, unnest(range(1, len(w))) AS i FROM w))),
+f AS (SELECT source AS repo, doc_id, text, lower(text) AS low FROM documents),
+c AS (SELECT repo, doc_id, text, a, b FROM f JOIN p ON contains(low, a) AND contains(low, b)
+      WHERE regexp_matches(text, '(?i)' || a || '\s+' || b)),
+s AS (SELECT *, regexp_extract_all(text, '(?i)' || a || '\s+' || b) AS ms,
+      string_split_regex(text, '(?i)' || a || '\s+' || b) AS parts FROM c),
+e AS (SELECT *, unnest(range(len(ms))) AS i FROM s),
+h AS (SELECT *, array_to_string(parts[1:i + 1], '') || array_to_string(ms[1:i], '') AS head FROM e)
+SELECT repo, doc_id::VARCHAR AS path, a || ' ' || b AS rule_id, i::INT AS match_ordinal,
+  (1 + len(head) - len(replace(head, chr(10), '')))::INT AS line_number FROM h"""
+
 LOOKAHEAD = [r for r in BUILTIN_RULES if r.has_lookahead]
 # A reviewer's rules keep their numbers even when only some of them are run;
 # the numbers are not part of the output.
@@ -145,6 +158,7 @@ ORACLE = {
     "all_findings": scan_sql(f"SELECT agent, detector, {COLUMNS} FROM findings"),
     "prose_findings": _regex(BUILTIN_RULES, files=PROSE_FILES),
     "user_rules": _regex(USER, files=PROSE_FILES),
+    "indexed_rules": INDEXED,
     "consensus_findings": consensus_sql(f"SELECT {AGREED} FROM agreed"),
     "consensus_reasoned": consensus_sql(
         "SELECT repo, path, line_number, rule_id, severity, consensus_level, agreeing_agents, findings_merged, "

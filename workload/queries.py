@@ -14,6 +14,7 @@ from lintlake.operators.consensus import (
 )
 from lintlake.operators.pyfacts import ast_findings, py_facts
 from lintlake.operators.review import number_in_file, review
+from lintlake.operators.rule_index import indexed_findings
 from lintlake.operators.scan import regex_findings, regex_matches, rules_from_table
 from lintlake.plans import audit as plans
 from lintlake.plans import reports
@@ -125,6 +126,20 @@ def user_rules(spark: SparkSession, sf: str) -> DataFrame:
     return regex_findings(tables.prose(spark, sf), rules_from_table(table)).select(*SHORT)
 
 
+def indexed_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """A rule for every pair of neighbouring words of the benchmark, looked for in all documents."""
+    items = spark.read.parquet(f"{sf}/benchmark.parquet")
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))
+    pairs = items.select(words.alias("w")).where(F.size("w") > 1).select(F.explode(F.transform(
+        F.sequence(F.lit(0), F.size("w") - 2),
+        lambda i: F.struct(F.get("w", i).alias("a"), F.get("w", i + 1).alias("b")))).alias("p"))
+    rules = pairs.distinct().select(
+        F.concat_ws(" ", "p.a", "p.b").alias("rule_id"), F.lit("privacy").alias("agent"), F.lit("Phrase").alias("category"),
+        F.lit("LOW").alias("severity"), F.lit("i").alias("flags"), F.concat(F.col("p.a"), F.lit(r"\s+"), F.col("p.b")).alias("pattern"))
+    files = table_corpus(tables.documents(spark, sf).withColumn("path", F.col("doc_id").cast("string")), "source", "path", "text")
+    return indexed_findings(spread(files), rules).select("repo", "path", "rule_id", "match_ordinal", "line_number")
+
+
 # --- consensus -------------------------------------------------------------
 
 def consensus_findings(spark: SparkSession, sf: str) -> DataFrame:
@@ -408,6 +423,7 @@ QUERIES = {
     "all_findings": all_findings,
     "prose_findings": prose_findings,
     "user_rules": user_rules,
+    "indexed_rules": indexed_rules,
     "consensus_findings": consensus_findings,
     "consensus_high": consensus_high,
     "consensus_without_syntax": consensus_without_syntax,
