@@ -115,8 +115,9 @@ USER = [Rule(rule_id, agent, category, severity, "MEDIUM", flags, pattern, None,
         for rule_id, agent, category, severity, flags, pattern, _ in USER_RULES]
 
 INDEXED = r"""
-WITH w AS (SELECT regexp_extract_all(lower(text), '[a-z]{3,}') AS w FROM benchmark),
-p AS (SELECT DISTINCT a, b FROM (SELECT w[i] AS a, w[i + 1] AS b FROM (SELECT w, unnest(range(1, len(w))) AS i FROM w))),
+WITH w AS (SELECT regexp_extract_all(lower(text), '[a-z]+') AS w FROM benchmark),
+p AS (SELECT DISTINCT a, b FROM (SELECT w[i] AS a, w[i + 1] AS b FROM (SELECT w, unnest(range(1, len(w))) AS i FROM w))
+      WHERE len(a) >= 6 AND len(b) >= 6),
 f AS (SELECT source AS repo, doc_id, text, lower(text) AS low FROM documents),
 c AS (SELECT repo, doc_id, text, a, b FROM f JOIN p ON contains(low, a) AND contains(low, b)
       WHERE regexp_matches(text, '(?i)' || a || '\s+' || b)),

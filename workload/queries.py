@@ -127,13 +127,13 @@ def user_rules(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def indexed_rules(spark: SparkSession, sf: str) -> DataFrame:
-    """A rule for every pair of neighbouring words of the benchmark, looked for in all documents."""
+    """A rule for every two neighbouring long words of the benchmark, looked for in all documents."""
     items = spark.read.parquet(f"{sf}/benchmark.parquet")
-    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
     pairs = items.select(words.alias("w")).where(F.size("w") > 1).select(F.explode(F.transform(
         F.sequence(F.lit(0), F.size("w") - 2),
         lambda i: F.struct(F.get("w", i).alias("a"), F.get("w", i + 1).alias("b")))).alias("p"))
-    rules = pairs.distinct().select(
+    rules = pairs.where("length(p.a) >= 6 AND length(p.b) >= 6").distinct().select(
         F.concat_ws(" ", "p.a", "p.b").alias("rule_id"), F.lit("privacy").alias("agent"), F.lit("Phrase").alias("category"),
         F.lit("LOW").alias("severity"), F.lit("i").alias("flags"), F.concat(F.col("p.a"), F.lit(r"\s+"), F.col("p.b")).alias("pattern"))
     files = table_corpus(tables.documents(spark, sf).withColumn("path", F.col("doc_id").cast("string")), "source", "path", "text")
