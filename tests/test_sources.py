@@ -203,6 +203,43 @@ def test_running_counts(spark, tmp_path):
     assert len(streaming.arrival_rate(query)) >= 3
 
 
+def test_counters_over_batches(spark, tmp_path):
+    """Three batches by bytes with a stop, one of them repeated, and one without any file that a scan reads."""
+    paths = {name: str(tmp_path / name) for name in ("out", "totals", "progress", "checkpoint")}
+    root = make(tmp_path / "repos", {f"r{i % 2}/f{i}.py": "eval(x)\nUSE ROLE ACCOUNTADMIN" for i in range(2)})
+
+    def run():
+        stream = streaming.file_stream(spark, root, bytes_per_batch=1)
+        streaming.scan_stream(
+            stream, paths["out"], paths["checkpoint"], totals_dir=paths["totals"], progress_dir=paths["progress"]).awaitTermination()
+
+    run()
+    make(tmp_path / "repos", {"r1/late.py": "y = hashlib.md5(b)"})
+    run()
+    make(tmp_path / "repos", {"r1/notes.md": "eval(x)", "r1/nothing.py": "x = 1"})
+    run()
+    once = sorted(map(tuple, streaming.stream_totals(spark, paths["totals"]).collect()))
+    agreed_now = plans.audit(repository_corpus(spark, root))
+    want = [("all", "all", agreed_now.count())] + [
+        (c, str(r[0]), r[1]) for c in streaming.TOTALS for r in agreed_now.groupBy(c).count().collect()]
+    assert once == sorted(want)
+    streaming.BatchScan(paths["out"], totals_dir=paths["totals"], progress_dir=paths["progress"])(
+        repository_corpus(spark, root).where("path = 'r1/late.py'"), 2)
+    assert sorted(map(tuple, streaming.stream_totals(spark, paths["totals"]).collect())) == once
+    told = streaming.scan_progress(spark, paths["progress"], 4).orderBy("batch_id").collect()
+    assert [r.files for r in told] == [1, 1, 1, 0, 1] or [r.files for r in told] == [1, 1, 1, 1, 0]
+    assert told[-1].files_so_far == 4 and told[-1].percent == 100.0 and told[-1].findings_so_far == agreed_now.count()
+
+
+def test_stream_of_files_of_any_size(spark, tmp_path):
+    root = make(tmp_path / "repos", {"r/big.py": "eval(x)\n" * 200_000, "r/a.py": "eval(x)"})
+    for limit, want in ((1_000_000, {"r/a.py"}), (None, {"r/a.py", "r/big.py"})):
+        out = str(tmp_path / f"out{limit}")
+        stream = streaming.file_stream(spark, root, max_bytes=limit)
+        streaming.scan_stream(stream, out, str(tmp_path / f"p{limit}")).awaitTermination()
+        assert {r.path for r in spark.read.parquet(out).select("path").distinct().collect()} == want
+
+
 def test_prune_by_table_size(spark, files):
     corpus = files(("r/a.py", "x"), ("r/vendor/b.py", "x"), ("r/c.txt", "x")).withColumn("length", F.lit(1_000_000))
     assert [r.path for r in prune(corpus).collect()] == ["r/a.py"]

@@ -228,4 +228,11 @@ FROM enriched""",
     "last_checkpoint": consensus_sql(f"SELECT '{LATER}' AS timestamp, '2' AS files FROM (SELECT count(*) FROM agreed)"),
     "stream_findings": consensus_sql(f"SELECT {AGREED} FROM agreed"),
     "stream_counts": _regex(BUILTIN_RULES, "SELECT agent, severity, count(*) AS findings FROM regex_found GROUP BY ALL"),
+    "stream_totals": consensus_sql(
+        "SELECT 'all' AS dimension, 'all' AS value, count(*) AS findings FROM agreed HAVING count(*) > 0 "
+        + " ".join(f"UNION ALL SELECT '{c}', {c}::VARCHAR, count(*) FROM agreed GROUP BY {c}"
+                   for c in ("consensus_level", "severity", "category", "repo"))),
+    "stream_progress": consensus_sql(
+        "SELECT count(*) AS files, (SELECT count(*) FROM agreed) AS findings, sum(strlen(content))::BIGINT AS bytes, "
+        "100.0::DOUBLE AS percent, TRUE AS in_batches, TRUE AS rated FROM files"),
 }

@@ -405,6 +405,35 @@ def stream_counts(spark: SparkSession, sf: str) -> DataFrame:
     return streaming.latest_counts(spark, out)
 
 
+def _tracked_stream(spark: SparkSession, sf: str) -> tuple[str, str, str]:
+    """A scan of files that arrive in two parts, by bytes, stopped in between; its first batch is then repeated."""
+    arriving, progress = shared_dir(spark, "arriving"), shared_dir(spark, "stream-progress")
+    out, totals, told = (shared_dir(spark, f"tracked-{name}") for name in ("out", "totals", "progress"))
+    files = tables.source_files(spark, sf)
+    later = F.pmod(F.xxhash64("path"), F.lit(3)) == 0
+    for part in (files.where(~later).repartition(3, "path"), files.where(later).repartition(2, "path")):
+        part.write.mode("append").parquet(arriving)
+        stream = streaming.table_stream(spark, arriving, files.schema, bytes_per_batch=1)
+        streaming.scan_stream(stream, out, progress, totals_dir=totals, progress_dir=told).awaitTermination()
+    first = spark.read.parquet(out).where("batch_id = 0").select("repo", "path").distinct()
+    again = streaming.BatchScan(out, totals_dir=totals)
+    # A file without findings adds nothing, so the files with findings are the batch.
+    again(files.join(first, ["repo", "path"], "left_semi"), 0)
+    return out, totals, told
+
+
+def stream_totals(spark: SparkSession, sf: str) -> DataFrame:
+    return streaming.stream_totals(spark, _tracked_stream(spark, sf)[1])
+
+
+def stream_progress(spark: SparkSession, sf: str) -> DataFrame:
+    """How far the stream has come, at its end."""
+    told = streaming.scan_progress(spark, _tracked_stream(spark, sf)[2], tables.source_files(spark, sf).count())
+    return told.agg(
+        F.max("files_so_far").alias("files"), F.max("findings_so_far").alias("findings"), F.sum("bytes").alias("bytes"),
+        F.max("percent").alias("percent"), (F.count("*") >= 3).alias("in_batches"), F.bool_and(F.col("files_per_second") > 0).alias("rated"))
+
+
 QUERIES = {
     "scannable_files": scannable_files,
     "skipped_files": skipped_files_of,
@@ -454,4 +483,6 @@ QUERIES = {
     "state_validation": state_validation,
     "stream_findings": stream_findings,
     "stream_counts": stream_counts,
+    "stream_totals": stream_totals,
+    "stream_progress": stream_progress,
 }
