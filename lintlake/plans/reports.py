@@ -148,31 +148,70 @@ def _section(section: str, df: DataFrame, key: Column, value: Column) -> DataFra
         F.lit(section).alias("section"), key.cast("string").alias("key"), value.cast("string").alias("value"))
 
 
+def _counts_of_findings(findings: DataFrame) -> DataFrame:
+    """``section, key, n``: findings per reviewer and in all, by one pass."""
+    sets = findings.groupingSets([[F.col("agent")], []], F.col("agent")).agg(
+        F.count("*").alias("n"), F.grouping_id().alias("g"))
+    return sets.select(F.lit("reviewers").alias("section"), F.when(F.col("g") == 0, F.col("agent")).otherwise("total").alias("key"), "n")
+
+
+def _counts_of_consensus(agreed: DataFrame) -> DataFrame:
+    """``section, key, n`` by level, severity and repository and in all, by one pass."""
+    level, severity, repo = (F.col(c) for c in ("consensus_level", "severity", "repo"))
+    sets = agreed.groupingSets([[level], [severity], [repo], []], level, severity, repo).agg(
+        F.count("*").alias("n"), F.grouping_id().alias("g"))
+    # Bits of the grouping number: summed over level, severity, repository.
+    g = F.col("g")
+    return sets.select(
+        F.when(g == 0b101, "severity").when(g == 0b110, "top_repos").otherwise("consensus").alias("section"),
+        F.when(g == 0b011, level.cast("string")).when(g == 0b101, severity).when(g == 0b110, repo).otherwise("total").alias("key"), "n")
+
+
 def run_report(corpus: DataFrame, findings: DataFrame, agreed: DataFrame,
                log_statistics: DataFrame | None = None, recovery: DataFrame | None = None) -> DataFrame:
-    """The run report as one long table of section, key and value."""
-    raw = findings.agg(F.count("*").alias("raw"))
-    kept = agreed.agg(F.count("*").alias("kept"))
-    both = raw.unionByName(kept, allowMissingColumns=True).agg(F.max("raw").alias("raw"), F.max("kept").alias("kept"))
+    """The run report as one long table of section, key and value.
+
+    Findings and consensus are each read by one aggregate over grouping sets.
+    The largest entries of a section are kept before its counts meet in one
+    place; only the ranking of repositories has more than a few.
+    """
+    counted = _counts_of_findings(findings).unionByName(_counts_of_consensus(agreed))
+    largest = Window.partitionBy("section").orderBy(F.desc("n"), "key")
+    few = counted.withColumn("rank", F.row_number().over(largest)).where(F.col("rank") <= TOP_REPOS).drop("rank")
+    zeros = [("reviewers", a) for a in [*AGENTS, "total"]] + [("consensus", str(c)) for c in [*CONSENSUS_LEVELS, "total"]]
+    zeros += [("severity", s) for s in SEVERITIES[:4]]
+    empty = findings.sparkSession.range(1).select(F.explode(F.array(*[
+        F.struct(F.lit(s).alias("section"), F.lit(k).alias("key"), F.lit(0).cast("long").alias("n")) for s, k in zeros])).alias("z")).select("z.*")
+    filled = few.unionByName(empty).groupBy("section", "key").agg(F.max("n").alias("n")).where(
+        (F.col("section") != "severity") | F.col("key").isin(SEVERITIES[:4]))
+
+    def in_all(section: str) -> Column:
+        mine = (F.col("section") == section) & (F.col("key") == "total")
+        return F.max(F.when(mine, F.col("n"))).over(Window.partitionBy(F.lit(1)))
+
     removed, percent = reduction(F.col("raw"), F.col("kept"))
-    parts = [
-        _section("run", corpus.agg(F.count("*").alias("n")), F.lit("files_scanned"), F.col("n")),
-        _section("reviewers", agent_counts(findings), F.col("agent"), F.col("findings")),
-        _section("reviewers", raw, F.lit("total"), F.col("raw")),
-        _section("consensus", consensus_levels(agreed), F.col("consensus_level"), F.col("findings")),
-        _section("consensus_percent", consensus_levels(agreed), F.col("consensus_level"), F.col("percent")),
-        _section("consensus", kept, F.lit("total"), F.col("kept")),
-        _section("reduction", both.select(removed), F.lit("removed"), F.col("removed")),
-        _section("reduction", both.select(percent), F.lit("percent"), F.format_string("%.1f", F.col("removed_percent"))),
-        _section("severity", severity_counts(agreed).where(F.col("sev_rank") < 4), F.col("severity"), F.col("findings")),
-        _section("top_repos", top_repos(agreed), F.col("repo"), F.col("findings")),
+
+    def entry(section: str | Column, key: str | Column, value: Column, condition: Column) -> Column:
+        named = [F.lit(c) if isinstance(c, str) else c for c in (section, key)]
+        return F.when(condition, F.struct(named[0].alias("section"), named[1].alias("key"), value.cast("string").alias("value")))
+
+    section, key, n = F.col("section"), F.col("key"), F.col("n")
+    is_level = (section == "consensus") & (key != "total")
+    once = (section == "reviewers") & (key == "total")
+    entries = [
+        entry(section, key, n, F.lit(True)),
+        entry("consensus_percent", key, floor_percent(n, F.col("kept")), is_level),
+        entry("reduction", "removed", F.col("removed"), once),
+        entry("reduction", "percent", F.format_string("%.1f", F.col("removed_percent")), once),
     ]
+    report = filled.select("*", in_all("reviewers").alias("raw"), in_all("consensus").alias("kept")).select(
+        "*", removed, percent).select(F.explode(F.array_compact(F.array(*entries))).alias("e")).select("e.*")
+    parts = [_section("run", corpus.agg(F.count("*").alias("n")), F.lit("files_scanned"), F.col("n"))]
     if log_statistics is not None:
         parts += [_section("log", log_statistics, F.lit(name), F.col(name)) for name in ("findings_count", "checkpoint_count")]
     if recovery is not None:
         parts += [_section("resume", recovery, F.lit(name), F.col(name))
                   for name in ("recovery_method", "checkpoint_timestamp")]
-    report = parts[0]
-    for part in parts[1:]:
+    for part in parts:
         report = report.unionByName(part)
     return report

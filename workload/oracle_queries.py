@@ -61,7 +61,13 @@ SELECT repo, path, rule_id, match_ordinal, concat_ws(chr(10),
 FROM enriched"""
 
 
-def _run_report() -> str:
+def _run_report(resumed: bool = False) -> str:
+    more = [
+        f"SELECT 'log', 'findings_count', {N_LOGGED}::VARCHAR",
+        "SELECT 'log', 'checkpoint_count', '0'",
+        "SELECT 'resume', 'recovery_method', 'checkpoint'",
+        f"SELECT 'resume', 'checkpoint_timestamp', '{RUN_TIME}'",
+    ]
     entries = [
         "SELECT 'run', 'files_scanned', count(*)::VARCHAR FROM files",
         f"SELECT 'reviewers', agent, count(rule_id)::VARCHAR FROM {_labels('agent', AGENTS)} LEFT JOIN findings USING (agent) GROUP BY agent",
@@ -73,6 +79,7 @@ def _run_report() -> str:
         "SELECT 'reduction', 'percent', printf('%.1f', round(((SELECT count(*) FROM findings) - (SELECT count(*) FROM agreed)) * 100 / (SELECT count(*) FROM findings), 1))",
         f"SELECT 'severity', severity, count(rule_id)::VARCHAR FROM {_labels('severity', SEVERITIES[:4])} LEFT JOIN agreed USING (severity) GROUP BY severity",
         "SELECT * FROM (SELECT 'top_repos', repo, count(*)::VARCHAR FROM agreed GROUP BY repo ORDER BY count(*) DESC, repo LIMIT 10)",
+        *(more if resumed else []),
     ]
     return consensus_sql("SELECT * FROM (" + "\nUNION ALL ".join(entries) + ") report(section, key, value)")
 
@@ -205,6 +212,7 @@ FROM enriched""",
         + ", ".join(f"count(*) FILTER (severity = {q(s)}) AS {s.lower()}" for s in SEVERITIES[:4])
         + " FROM findings GROUP BY agent"),
     "run_report": _run_report(),
+    "run_report_resumed": _run_report(resumed=True),
     "findings_json": consensus_sql(FINDINGS_JSON),
     "log_replay": consensus_sql(
         "SELECT md5(concat_ws('|', repo, path, rule_id, match_ordinal)) AS finding_id, repo, path AS file, severity, category, "
@@ -235,4 +243,23 @@ FROM enriched""",
     "stream_progress": consensus_sql(
         "SELECT count(*) AS files, (SELECT count(*) FROM agreed) AS findings, sum(strlen(content))::BIGINT AS bytes, "
         "100.0::DOUBLE AS percent, TRUE AS in_batches, TRUE AS rated FROM files"),
+    "log_order": consensus_sql(
+        f"SELECT '3' AS level, count(*) AS before, {N_CRITICAL} AS after, TRUE AS sized FROM agreed"),
+    "resume_states": consensus_sql("""SELECT * EXCLUDE (n),
+  'Resumed by: ' || recovery_method || coalesce(chr(10) || 'State saved at: ' || saved_at, '')
+  || chr(10) || 'Files done: ' || files_scanned || chr(10) || 'Findings: ' || findings_count
+  || chr(10) || 'Repositories done: ' || repos_completed || coalesce(chr(10) || 'Repository under way: ' || current_repo, '') AS summary
+FROM (SELECT state, recovery_method, checkpoint_type,
+    CASE WHEN with_files THEN files ELSE 0 END AS files_scanned, CASE state WHEN 'nothing' THEN 0 ELSE n END AS findings_count,
+    CASE WHEN with_repos THEN repos ELSE 0 END AS repos_completed, current_repo, TRUE AS is_valid, TRUE AS counts_match,
+    unfinished, saved_at, n
+  FROM (SELECT count(*) AS n, count(DISTINCT (repo, path)) AS files, count(DISTINCT repo) AS repos
+        FROM agreed WHERE severity = 'CRITICAL'),
+  (VALUES ('files', 'checkpoint', 'file_level', TRUE, FALSE, 'src0', TRUE, '"""
+        + RUN_TIME + """'), ('repos', 'checkpoint', 'repo_level', TRUE, TRUE, NULL, TRUE, '"""
+        + LATER + """'), ('finished', 'checkpoint', 'summary', FALSE, FALSE, NULL, FALSE, '"""
+        + LATER + """'), ('log', 'transaction_log', NULL, TRUE, FALSE, NULL, TRUE, NULL),
+    ('nothing', 'none', NULL, FALSE, FALSE, NULL, FALSE, NULL))
+  s(state, recovery_method, checkpoint_type, with_files, with_repos, current_repo, unfinished, saved_at))""").replace(
+        "SELECT * EXCLUDE (n),", "SELECT * EXCLUDE (n, saved_at),"),
 }

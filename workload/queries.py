@@ -307,6 +307,14 @@ def run_report(spark: SparkSession, sf: str) -> DataFrame:
     return reports.run_report(tables.source_files(spark, sf), found, agreed)
 
 
+def run_report_resumed(spark: SparkSession, sf: str) -> DataFrame:
+    """The report of a run that was taken up again: with what its log and its state say."""
+    state = _interrupted(spark, sf)
+    found, agreed = _stored(spark, sf)
+    return reports.run_report(
+        tables.source_files(spark, sf), found, agreed, log.log_stats(spark, state.log_dir), resume.resume_state(state))
+
+
 def findings_json(spark: SparkSession, sf: str) -> DataFrame:
     """One JSON document per file, written by repository and read back."""
     folder = shared_dir(spark, "findings-json")
@@ -381,6 +389,52 @@ def state_validation(spark: SparkSession, sf: str) -> DataFrame:
         "has_summary_checkpoint", "latest_timestamp", "latest_type")
 
 
+def log_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Markers of one timestamp: the last one is the one written last, and tells what came before it."""
+    folder = shared_dir(spark, "log")
+    agreed = materialize(_agreed(spark, sf), "consensus")
+    for level in (1, 2, 3):
+        log.append_findings(agreed.where(F.col("consensus_level") == level), folder, RUN_TIME)
+        log.append_checkpoint(spark, folder, RUN_TIME, {"level": level})
+    log.append_findings(agreed.where("severity = 'CRITICAL'"), folder, RUN_TIME)
+    last = log.last_checkpoint(spark, folder)
+    at = last.select("position").scalar()
+    lines = spark.read.option("recursiveFileLookup", "true").text(folder).agg(F.sum(F.octet_length("value") + 1))
+    return log.replay(spark, folder).agg(
+        F.count_if(F.col("position") < at).alias("before"), F.count_if(F.col("position") > at).alias("after")).select(
+        last.select(F.col("data")["level"]).scalar().alias("level"), "before", "after",
+        (log.log_bytes(spark, folder).scalar() == lines.scalar()).alias("sized"))
+
+
+def resume_states(spark: SparkSession, sf: str) -> DataFrame:
+    """Where a run resumes from: files saved, repositories saved, finished, a log alone, and nothing at all."""
+    agreed = materialize(_agreed(spark, sf), "consensus")
+
+    def state() -> RunState:
+        fresh = RunState(spark, shared_dir(spark, "run"))
+        log.append_findings(agreed.where("severity = 'CRITICAL'"), fresh.log_dir, RUN_TIME)
+        return fresh
+
+    by_file, by_repo, finished, by_log = state(), state(), state(), state()
+    done = agreed.where("severity = 'CRITICAL'")
+    by_file.save_files(done.select("repo", "path").distinct(), RUN_TIME, "src0")
+    by_repo.save_files(done.select("repo", "path").distinct(), RUN_TIME, "src0")
+    by_repo.save_repos(done.select("repo"), LATER, 1.5)
+    finished.save_repos(done.select("repo"), RUN_TIME)
+    finished.save_summary(LATER, 2.5)
+    # A new run in the same folder shares the log's folder with nobody.
+    nothing = RunState(spark, shared_dir(spark, "run"))
+    out = None
+    for name, each in (("files", by_file), ("repos", by_repo), ("finished", finished), ("log", by_log), ("nothing", nothing)):
+        at = resume.resume_state(each)
+        rows = resume.validate_state(at).select(
+            F.lit(name).alias("state"), "recovery_method", "checkpoint_type", "files_scanned", "findings_count", "repos_completed",
+            "current_repo", "is_valid", "counts_match", resume.is_unfinished(each).scalar().alias("unfinished"),
+            resume.recovery_summary(at).scalar().alias("summary"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 # --- streaming -------------------------------------------------------------
 
 def _document_stream(spark: SparkSession, sf: str) -> DataFrame:
@@ -473,6 +527,7 @@ QUERIES = {
     "repo_summary_markdown": repo_summary_markdown,
     "reviewer_report": reviewer_report,
     "run_report": run_report,
+    "run_report_resumed": run_report_resumed,
     "findings_json": findings_json,
     "log_replay": log_replay,
     "log_stats": log_stats,
@@ -480,6 +535,8 @@ QUERIES = {
     "resume_pending_files": resume_pending_files,
     "resume_pending_repos": resume_pending_repos,
     "resume_state": resume_state,
+    "resume_states": resume_states,
+    "log_order": log_order,
     "state_validation": state_validation,
     "stream_findings": stream_findings,
     "stream_counts": stream_counts,
