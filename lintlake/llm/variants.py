@@ -30,6 +30,8 @@ LEAST_CHARS, LEAST_COUNT, FORM_RATIO = 6, 5, 5
 WORDS_HELD = 200_000
 # Words of a list; longer blocks are cut into several lists that meet pairwise.
 LIST_WORDS = 2048
+# Words that a task of the search places in its blocks, roughly.
+WORDS_A_TASK = 8192
 
 _LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 _END = "\U0010ffff"
@@ -197,7 +199,9 @@ def near_pairs(words: DataFrame, least_chars: int = LEAST_CHARS, list_words: int
             yield met()
 
     key = ["side", "m", "half", "list", "met"]
-    ordered = blocks(words, least_chars, list_words).repartition(*key).sortWithinPartitions(*key, "shown")
+    # A stated number of parts, as the planner would judge by bytes and leave a few long tasks.
+    parts = max(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), words.count() // WORDS_A_TASK)
+    ordered = blocks(words, least_chars, list_words).repartition(parts, *key).sortWithinPartitions(*key, "shown")
     return ordered.mapInArrow(pairs, "word string, n long, other string, other_n long")
 
 
