@@ -366,7 +366,9 @@ def _interrupted(spark: SparkSession, sf: str) -> RunState:
 def resume_pending_files(spark: SparkSession, sf: str) -> DataFrame:
     state = _interrupted(spark, sf)
     corpus = tables.source_files(spark, sf)
-    return resume.pending_files(corpus, resume.files_to_skip(state)).select("repo", "path")
+    # The keys are used three times; stored, the log is parsed once for them.
+    done = materialize(resume.files_to_skip(state), "done")
+    return resume.pending_files(corpus, done).select("repo", "path")
 
 
 def resume_pending_repos(spark: SparkSession, sf: str) -> DataFrame:
