@@ -9,6 +9,10 @@ verifies the text around each with bounded errors.
 
 from __future__ import annotations
 
+import bisect
+import heapq
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,23 +46,27 @@ _TO_SPACES = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
-def normalised(text: str | None) -> tuple[bytes, int]:
+def normalised(text: str | None) -> tuple[str, int]:
     """Words joined by single spaces, with a space at both ends, and their number."""
     words = (text or "").encode().translate(_TO_SPACES).split(b" ")
     words = [w for w in words if w]
-    return b" " + b" ".join(words) + b" ", len(words)
+    return (b" " + b" ".join(words) + b" ").decode(), len(words)
+
+
+def places(joined: str, words: str) -> list[int]:
+    """Offsets of the spaces before ``words`` where these stand as whole words."""
+    return _occurrences(joined, f" {words} ")
 
 
-def places(joined: bytes, words: bytes) -> list[int]:
-    """Offsets where ``words`` stand as whole words."""
-    found, at = [], joined.find(b" " + words + b" ")
+def _occurrences(joined: str, part: str) -> list[int]:
+    found, at = [], joined.find(part)
     while at >= 0:
         found.append(at)
-        at = joined.find(b" " + words + b" ", at + 1)
+        at = joined.find(part, at + 1)
     return found
 
 
-def pieces(words: bytes, errors: int) -> list[tuple[int, bytes]]:
+def pieces(words: str, errors: int) -> list[tuple[int, str]]:
     """The notice cut into ``errors + 1`` parts of nearly equal length, with their offsets."""
     cuts = [len(words) * i // (errors + 1) for i in range(errors + 2)]
     return [(a, words[a:b]) for a, b in zip(cuts, cuts[1:])]
@@ -69,67 +77,91 @@ def verifiers(notices=NOTICES) -> list:
     import regex
 
     return [
-        (words.encode(), label, errors, pieces(words.encode(), errors),
-         regex.compile(f"(?be)(?:{regex.escape(words)}){{e<={errors}}}"))
+        (words, label, errors, pieces(words, errors), regex.compile(f"(?be)(?:{regex.escape(words)}){{e<={errors}}}"))
         for words, label, errors in notices]
 
 
-def fuzzy_spans(joined: bytes, compiled: list) -> list[tuple[str, int, int, int]]:
+def windows(joined: str, size: int, errors: int, parts: list[tuple[int, str]]) -> list[tuple[int, int]]:
+    """Bounded windows that hold every match in which one of ``parts`` is unchanged.
+
+    A match starts at most ``errors`` characters before or after the place that
+    its unchanged part tells.  Windows that start within twice the errors of the
+    first of them are one, so that no window is longer than the notice and five
+    times the errors.
+    """
+    starts = sorted({at - offset - errors for offset, piece in parts for at in _occurrences(joined, piece)})
+    out: list[tuple[int, int]] = []
+    first = None
+    for start in starts:
+        end = min(len(joined), start + size + 3 * errors)
+        if first is not None and start <= first + 2 * errors:
+            out[-1] = (out[-1][0], end)
+        else:
+            first = start
+            out.append((max(0, start), end))
+    return out
+
+
+def hits(pattern, joined: str, found: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """``(start, end, errors)`` of matches that do not overlap, the best first, then the leftmost.
+
+    What a taken match leaves of a window is searched again.  Windows are bounded,
+    so the time is in proportion to their number but for a logarithm.
+    """
+    queue: list[tuple[int, int, int, int, int]] = []
+
+    def search(low: int, high: int) -> None:
+        hit = pattern.search(joined, low, high) if low < high else None
+        if hit and hit.end() > hit.start():
+            heapq.heappush(queue, (sum(hit.fuzzy_counts), hit.start(), hit.end(), low, high))
+
+    for low, high in found:
+        search(low, high)
+    taken: list[tuple[int, int, int]] = []
+    while queue:
+        errors, start, end, low, high = heapq.heappop(queue)
+        at = bisect.bisect_left(taken, (start,))
+        if at and taken[at - 1][1] > start:
+            at -= 1
+        if at < len(taken) and taken[at][0] < end:
+            start, end = taken[at][:2]
+        else:
+            taken.insert(at, (start, end, errors))
+        search(low, min(high, start))
+        search(max(low, end), high)
+    return taken
+
+
+def fuzzy_spans(joined: str, compiled: list, spaces: Spaces) -> list[tuple[str, int, int, int]]:
     """``(label, first word, word after the last, errors)`` of every verified notice."""
     spans = set()
     for plain, label, errors, parts, pattern in compiled:
-        windows = []
-        for offset, piece in parts:
-            at = joined.find(piece)
-            while at >= 0:
-                start = max(0, at - offset - errors)
-                windows.append((start, min(len(joined), start + len(plain) + 3 * errors)))
-                at = joined.find(piece, at + 1)
-        for start, end in _joined(windows):
-            text = joined[start:end].decode("utf-8", "ignore")
-            # A cut character at the window's start would shift offsets, so they are taken from its bytes.
-            lead = len(joined[start:end]) - len(text.encode())
-            for hit in _hits(pattern, text):
-                first = start + lead + len(text[:hit.start()].encode())
-                last = start + lead + len(text[:hit.end()].encode())
-                spans.add((label, _word_at(joined, first), _word_at(joined, max(first, last - 1)) + 1,
-                           sum(hit.fuzzy_counts)))
+        for start, end, wrong in hits(pattern, joined, windows(joined, len(plain), errors, parts)):
+            spans.add((label, spaces.word_at(start), spaces.word_at(max(start, end - 1)) + 1, wrong))
     return sorted(spans)
 
 
-def _hits(pattern, text: str) -> list:
-    """Best matches that do not overlap: after each one the text on both sides is searched, too."""
-    hits, rest = [], [(0, len(text))]
-    while rest:
-        start, end = rest.pop()
-        hit = pattern.search(text, start, end)
-        if hit and hit.end() > hit.start():
-            hits.append(hit)
-            rest += [(start, hit.start()), (hit.end(), end)]
-    return hits
-
+class Spaces:
+    """Where the spaces of a joined text are, counted when first asked for."""
 
-def _joined(windows: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Overlapping windows as one."""
-    out: list[tuple[int, int]] = []
-    for start, end in sorted(windows):
-        if out and start <= out[-1][1]:
-            out[-1] = (out[-1][0], max(end, out[-1][1]))
-        else:
-            out.append((start, end))
-    return out
+    def __init__(self, joined: str):
+        self.joined, self.at = joined, None
 
+    def before(self, offset: int) -> int:
+        """The number of spaces before ``offset``."""
+        if self.at is None:
+            self.at = np.flatnonzero(np.frombuffer(self.joined.encode("utf-32-le"), np.uint32) == 32)
+        return int(np.searchsorted(self.at, offset))
 
-def _word_at(joined: bytes, offset: int) -> int:
-    return max(0, joined.count(b" ", 0, offset + 1) - 1)
+    def word_at(self, offset: int) -> int:
+        return max(0, self.before(offset + 1) - 1)
 
 
 def scan(text: str | None, compiled: list, phrases=PHRASES) -> tuple:
     joined, count = normalised(text)
-    base = [
-        (joined.count(b" ", 0, at), label)
-        for words, label in phrases.items() if words.encode() in joined for at in places(joined, words.encode())]
-    spans = fuzzy_spans(joined, compiled)
+    spaces = Spaces(joined)
+    base = [(spaces.before(at), label) for words, label in phrases.items() for at in places(joined, words)]
+    spans = fuzzy_spans(joined, compiled, spaces)
     labels = {label for _, label in base}
     near = {label for label, *_ in spans} | labels
     best = {label: 1.0 for label in labels}

@@ -293,16 +293,58 @@ def test_notices_that_stand_together():
 
 
 @pytest.mark.parametrize("words, errors", [("abcdefghij", 2), ("mozilla public license", 2)])
-def test_pieces_miss_no_place(words, errors):
+@pytest.mark.parametrize("wrong", ["#", "é", "中", "😀"])
+def test_pieces_miss_no_place(words, errors, wrong):
     draw = random.Random(5)
-    parts = licenses.pieces(words.encode(), errors)
-    assert b"".join(p for _, p in parts) == words.encode()
+    parts = licenses.pieces(words, errors)
+    assert "".join(p for _, p in parts) == words
     for _ in range(300):
         text = list(words)
         for _ in range(errors):
             at = draw.randrange(len(text))
-            draw.choice([lambda: text.__setitem__(at, "#"), lambda: text.pop(at), lambda: text.insert(at, "#")])()
-        assert any(p in "".join(text).encode() for _, p in parts)
+            draw.choice([lambda: text.__setitem__(at, wrong), lambda: text.pop(at), lambda: text.insert(at, wrong)])()
+        assert any(p in "".join(text) for _, p in parts)
+
+
+def test_faulty_notices_against_whole_search():
+    """Errors of characters of every length: the label of the search over the whole text, and a span at the notice."""
+    draw = random.Random(8)
+    compiled = licenses.verifiers()
+    for _ in range(400):
+        words, label, errors, _, pattern = draw.choice(compiled)
+        text = list(words)
+        for _ in range(draw.randint(0, errors)):
+            at, wrong = draw.randrange(len(text)), draw.choice("xé中😀")
+            draw.choice([lambda: text.__setitem__(at, wrong), lambda: text.pop(at), lambda: text.insert(at, wrong)])()
+        before = draw.randint(0, 12)
+        whole = " ".join(draw.choice(["und", "é中", "😀", "license"]) for _ in range(before)) + " " + "".join(text) + " danach"
+        joined, _ = licenses.normalised(whole)
+        spans = [s for s in licenses.scan(whole, compiled)[7] if s["label"] == label]
+        assert pattern.search(joined) and spans
+        assert any(s["first_word"] <= before + len("".join(text).split()) and s["end_word"] >= before for s in spans)
+
+
+@pytest.mark.parametrize("text", [
+    "released under the mit license", "rxlxaxed under the mit license", "r中l中a中ed under the mit license",
+    "creat中ve comm中ns attrib中tion"])
+def test_errors_count_characters(text):
+    row = licenses.scan(text, licenses.verifiers())
+    assert row[5] in ("mit", "cc-by") and [s["first_word"] for s in row[7]][:1] == [0]
+
+
+def test_time_of_long_faulty_texts():
+    """A megabyte of faulty notices, and one of exact phrases."""
+    import time
+
+    compiled = licenses.verifiers()
+    for text, label in [("gnu genral public licens ", "gpl"), ("mit license ", "mit")]:
+        copies = 1_000_000 // len(text)
+        begun = time.process_time()
+        row = licenses.scan(text * copies, compiled)
+        assert time.process_time() - begun < 30
+        assert label in row[5].split(",")
+        if label == "gpl":
+            assert sum(s["label"] == "gpl" for s in row[7]) == copies
 
 
 def test_fingerprints_are_brute_force(texts):
