@@ -3,13 +3,20 @@
 Patterns with checks give the base spans.  High-recall generators propose
 further spans, which may overlap: anything like an address, a number or a
 credential.  Boosted trees judge each from its format and its surroundings.
-They learn from the corpus itself: proposals that a strict check or a weak rule
-of words before them confirms are positive, those of the same form without such
-words are left out, and the rest are not.  The threshold is calibrated on proposals kept apart, for a stated precision.
+They learn from cases of known truth, planted between the corpus' own words
+(dates, ranges, decimals, book numbers, versions and hashes are the negatives),
+and from the corpus' proposals: those that a strict check or a weak rule of words
+before them confirms are positive, those of the same form without such words
+are left out, and the rest are not.  No rule that labels is a feature.  Each
+kind has a threshold, calibrated for a stated precision on documents kept apart.
+A proposal is at most 64 characters on each side of an @ and in each part of a
+host, 43 digits or so, or 256 characters of a credential; a longer run is
+proposed in parts.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from typing import NamedTuple
@@ -20,10 +27,13 @@ from pyspark.sql import functions as F
 
 from lintlake.llm.boosting import Trees, sigmoid
 from lintlake.llm.common import documents, drawn, map_rows
+from lintlake.llm.personal_cases import planted
 
 # The base patterns, in the order in which kinds are listed.
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# An address is found from its @, and an ip starts where no digit is before, so that long runs are read once.
+LOCAL_PART = re.compile(r"[A-Za-z0-9._%+-]+")
+HOST_PART = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 KINDS = ("email", "ip", "card", "phone", "contact", "number", "secret")
@@ -40,10 +50,15 @@ REACH = re.compile(r"(?:mail|contact|write|reach)\w{0,4}\W{1,3}(?:\w{1,8}\W{1,2}
 CALL = re.compile(r"(?:tel|phone|call|fax|mobile|card|visa|account|iban)\w{0,6}\W{0,3}(?:[A-Za-z]{1,8}\W{1,2}){0,3}$", re.IGNORECASE)
 UNQUOTED = re.compile(r"(?:token|secret|password|passwd|key|auth)\w{0,16} {0,2}[:=] {0,2}$", re.IGNORECASE)
 _OWN_NAME = re.compile(r"\w{0,16}(?:token|secret|password|passwd|key|auth)\w{0,16}=[^=]", re.IGNORECASE)
-_WORDS_BEFORE = re.compile(r"mail|contact|write|tel|phone|call|fax|mobile|card|visa|account|iban|token|secret|password|key|ssn|passport|id\b", re.IGNORECASE)
+# Words of the surroundings, by what they speak for.
+_CONTEXT = tuple(re.compile(words, re.IGNORECASE) for words in (
+    r"mail|contact|write|reach", r"\btel|phone|call|fax|mobile|card|visa|account|iban|ssn|passport",
+    r"token|secret|passw|key|auth", r"commit|\bsha|md5|hash|\brev|isbn|version|release|\bno\b|item|date|\bon\b|since|between"))
 
 # The trees are fitted on the proposals of about so many documents, at most twice as many, drawn by the hash of their id.
 FIT_DOCUMENTS = 5_000
+# Planted cases for each of them.
+CASES = 4
 PRECISION = 0.95
 AROUND = 32
 
@@ -66,11 +81,45 @@ def _digits(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
 
+def emails(text: str) -> list[Span]:
+    """Addresses, leftmost and non-overlapping; every character is read a bounded number of times."""
+    found, free, at = [], 0, text.find("@")
+    while at >= 0:
+        local = LOCAL_PART.match(text[free:at][::-1])
+        host = HOST_PART.match(text, at + 1) if local else None
+        if host:
+            found.append(Span(at - local.end(), host.end(), "email"))
+        free = host.end() if host else at + 1
+        at = text.find("@", free)
+    return found
+
+
+class Cover:
+    """Disjoint intervals in order."""
+
+    def __init__(self, spans: list[Span] = ()):
+        self.starts, self.ends = [], []
+        for s in sorted(spans):
+            if self.ends and s.start < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], s.end)
+            else:
+                self.starts.append(s.start)
+                self.ends.append(s.end)
+
+    def meets(self, span: Span) -> bool:
+        at = bisect.bisect_right(self.ends, span.start)
+        return at < len(self.starts) and self.starts[at] < span.end
+
+    def add(self, span: Span) -> None:
+        """``span`` meets nothing yet."""
+        at = bisect.bisect_left(self.starts, span.start)
+        self.starts.insert(at, span.start)
+        self.ends.insert(at, span.end)
+
+
 def base_spans(text: str) -> list[Span]:
     """Confirmed matches of the four patterns, each kind by itself."""
-    found = []
-    if "@" in text:
-        found += [Span(*m.span(), "email") for m in EMAIL.finditer(text)]
+    found = emails(text)
     if "." in text:
         for m in IP.finditer(text):
             parts = [p.lstrip("0") for p in m.group().split(".")]
@@ -107,21 +156,23 @@ def describe(text: str, span: Span) -> tuple[float, ...]:
     digits, letters = sum(c.isdigit() for c in body), sum(c.isalpha() for c in body)
     groups = [len(g) for g in re.findall("[0-9]+", body)]
     number = _digits(body)
-    hint = _WORDS_BEFORE.findall(before)
+    runs = [len(g) for g in re.findall("[A-Za-z]+", body)]
+    year = [1000 <= int(g) <= 2099 for g in re.findall("[0-9]+", body) if len(g) == 4]
     return (
         float(KINDS.index(span.kind)), size, digits, letters, digits / size, letters / size, len(set(body)) / size,
         sum(c.isupper() for c in body), body.count("."), body.count(" "), body.count("-"), body.count("("),
         float(body[0] == "+"), body.count("@"), len(groups), max(groups, default=0), min(groups, default=0),
-        sum(c in "0123456789abcdef" for c in body) / size, len(hint), float("=" in before or ":" in before),
+        sum(c in "0123456789abcdef" for c in body) / size, float("=" in before or ":" in before),
         float(before[-1:] in ("'", '"')), float(after[:1] in ("'", '"')), float(before[-1:].isalnum()),
-        float(after[:1].isalnum()), float(before[-1:] == " "), float(12 <= len(number) <= 19 and _luhn(number)),
-        float(bool(OBFUSCATED.search(body))), float(bool(REACH.search(before))), float(bool(CALL.search(before))),
-        float(bool(UNQUOTED.search(before)) or bool(_OWN_NAME.match(body))), float(bool(NAMED.search(before))), len(number))
+        float(after[:1].isalnum()), float(before[-1:] == " "), float(12 <= len(number) <= 19 and _luhn(number)), len(number),
+        body.count(":"), body.count("/"), body.count("_"), groups[0] if groups else 0, groups[-1] if groups else 0,
+        sum(year), max(runs, default=0), float(body[0] == "0"), body.count("0") / size, float(number.startswith(("978", "979"))),
+        *(float(len(words.findall(before[-24:]))) for words in _CONTEXT))
 
 
-def confirmed(text: str, span: Span, base: list[Span]) -> bool | None:
+def confirmed(text: str, span: Span, base: Cover) -> bool | None:
     """Whether a strict check or a weak rule stands behind a proposal; None if it has the form only."""
-    if any(b.start < span.end and span.start < b.end for b in base):
+    if base.meets(span):
         return True
     body, before = text[span.start:span.end], text[max(0, span.start - AROUND):span.start]
     if span.kind == "contact" and OBFUSCATED.search(body):
@@ -163,15 +214,33 @@ class Judge:
             a, b = a + step[0], b + step[1]
         self.slope, self.offset = a, b
         p = sigmoid(a * margin + b)
-        order = np.argsort(-p, kind="stable")
-        right = np.cumsum(truth[order]) / np.arange(1, len(p) + 1)
-        good = np.flatnonzero(right >= precision)
-        self.threshold = max(0.5, float(p[order][good[-1]])) if len(good) else 1.1
+        kinds = features[apart][:, 0].astype(int)
+        self.thresholds = np.full(len(KINDS), 1.1)
+        for kind in np.unique(kinds):
+            order = np.argsort(-p[kinds == kind], kind="stable")
+            right = np.cumsum(truth[kinds == kind][order]) / np.arange(1, len(order) + 1)
+            good = np.flatnonzero(right >= precision)
+            if len(good):
+                self.thresholds[kind] = max(0.5, float(p[kinds == kind][order][good[-1]]))
         return self
 
     def accepts(self, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         p = sigmoid(self.slope * self.trees.margin(features) + self.offset)
-        return p >= self.threshold, p
+        return p >= self.thresholds[features[:, 0].astype(int)], p
+
+
+def labelled(text: str, seed: int, cases: int = CASES) -> list[tuple[tuple[float, ...], bool]]:
+    """Features and truth of planted cases, and of the text's own proposals that rules decide."""
+    cover = Cover(base_spans(text))
+    known = [(describe(text, s), y) for s in proposals(text) if (y := confirmed(text, s, cover)) is not None]
+    for around, start, end, kind, personal in planted(text, seed, AROUND, cases):
+        cover = Cover(base_spans(around))
+        for s in proposals(around):
+            inside = min(end, s.end) - max(start, s.start)
+            # A positive is a proposal of its kind for the whole value; what the base finds by itself is no case.
+            if inside > 0 and not cover.meets(s) and (not personal or s.kind == kind and s.start <= start and s.end >= end):
+                known.append((describe(around, s), personal))
+    return known
 
 
 def fit_judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_documents: int = FIT_DOCUMENTS) -> Judge:
@@ -180,9 +249,8 @@ def fit_judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     chosen = chosen.where(F.col("t").isNotNull()).select("id", "t", F.xxhash64("id", "t").alias("h"))
 
     def row(_, key, text, h):
-        base = base_spans(text)
-        known = [(s, y) for s in proposals(text) if (y := confirmed(text, s, base)) is not None]
-        return h, [list(describe(text, s)) for s, _ in known], [float(y) for _, y in known]
+        known = labelled(text, h)
+        return h, [list(x) for x, _ in known], [float(y) for _, y in known]
 
     found = map_rows(chosen, row, "h long, x array<array<double>>, y array<double>").collect()
     found.sort(key=lambda r: r.h)
@@ -198,12 +266,13 @@ def all_spans(text: str | None, judge: Judge) -> tuple[list[Span], list[Span]]:
     base = base_spans(text)
     if judge.trees is None:
         return base, base
-    taken = list(base)
-    spans = [s for s in proposals(text) if not any(b.start < s.end and s.start < b.end for b in base)]
+    taken, cover = list(base), Cover(base)
+    spans = [s for s in proposals(text) if not cover.meets(s)]
     if spans:
         good, p = judge.accepts(np.array([describe(text, s) for s in spans], np.float64))
         for _, s in sorted(((-q, s) for s, g, q in zip(spans, good, p) if g)):
-            if not any(b.start < s.end and s.start < b.end for b in taken):
+            if not cover.meets(s):
+                cover.add(s)
                 taken.append(s)
     return base, sorted(taken, key=lambda s: (s.start, KINDS.index(s.kind)))
 
