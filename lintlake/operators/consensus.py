@@ -204,10 +204,13 @@ def with_templates(findings: DataFrame, generated_at: str) -> DataFrame:
     })
 
 
-def enrich(findings: DataFrame, generated_at: str) -> DataFrame:
-    """Each finding with its reasoning record (null below HIGH)."""
+def enrich(findings: DataFrame, generated_at: str, agents: list[str] | None = None) -> DataFrame:
+    """Each finding with its reasoning record (null below HIGH, and for reviewers other than ``agents`` if given)."""
     marked = with_templates(findings, generated_at).withColumn("_item", F.struct(*ITEM_COLUMNS))
-    cot = F.when(F.col("template_ix").isNotNull(), reasoning.record(F.col("_item")))
+    wanted = F.col("template_ix").isNotNull()
+    if agents is not None:
+        wanted &= F.col("agent").isin(agents)
+    cot = F.when(wanted, reasoning.record(F.col("_item")))
     return computed_once(marked, "cot", cot).drop("_item", "template_ix", "generated_at")
 
 

@@ -30,24 +30,24 @@ def audit(
     return filter_min_severity(agreed, min_severity)
 
 
-def findings_documents(agreed: DataFrame) -> DataFrame:
-    """One JSON document per file, the findings of the file inside.
-
-    A file is the largest group collected here; a repository's documents are
-    the lines below its folder once the frame is written by repository.
-    """
+def findings_by_file(agreed: DataFrame) -> DataFrame:
+    """``repo, path, findings``: the findings of each file by line.  A file is the largest group collected here."""
     entry = F.struct(
         "line_number", "severity", "category", "evidence", "recommendation", "consensus_level", "agreeing_agents")
     order = F.struct("line_number", "sev_rank", "rule_id")
     grouped = agreed.groupBy("repo", "path").agg(
         F.array_sort(F.collect_list(F.struct(order.alias("o"), entry.alias("e")))).alias("_sorted"))
-    return grouped.select(
-        "repo",
-        "path",
-        F.to_json(F.struct(
-            F.col("path").alias("file"),
-            F.transform("_sorted", lambda x: x["e"]).alias("findings"))).alias("value"),
-    )
+    return grouped.select("repo", "path", F.transform("_sorted", lambda x: x["e"]).alias("findings"))
+
+
+def findings_documents(agreed: DataFrame) -> DataFrame:
+    """One JSON document per file, the findings of the file inside.
+
+    A repository's documents are the lines below its folder once the frame is
+    written by repository.
+    """
+    return findings_by_file(agreed).select(
+        "repo", "path", F.to_json(F.struct(F.col("path").alias("file"), "findings")).alias("value"))
 
 
 def run_metadata(findings: DataFrame, run_time: str, duration_seconds: float) -> DataFrame:

@@ -115,6 +115,47 @@ SELECT repo, to_json({'file': path, 'findings': list({
     'agreeing_agents': string_split(agreeing_agents, ',')} ORDER BY line_number)})::VARCHAR AS value
 FROM agreed GROUP BY repo, path"""
 
+_HEAD = " || ".join([
+    "'Reviewer: ' || agent || chr(10) || 'Files with findings: ' || count(DISTINCT (repo, path)) FILTER (rule_id IS NOT NULL)",
+    "chr(10) || 'Issues: ' || count(rule_id)",
+    *(f"CASE WHEN count(*) FILTER (severity = {q(s)}) > 0 THEN chr(10) || '{s}: ' || count(*) FILTER (severity = {q(s)}) ELSE '' END"
+      for s in SEVERITIES[:4])])
+LISTING = f""",
+told AS ({SUMMARY.replace("SELECT repo,", "SELECT agent, repo,").strip()}),
+entries AS (
+  SELECT f.*, row_number() OVER (PARTITION BY agent, repo, path ORDER BY sev_rank, line_number, agent_rank, rule_ordinal, match_ordinal) AS nth,
+    concat_ws(chr(10), '[' || severity || '] ' || category, '   Line: ' || line_number, '   Confidence: ' || confidence,
+      '   Evidence: ' || evidence, '   Recommendation: ' || recommendation, '   Reference: ' || ref_primary,
+      '   See also: ' || ref_secondary,
+      CASE WHEN agent = 'permission' THEN '   ' || replace(summary, chr(10), chr(10) || '   ') END) AS entry
+  FROM findings f LEFT JOIN told USING (agent, repo, path, rule_id, match_ordinal)),
+blocks AS (
+  SELECT agent, NULL AS repo, NULL AS path, {_HEAD} AS value FROM {_labels('agent', AGENTS)} LEFT JOIN findings USING (agent) GROUP BY agent
+  UNION ALL
+  SELECT agent, repo, path, 'File: ' || path || chr(10) || string_agg(nth || '. ' || entry, chr(10) ORDER BY nth)
+  FROM entries GROUP BY agent, repo, path),
+counted AS (SELECT *, (1 + len(value) - len(replace(value, chr(10), '')))::BIGINT AS n_lines FROM blocks)
+SELECT agent, repo, path, (1 + coalesce(sum(n_lines) OVER (PARTITION BY agent ORDER BY repo NULLS FIRST, path
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS first_line, n_lines, value FROM counted"""
+
+RUN_DOCUMENT = f"""
+SELECT row_number() OVER w - 1 AS position, repo, path, CASE section
+    WHEN 0 THEN value
+    WHEN 2 THEN CASE WHEN lag(section) OVER w = 1 THEN '}}' ELSE '' END || value
+    ELSE CASE WHEN lag(repo) OVER w = repo THEN ',' WHEN lag(section) OVER w = 1 THEN '}},' || to_json(repo) || ':{{'
+      ELSE to_json(repo) || ':{{' END || value END AS value
+FROM (
+  SELECT 0 AS section, NULL AS repo, NULL AS path, '{{"metadata":' || to_json({{'scan_type': 'consensus',
+    'agents': [{", ".join(q(a) for a in ("security", "privacy", "permission"))}], 'scan_date': '{RUN_TIME}', 'duration_seconds': 1.5::DOUBLE,
+    'statistics': {{{", ".join(f"'{a}': count(*) FILTER (agent = {q(a)})" for a in ("security", "privacy", "permission"))}}}}}) || ',"findings":{{' AS value
+  FROM findings
+  UNION ALL SELECT 1, repo, path, to_json(path) || ':' || to_json(list({{
+    'line_number': line_number, 'severity': severity, 'category': category, 'evidence': evidence,
+    'recommendation': recommendation, 'consensus_level': consensus_level,
+    'agreeing_agents': string_split(agreeing_agents, ',')}} ORDER BY line_number)) FROM agreed GROUP BY repo, path
+  UNION ALL SELECT 2, NULL, NULL, '}}}}')
+WINDOW w AS (ORDER BY section, repo, path)"""
+
 N_CRITICAL = "(SELECT count(*) FROM agreed WHERE severity = 'CRITICAL')"
 N_LOGGED = "(SELECT count(*) FROM agreed WHERE severity IN ('CRITICAL', 'HIGH'))"
 
@@ -214,6 +255,8 @@ FROM enriched""",
     "run_report": _run_report(),
     "run_report_resumed": _run_report(resumed=True),
     "findings_json": consensus_sql(FINDINGS_JSON),
+    "reviewer_listing": base() + ",\n" + ENRICHED + LISTING,
+    "run_document": consensus_sql(RUN_DOCUMENT),
     "log_replay": consensus_sql(
         "SELECT md5(concat_ws('|', repo, path, rule_id, match_ordinal)) AS finding_id, repo, path AS file, severity, category, "
         "line_number, left(evidence, 200) AS evidence, consensus_level, agreeing_agents FROM agreed"),

@@ -17,7 +17,7 @@ from lintlake.operators.review import number_in_file, review
 from lintlake.operators.rule_index import indexed_findings
 from lintlake.operators.scan import regex_findings, regex_matches, rules_from_table
 from lintlake.plans import audit as plans
-from lintlake.plans import reports
+from lintlake.plans import documents, reports
 from lintlake.session import materialize, shared_dir, spread
 from lintlake.sources import log
 from lintlake.sources.corpus import prune, skipped_files, table_corpus
@@ -315,6 +315,18 @@ def run_report_resumed(spark: SparkSession, sf: str) -> DataFrame:
         tables.source_files(spark, sf), found, agreed, log.log_stats(spark, state.log_dir), resume.resume_state(state))
 
 
+def reviewer_listing(spark: SparkSession, sf: str) -> DataFrame:
+    """The three reviewers' reports in full: every finding, numbered in its file, and where its block stands."""
+    found = materialize(review(tables.scannable(spark, sf)), "findings")
+    return documents.reviewer_listing(found, RUN_TIME)
+
+
+def run_document(spark: SparkSession, sf: str) -> DataFrame:
+    """The run's JSON report in fragments, whose concatenation is one document."""
+    found, agreed = _stored(spark, sf)
+    return documents.run_document(found, agreed, RUN_TIME, 1.5)
+
+
 def findings_json(spark: SparkSession, sf: str) -> DataFrame:
     """One JSON document per file, written by repository and read back."""
     folder = shared_dir(spark, "findings-json")
@@ -531,6 +543,8 @@ QUERIES = {
     "run_report": run_report,
     "run_report_resumed": run_report_resumed,
     "findings_json": findings_json,
+    "reviewer_listing": reviewer_listing,
+    "run_document": run_document,
     "log_replay": log_replay,
     "log_stats": log_stats,
     "last_checkpoint": last_checkpoint,
