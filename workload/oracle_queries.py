@@ -8,6 +8,7 @@ from lintlake.sources.corpus import MAX_FILE_BYTES, SCANNABLE_EXTENSIONS, SKIP_D
 from workload.oracle import (
     CONSENSUS, ENRICHED, FILES, MIXED_FILES, PROSE_FILES, base, consensus_sql, facts, matches, merged_sql, q, scan_sql, strings,
 )
+from workload import oracle_records
 from workload.queries import LATER, RUN_TIME, SHORT, USER_RULES
 
 COLUMNS = ", ".join(SHORT)
@@ -226,6 +227,8 @@ SELECT repo, path, rule_id, match_ordinal, pattern,
 FROM enriched""",
     "reasoning_merged": "SELECT * EXCLUDE (records) FROM (" + merged_sql() + ")",
     "summary_text": base() + ",\n" + ENRICHED + SUMMARY,
+    "record_rejects": oracle_records.REJECTS,
+    "records_merged": oracle_records.merged(),
     "record_json": base() + ",\n" + ENRICHED
     + "SELECT repo, path, rule_id, match_ordinal, pattern, len(steps)::INT AS steps, TRUE AS unchanged FROM enriched",
     "compliance_coverage": base() + ",\n" + ENRICHED

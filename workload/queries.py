@@ -13,17 +13,19 @@ from lintlake.operators.consensus import (
     consensus, consensus_with_reasoning, consensus_within, enrich, filter_min_severity,
 )
 from lintlake.operators.pyfacts import ast_findings, py_facts
+from lintlake.operators.records import merge_record_table
 from lintlake.operators.review import number_in_file, review
 from lintlake.operators.rule_index import indexed_findings
 from lintlake.operators.scan import regex_findings, regex_matches, rules_from_table
 from lintlake.plans import audit as plans
 from lintlake.plans import documents, reports
 from lintlake.session import materialize, shared_dir, spread
-from lintlake.sources import log
+from lintlake.sources import log, records
 from lintlake.sources.corpus import prune, skipped_files, table_corpus
 from lintlake.sources.state import RunState
 from lintlake.streaming import scan as streaming
 from workload import corpus as tables
+from workload.records import record_lines
 
 RUN_TIME = "2024-01-01T00:00:00"
 LATER = "2024-01-01T01:00:00"
@@ -242,6 +244,32 @@ def record_json(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("back") == F.col("cot")).alias("unchanged"))
 
 
+def _handed_in(spark: SparkSession, sf: str) -> DataFrame:
+    folder = shared_dir(spark, "records")
+    record_lines(spark, sf).write.text(folder)
+    return records.parsed_lines(spark.read.text(folder))
+
+
+def record_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines that are no records, by reason."""
+    return records.rejects_of(_handed_in(spark, sf)).groupBy("reason").agg(F.count("*").alias("lines"))
+
+
+def records_merged(spark: SparkSession, sf: str) -> DataFrame:
+    """Every field of the records merged by location, from a table of JSON lines."""
+    merged = merge_record_table(records.records_of(_handed_in(spark, sf)))
+    lists, plain = [], []
+    for part in reasoning.RECORD_TYPE.fields:
+        for field in getattr(part.dataType, "fields", []):
+            name = f"merged.{part.name}.{field.name}"
+            if field.dataType == reasoning.STRINGS:
+                lists.append(_joined(name, field.name))
+            else:
+                plain.append(F.col(name).alias(field.name if field.name != "reasoning" else "doubt"))
+    return merged.select("repo", "path", "line_number", "records", F.array_join("agents", ",").alias("agreeing_agents"), *plain, *lists,
+                         F.col("merged.generated_by_agent").alias("generated_by"))
+
+
 def compliance_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return reports.compliance_coverage(enrich(review(tables.scannable(spark, sf)), RUN_TIME))
 
@@ -529,6 +557,8 @@ QUERIES = {
     "reasoning_merged": reasoning_merged,
     "summary_text": summary_text,
     "record_json": record_json,
+    "record_rejects": record_rejects,
+    "records_merged": records_merged,
     "compliance_coverage": compliance_coverage,
     "agent_counts": agent_counts,
     "consensus_levels": consensus_levels,
