@@ -2,10 +2,12 @@
 
 Texts are nodes, weighted by how many documents hold them.  Every passage, a
 line or a sentence, that stands in two texts or more is a hub which links them.
-In each round hubs count the shards of their texts, every text looks for the
-shard where most of its neighbours are, over all its hubs, and texts move under
-quotas: what two shards want to exchange is exchanged, and beyond that only free
-room is given.  At last the documents are put in the order of shard, hub and text, and
+Texts whose first hub is the same are a cluster, which moves as a whole.  In each
+round hubs count the shards of their texts, every cluster looks for the shard
+where most of its neighbours are, over all its hubs, each by one over its size,
+and clusters move under quotas: what two shards want to exchange is exchanged,
+and beyond that only free room is given.  A round that keeps less of the links
+inside shards is not taken.  At last the documents are put in the order of shard, hub and text, and
 that order is cut into eight runs whose sizes differ by one at most; so equal
 texts stay together but for the seven cuts.
 """
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from lintlake.llm.common import documents, stored
 
 SHARDS = 8
-ROUNDS = 3
+ROUNDS = 8
 # Room above an even share that a shard may fill while labels move.
 SLACK = 0.02
 # Lines and sentences shorter than this link nothing.
@@ -76,34 +78,77 @@ def quotas(wants: dict[tuple[int, int], int], sizes: dict[int, int], shards: int
     return {k: granted[k] / wants[k] for k in wants if wants[k]}
 
 
-def _propagated(nodes: DataFrame, edges: DataFrame, shards: int, slack: float, round_: int) -> DataFrame:
-    """One round over ``nodes`` (node, weight, h1, shard) and ``edges`` (node, hub, part)."""
-    counts = edges.join(nodes.select("node", "weight", "shard"), "node").groupBy("hub").agg(
-        *(F.sum(F.when(F.col("shard") == s, F.col("weight")).otherwise(0)).alias(f"n{s}") for s in range(shards)),
-        _parts().alias("mask"))
-    counts = counts.select("hub", _each_part(F.col("mask")).alias("part"), *(f"n{s}" for s in range(shards)))
-    near = edges.join(counts, ["hub", "part"]).groupBy("node").agg(
-        F.count("*").alias("hubs"), *(F.sum(f"n{s}").alias(f"n{s}") for s in range(shards)))
-    nodes = nodes.join(near, "node", "left").fillna(0, ["hubs", *(f"n{s}" for s in range(shards))])
-    # A text is no neighbour of itself.
-    around = [
-        F.col(f"n{s}") - F.when(F.col("shard") == s, F.col("hubs") * F.col("weight")).otherwise(0)
-        for s in range(shards)]
+def clusters_of(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Clusters of texts with one strongest hub, and how they hang on hubs.
+
+    ``(h1, weight, node_parts)`` of each cluster, with the parts that hold its
+    nodes, and ``(h1, hub, w, part, hub_part)`` of each cluster and hub, where
+    ``w`` of the cluster's documents hold the hub's passage.
+    """
+    clusters = nodes.groupBy("h1").agg(F.sum("weight").alias("weight"), F.bit_or(F.expr("shiftleft(1L, node_part)")).alias("node_parts"))
+    hangs = edges.join(nodes.select("node", "weight", "h1"), "node").groupBy("h1", "hub").agg(F.sum("weight").alias("w"))
+    return clusters, hangs.withColumns({
+        "part": F.pmod(F.xxhash64("h1"), F.lit(PARTS)).cast("int"), "hub_part": F.pmod(F.xxhash64("hub"), F.lit(PARTS)).cast("int")})
+
+
+def _hub_counts(labels: DataFrame, hangs: DataFrame, shards: int) -> DataFrame:
+    """Documents of each hub in each shard, and the parts that hold its clusters.
+
+    A cluster with very many hubs is joined in parts.
+    """
+    spread = hangs.groupBy("h1").agg(F.bit_or(F.expr("shiftleft(1L, hub_part)")).alias("m")).join(labels.select("h1", "shard"), "h1").select(
+        "h1", "shard", _each_part(F.col("m")).alias("hub_part"))
+    return hangs.join(spread, ["h1", "hub_part"]).groupBy("hub").agg(
+        *(F.sum(F.when(F.col("shard") == s, F.col("w")).otherwise(0)).alias(f"n{s}") for s in range(shards)),
+        F.sum("w").alias("size"), _parts().alias("mask"))
+
+
+def kept_together(counts: DataFrame, shards: int) -> float:
+    """How much of the links lies inside shards: pairs of a hub in one shard, each hub by one over its size."""
+    inside = reduce(lambda a, b: a + b, (F.col(f"n{s}") * F.col(f"n{s}") for s in range(shards)))
+    return counts.agg(F.sum(inside / F.col("size"))).first()[0] or 0.0
+
+
+def _propagated(labels: DataFrame, hangs: DataFrame, counts: DataFrame, shards: int, slack: float, round_: int, part: float) -> DataFrame:
+    """One round over ``labels`` (h1, weight, node_parts, shard): ``part`` of the moves; a cluster moves as a whole."""
+    told = counts.select("hub", _each_part(F.col("mask")).alias("part"), *((F.col(f"n{s}") / F.col("size")).alias(f"n{s}") for s in range(shards)), "size")
+    near = hangs.join(told, ["hub", "part"]).groupBy("h1").agg(
+        F.sum(F.col("w") * F.col("w") / F.col("size")).alias("own"), *(F.sum(F.col("w") * F.col(f"n{s}")).alias(f"n{s}") for s in range(shards)))
+    seen = labels.join(near, "h1", "left").fillna(0.0, ["own", *(f"n{s}" for s in range(shards))])
+    # A cluster is no neighbour of itself.
+    around = [F.round(F.col(f"n{s}") - F.when(F.col("shard") == s, F.col("own")).otherwise(0.0), 9) for s in range(shards)]
     most = F.greatest(*around)
-    here = reduce(lambda a, s: F.when(F.col("shard") == s, around[s]).otherwise(a), range(shards), F.lit(0))
+    here = reduce(lambda a, s: F.when(F.col("shard") == s, around[s]).otherwise(a), range(shards), F.lit(0.0))
     best = F.coalesce(*(F.when(around[s] == most, s) for s in range(shards)))
-    wished = stored(nodes.select(
-        "node", "weight", "h1", "shard", F.when(most > here, best).otherwise(F.col("shard")).alias("wish")), "wishes")
+    wished = stored(seen.select(
+        "h1", "weight", "node_parts", "shard", F.when(most > here, best).otherwise(F.col("shard")).alias("wish")), "wishes")
     table = wished.groupBy("shard", "wish").agg(F.sum("weight").alias("n")).collect()
     sizes: dict[int, int] = {}
     for r in table:
         sizes[r["shard"]] = sizes.get(r["shard"], 0) + r["n"]
     shares = quotas({(r["shard"], r["wish"]): r["n"] for r in table if r["shard"] != r["wish"]}, sizes, shards, slack)
-    draw = F.pmod(F.xxhash64(F.lit(round_), "h1", "node"), F.lit(1_000_000)) / 1_000_000
+    draw = F.pmod(F.xxhash64(F.lit(round_), "h1"), F.lit(1_000_000)) / 1_000_000
     share = reduce(
         lambda a, kv: F.when((F.col("shard") == kv[0][0]) & (F.col("wish") == kv[0][1]), kv[1]).otherwise(a),
         sorted(shares.items()), F.lit(0.0))
-    return wished.select("node", "weight", "h1", F.when(draw < share, F.col("wish")).otherwise(F.col("shard")).alias("shard"))
+    return wished.select("h1", "weight", "node_parts", F.when(draw < share * part, F.col("wish")).otherwise(F.col("shard")).alias("shard"))
+
+
+def propagated(labels: DataFrame, hangs: DataFrame, shards: int, rounds: int, slack: float = SLACK) -> DataFrame:
+    """The best labels of all rounds; after one that keeps less together, half as many move from the best."""
+    if not rounds:
+        return labels
+    counts = stored(_hub_counts(labels, hangs, shards), "hub-counts")
+    best, part = kept_together(counts, shards), 1.0
+    for round_ in range(rounds):
+        moved = stored(_propagated(labels, hangs, counts, shards, slack, round_, part), "labels")
+        moved_counts = stored(_hub_counts(moved, hangs, shards), "hub-counts")
+        kept = kept_together(moved_counts, shards)
+        if kept > best:
+            labels, counts, best = moved, moved_counts, kept
+        else:
+            part /= 2
+    return labels
 
 
 def _positions(rows: DataFrame, total: int, rows_per_bucket: int) -> DataFrame:
@@ -148,18 +193,22 @@ def shards(
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = stored(docs.select(
         F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("node"), passages(text).alias("hubs")), "documents")
+        F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("node"), passages(text).alias("hubs"),
+        F.pmod(F.xxhash64(F.col(id_col)), F.lit(PARTS)).cast("int").alias("id_part")), "documents")
     total = base.count()
     edges = stored(links(base.select("node", "hubs")), "links")
-    nodes = base.groupBy("node").agg(F.count("*").alias("weight")).join(
-        edges.groupBy("node").agg(F.min("hub").alias("h1")), "node", "left").withColumn("h1", F.coalesce("h1", "node"))
-    nodes = nodes.withColumn("shard", F.pmod(F.xxhash64("h1"), F.lit(count)).cast("int"))
-    for round_ in range(rounds):
-        nodes = _propagated(nodes, edges, count, SLACK, round_)
-    nodes = stored(nodes, "labels")
-    hubs = nodes.groupBy("h1").agg(F.sum("weight").alias("hub_rows"))
-    labels = nodes.join(hubs, "h1").select("node", "weight", "hub_rows", F.col("shard").alias("label"), "h1")
-    placed = _positions(base.drop("hubs").join(labels, "node"), total, rows_per_bucket)
+    nodes = stored(base.groupBy("node").agg(F.count("*").alias("weight"), F.bit_or(F.expr("shiftleft(1L, id_part)")).alias("id_parts")).join(
+        edges.groupBy("node").agg(F.min("hub").alias("h1")), "node", "left").withColumns({
+            "h1": F.coalesce("h1", "node"), "node_part": F.pmod(F.xxhash64("node"), F.lit(PARTS)).cast("int")}), "nodes")
+    clusters, hangs = clusters_of(nodes, edges)
+    hangs = stored(hangs, "hangs")
+    labels = stored(clusters.withColumn("shard", F.pmod(F.xxhash64("h1"), F.lit(count)).cast("int")), "labels")
+    labels = propagated(labels, hangs, count, rounds)
+    # A hub with very many texts and a text with very many documents are joined in parts.
+    told = labels.select("h1", F.col("shard").alias("label"), F.col("weight").alias("hub_rows"), _each_part(F.col("node_parts")).alias("node_part"))
+    texts = nodes.join(told, ["h1", "node_part"]).select(
+        "node", "weight", "hub_rows", "label", "h1", _each_part(F.col("id_parts")).alias("id_part"))
+    placed = _positions(base.drop("hubs").join(texts, ["node", "id_part"]).drop("id_part"), total, rows_per_bucket)
     share, more = divmod(total, count)
     position, edge = F.col("position"), more * (share + 1)
     shard = F.when(position < edge, F.floor(position / (share + 1))).otherwise(

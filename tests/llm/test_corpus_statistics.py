@@ -205,3 +205,26 @@ def test_texts_kept_are_what_is_hashed(spark):
     frame = spark.createDataFrame([(i, "shared\nown %d" % i) for i in range(10)] + [(10, None)], "doc_id long, text string")
     rows = line_runs.without_frequent_lines(frame).select("doc_id", F.sha2("kept", 256).alias("h")).collect()
     assert {r["h"] for r in rows} == {hashlib.sha256(t.encode()).hexdigest() for t in [*(f"own {i}" for i in range(10)), ""]}
+
+
+def test_rounds_cut_fewer_links(spark):
+    """Pairs of texts with a passage in common that lie in two shards: fewer with rounds than without, and not more with more."""
+    from collections import defaultdict
+
+    from lintlake.llm import sharding
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    text = F.coalesce("text", F.lit(""))
+    held = docs.select("doc_id", F.xxhash64(text).alias("node"), sharding.passages(text).alias("hubs")).collect()
+
+    def cut(rounds):
+        shard = {r["doc_id"]: r["shard"] for r in sharding.shards(docs, rounds=rounds).collect()}
+        hubs = defaultdict(dict)
+        for r in held:
+            for h in r["hubs"]:
+                hubs[h].setdefault(r["node"], shard[r["doc_id"]])
+        pairs = [(len(m) * (len(m) - 1) // 2, sum(v * (v - 1) // 2 for v in Counter(m.values()).values())) for m in hubs.values()]
+        return 1 - sum(same for _, same in pairs) / sum(n for n, _ in pairs)
+
+    none, few, more = cut(0), cut(1), cut(sharding.ROUNDS)
+    assert few < none and more < none and more <= few + 0.02
