@@ -7,9 +7,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Below this many bytes per core an input is too small to fill the cluster,
-# and one cheap shuffle spreads it; larger inputs are never reshuffled.
-SPREAD_BYTES_PER_CORE = 16 * 1024 * 1024
+# A scan's task gets about this much of an input's files, whatever their splits
+# and row groups: its seconds go by that and not by the size of the input.
+SPREAD_BYTES_PER_TASK = 4 * 1024 * 1024
+# A shuffle into more parts than this costs more than it evens out; an input
+# that large is read as it is split.
+SPREAD_MOST_TASKS = 20_000
 # Largest side that may be broadcast, by the planner's own size estimate.
 BROADCAST_BYTES = 64 * 1024 * 1024
 
@@ -44,11 +47,14 @@ def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use every core for an input too small to be split by the reader."""
+    """Rows dealt evenly into tasks of bounded size, three a core at least.
+
+    One shuffle of the texts is a small part of what scanning them costs, and a
+    file with few splits, or an input that just fills some cores, keeps none idle.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if estimated_bytes(df) < cores * SPREAD_BYTES_PER_CORE:
-        return df.repartition(cores * 3)
-    return df
+    tasks = max(cores * 3, -(-estimated_bytes(df) // SPREAD_BYTES_PER_TASK))
+    return df if tasks > max(SPREAD_MOST_TASKS, cores * 3) else df.repartition(tasks)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:

@@ -46,3 +46,9 @@ def test_small_inputs_are_spread_and_sizes_checked(spark, tmp_path):
     assert "RoundRobinPartitioning" in plan
     huge = spark.range(10**12)
     assert "RoundRobin" not in session.spread(huge)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tasks_of_a_spread_input_are_bounded_in_bytes(spark):
+    for rows in (10**7, 10**8, 10**9):
+        parts = session.spread(spark.range(rows)).rdd.getNumPartitions()
+        assert rows * 8 / parts <= session.SPREAD_BYTES_PER_TASK
