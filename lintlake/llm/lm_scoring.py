@@ -2,11 +2,13 @@
 
 Three things are gathered from the whole training part of the corpus: how often
 each word stands in it, from that how often each subword does, and the windows
-of all subwords of every document.  Frequent subwords are classes of their own, the
-rest share classes of equal weight; a subword's probability is that of its class
-in its context times its share of the class.  The class model is one layer of
-causal attention, trained in numpy: every task goes on from the common
-parameters with its windows, and the results are averaged, for some rounds.
+of all subwords of every document.  The model is one layer of causal attention
+over the ids themselves: every id has its own vector as an input, and as a
+target its own path through a Huffman tree of the counts, whose nodes have a
+vector each.  A subword's probability is the product of the choices on its path,
+so all ids sum to one at the cost of a few nodes.  It is trained in numpy: every
+task goes on from the common parameters with its windows, and the results are
+averaged, for some rounds; a vector is averaged over the tasks that met it.
 
 A text is scored in blocks.  Each block of tokens attends to itself and to the
 block before, so windows overlap and every token is scored exactly once; the
@@ -15,6 +17,7 @@ blocks of many texts are one batch under one mask.
 
 from __future__ import annotations
 
+import heapq
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,10 +30,13 @@ from pyspark.sql import functions as F
 from lintlake.llm.common import crc, documents, stored, worker_cache
 from lintlake.llm.token_counts import model_path
 
-CLASSES, OWN_CLASS, WIDTH = 64, 47, 16
+WIDTH = 16
+# A small vocabulary, as for a model that is tried out.
+CLASSES = 64
 BLOCK = 16
 WINDOW = 2 * BLOCK
-BEGIN, PAD, END = CLASSES, CLASSES + 1, -1
+# The two vectors after those of the vocabulary, and the id after the last subword's.
+BEGIN, PAD, END = -2, -1, -1
 ROUNDS, RATE, BATCH = 4, 0.02, 64
 # Words that stand most often, at most so many, are scored from a table sent to the tasks; the rest by a join.
 TABLE_WORDS = 200_000
@@ -92,81 +98,125 @@ def subword_counts(counts: DataFrame, model: str) -> np.ndarray:
 
 
 class Classes:
-    """Classes of subwords and every subword's natural logarithm of its share; the last id is the end."""
+    """The vocabulary by falling counts: every subword, and the end as the last id, is a class of its own."""
 
     def __init__(self, counts: np.ndarray, ends: int):
         smooth = np.append(counts, ends) + 1.0
         order = np.argsort(-smooth, kind="stable")
-        kind = np.zeros(len(smooth), np.int64)
-        rest = order[OWN_CLASS:]
-        kind[order[:OWN_CLASS]] = np.arange(min(OWN_CLASS, len(order)))
-        mass = np.cumsum(smooth[rest])
-        kind[rest] = OWN_CLASS + np.minimum((mass - smooth[rest]) / mass[-1] * (CLASSES - OWN_CLASS), CLASSES - OWN_CLASS - 1).astype(np.int64)
-        self.kind = kind.astype(np.uint8)
-        self.weight = np.bincount(kind, weights=smooth, minlength=CLASSES)
-        self.share = np.log(smooth / self.weight[kind])
+        self.kind = np.empty(len(smooth), np.int32)
+        self.kind[order] = np.arange(len(order), dtype=np.int32)
+        self.weight = smooth[order]
+        # Natural logarithm of an id's share of its class.
+        self.share = np.zeros(len(smooth))
 
 
 class Encoder:
-    """Texts to classes of their subwords and to the summed shares."""
+    """Texts to the classes of their subwords."""
 
     def __init__(self, model: str, classes: Classes):
         self.pieces, self.classes = _pieces(model), classes
 
-    def text(self, words: list[bytes]) -> tuple[bytes, float]:
-        """Classes of all subwords and the end, and the sum of their logarithmic shares.
+    def text(self, words: list[bytes]) -> np.ndarray:
+        """Classes of all subwords and the end.
 
         Subwords never span words, so words are encoded together.
         """
         ids = self.pieces.encode(b" ".join(words).decode()) if words else []
         ids.append(END)
-        ids = np.array(ids)
-        return self.classes.kind[ids].tobytes(), float(self.classes.share[ids].sum())
+        return self.classes.kind[ids]
 
 
-def laid_out(kinds: bytes) -> tuple[np.ndarray, np.ndarray]:
+class Tree:
+    """A Huffman tree: what is weighed often has a short path.
+
+    Path ``i`` is ``nodes[start[i]:start[i + 1]]``, with 1 for right and -1 for
+    left in ``side``; ``bias`` has each node's logarithmic odds of going right.
+    """
+
+    def __init__(self, weight: np.ndarray):
+        size = len(weight)
+        heap = [(float(w), i) for i, w in enumerate(weight)]
+        heapq.heapify(heap)
+        parent, side = np.zeros(2 * size - 1, np.int64), np.zeros(2 * size - 1, np.int8)
+        self.bias = np.zeros(size - 1, np.float32)
+        for node in range(size - 1):
+            (left, a), (right, b) = heapq.heappop(heap), heapq.heappop(heap)
+            parent[[a, b]], side[[a, b]] = node + size, (-1, 1)
+            self.bias[node] = np.log(right / left)
+            heapq.heappush(heap, (left + right, node + size))
+        paths, at = [], np.arange(size)
+        leaf = np.arange(size)
+        while len(at):
+            inner = at != 2 * size - 2
+            at, leaf = at[inner], leaf[inner]
+            paths.append((leaf, parent[at] - size, side[at]))
+            at = parent[at]
+        leaves, nodes, sides = (np.concatenate(x) for x in zip(*paths))
+        order = np.argsort(leaves, kind="stable")
+        self.nodes, self.side = nodes[order].astype(np.int32), sides[order].astype(np.float32)
+        self.start = np.append(0, np.cumsum(np.bincount(leaves, minlength=size)))
+
+    def paths(self, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``(owner, nodes, side, first)`` of the paths of all targets, one after the other."""
+        lengths = self.start[targets + 1] - self.start[targets]
+        first = np.cumsum(lengths) - lengths
+        at = np.arange(int(lengths.sum())) + np.repeat(self.start[targets] - first, lengths)
+        return np.repeat(np.arange(len(targets)), lengths), self.nodes[at], self.side[at], first
+
+
+def laid_out(kinds: bytes | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """``(inputs, targets)`` of a text: blocks with the block before, padded at both ends."""
-    targets = np.frombuffer(kinds, np.uint8)
+    targets = np.frombuffer(kinds, np.uint8) if isinstance(kinds, bytes) else kinds
     blocks = -(-len(targets) // BLOCK)
-    line = np.full(BLOCK * (blocks + 1), PAD, np.uint8)
+    line = np.full(BLOCK * (blocks + 1), PAD, np.int32)
     line[BLOCK] = BEGIN
     line[BLOCK + 1:BLOCK + len(targets)] = targets[:-1]
-    goal = np.full(BLOCK * blocks, PAD, np.uint8)
+    goal = np.full(BLOCK * blocks, PAD, np.int32)
     goal[:len(targets)] = targets
     return (np.lib.stride_tricks.sliding_window_view(line, WINDOW)[::BLOCK], goal.reshape(blocks, BLOCK))
 
 
+def _summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows and the sums of their values."""
+    order = np.argsort(rows, kind="stable")
+    ordered = rows[order]
+    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    return ordered[first], np.add.reduceat(values[order], first, axis=0)
+
+
 class Attention:
-    """One layer of causal attention over classes."""
+    """One layer of causal attention over a vocabulary."""
 
-    SHAPES = {
-        "embed": (CLASSES + 2, WIDTH), "place": (WINDOW, WIDTH), "query": (WIDTH, WIDTH), "key": (WIDTH, WIDTH),
-        "value": (WIDTH, WIDTH), "out": (WIDTH, CLASSES), "bias": (CLASSES,),
-    }
+    # Parameters of which a batch meets few rows: vectors of ids, and of nodes with their bias in the last place.
+    MANY = ("embed", "out")
+    SHAPES = {"place": (WINDOW, WIDTH), "query": (WIDTH, WIDTH), "key": (WIDTH, WIDTH), "value": (WIDTH, WIDTH)}
     # Query i of a block may look at position j of its window.
     MASK = np.arange(WINDOW)[None, :] <= BLOCK + np.arange(BLOCK)[:, None]
 
-    def __init__(self, parameters: dict[str, np.ndarray]):
-        self.p = parameters
+    def __init__(self, parameters: dict[str, np.ndarray], tree: Tree):
+        self.p, self.tree = parameters, tree
+        # In how many steps of training each row of a parameter took part.
+        self.steps = {n: np.zeros(len(x), np.int64) for n, x in parameters.items()}
 
     @classmethod
     def fresh(cls, weight: np.ndarray) -> Attention:
-        draw = np.random.default_rng(11)
-        p = {n: draw.standard_normal(s).astype(np.float32) * np.float32(0.1) for n, s in cls.SHAPES.items()}
-        p["bias"] = np.log(weight / weight.sum()).astype(np.float32)
-        return cls(p)
-
-    def flat(self) -> np.ndarray:
-        return np.concatenate([self.p[n].ravel() for n in self.SHAPES])
-
-    @classmethod
-    def of_flat(cls, values: np.ndarray) -> Attention:
+        draw, tree = np.random.default_rng(11), Tree(weight)
+        shapes = {"embed": (len(weight) + 2, WIDTH), "out": (len(weight) - 1, WIDTH + 1), **cls.SHAPES}
+        p = {n: draw.standard_normal(s).astype(np.float32) * np.float32(0.1) for n, s in shapes.items()}
+        p["out"][:, WIDTH] = tree.bias
+        return cls(p, tree)
+
+    def table(self) -> np.ndarray:
+        """All parameters, one row after the other, with zeros behind the shorter rows."""
+        return np.concatenate([np.pad(x, ((0, 0), (0, WIDTH + 1 - x.shape[1]))) for x in self.p.values()])
+
+    def with_table(self, table: np.ndarray) -> Attention:
+        """The same model with these parameters."""
         p, at = {}, 0
-        for n, s in cls.SHAPES.items():
-            size = int(np.prod(s))
-            p[n] = values[at:at + size].reshape(s).astype(np.float32)
-            at += size
-        return cls(p)
+        for n, x in self.p.items():
+            p[n] = table[at:at + len(x), :x.shape[1]].astype(np.float32)
+            at += len(x)
+        return Attention(p, self.tree)
 
     def _attend(self, inputs: np.ndarray):
         p = self.p
@@ -182,7 +232,7 @@ class Attention:
         return x, xq, q, k, v, a, h
 
     def tables(self) -> dict[str, np.ndarray]:
-        """Projections of every class and place; sums of two entries are what projecting the sums gives.
+        """Projections of every id and place; sums of two entries are what projecting the sums gives.
 
         Values have a last column of ones, which sums the weights of attention.
         """
@@ -194,10 +244,8 @@ class Attention:
             "v": ones(p["embed"] @ p["value"], 1), "v_place": ones(p["place"] @ p["value"], 0),
         }
         longest = lambda n: np.abs(t[n]).max() + np.abs(t[f"{n}_place"]).max()
-        inner = WIDTH * longest("q") * longest("k")
-        outer = WIDTH * np.abs(p["out"]).max() * (np.abs(p["embed"]).max() + np.abs(p["place"]).max() + longest("v")) + np.abs(p["bias"]).max()
-        # Within these bounds exponentials neither overflow nor vanish, so nothing need be subtracted first.
-        t["inner"], t["outer"] = inner < 60, outer < 60
+        # Within this bound exponentials neither overflow nor vanish, so nothing need be subtracted first.
+        t["inner"] = WIDTH * longest("q") * longest("k") < 60
         return t
 
     def log_probabilities(self, inputs: np.ndarray, targets: np.ndarray, tables: dict | None = None) -> np.ndarray:
@@ -222,65 +270,75 @@ class Attention:
         h = p["embed"][own]
         h += p["place"][BLOCK:]
         h += seen[:, :, :WIDTH] / seen[:, :, WIDTH:]
-        z = h.reshape(-1, WIDTH) @ p["out"]
-        z += p["bias"]
-        if not t["outer"]:
-            z -= z.max(axis=1, keepdims=True)
-        # Padding counts as class 0 and is zeroed at the end.
         goal = targets.ravel().astype(np.int64)
-        real = goal != PAD
-        goal[~real] = 0
-        picked = z[np.arange(len(goal)), goal]
-        np.exp(z, out=z)
-        out = picked - np.log(z @ np.ones(CLASSES, np.float32))
-        out[~real] = 0
+        real = np.flatnonzero(goal != PAD)
+        out = np.zeros(len(goal), np.float32)
+        if len(real):
+            z, _, _, first = self._choices(h.reshape(-1, WIDTH)[real], goal[real])
+            out[real] = np.add.reduceat(np.minimum(z, 0) - np.log1p(np.exp(-np.abs(z))), first)
         return out.reshape(targets.shape)
 
+    def _choices(self, h: np.ndarray, goal: np.ndarray):
+        """Logarithmic odds of the right choice at every node of the targets' paths; owners and nodes; where paths start."""
+        owner, nodes, side, first = self.tree.paths(goal)
+        out = self.p["out"][nodes]
+        z = np.einsum("ij,ij->i", h[owner], out[:, :WIDTH]) + out[:, WIDTH]
+        return z * side, (owner, nodes, side), out, first
+
     def gradient(self, inputs: np.ndarray, targets: np.ndarray) -> dict[str, np.ndarray]:
+        whole = {}
+        for n, (rows, g) in self.gradient_rows(inputs, targets).items():
+            whole[n] = np.zeros_like(self.p[n])
+            whole[n][rows] = g
+        return whole
+
+    def gradient_rows(self, inputs: np.ndarray, targets: np.ndarray) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        """For each parameter the rows that the batch meets and their gradients."""
         p = self.p
         x, xq, q, k, v, a, h = self._attend(inputs)
         flat = h.reshape(-1, WIDTH)
-        z = flat @ p["out"] + p["bias"]
-        z -= z.max(axis=1, keepdims=True)
-        e = np.exp(z)
-        d = e / e.sum(axis=1, keepdims=True)
         goal = targets.ravel().astype(np.int64)
-        real = goal != PAD
-        d[np.flatnonzero(real), goal[real]] -= 1
-        d[~real] = 0
-        d /= max(1, int(real.sum()))
-        g = {"out": flat.T @ d, "bias": d.sum(axis=0)}
-        dh = (d @ p["out"].T).reshape(h.shape)
+        real = np.flatnonzero(goal != PAD)
+        seen = flat[real]
+        z, (owner, nodes, side), out, first = self._choices(seen, goal[real])
+        d = (-side / (1 + np.exp(np.clip(z, -60, 60))) / max(1, len(real))).astype(np.float32)[:, None]
+        nodes_met, g_out = _summed(nodes, d * np.concatenate([seen, np.ones((len(seen), 1), np.float32)], axis=1)[owner])
+        dh = np.zeros_like(flat)
+        dh[real] = np.add.reduceat(d * out[:, :WIDTH], first, axis=0)
+        dh = dh.reshape(h.shape)
         da = dh @ v.transpose(0, 2, 1)
         dv = a.transpose(0, 2, 1) @ dh
         ds = a * (da - (da * a).sum(axis=2, keepdims=True)) * np.float32(WIDTH ** -0.5)
         dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
         rows = lambda m: m.reshape(-1, WIDTH)
-        g["query"], g["key"], g["value"] = rows(xq).T @ rows(dq), rows(x).T @ rows(dk), rows(x).T @ rows(dv)
         dx = dk @ p["key"].T + dv @ p["value"].T
         dx[:, BLOCK:] += dh + dq @ p["query"].T
-        g["place"] = dx.sum(axis=0)
-        g["embed"] = np.zeros_like(p["embed"])
-        np.add.at(g["embed"], inputs.ravel(), rows(dx))
-        return g
+        g = {
+            "place": dx.sum(axis=0), "query": rows(xq).T @ rows(dq), "key": rows(x).T @ rows(dk), "value": rows(x).T @ rows(dv)}
+        return {
+            "embed": _summed(inputs.ravel() % len(p["embed"]), rows(dx)), "out": (nodes_met, g_out),
+            **{n: (slice(None), m) for n, m in g.items()}}
 
     def train(self, inputs: np.ndarray, targets: np.ndarray, rate: float, seed: int, batch: int = BATCH) -> None:
-        """One pass of Adam over the windows, in drawn order."""
+        """One pass of Adam over the windows, in drawn order; a row moves in the steps that meet it."""
         first = {n: np.zeros_like(x) for n, x in self.p.items()}
         second = {n: np.zeros_like(x) for n, x in self.p.items()}
+        before = {n: x.copy() for n, x in self.steps.items()}
         order = np.random.default_rng(seed).permutation(len(inputs))
-        for step, start in enumerate(range(0, len(order), batch), 1):
-            rows = order[start:start + batch]
-            for n, g in self.gradient(inputs[rows], targets[rows]).items():
-                first[n] = 0.9 * first[n] + 0.1 * g
-                second[n] = 0.99 * second[n] + 0.01 * g * g
-                self.p[n] = (self.p[n] - rate * (first[n] / (1 - 0.9 ** step)) / (
-                    np.sqrt(second[n] / (1 - 0.99 ** step)) + 1e-6)).astype(np.float32)
-
-    def text(self, kinds: bytes) -> float:
+        for start in range(0, len(order), batch):
+            part = order[start:start + batch]
+            for n, (rows, g) in self.gradient_rows(inputs[part], targets[part]).items():
+                self.steps[n][rows] += 1
+                step = (self.steps[n][rows] - before[n][rows]).astype(np.float32)[:, None]
+                m = first[n][rows] = np.float32(0.9) * first[n][rows] + np.float32(0.1) * g
+                s = second[n][rows] = np.float32(0.99) * second[n][rows] + np.float32(0.01) * g * g
+                self.p[n][rows] -= np.float32(rate) * (m / (1 - np.float32(0.9) ** step)) / (
+                    np.sqrt(s / (1 - np.float32(0.99) ** step)) + np.float32(1e-6))
+
+    def text(self, kinds: bytes | np.ndarray) -> float:
         return self.texts([kinds])[0]
 
-    def texts(self, kinds: list[bytes]) -> list[float]:
+    def texts(self, kinds: list[bytes] | list[np.ndarray]) -> list[float]:
         """Summed logarithms of the targets of several texts, a bounded number of blocks at a time."""
         laid = [laid_out(k) for k in kinds]
         owner = np.repeat(np.arange(len(laid)), [len(x) for x, _ in laid])
@@ -294,42 +352,58 @@ class Attention:
 
 
 def training_windows(training: DataFrame, model: str, classes: Classes) -> DataFrame:
-    """``(inputs, targets)`` as bytes: every block of every training document, so each subword is a target once."""
+    """``(x, y)``, inputs and targets: every block of every training document, so each subword is a target once."""
+    shared = training.sparkSession.sparkContext.broadcast(classes)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(model, classes)
+        encoder = Encoder(model, shared.value)
         for batch in batches:
             for text in batch.column("t"):
-                x, t = laid_out(encoder.text(words_of(text.as_py()))[0])
+                x, t = laid_out(encoder.text(words_of(text.as_py())))
                 for at in range(0, len(x), WINDOWS_AT_ONCE):
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array([w.tobytes() for w in rows[at:at + WINDOWS_AT_ONCE]], pa.binary()) for rows in (x, t)],
-                        names=["x", "y"])
+                    yield pa.RecordBatch.from_arrays([_lists(rows[at:at + WINDOWS_AT_ONCE]) for rows in (x, t)], names=["x", "y"])
+
+    return training.mapInArrow(run, "x array<int>, y array<int>")
 
-    return training.mapInArrow(run, "x binary, y binary")
+
+def _lists(rows: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(
+        pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(np.ascontiguousarray(rows).ravel()))
 
 
 def train(windows: DataFrame, classes: Classes, rounds: int = ROUNDS) -> Attention:
-    """Rounds of training in the tasks and averaging of what they reach, weighted by their windows."""
-    model = Attention.fresh(classes.weight)
+    """Rounds of training in the tasks and averaging of what they reach.
+
+    Each row of the parameters is averaged by the steps that met it.
+    """
+    spark, model = windows.sparkSession, Attention.fresh(classes.weight)
+    places = [f"v{i}" for i in range(WIDTH + 1)]
     for round_ in range(rounds):
-        start, rate = model.flat(), RATE / (1 + round_)
+        shared, rate = spark.sparkContext.broadcast(model), RATE / (1 + round_)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own, seen = Attention.of_flat(start), 0
+            start = shared.value.table()
+            own = shared.value.with_table(start)
             for batch in batches:
                 if batch.num_rows:
-                    x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8) for c in "xy")
+                    x, y = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in "xy")
                     own.train(x.reshape(-1, WINDOW), y.reshape(-1, BLOCK), rate, round_)
-                    seen += batch.num_rows
-            values = np.append(own.flat().astype(np.float64) * seen, seen)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(values)], names=["i", "v"])
-
-        # As many rows as the model has parameters.
-        sums = {r["i"]: r["v"] for r in windows.mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()}
-        total = sums.get(len(start), 0.0)
-        if not total:
+            steps = np.concatenate(list(own.steps.values()))
+            met = np.flatnonzero(steps)
+            moved = (own.table()[met].astype(np.float64) - start[met]) * steps[met, None]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(met), pa.array(steps[met]), *(pa.array(column) for column in np.ascontiguousarray(moved.T))],
+                names=["row", "steps", *places])
+
+        moves = windows.mapInArrow(run, f"row long, steps long, {', '.join(f'{v} double' for v in places)}")
+        # As many rows as the model has.
+        summed = moves.groupBy("row").agg(F.sum("steps").alias("steps"), *[F.sum(v).alias(v) for v in places]).toArrow()
+        if not summed.num_rows:
             break
-        model = Attention.of_flat(np.array([sums[i] for i in range(len(start))]) / total)
+        table = model.table().astype(np.float64)
+        moved = np.stack([summed.column(v).to_numpy() for v in places], axis=1)
+        table[summed.column("row").to_numpy()] += moved / summed.column("steps").to_numpy()[:, None]
+        model = model.with_table(table)
     return model
 
 
@@ -368,27 +442,26 @@ def scores(
     attention = train(stored(training_windows(training, path, classes), "windows"), classes)
     least, table = frequent_words(counts, table_words)
     shared = spark.sparkContext.broadcast((
-        {w: float(np.log10(n + 1)) for w, n in table.items()}, classes, attention.flat()))
+        {w: float(np.log10(n + 1)) for w, n in table.items()}, classes, attention))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs, own, flat = shared.value
-        encoder, scorer = Encoder(path, own), Attention.of_flat(flat)
+        logs, own, scorer = shared.value
+        encoder = Encoder(path, own)
         key = TaskContext.get().partitionId() << 33
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                out = {n: [] for n in ("key", "n_tokens", "known", "logs", "rare", "share", "kinds")}
+                out = {n: [] for n in ("key", "n_tokens", "known", "logs", "rare", "kinds")}
                 for text in part.column("t"):
                     words = words_of(text.as_py())
                     known = list(map(logs.get, words))
                     rare = Counter(w for w, v in zip(words, known) if v is None)
-                    kinds, share = encoder.text(words)
                     key += 1
                     for n, v in zip(out, (
                             key, len(words) + 1, len(words) - rare.total(), sum(filter(None, known)),
-                            list(rare.items()), share, kinds)):
+                            list(rare.items()), encoder.text(words))):
                         out[n].append(v)
-                natural = np.array(scorer.texts(out["kinds"])) + np.array(out["share"])
+                natural = np.array(scorer.texts(out["kinds"]))
                 yield pa.RecordBatch.from_arrays([
                     part.column("id"), part.column("held_out"), pa.array(out["key"], pa.int64()),
                     pa.array(out["n_tokens"], pa.int64()), pa.array(out["known"], pa.int64()), pa.array(out["logs"], pa.float64()),

@@ -456,3 +456,38 @@ def test_boilerplate_depletes(spark):
         + [(100, "One fine text with words of its own that nobody else has written " * 6, "h")], "doc_id long, text string, source string")
     rows = {r["doc_id"]: r for r in line_rules.line_quality(docs, line_limit=10).collect()}
     assert rows[3]["removed_lines"] == 12 and not rows[3]["kept"] and rows[100]["removed_lines"] == 0
+
+
+def test_every_subword_is_told_apart_in_its_context():
+    """Ids that stand equally often follow ids of their own; a class of them could not say which comes next."""
+    classes = lm_scoring.Classes(np.ones(499), 1)
+    assert len(set(classes.kind.tolist())) == 500
+    model = lm_scoring.Attention.fresh(classes.weight)
+    draw = np.random.default_rng(5)
+    pairs = draw.integers(0, 8, 400)
+    kinds = classes.kind[np.stack([400 + pairs, 300 + pairs], axis=1).ravel()]
+    inputs, targets = lm_scoring.laid_out(kinds)
+    for seed in range(60):
+        model.train(inputs, targets, 0.02, seed, batch=8)
+    for i in range(8):
+        x, _ = lm_scoring.laid_out(classes.kind[[400 + i, 300 + i]])
+        after = [model.log_probabilities(x, np.pad(classes.kind[[400 + i, 300 + j]], (0, 14), constant_values=lm_scoring.PAD)[None])[0, 1]
+                 for j in range(8)]
+        assert np.argmax(after) == i and np.exp(after[i]) > 0.5
+
+
+def test_whole_text_scores_are_token_by_token_passes():
+    draw = np.random.default_rng(4)
+    model = lm_scoring.Attention.fresh(np.arange(1.0, 201.0))
+    p, kinds = model.p, draw.integers(0, 200, 45)
+    total, softmax = 0.0, lambda s: np.exp(s - s.max()) / np.exp(s - s.max()).sum()
+    before = np.append(lm_scoring.BEGIN, kinds[:-1])
+    for i, goal in enumerate(kinds):
+        start = max(0, i // 16 * 16 - 16)
+        place = 16 if i < 16 else 0
+        x = p["embed"][before[start:i + 1]] + p["place"][place:place + i + 1 - start]
+        h = x[-1] + softmax(x @ p["key"] @ (x[-1] @ p["query"]) / 4) @ x @ p["value"]
+        path = slice(model.tree.start[goal], model.tree.start[goal + 1])
+        out = p["out"][model.tree.nodes[path]]
+        total -= np.log1p(np.exp(-model.tree.side[path] * (out[:, :16] @ h + out[:, 16]))).sum()
+    assert model.text(kinds.astype(np.int32)) == pytest.approx(total, rel=1e-4)
