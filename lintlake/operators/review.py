@@ -71,6 +71,12 @@ def labelled(rows: DataFrame, labels: list[dict[str, object]], finding: str, *ex
     return rows.select(*[columns.get(name, looked_up[name]).alias(name) for name in FINDING_COLUMNS], *extra)
 
 
+def findings_of_files(files: DataFrame, agents: list[str] | None = None) -> DataFrame:
+    """All findings in full of files that ``file_findings`` has been over, for the same reviewers."""
+    rows = files.select("repo", "path", exploded(F.col("found")).alias("_f"))
+    return labelled(rows, review_labels(agents or AGENTS), "_f")
+
+
 def review(
     corpus: DataFrame,
     agents: list[str] | None = None,
@@ -86,7 +92,7 @@ def review(
     labels = review_labels(agents)
     files = file_findings(corpus.select("repo", "path", "content"), agents, syntax=syntax)
     if not with_context:
-        return labelled(files.select("repo", "path", exploded(F.col("found")).alias("_f")), labels, "_f")
+        return findings_of_files(files, agents)
     # Lines are cut once for each file.
     lines = files.withColumn("_lines", F.split("content", "\n"))
     rows = lines.select("repo", "path", "_lines", exploded(F.col("found")).alias("_f"))

@@ -24,10 +24,13 @@ def audit(
     """
     if reasoning:
         agreed = consensus_with_reasoning(review(corpus, syntax=syntax), generated_at)
-    else:
-        files = file_findings(corpus.select("repo", "path", "content"), AGENTS, syntax=syntax)
-        agreed = consensus_of_files(files, review_labels(AGENTS))
-    return filter_min_severity(agreed, min_severity)
+        return filter_min_severity(agreed, min_severity)
+    return audit_of_files(file_findings(corpus.select("repo", "path", "content"), AGENTS, syntax=syntax), min_severity)
+
+
+def audit_of_files(files: DataFrame, min_severity: str = "MEDIUM") -> DataFrame:
+    """The audit of files that ``file_findings`` has been over for all reviewers."""
+    return filter_min_severity(consensus_of_files(files, review_labels(AGENTS)), min_severity)
 
 
 def findings_by_file(agreed: DataFrame) -> DataFrame:

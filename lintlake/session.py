@@ -46,6 +46,11 @@ def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
     return estimated_bytes(df) <= limit
 
 
+def even_tasks(df: DataFrame) -> int:
+    """How many tasks of bounded size the planner's estimate of the rows makes."""
+    return -(-estimated_bytes(df) // SPREAD_BYTES_PER_TASK)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows dealt evenly into tasks of bounded size, three a core at least.
 
@@ -53,7 +58,7 @@ def spread(df: DataFrame) -> DataFrame:
     file with few splits, or an input that just fills some cores, keeps none idle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    tasks = max(cores * 3, -(-estimated_bytes(df) // SPREAD_BYTES_PER_TASK))
+    tasks = max(cores * 3, even_tasks(df))
     return df if tasks > max(SPREAD_MOST_TASKS, cores * 3) else df.repartition(tasks)
 
 

@@ -223,3 +223,14 @@ def test_unknown_severities_drop_out(spark):
         assert "min_severity" in str(error)
     else:
         raise AssertionError("INFO must be refused")
+
+
+def test_findings_and_audit_share_one_scan_of_the_files(spark, files):
+    from lintlake.operators.review import file_findings, findings_of_files
+    from lintlake.plans.audit import audit, audit_of_files
+
+    corpus = files(("r/a.py", 'print(eval("1"))\npassword = "correct horse"\n'), ("r/b.sql", "USE ROLE ACCOUNTADMIN;\n"), ("r/c.md", "none"))
+    scanned = file_findings(corpus).select("repo", "path", "found").localCheckpoint()
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(findings_of_files(scanned)) == rows(review(corpus)) != []
+    assert rows(audit_of_files(scanned)) == rows(audit(corpus)) != []

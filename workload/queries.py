@@ -14,12 +14,12 @@ from lintlake.operators.consensus import (
 )
 from lintlake.operators.pyfacts import ast_findings, py_facts
 from lintlake.operators.records import merge_record_table
-from lintlake.operators.review import number_in_file, review
+from lintlake.operators.review import file_findings, findings_of_files, number_in_file, review
 from lintlake.operators.rule_index import indexed_findings
 from lintlake.operators.scan import regex_findings, regex_matches, rules_from_table
 from lintlake.plans import audit as plans
 from lintlake.plans import documents, reports
-from lintlake.session import materialize, shared_dir, spread
+from lintlake.session import SPREAD_MOST_TASKS, even_tasks, materialize, shared_dir, spread
 from lintlake.sources import log, records
 from lintlake.sources.corpus import prune, skipped_files, table_corpus
 from lintlake.sources.state import RunState
@@ -310,7 +310,11 @@ def top_repos(spark: SparkSession, sf: str) -> DataFrame:
 
 def _stored(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Findings and consensus as tables, so that several reports share one scan."""
-    found = materialize(review(tables.scannable(spark, sf)), "findings")
+    return _stored_of(review(tables.scannable(spark, sf)))
+
+
+def _stored_of(findings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    found = materialize(findings, "findings")
     agreed = materialize(filter_min_severity(consensus(found)), "consensus")
     return found, agreed
 
@@ -337,8 +341,10 @@ def run_report(spark: SparkSession, sf: str) -> DataFrame:
 
 def run_report_resumed(spark: SparkSession, sf: str) -> DataFrame:
     """The report of a run that was taken up again: with what its log and its state say."""
-    state = _interrupted(spark, sf)
-    found, agreed = _stored(spark, sf)
+    # What the interrupted run logged and what this one reports come from one scan.
+    scanned = materialize(file_findings(tables.scannable(spark, sf)).select("repo", "path", "found"), "scanned")
+    state = _interrupted_of(spark, plans.audit_of_files(scanned))
+    found, agreed = _stored_of(findings_of_files(scanned))
     return reports.run_report(
         tables.source_files(spark, sf), found, agreed, log.log_stats(spark, state.log_dir), resume.resume_state(state))
 
@@ -394,8 +400,12 @@ def last_checkpoint(spark: SparkSession, sf: str) -> DataFrame:
 def _interrupted(spark: SparkSession, sf: str) -> RunState:
     """Critical findings were logged and their files saved; high ones were
     logged, but the run died before their files were saved."""
+    return _interrupted_of(spark, _agreed(spark, sf))
+
+
+def _interrupted_of(spark: SparkSession, audited: DataFrame) -> RunState:
     state = RunState(spark, shared_dir(spark, "run"))
-    agreed = materialize(_agreed(spark, sf), "consensus")
+    agreed = materialize(audited, "consensus")
     critical = agreed.where("severity = 'CRITICAL'")
     log.append_findings(critical, state.log_dir, RUN_TIME)
     state.save_files(critical.select("repo", "path").distinct(), RUN_TIME, "src0")
@@ -507,12 +517,15 @@ def _tracked_stream(spark: SparkSession, sf: str) -> tuple[str, str, str]:
     out, totals, told = (shared_dir(spark, f"tracked-{name}") for name in ("out", "totals", "progress"))
     files = tables.source_files(spark, sf)
     later = F.pmod(F.xxhash64("path"), F.lit(3)) == 0
-    for part in (files.where(~later).repartition(3, "path"), files.where(later).repartition(2, "path")):
+    # Parts of bounded size arrive, and a batch takes a third of what there is: the number of batches stays.
+    most = min(even_tasks(files), SPREAD_MOST_TASKS)
+    for part in (files.where(~later).repartition(max(3, most * 2 // 3), "path"), files.where(later).repartition(max(2, most // 3), "path")):
         part.write.mode("append").parquet(arriving)
-        stream = streaming.table_stream(spark, arriving, files.schema, bytes_per_batch=1)
-        streaming.scan_stream(stream, out, progress, totals_dir=totals, progress_dir=told).awaitTermination()
+        third = log.log_bytes(spark, arriving).first()["bytes"] // 3
+        stream = streaming.table_stream(spark, arriving, files.schema, bytes_per_batch=max(1, third))
+        streaming.scan_stream(stream, out, progress, prepare=spread, totals_dir=totals, progress_dir=told).awaitTermination()
     first = spark.read.parquet(out).where("batch_id = 0").select("repo", "path").distinct()
-    again = streaming.BatchScan(out, totals_dir=totals)
+    again = streaming.BatchScan(out, prepare=spread, totals_dir=totals)
     # A file without findings adds nothing, so the files with findings are the batch.
     again(files.join(first, ["repo", "path"], "left_semi"), 0)
     return out, totals, told
