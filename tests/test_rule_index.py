@@ -89,3 +89,17 @@ def test_wrong_rules_are_an_error(spark, files):
     table = spark.createDataFrame([("U1", "nobody", "Own", "LOW", "", "abcd")], SCHEMA)
     with pytest.raises(Exception, match="rule U1: unknown agent"):
         rule_index.indexed_findings(files(("r/a.py", "abcd")), table).collect()
+
+
+def test_a_rule_is_tried_only_where_all_its_literals_stand():
+    needs = rule_index.literal_needs(r"people\s+remember")
+    numbers = rule_index.Needs([(7, [rule_index._signed(n) for n in needs]), (9, []), (8, [])])
+    assert numbers.held("few REMEMBER the\npeople") == [9, 8, 7]
+    assert numbers.held("they remember") == numbers.held("people of note") == numbers.held("") == [9, 8]
+
+
+def test_needs_stand_in_every_match():
+    for pattern, match in ((r"alpha\s+b(et)+a_gamma", "alpha  betet" + "a_gamma"), (r"(?:api|key)_secret\w*", "api_secret1"), (r"\d+", "1")):
+        needs = rule_index.literal_needs(pattern)
+        assert rule_index.Needs([(1, [rule_index._signed(n) for n in needs])]).held(match) == [1]
+        assert (needs == []) == (pattern == r"\d+")
