@@ -50,5 +50,6 @@ def test_small_inputs_are_spread_and_sizes_checked(spark, tmp_path):
 
 def test_tasks_of_a_spread_input_are_bounded_in_bytes(spark):
     for rows in (10**7, 10**8, 10**9):
-        parts = session.spread(spark.range(rows)).rdd.getNumPartitions()
+        plan = session.spread(spark.range(rows))._jdf.queryExecution().executedPlan().toString()
+        parts = int(plan.split("RoundRobinPartitioning(")[1].split(")")[0])
         assert rows * 8 / parts <= session.SPREAD_BYTES_PER_TASK
