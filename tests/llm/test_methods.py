@@ -458,6 +458,26 @@ def test_boilerplate_depletes(spark):
     assert rows[3]["removed_lines"] == 12 and not rows[3]["kept"] and rows[100]["removed_lines"] == 0
 
 
+def test_lines_are_counted_by_documents(spark):
+    """Copies of one text are documents of their own where copies are not to count once."""
+    page = "The same long line on every page of this host\n" * 12
+    docs = spark.createDataFrame(
+        [(i, page + "own", "h") for i in range(8)] + [(i, page + f"own {'x' * i}", "h") for i in range(20, 23)]
+        + [(0, page + "own", "h"), (None, page + "own", "h"), (None, page + "own", "h"), (50, page, "other")],
+        "doc_id long, text string, source string")
+
+    def removed(**how) -> set:
+        return {(r["doc_id"], r["removed_lines"]) for r in line_rules.line_quality(docs, **how).collect() if r["removed_lines"]}
+
+    # Of host h four texts hold the line, twelve documents do: 8 ids, one without an id, 3 of another text.
+    every = {(i, 12) for i in [*range(8), *range(20, 23), None]}
+    own = {(i, 13) for i in [*range(8), None]}
+    assert removed(line_limit=3) == every and removed(line_limit=4) == set()
+    assert removed(line_limit=11, copies_once=False) == every and removed(line_limit=12, copies_once=False) == set()
+    assert removed(line_limit=8, copies_once=False) == own | {(i, 12) for i in range(20, 23)}
+    assert line_rules.line_quality(docs, copies_once=False).count() == docs.count()
+
+
 def test_every_subword_is_told_apart_in_its_context():
     """Ids that stand equally often follow ids of their own; a class of them could not say which comes next."""
     classes = lm_scoring.Classes(np.ones(499), 1)
