@@ -38,6 +38,8 @@ WINDOW = 2 * BLOCK
 # The two vectors after those of the vocabulary, and the id after the last subword's.
 BEGIN, PAD, END = -2, -1, -1
 ROUNDS, RATE, BATCH = 4, 0.02, 64
+# The heaviest nodes, which most paths end in, are met by matrix products; the others one by one.
+HEAVY = 128
 # Words that stand most often, at most so many, are scored from a table sent to the tasks; the rest by a join.
 TABLE_WORDS = 200_000
 # Bounds of what a worker holds at once.
@@ -160,8 +162,9 @@ class Tree:
         """``(owner, nodes, side, first)`` of the paths of all targets, one after the other."""
         lengths = self.start[targets + 1] - self.start[targets]
         first = np.cumsum(lengths) - lengths
-        at = np.arange(int(lengths.sum())) + np.repeat(self.start[targets] - first, lengths)
-        return np.repeat(np.arange(len(targets)), lengths), self.nodes[at], self.side[at], first
+        owner = np.repeat(np.arange(len(targets)), lengths)
+        at = np.arange(len(owner)) + (self.start[targets] - first).take(owner)
+        return owner, self.nodes.take(at), self.side.take(at), first
 
 
 def laid_out(kinds: bytes | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -178,10 +181,25 @@ def laid_out(kinds: bytes | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct rows and the sums of their values."""
-    order = np.argsort(rows, kind="stable")
-    ordered = rows[order]
-    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-    return ordered[first], np.add.reduceat(values[order], first, axis=0)
+    if not len(rows):
+        return rows, values
+    # Two bytes are sorted by radix.
+    order = np.argsort(rows.astype(np.uint16) if rows.max() < 1 << 16 else rows, kind="stable")
+    ordered = rows.take(order)
+    first = _starts(ordered)
+    return ordered[first], np.add.reduceat(values.take(order, 0), first, axis=0)
+
+
+def _starts(ordered: np.ndarray) -> np.ndarray:
+    """Where each run of equal values starts."""
+    return np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+
+
+def _ones(rows: np.ndarray) -> np.ndarray:
+    """The rows with a last column of ones."""
+    out = np.ones((len(rows), rows.shape[1] + 1), np.float32)
+    out[:, :-1] = rows
+    return out
 
 
 class Attention:
@@ -220,16 +238,30 @@ class Attention:
 
     def _attend(self, inputs: np.ndarray):
         p = self.p
-        x = p["embed"][inputs] + p["place"]
-        xq = x[:, BLOCK:]
-        q, k, v = xq @ p["query"], x @ p["key"], x @ p["value"]
-        s = q @ k.transpose(0, 2, 1) * np.float32(WIDTH ** -0.5)
-        s[~(self.MASK & (inputs != PAD)[:, None, :])] = -1e9
-        s -= s.max(axis=2, keepdims=True)
-        a = np.exp(s, out=s)
-        a /= a.sum(axis=2, keepdims=True)
-        h = xq + a @ v
-        return x, xq, q, k, v, a, h
+        x = p["embed"].take(inputs, 0)
+        x += p["place"]
+        xq = np.ascontiguousarray(x[:, BLOCK:])
+        q = xq @ (p["query"] * np.float32(WIDTH ** -0.5))
+        kv = x.reshape(-1, WIDTH) @ np.concatenate([p["key"], p["value"]], axis=1)
+        k, v = (np.ascontiguousarray(m).reshape(x.shape) for m in (kv[:, :WIDTH], kv[:, WIDTH:]))
+        a = q @ k.transpose(0, 2, 1)
+        self._weigh(a, inputs, a.size == 0 or max(a.max(), -a.min()) < 60)
+        a /= a @ np.ones((WINDOW, 1), np.float32)
+        return x, xq, q, k, v, a, a @ v
+
+    def _weigh(self, a: np.ndarray, inputs: np.ndarray, inner: bool) -> None:
+        """Makes products of queries and keys weights that need only be divided by their sums; ``inner``: all are in +-60.
+
+        Within that bound exponentials neither overflow nor vanish, so nothing need be subtracted first.
+        """
+        if not inner:
+            a -= np.where(self.MASK & (inputs != PAD)[:, None, :], a, np.float32(-np.inf)).max(axis=2, keepdims=True)
+            np.minimum(a, 0, out=a)
+        np.exp(a, out=a)
+        a *= self.MASK
+        # Only a text's first block has padding among what its queries may see.
+        first = np.flatnonzero(inputs[:, 0] == PAD)
+        a[first] *= (inputs[first] != PAD)[:, None, :]
 
     def tables(self) -> dict[str, np.ndarray]:
         """Projections of every id and place; sums of two entries are what projecting the sums gives.
@@ -244,7 +276,6 @@ class Attention:
             "v": ones(p["embed"] @ p["value"], 1), "v_place": ones(p["place"] @ p["value"], 0),
         }
         longest = lambda n: np.abs(t[n]).max() + np.abs(t[f"{n}_place"]).max()
-        # Within this bound exponentials neither overflow nor vanish, so nothing need be subtracted first.
         t["inner"] = WIDTH * longest("q") * longest("k") < 60
         return t
 
@@ -252,38 +283,46 @@ class Attention:
         """Natural logarithm of each target's probability; 0 at padding."""
         p, t = self.p, tables or self.tables()
         own = inputs[:, BLOCK:]
-        q = t["q"][own]
+        q = t["q"].take(own, 0)
         q += t["q_place"]
-        k = t["k"][inputs]
+        k = t["k"].take(inputs, 0)
         k += t["k_place"]
-        v = t["v"][inputs]
+        v = t["v"].take(inputs, 0)
         v += t["v_place"]
         a = q @ k.transpose(0, 2, 1)
-        if not t["inner"]:
-            a -= a.max(axis=2, keepdims=True)
-        np.exp(a, out=a)
-        a *= self.MASK
-        # Only a text's first block has padding among what its queries may see.
-        first = np.flatnonzero(inputs[:, 0] == PAD)
-        a[first] *= (inputs[first] != PAD)[:, None, :]
+        self._weigh(a, inputs, t["inner"])
         seen = a @ v
-        h = p["embed"][own]
+        h = p["embed"].take(own, 0)
         h += p["place"][BLOCK:]
         h += seen[:, :, :WIDTH] / seen[:, :, WIDTH:]
         goal = targets.ravel().astype(np.int64)
         real = np.flatnonzero(goal != PAD)
         out = np.zeros(len(goal), np.float32)
         if len(real):
-            z, _, _, first = self._choices(h.reshape(-1, WIDTH)[real], goal[real])
+            z, first = self._choices(_ones(h.reshape(-1, WIDTH).take(real, 0)), goal.take(real))[:2]
             out[real] = np.add.reduceat(np.minimum(z, 0) - np.log1p(np.exp(-np.abs(z))), first)
         return out.reshape(targets.shape)
 
     def _choices(self, h: np.ndarray, goal: np.ndarray):
-        """Logarithmic odds of the right choice at every node of the targets' paths; owners and nodes; where paths start."""
+        """Logarithmic odds of the right choice at every node of the targets' paths, and where paths start.
+
+        ``h`` ends in ones.  Nodes are numbered by rising weight.  Then the
+        steps of the paths to heavy nodes, as positions in the matrix of targets
+        and heavy nodes, and those to others with their owners, nodes and parameters.
+        """
         owner, nodes, side, first = self.tree.paths(goal)
-        out = self.p["out"][nodes]
-        z = np.einsum("ij,ij->i", h[owner], out[:, :WIDTH]) + out[:, WIDTH]
-        return z * side, (owner, nodes, side), out, first
+        out = self.p["out"]
+        light = max(0, len(out) - HEAVY)
+        is_heavy = nodes >= light
+        heavy, rest = np.flatnonzero(is_heavy), np.flatnonzero(~is_heavy)
+        cell = owner.take(heavy) * (len(out) - light) + (nodes.take(heavy) - light)
+        owner, nodes = owner.take(rest), nodes.take(rest)
+        met = out.take(nodes, 0)
+        z = np.empty(len(side), np.float32)
+        z[heavy] = (h @ out[light:].T).ravel().take(cell)
+        z[rest] = np.einsum("ij,ij->i", h.take(owner, 0), met)
+        z *= side
+        return z, first, side, light, (heavy, cell), (rest, owner, nodes, met)
 
     def gradient(self, inputs: np.ndarray, targets: np.ndarray) -> dict[str, np.ndarray]:
         whole = {}
@@ -295,45 +334,78 @@ class Attention:
     def gradient_rows(self, inputs: np.ndarray, targets: np.ndarray) -> dict[str, tuple[np.ndarray, np.ndarray]]:
         """For each parameter the rows that the batch meets and their gradients."""
         p = self.p
-        x, xq, q, k, v, a, h = self._attend(inputs)
-        flat = h.reshape(-1, WIDTH)
+        x, xq, q, k, v, a, seen = self._attend(inputs)
         goal = targets.ravel().astype(np.int64)
         real = np.flatnonzero(goal != PAD)
-        seen = flat[real]
-        z, (owner, nodes, side), out, first = self._choices(seen, goal[real])
-        d = (-side / (1 + np.exp(np.clip(z, -60, 60))) / max(1, len(real))).astype(np.float32)[:, None]
-        nodes_met, g_out = _summed(nodes, d * np.concatenate([seen, np.ones((len(seen), 1), np.float32)], axis=1)[owner])
-        dh = np.zeros_like(flat)
-        dh[real] = np.add.reduceat(d * out[:, :WIDTH], first, axis=0)
-        dh = dh.reshape(h.shape)
+        h = _ones((xq + seen).reshape(-1, WIDTH).take(real, 0))
+        z, _, side, light, (heavy, cell), (rest, owner, nodes, met) = self._choices(h, goal.take(real))
+        d = -side / (1 + np.exp(np.clip(z, -60, 60))) / np.float32(max(1, len(real)))
+        out = p["out"][light:]
+        dense = np.zeros(len(h) * len(out), np.float32)
+        dense[cell] = d.take(heavy)
+        dense = dense.reshape(len(h), len(out))
+        heavy_met = np.flatnonzero(np.bincount(cell % max(1, len(out)), minlength=len(out)))
+        d = d.take(rest)[:, None]
+        nodes_met, g_out = _summed(nodes, d * h.take(owner, 0))
+        dh = dense @ out
+        if len(owner):
+            first = _starts(owner)
+            dh[owner[first]] += np.add.reduceat(d * met, first, axis=0)
+        every = np.zeros((goal.size, WIDTH), np.float32)
+        every[real] = dh[:, :WIDTH]
+        dh = every.reshape(xq.shape)
         da = dh @ v.transpose(0, 2, 1)
         dv = a.transpose(0, 2, 1) @ dh
-        ds = a * (da - (da * a).sum(axis=2, keepdims=True)) * np.float32(WIDTH ** -0.5)
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
+        da -= (dh * seen) @ np.ones((WIDTH, 1), np.float32)
+        da *= a
+        dq, dk = da @ k * np.float32(WIDTH ** -0.5), da.transpose(0, 2, 1) @ q
         rows = lambda m: m.reshape(-1, WIDTH)
-        dx = dk @ p["key"].T + dv @ p["value"].T
+        dx = rows(dk) @ p["key"].T
+        dx += rows(dv) @ p["value"].T
+        dx = dx.reshape(x.shape)
         dx[:, BLOCK:] += dh + dq @ p["query"].T
         g = {
             "place": dx.sum(axis=0), "query": rows(xq).T @ rows(dq), "key": rows(x).T @ rows(dk), "value": rows(x).T @ rows(dv)}
         return {
-            "embed": _summed(inputs.ravel() % len(p["embed"]), rows(dx)), "out": (nodes_met, g_out),
+            "embed": _summed(inputs.ravel() % len(p["embed"]), rows(dx)),
+            "out": (np.append(nodes_met, heavy_met + light), np.concatenate([g_out, (dense.T @ h)[heavy_met]])),
             **{n: (slice(None), m) for n, m in g.items()}}
 
     def train(self, inputs: np.ndarray, targets: np.ndarray, rate: float, seed: int, batch: int = BATCH) -> None:
         """One pass of Adam over the windows, in drawn order; a row moves in the steps that meet it."""
-        first = {n: np.zeros_like(x) for n, x in self.p.items()}
-        second = {n: np.zeros_like(x) for n, x in self.p.items()}
-        before = {n: x.copy() for n, x in self.steps.items()}
         order = np.random.default_rng(seed).permutation(len(inputs))
-        for start in range(0, len(order), batch):
+        # The small parameters, all of whose rows move in every step, are parts of one table.
+        small = np.concatenate([self.p[n] for n in self.SHAPES])
+        ends = np.cumsum([len(self.p[n]) for n in self.SHAPES])
+        for n, end in zip(self.SHAPES, ends):
+            self.p[n] = small[end - len(self.p[n]):end]
+        tables = {**{n: self.p[n] for n in self.MANY}, "small": small}
+        first = {n: np.zeros_like(x) for n, x in tables.items()}
+        second = {n: np.zeros_like(x) for n, x in tables.items()}
+        steps = {n: np.zeros(len(self.p[n]), np.int64) for n in self.MANY}
+        at = np.arange(-(-len(order) // batch) + 1, dtype=np.float32)[:, None]
+        scale, scale2 = 1 - np.float32(0.9) ** at, 1 - np.float32(0.99) ** at
+        for number, start in enumerate(range(0, len(order), batch), 1):
             part = order[start:start + batch]
-            for n, (rows, g) in self.gradient_rows(inputs[part], targets[part]).items():
-                self.steps[n][rows] += 1
-                step = (self.steps[n][rows] - before[n][rows]).astype(np.float32)[:, None]
-                m = first[n][rows] = np.float32(0.9) * first[n][rows] + np.float32(0.1) * g
-                s = second[n][rows] = np.float32(0.99) * second[n][rows] + np.float32(0.01) * g * g
-                self.p[n][rows] -= np.float32(rate) * (m / (1 - np.float32(0.9) ** step)) / (
-                    np.sqrt(s / (1 - np.float32(0.99) ** step)) + np.float32(1e-6))
+            met = self.gradient_rows(inputs.take(part, 0), targets.take(part, 0))
+            for n in self.MANY:
+                rows, g = met[n]
+                step = steps[n].take(rows) + 1
+                steps[n][rows] = step
+                m = first[n].take(rows, 0) * np.float32(0.9) + np.float32(0.1) * g
+                s = second[n].take(rows, 0) * np.float32(0.99) + np.float32(0.01) * g * g
+                first[n][rows], second[n][rows] = m, s
+                m /= scale.take(step, 0)
+                s /= scale2.take(step, 0)
+                tables[n][rows] = tables[n].take(rows, 0) - np.float32(rate) * m / (np.sqrt(s) + np.float32(1e-6))
+            g, m, s = np.concatenate([met[n][1] for n in self.SHAPES]), first["small"], second["small"]
+            m *= np.float32(0.9)
+            m += np.float32(0.1) * g
+            s *= np.float32(0.99)
+            s += np.float32(0.01) * g * g
+            small -= np.float32(rate) * (m / scale[number]) / (np.sqrt(s / scale2[number]) + np.float32(1e-6))
+        for n in self.p:
+            self.steps[n] += steps[n] if n in self.MANY else len(at) - 1
 
     def text(self, kinds: bytes | np.ndarray) -> float:
         return self.texts([kinds])[0]

@@ -511,3 +511,35 @@ def test_whole_text_scores_are_token_by_token_passes():
         out = p["out"][model.tree.nodes[path]]
         total -= np.log1p(np.exp(-model.tree.side[path] * (out[:, :16] @ h + out[:, 16]))).sum()
     assert model.text(kinds.astype(np.int32)) == pytest.approx(total, rel=1e-4)
+
+
+def test_far_apart_logits_leave_finite_scores():
+    """A position that a query may not see must not decide what is subtracted before exponentials."""
+    draw = np.random.default_rng(6)
+    model = lm_scoring.Attention.fresh(np.arange(1.0, 301.0))
+    for name in ("query", "key"):
+        model.p[name] = model.p[name] * np.float32(300)
+    inputs, targets = lm_scoring.laid_out(draw.integers(0, 300, 400).astype(np.int32))
+    assert not model.tables()["inner"]
+    assert np.isfinite(model.log_probabilities(inputs, targets)).all()
+    assert all(np.isfinite(g).all() for g in model.gradient(inputs, targets).values())
+
+
+def test_gradient_of_light_and_heavy_nodes():
+    draw = np.random.default_rng(7)
+    model = lm_scoring.Attention.fresh(np.arange(1.0, 601.0))
+    kinds = draw.integers(0, 600, 90).astype(np.int32)
+    inputs, targets = lm_scoring.laid_out(kinds)
+    grads, light = model.gradient(inputs, targets), 599 - lm_scoring.HEAVY
+    largest = lambda g: np.unravel_index(np.argmax(np.abs(g)), g.shape)
+    place = largest(grads["out"][light:])
+    for name, at in [("embed", largest(grads["embed"])), ("out", largest(grads["out"][:light])), ("out", (place[0] + light, place[1]))]:
+        old, losses = model.p[name][at], []
+        for step in (1e-2, -1e-2):
+            model.p[name][at] = old + step
+            losses.append(-model.log_probabilities(inputs, targets).sum(dtype=np.float64) / 90)
+        model.p[name][at] = old
+        assert (losses[0] - losses[1]) / 2e-2 == pytest.approx(grads[name][at], rel=0.05, abs=1e-4)
+    # Only rows of paths that the batch takes move.
+    rows = model.gradient_rows(inputs, targets)["out"][0]
+    assert sorted(rows) == sorted(set(model.tree.paths(kinds)[1]))
