@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import heapq
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +45,8 @@ TABLE_WORDS = 200_000
 # Bounds of what a worker holds at once.
 COUNTED_AT_ONCE = 300_000
 BLOCKS_AT_ONCE = 256
-WINDOWS_AT_ONCE = 8_192
+# Windows of a task that are drawn from together.
+WINDOWS_AT_ONCE = 10_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -410,30 +411,49 @@ class Attention:
     def text(self, kinds: bytes | np.ndarray) -> float:
         return self.texts([kinds])[0]
 
-    def texts(self, kinds: list[bytes] | list[np.ndarray]) -> list[float]:
+    def texts(self, kinds: list[bytes] | list[np.ndarray], tables: dict | None = None) -> list[float]:
         """Summed logarithms of the targets of several texts, a bounded number of blocks at a time."""
         laid = [laid_out(k) for k in kinds]
         owner = np.repeat(np.arange(len(laid)), [len(x) for x, _ in laid])
         inputs = np.concatenate([x for x, _ in laid])
         targets = np.concatenate([t for _, t in laid])
-        tables = self.tables()
+        tables = tables or self.tables()
         each = np.concatenate([
             self.log_probabilities(inputs[i:i + BLOCKS_AT_ONCE], targets[i:i + BLOCKS_AT_ONCE], tables).sum(axis=1, dtype=np.float64)
             for i in range(0, len(inputs), BLOCKS_AT_ONCE)])
         return np.bincount(owner, weights=each, minlength=len(laid)).tolist()
 
 
+def _stored_as(classes: Classes) -> type:
+    """What a text's classes are stored as; windows, thrice as many numbers, are laid out where they are read."""
+    return np.uint16 if len(classes.kind) <= 1 << 16 else np.int32
+
+
+def windows_of(texts: Iterable[np.ndarray], most: int = WINDOWS_AT_ONCE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Inputs and targets of all blocks of the texts in their order, ``most`` at a time and what is left."""
+    waiting, held = [], 0
+    for kinds in texts:
+        x, y = laid_out(kinds)
+        while len(x):
+            taken = most - held
+            waiting.append((x[:taken], y[:taken]))
+            held += len(waiting[-1][0])
+            x, y = x[taken:], y[taken:]
+            if held == most:
+                yield tuple(map(np.concatenate, zip(*waiting)))
+                waiting, held = [], 0
+    if waiting:
+        yield tuple(map(np.concatenate, zip(*waiting)))
+
+
 def training_windows(training: DataFrame, model: str, classes: Classes) -> DataFrame:
     """``(x, y)``, inputs and targets: every block of every training document, so each subword is a target once."""
     shared = training.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(model, shared.value)
-        for batch in batches:
-            for text in batch.column("t"):
-                x, t = laid_out(encoder.text(words_of(text.as_py())))
-                for at in range(0, len(x), WINDOWS_AT_ONCE):
-                    yield pa.RecordBatch.from_arrays([_lists(rows[at:at + WINDOWS_AT_ONCE]) for rows in (x, t)], names=["x", "y"])
+        for rows in windows_of(encoder.text(words_of(text.as_py())) for batch in batches for text in batch.column("t")):
+            yield pa.RecordBatch.from_arrays([_lists(r) for r in rows], names=["x", "y"])
 
     return training.mapInArrow(run, "x array<int>, y array<int>")
 
@@ -443,12 +463,16 @@ def _lists(rows: np.ndarray) -> pa.Array:
         pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(np.ascontiguousarray(rows).ravel()))
 
 
-def train(windows: DataFrame, classes: Classes, rounds: int = ROUNDS) -> Attention:
-    """Rounds of training in the tasks and averaging of what they reach.
+def _read(column: pa.Array, stored_as: type) -> Iterator[np.ndarray]:
+    return (np.frombuffer(kinds.as_buffer(), stored_as) for kinds in column)
+
+
+def train(texts: DataFrame, classes: Classes, rounds: int = ROUNDS) -> Attention:
+    """Rounds of training in the tasks, over every block of the texts whose classes are in ``kinds``, and averaging of what they reach.
 
     Each row of the parameters is averaged by the steps that met it.
     """
-    spark, model = windows.sparkSession, Attention.fresh(classes.weight)
+    spark, model, stored_as = texts.sparkSession, Attention.fresh(classes.weight), _stored_as(classes)
     places = [f"v{i}" for i in range(WIDTH + 1)]
     for round_ in range(rounds):
         shared, rate = spark.sparkContext.broadcast(model), RATE / (1 + round_)
@@ -456,10 +480,8 @@ def train(windows: DataFrame, classes: Classes, rounds: int = ROUNDS) -> Attenti
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start = shared.value.table()
             own = shared.value.with_table(start)
-            for batch in batches:
-                if batch.num_rows:
-                    x, y = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in "xy")
-                    own.train(x.reshape(-1, WINDOW), y.reshape(-1, BLOCK), rate, round_)
+            for x, y in windows_of(kinds for batch in batches for kinds in _read(batch.column("kinds"), stored_as)):
+                own.train(x, y, rate, round_)
             steps = np.concatenate(list(own.steps.values()))
             met = np.flatnonzero(steps)
             moved = (own.table()[met].astype(np.float64) - start[met]) * steps[met, None]
@@ -467,7 +489,7 @@ def train(windows: DataFrame, classes: Classes, rounds: int = ROUNDS) -> Attenti
                 [pa.array(met), pa.array(steps[met]), *(pa.array(column) for column in np.ascontiguousarray(moved.T))],
                 names=["row", "steps", *places])
 
-        moves = windows.mapInArrow(run, f"row long, steps long, {', '.join(f'{v} double' for v in places)}")
+        moves = texts.mapInArrow(run, f"row long, steps long, {', '.join(f'{v} double' for v in places)}")
         # As many rows as the model has.
         summed = moves.groupBy("row").agg(F.sum("steps").alias("steps"), *[F.sum(v).alias(v) for v in places]).toArrow()
         if not summed.num_rows:
@@ -511,13 +533,12 @@ def scores(
     ends = training.count()
     tokens, distinct = sums["n"] + ends, sums["v"] + (1 if ends else 0)
     classes = Classes(subword_counts(counts, path), ends)
-    attention = train(stored(training_windows(training, path, classes), "windows"), classes)
     least, table = frequent_words(counts, table_words)
-    shared = spark.sparkContext.broadcast((
-        {w: float(np.log10(n + 1)) for w, n in table.items()}, classes, attention))
+    shared = spark.sparkContext.broadcast(({w: float(np.log10(n + 1)) for w, n in table.items()}, classes))
+    stored_as = _stored_as(classes)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs, own, scorer = shared.value
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        logs, own = shared.value
         encoder = Encoder(path, own)
         key = TaskContext.get().partitionId() << 33
         for batch in batches:
@@ -531,25 +552,36 @@ def scores(
                     key += 1
                     for n, v in zip(out, (
                             key, len(words) + 1, len(words) - rare.total(), sum(filter(None, known)),
-                            list(rare.items()), encoder.text(words))):
+                            list(rare.items()), encoder.text(words).astype(stored_as).tobytes())):
                         out[n].append(v)
-                natural = np.array(scorer.texts(out["kinds"]))
                 yield pa.RecordBatch.from_arrays([
                     part.column("id"), part.column("held_out"), pa.array(out["key"], pa.int64()),
                     pa.array(out["n_tokens"], pa.int64()), pa.array(out["known"], pa.int64()), pa.array(out["logs"], pa.float64()),
                     pa.array([[{"word": w, "n": n} for w, n in r] for r in out["rare"]],
                              pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))),
-                    pa.array(natural / np.log(10))],
-                    names=["id", "held_out", "key", "n_tokens", "known", "logs", "rare", "score"])
+                    pa.array(out["kinds"], pa.binary())],
+                    names=["id", "held_out", "key", "n_tokens", "known", "logs", "rare", "kinds"])
+
+    # Texts are encoded once, for training and for scores.
+    base_columns = f"id {kind}, held_out boolean, key long, n_tokens long, known long, logs double"
+    texts = stored(rows.mapInArrow(read, f"{base_columns}, rare array<struct<word:binary,n:long>>, kinds binary"), "texts")
+    attention = spark.sparkContext.broadcast(train(texts.where(~F.col("held_out")).select("kinds"), classes))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = attention.value
+        tables = scorer.tables()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                natural = np.array(scorer.texts(list(_read(part.column("kinds"), stored_as)), tables))
+                yield part.drop_columns(["kinds"]).append_column("score", pa.array(natural / np.log(10)))
 
-    partial = stored(rows.mapInArrow(
-        run, f"id {kind}, held_out boolean, key long, n_tokens long, known long, logs double, "
-             "rare array<struct<word:binary,n:long>>, score double"), "partial")
+    partial = stored(texts.drop("rare").mapInArrow(score, f"{base_columns}, score double"), "partial")
     rare = (
-        partial.select("key", F.inline("rare").alias("word", "k"))
+        texts.select("key", F.inline("rare").alias("word", "k"))
         .join(counts.where(F.col("n") < least), "word")
         .groupBy("key").agg(F.sum("k").alias("more_known"), F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("more_logs")))
-    joined = partial.drop("rare").join(rare, "key", "left")
+    joined = partial.join(rare, "key", "left")
     end_known, end_log = (1, float(np.log10(ends + 1))) if ends else (0, 0.0)
     base = F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) + end_log - F.col("n_tokens") * float(np.log10(tokens + distinct + 1))
     return joined.select(

@@ -90,6 +90,35 @@ def test_every_training_subword_is_a_target(spark, small, texts):
     assert all(len(r["x"]) == lm_scoring.WINDOW and len(r["y"]) == lm_scoring.BLOCK for r in windows)
 
 
+def test_a_subword_is_stored_once_for_training_and_scores(small, texts, monkeypatch):
+    """Overlapping windows, as stored before, hold each training subword three times, and scores encoded texts once more."""
+    from sentencepiece import SentencePieceProcessor
+
+    tables, write = [], lm_scoring.stored
+    monkeypatch.setattr(lm_scoring, "stored", lambda *table: tables.append(write(*table)) or tables[-1])
+    assert lm_scoring.scores(small, table_words=100).count() == small.count()
+    held = {"array<int>": 0, "binary": 0}
+    for table in tables:
+        for c, kind in table.dtypes:
+            if kind == "array<int>" or c == "kinds":
+                size = F.size(c) if kind == "array<int>" else F.octet_length(c)
+                held[kind] += table.agg(F.sum(size)).first()[0]
+    library = SentencePieceProcessor(model_file=token_counts.model_path())
+    assert held == {"array<int>": 0, "binary": 2 * sum(len(library.encode(" ".join(lowered(t).split()))) + 1 for t in texts.values())}
+
+
+def test_windows_of_texts_come_in_order_and_in_bounded_groups():
+    draw = np.random.default_rng(8)
+    texts = [draw.integers(0, 70_000, n).astype(np.int32) for n in (1, 16, 17, 500, 3, 1, 112)]
+    groups = list(lm_scoring.windows_of(iter(texts), 7))
+    for got, expected in zip(zip(*groups), zip(*map(lm_scoring.laid_out, texts))):
+        assert np.array_equal(np.concatenate(got), np.concatenate(expected))
+    assert {len(x) for x, _ in groups[:-1]} == {7} and 0 < len(groups[-1][0]) <= 7
+    assert list(lm_scoring.windows_of([])) == []
+    # Numbers of a large vocabulary do not fit into two bytes.
+    assert [lm_scoring._stored_as(lm_scoring.Classes(np.ones(n), 1)) for n in (65_535, 65_536)] == [np.uint16, np.int32]
+
+
 def test_class_shares_sum_to_one():
     classes = lm_scoring.Classes(np.arange(1000.0), 7)
     assert np.allclose(np.bincount(classes.kind, weights=np.exp(classes.share)), 1)
