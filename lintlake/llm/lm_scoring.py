@@ -6,9 +6,10 @@ of all subwords of every document.  The model is one layer of causal attention
 over the ids themselves: every id has its own vector as an input, and as a
 target its own path through a Huffman tree of the counts, whose nodes have a
 vector each.  A subword's probability is the product of the choices on its path,
-so all ids sum to one at the cost of a few nodes.  It is trained in numpy: every
-task goes on from the common parameters with its windows, and the results are
-averaged, for some rounds; a vector is averaged over the tasks that met it.
+so all ids sum to one at the cost of a few nodes.  In training every task goes on
+from the common parameters with its windows, and the results are averaged, for
+some rounds; a vector is averaged over the tasks that met it.  The arithmetic is
+done in the JVM (``vectors``) where the driver can compile for it, else in numpy.
 
 A text is scored in blocks.  Each block of tokens attends to itself and to the
 block before, so windows overlap and every token is scored exactly once; the
@@ -18,17 +19,19 @@ blocks of many texts are one batch under one mask.
 from __future__ import annotations
 
 import heapq
-from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintlake.llm.common import crc, documents, stored, worker_cache
 from lintlake.llm.token_counts import model_path
+from lintlake.llm.vectors import vectors
 
 WIDTH = 16
 # A small vocabulary, as for a model that is tried out.
@@ -44,6 +47,7 @@ HEAVY = 128
 TABLE_WORDS = 200_000
 # Bounds of what a worker holds at once.
 COUNTED_AT_ONCE = 300_000
+BYTES_AT_ONCE = 4 << 20
 BLOCKS_AT_ONCE = 256
 # Windows of a task that are drawn from together.
 WINDOWS_AT_ONCE = 10_000
@@ -54,25 +58,57 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+def parts(batches: Iterable[pa.RecordBatch], most: int = BYTES_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """The rows in their order, so many at a time that texts in ``t`` have about ``most`` bytes; a longer text is alone."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("t")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            end = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right"))
+            yield batch.slice(at, max(1, end - at))
+            at += max(1, end - at)
+
+
+def words_in(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """What ``words_of`` finds in texts: the distinct words, the place among them of every word in turn, and how many each text has."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    coded = split.flatten().dictionary_encode()
+    at, each = coded.indices.to_numpy(), split.value_lengths().to_numpy().astype(np.int64)
+    # Blanks at the ends of a text leave empty words.
+    empty = pc.index(coded.dictionary, pa.scalar("", coded.dictionary.type)).as_py()
+    if empty >= 0:
+        each -= np.bincount(np.repeat(np.arange(len(each)), each)[at == empty], minlength=len(each))
+        at = at[at != empty]
+        at = at - (at > empty)
+        coded = pa.DictionaryArray.from_arrays(
+            pa.array([], pa.int32()), pa.concat_arrays([coded.dictionary[:empty], coded.dictionary[empty + 1:]]))
+    return coded.dictionary.cast(pa.binary()), at, each
+
+
 def word_counts(training: DataFrame) -> DataFrame:
     """``(word, n)`` over all texts in ``t``; summed in the tasks before the shuffle."""
-    def rows(counts: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(list(counts.keys()), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        for batch in batches:
-            for text in batch.column("t"):
-                counts.update(words_of(text.as_py()))
-                if len(counts) > COUNTED_AT_ONCE:
-                    yield rows(counts)
-                    counts = Counter()
-        yield rows(counts)
+        held, rows = [], 0
+        for part in parts(batches):
+            words, at, _ = words_in(part.column("t"))
+            held.append(pa.table({"word": words, "n": np.bincount(at, minlength=len(words)).astype(np.int64)}))
+            rows += len(words)
+            if rows > COUNTED_AT_ONCE:
+                held = [_together(held)]
+                rows = len(held[0])
+                if 2 * rows > COUNTED_AT_ONCE:
+                    yield from held[0].to_batches()
+                    held, rows = [], 0
+        if held:
+            yield from _together(held).to_batches()
 
     return training.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _together(counts: list[pa.Table]) -> pa.Table:
+    return pa.concat_tables(counts).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
+
+
 def _pieces(model: str):
     from sentencepiece import SentencePieceProcessor
 
@@ -87,10 +123,9 @@ def subword_counts(counts: DataFrame, model: str) -> np.ndarray:
         total = np.zeros(size, np.int64)
         pieces = _pieces(model)
         for batch in batches:
-            words = [w.decode() for w in batch.column("word").to_pylist()]
-            for ids, n in zip(pieces.encode(words, num_threads=1), batch.column("n").to_pylist()):
-                for i in ids:
-                    total[i] += n
+            ids = pieces.encode([w.decode() for w in batch.column("word").to_pylist()], num_threads=1)
+            times = np.repeat(batch.column("n").to_numpy(), np.fromiter(map(len, ids), np.int64, len(ids)))
+            np.add.at(total, np.fromiter(chain.from_iterable(ids), np.int64, len(times)), times)
         kept = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(kept), pa.array(total[kept])], names=["id", "n"])
 
@@ -116,8 +151,14 @@ class Classes:
 class Encoder:
     """Texts to the classes of their subwords."""
 
+    MARK = "\u2581"
+
     def __init__(self, model: str, classes: Classes):
         self.pieces, self.classes = _pieces(model), classes
+        self.marks = worker_cache(f"marks:{model}", lambda: np.array(
+            [self.pieces.id_to_piece(i).count(self.MARK) for i in range(self.pieces.get_piece_size())]))
+        # Subwords of frequent words, at most as many as are sent to the tasks.
+        self.kept: dict[bytes, list[int]] = worker_cache(f"kept:{model}", dict)
 
     def text(self, words: list[bytes]) -> np.ndarray:
         """Classes of all subwords and the end.
@@ -128,6 +169,33 @@ class Encoder:
         ids.append(END)
         return self.classes.kind[ids]
 
+    def texts(self, texts: pa.Array, words: list[bytes], at: np.ndarray, each: np.ndarray, keep: list[bool]) -> list[np.ndarray]:
+        """``text`` of many texts, from what ``words_in`` finds in them: each distinct word is encoded once.
+
+        A word that the library gives more than the one space mark before it, or
+        none, may join its neighbours; a text with such a word is encoded whole.
+        """
+        ids = list(map(self.kept.get, words))
+        new = [i for i, known in enumerate(ids) if known is None]
+        for i, found in zip(new, self.pieces.encode([words[i].decode() for i in new], num_threads=1)):
+            ids[i] = found
+            if keep[i] and len(self.kept) < TABLE_WORDS:
+                self.kept[words[i]] = found
+        ids.append([END])
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.int64, lengths.sum())
+        marks = np.bincount(np.repeat(np.arange(len(ids)), lengths), weights=self.marks[flat], minlength=len(ids))
+        ends = np.cumsum(each)
+        joins = np.bincount(np.repeat(np.arange(len(each)), each)[(marks != 1)[at]], minlength=len(each))
+        line = np.insert(at, ends, len(words))
+        run = lengths[line]
+        after = np.cumsum(run)
+        place = np.repeat((np.cumsum(lengths) - lengths)[line] - (after - run), run) + np.arange(after[-1] if len(after) else 0)
+        kinds = np.split(self.classes.kind[flat].take(place), after[ends + np.arange(len(each))][:-1])
+        for i in np.flatnonzero(joins):
+            kinds[i] = self.text(words_of(texts[i].as_py()))
+        return kinds
+
 
 class Tree:
     """A Huffman tree: what is weighed often has a short path.
@@ -473,9 +541,10 @@ def train(texts: DataFrame, classes: Classes, rounds: int = ROUNDS) -> Attention
     Each row of the parameters is averaged by the steps that met it.
     """
     spark, model, stored_as = texts.sparkSession, Attention.fresh(classes.weight), _stored_as(classes)
-    places = [f"v{i}" for i in range(WIDTH + 1)]
+    places, fast = [f"v{i}" for i in range(WIDTH + 1)], vectors(spark)
+    moved_schema = f"row long, steps long, {', '.join(f'{v} double' for v in places)}"
     for round_ in range(rounds):
-        shared, rate = spark.sparkContext.broadcast(model), RATE / (1 + round_)
+        shared, rate = None if fast else spark.sparkContext.broadcast(model), RATE / (1 + round_)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start = shared.value.table()
@@ -489,7 +558,10 @@ def train(texts: DataFrame, classes: Classes, rounds: int = ROUNDS) -> Attention
                 [pa.array(met), pa.array(steps[met]), *(pa.array(column) for column in np.ascontiguousarray(moved.T))],
                 names=["row", "steps", *places])
 
-        moves = texts.mapInArrow(run, f"row long, steps long, {', '.join(f'{v} double' for v in places)}")
+        if fast:
+            moves = fast.moves(texts, model, stored_as, rate, round_, BATCH, WINDOWS_AT_ONCE, moved_schema)
+        else:
+            moves = texts.mapInArrow(run, moved_schema)
         # As many rows as the model has.
         summed = moves.groupBy("row").agg(F.sum("steps").alias("steps"), *[F.sum(v).alias(v) for v in places]).toArrow()
         if not summed.num_rows:
@@ -541,31 +613,31 @@ def scores(
         logs, own = shared.value
         encoder = Encoder(path, own)
         key = TaskContext.get().partitionId() << 33
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                out = {n: [] for n in ("key", "n_tokens", "known", "logs", "rare", "kinds")}
-                for text in part.column("t"):
-                    words = words_of(text.as_py())
-                    known = list(map(logs.get, words))
-                    rare = Counter(w for w, v in zip(words, known) if v is None)
-                    key += 1
-                    for n, v in zip(out, (
-                            key, len(words) + 1, len(words) - rare.total(), sum(filter(None, known)),
-                            list(rare.items()), encoder.text(words).astype(stored_as).tobytes())):
-                        out[n].append(v)
-                yield pa.RecordBatch.from_arrays([
-                    part.column("id"), part.column("held_out"), pa.array(out["key"], pa.int64()),
-                    pa.array(out["n_tokens"], pa.int64()), pa.array(out["known"], pa.int64()), pa.array(out["logs"], pa.float64()),
-                    pa.array([[{"word": w, "n": n} for w, n in r] for r in out["rare"]],
-                             pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))),
-                    pa.array(out["kinds"], pa.binary())],
-                    names=["id", "held_out", "key", "n_tokens", "known", "logs", "rare", "kinds"])
+        for part in parts(batches):
+            words, at, each = words_in(part.column("t"))
+            listed = words.to_pylist()
+            log = np.fromiter((logs.get(w, 0.0) for w in listed), np.float64, len(listed))
+            owner = np.repeat(np.arange(len(each)), each)
+            sums = lambda values: np.bincount(owner, weights=values[at], minlength=len(each))
+            # Each rare word of each text, and how often it stands there.
+            rare, times = np.unique((owner * len(words) + at)[log[at] == 0], return_counts=True)
+            texts_of, words_at = np.divmod(rare, max(1, len(words)))
+            kinds = encoder.texts(part.column("t"), listed, at, each, (log > 0).tolist())
+            yield pa.RecordBatch.from_arrays([
+                part.column("id"), part.column("held_out"), pa.array(np.arange(key + 1, key + 1 + len(each))),
+                pa.array(each + 1), pa.array(sums(log > 0).astype(np.int64)), pa.array(sums(log)),
+                pa.ListArray.from_arrays(
+                    pa.array(np.append(0, np.cumsum(np.bincount(texts_of, minlength=len(each)))).astype(np.int32)),
+                    pa.StructArray.from_arrays([words.take(pa.array(words_at)), pa.array(times)], names=["word", "n"])),
+                pa.array([k.astype(stored_as).tobytes() for k in kinds], pa.binary())],
+                names=["id", "held_out", "key", "n_tokens", "known", "logs", "rare", "kinds"])
+            key += len(each)
 
     # Texts are encoded once, for training and for scores.
     base_columns = f"id {kind}, held_out boolean, key long, n_tokens long, known long, logs double"
     texts = stored(rows.mapInArrow(read, f"{base_columns}, rare array<struct<word:binary,n:long>>, kinds binary"), "texts")
-    attention = spark.sparkContext.broadcast(train(texts.where(~F.col("held_out")).select("kinds"), classes))
+    trained, fast = train(texts.where(~F.col("held_out")).select("kinds"), classes), vectors(spark)
+    attention = None if fast else spark.sparkContext.broadcast(trained)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = attention.value
@@ -576,7 +648,11 @@ def scores(
                 natural = np.array(scorer.texts(list(_read(part.column("kinds"), stored_as)), tables))
                 yield part.drop_columns(["kinds"]).append_column("score", pa.array(natural / np.log(10)))
 
-    partial = stored(texts.drop("rare").mapInArrow(score, f"{base_columns}, score double"), "partial")
+    if fast:
+        scored = texts.select("*", (fast.score("kinds", trained, stored_as) / float(np.log(10))).alias("score")).drop("rare", "kinds")
+    else:
+        scored = texts.drop("rare").mapInArrow(score, f"{base_columns}, score double")
+    partial = stored(scored, "partial")
     rare = (
         texts.select("key", F.inline("rare").alias("word", "k"))
         .join(counts.where(F.col("n") < least), "word")

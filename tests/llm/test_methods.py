@@ -572,3 +572,70 @@ def test_gradient_of_light_and_heavy_nodes():
     # Only rows of paths that the batch takes move.
     rows = model.gradient_rows(inputs, targets)["out"][0]
     assert sorted(rows) == sorted(set(model.tree.paths(kinds)[1]))
+
+
+def test_words_of_many_texts_are_those_of_each(spark):
+    """Distinct words encoded once give what whole texts give, also where a word joins its neighbours."""
+    import pyarrow as pa
+
+    path, draw = token_counts.model_path(), random.Random(9)
+    odd = ["a", "The", "\u2581", "\u2581\u2581", " ", "\t", "\x1c", "\x85", "\u3000", "\u00a0", "\u0301", "é", "ß", "日本", "\0", "<s>", "1", "ing", "😀", "ﬁ", "\n"]
+    texts = [None, "", " ", *("".join(draw.choice(odd) for _ in range(draw.randint(0, 12))) for _ in range(1500)), "long " * 3000]
+    encoder = lm_scoring.Encoder(path, lm_scoring.Classes(np.arange(32_000.0), 5))
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["t"])
+    seen = []
+    for part in lm_scoring.parts([batch], 4000):
+        words, at, each = lm_scoring.words_in(part.column("t"))
+        words = words.to_pylist()
+        kinds = encoder.texts(part.column("t"), words, at, each, [len(w) < 3 for w in words])
+        seen += zip(np.split(np.array(words, object)[at], np.cumsum(each)[:-1]), kinds)
+        assert len(part) == 1 or sum(len((t.as_py() or "").encode()) for t in part.column("t")) <= 4000
+    assert len(seen) == len(texts)
+    for text, (words, kinds) in zip(texts, seen):
+        assert list(words) == lm_scoring.words_of(text) and np.array_equal(kinds, encoder.text(lm_scoring.words_of(text)))
+
+
+@pytest.fixture(scope="module")
+def fast(spark):
+    found = lm_scoring.vectors(spark)
+    return found or pytest.skip("the driver has no compiler or no vectors")
+
+
+@pytest.mark.parametrize("stored_as", [np.uint16, np.int32])
+def test_training_in_the_jvm_is_that_of_numpy(spark, fast, stored_as):
+    draw = np.random.default_rng(12)
+    texts = [np.minimum(draw.zipf(1.3, n), 700).astype(stored_as) - 1 for n in (1, 16, 17, 900, 3, 40, 2000, 33)]
+    model = lm_scoring.Attention.fresh(np.arange(700.0, 0, -1))
+    kinds = spark.createDataFrame([(t.tobytes(),) for t in texts], "kinds binary").coalesce(1)
+    schema = f"row long, steps long, {', '.join(f'v{i} double' for i in range(17))}"
+    moves = {r["row"]: r[1:] for r in fast.moves(kinds, model, stored_as, 0.02, 3, 8, 50, schema).collect()}
+    own = model.with_table(model.table())
+    for x, y in lm_scoring.windows_of(iter(texts), 50):
+        own.train(x, y, 0.02, 3, 8)
+    steps, moved = np.concatenate(list(own.steps.values())), own.table().astype(float) - model.table()
+    for row in np.flatnonzero(steps):
+        got = moves.pop(int(row), None)
+        # Rows of padding do not move, and are not met in the JVM.
+        assert np.allclose(moved[row], 0) if got is None else got[0] == steps[row] and np.allclose(got[1:], moved[row] * steps[row], atol=2e-3)
+    assert not moves
+
+
+@pytest.mark.parametrize("stored_as, times", [(np.uint16, 1), (np.int32, 1), (np.uint16, 300)])
+def test_scores_in_the_jvm_are_those_of_numpy(spark, fast, stored_as, times):
+    """Also where products of queries and keys are beyond what exponentials bear."""
+    draw = np.random.default_rng(13)
+    texts = [draw.integers(0, 500, n).astype(stored_as) for n in (1, 15, 16, 17, 600, 5)]
+    model = lm_scoring.Attention.fresh(np.arange(500.0, 0, -1))
+    for name in ("query", "key"):
+        model.p[name] = model.p[name] * np.float32(times)
+    frame = spark.createDataFrame([(i, t.tobytes()) for i, t in enumerate(texts)], "i int, kinds binary")
+    found = {r["i"]: r["s"] for r in frame.select("i", fast.score("kinds", model, stored_as).alias("s")).collect()}
+    assert [found[i] for i in range(len(texts))] == pytest.approx(model.texts([t.astype(np.int32) for t in texts]), rel=1e-4)
+
+
+def test_whole_scores_without_the_jvm(small, fast, monkeypatch):
+    columns = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score"]
+    one = {tuple(r[c] for c in columns): r["score"] for r in lm_scoring.scores(small, table_words=100).collect()}
+    monkeypatch.setattr(lm_scoring, "vectors", lambda spark: None)
+    other = {tuple(r[c] for c in columns): r["score"] for r in lm_scoring.scores(small, table_words=100).collect()}
+    assert one == pytest.approx(other, rel=1e-4)
