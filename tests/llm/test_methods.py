@@ -507,6 +507,21 @@ def test_lines_are_counted_by_documents(spark):
     assert line_rules.line_quality(docs, copies_once=False).count() == docs.count()
 
 
+def test_line_rules_equal_sql_where_texts_are_copied(spark, tmp_path):
+    """Lines of many texts, of one text copied often, and of texts without a host or an id."""
+    page = "The Same long line 17 on every page of this host\n" * 6
+    rows = [(i, page + f"own {'word ' * i}", "h") for i in range(60)]
+    rows += [(100 + i, "copied line of one text \t\r\n" * 3 + "other " * 60, "h") for i in range(70)]
+    rows += [(200, None, "h"), (201, "", None), (202, page, None), (None, page + "x", "h"), (None, page + "x", "h"), (203, page, "g")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duck(SF)
+    con.execute(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    frame = line_rules.op10_line_quality(spark, str(tmp_path))
+    columns, expected = duck_rows(con, line_rules.OP10_SQL)
+    found = rows_of(frame.columns, frame.collect())
+    assert found == rows_of(columns, expected) and sum(r[columns.index("removed_lines")] > 0 for r in expected) == 62
+
+
 def test_every_subword_is_told_apart_in_its_context():
     """Ids that stand equally often follow ids of their own; a class of them could not say which comes next."""
     classes = lm_scoring.Classes(np.ones(499), 1)
