@@ -625,7 +625,7 @@ def scores(
             kinds = encoder.texts(part.column("t"), listed, at, each, (log > 0).tolist())
             yield pa.RecordBatch.from_arrays([
                 part.column("id"), part.column("held_out"), pa.array(np.arange(key + 1, key + 1 + len(each))),
-                pa.array(each + 1), pa.array(sums(log > 0).astype(np.int64)), pa.array(sums(log)),
+                pa.array(each + 1), pa.array(sums(log > 0).astype(np.int64)), pa.array(sums(log).astype(np.float64)),
                 pa.ListArray.from_arrays(
                     pa.array(np.append(0, np.cumsum(np.bincount(texts_of, minlength=len(each)))).astype(np.int32)),
                     pa.StructArray.from_arrays([words.take(pa.array(words_at)), pa.array(times)], names=["word", "n"])),
